@@ -53,12 +53,12 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def flat_words(texts: pa.Array) -> tuple[pa.Array, "object"]:
-    """All words of the texts in one array, and the offsets of each text's words. Nulls have none."""
+def flat_words(texts: pa.Array, lower: bool = True):
+    """All words of the texts in one array, A-Z lower-cased if asked, and the offsets of each text's words."""
     import numpy as np
 
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts) if lower else texts))
     flat = words.flatten()
     offsets = words.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = offsets - offsets[0]

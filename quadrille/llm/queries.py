@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from quadrille.llm import exact_dedup, packing, sharding
+from quadrille.llm import exact_dedup, html_extract, packing, quality, sharding, token_counts, topk
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_html_extraction": html_extract.op3_html_extraction,
+        "op4_quality_classifier": quality.op4_quality_classifier,
+        "op5_exact_top_k": topk.op5_exact_top_k,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op9_token_counts": token_counts.op9_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op5_exact_top_k": topk.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
