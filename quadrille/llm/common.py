@@ -57,7 +57,8 @@ def flat_words(texts: pa.Array, lower: bool = True):
     """All words of the texts in one array, A-Z lower-cased if asked, and the offsets of each text's words."""
     import numpy as np
 
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts, "").take(pa.array(np.arange(len(texts))))  # a copy: casts of slices go wrong in pyarrow
+    texts = texts.cast(pa.large_string())
     words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts) if lower else texts))
     flat = words.flatten()
     offsets = words.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
