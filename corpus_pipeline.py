@@ -1,7 +1,77 @@
-"""The corpus pipeline: stages over the table documents, each written and read again."""
+"""The corpus pipeline: five stages over the table documents, each written as Parquet and read again.
 
-STAGES: list = []
+Quality classifier, exact dedup, MinHash near-dedup, mixing to target weights, best-fit packing.
+All stages but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quadrille.llm import exact_dedup, mixing, near_dedup, packing, quality
+from quadrille.llm.common import stored, table
+
+#: No stage that learns, and no stage that packs, can be said in SQL.
+ORACLE_SQL = None
+
+
+def _id(df: DataFrame) -> DataFrame:
+    return df.withColumn("__null", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", F.lit(0)))
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.withColumn("__score", quality.scored(model)).filter(F.col("__score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays; of its repeated rows one."""
+    rows = stored(_id(exact_dedup.exact_dedup(docs)).select("__null", "__id", "kept", F.col("text_sha256").alias("__sha")), "exact")
+    kept, gone = rows.filter("kept").drop("kept"), rows.filter("NOT kept").drop("kept")
+    key = ["__null", "__id", "__sha"]
+    named = _id(docs).withColumn("__sha", F.sha2(exact_dedup.normalised("text"), 256))
+    out = named.join(kept, key, "left_semi")
+    again = stored(kept.join(gone.distinct(), key, "left_semi"), "repeated-rows")
+    if not again.isEmpty():
+        once = out.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).filter("__n = 1").drop("__n")
+        out = out.join(again, key, "left_anti").unionByName(once.join(again, key, "left_semi"))
+    return out.select(docs.columns)
+
+
+def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    kept = _id(near_dedup.near_duplicates(docs).filter("kept").select("doc_id")).select("__null", "__id")
+    return _id(docs).join(kept, ["__null", "__id"], "left_semi").select(docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn with the rates at which the domains' tokens meet the target weights."""
+    classifier = mixing.fit_classifier(docs, table(spark, sf_dir, "labels"))
+    measured = mixing.measured(docs.select("doc_id", "text"), classifier)
+    rows = stored(measured.drop("text"), "posteriors")
+    steps, _, _ = mixing.fit_rates(rows, mixing.WEIGHTS)
+    drawn = _id(rows.withColumn("rate", mixing.rate_of(steps)).filter(mixing.copies_of() > 0).select("doc_id")).select("__null", "__id")
+    return _id(docs).join(drawn, ["__null", "__id"], "left_semi").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_classifier", good_documents),
+    ("exact_dedup", first_copies),
+    ("minhash_near_dedup", near_copies_out),
+    ("mixing", mixed),
+    ("best_fit_packing", packed),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quadrille.llm import exact_dedup, html_extract, packing, quality, sharding, token_counts, topk
+from quadrille.llm import exact_dedup, html_extract, lm, mixing, near_dedup, packing, quality, sharding, token_counts, topk
 
 
 def queries() -> dict:
@@ -13,7 +13,10 @@ def queries() -> dict:
         "op4_quality_classifier": quality.op4_quality_classifier,
         "op5_exact_top_k": topk.op5_exact_top_k,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+        "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
+        "op8_lm_scoring": lm.op8_lm_scoring,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_mixing": mixing.op10_mixing,
     }
 
 
