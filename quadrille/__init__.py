@@ -1,0 +1 @@
+"""Semantic queries, ontologies, rules and constraints over Spark DataFrames."""
