@@ -74,7 +74,7 @@ def normal_space(text: Column) -> Column:
 
 def synonyms(text: Column) -> Column:
     """Parts between commas or semicolons, trimmed."""
-    return F.filter(F.transform(F.split(text, "[;,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def serial_date(days: Column) -> Column:
