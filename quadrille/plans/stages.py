@@ -22,8 +22,24 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+_written: list[str] = []
+
+
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it back, so that a lost executor costs one task."""
+    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back.
+
+    A lost executor then costs the tasks that it ran, and row ids, once written, stay.
+    """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes all tables that this program has stored; for the end of a job, when its results are written."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
