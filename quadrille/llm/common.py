@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,31 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (a local test) a temporary folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quadrille-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back.
-
-    A lost executor then costs the tasks that it ran, and random row ids, once written, stay.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remainder(doc_id: str | Column, by: int) -> Column:
     """crc32 of the id's decimal text modulo by; a null id counts as an empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

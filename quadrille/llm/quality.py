@@ -9,7 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import flat_words, remainder, stored, table
+from quadrille.llm.common import flat_words, remainder, table
+from quadrille.plans.stages import stored
 
 #: Random features; the normal equations have WIDTH squared entries whatever the input.
 WIDTH = 192
