@@ -220,3 +220,61 @@ def expectation(facts: DataFrame, rules: list[Rule], expected: DataFrame, unexpe
     lacking = expected.join(all_facts, ["pred", "args"], "left_anti").select(F.lit("missing").alias("kind"), "pred", "args")
     there = unexpected.join(all_facts, ["pred", "args"], "left_semi").select(F.lit("unexpected").alias("kind"), "pred", "args")
     return lacking.unionByName(there)
+
+
+def rules_of(formula: Formula, label: str = "") -> list[Rule]:
+    """The Horn rules of a universal formula: one for each disjunct of a body and each fact of a head.
+
+    Clauses with other than one positive literal, and rules whose head isn't bound by the body,
+    are left out, as are tautologies.
+    """
+    while formula[0] == "forall":
+        formula = formula[2]
+    out: list[Rule] = []
+    for clause in _clauses(inward(formula)):
+        heads = [c for c in clause if c[0] == "fact"]
+        body = [c[1] for c in clause if c[0] == "not" and c[1][0] == "fact"]
+        if len(heads) != 1 or len(heads) + len(body) != len(clause) or not body:
+            continue
+        head = heads[0][1:]
+        if set(x for x in head[1:] if x.startswith("?")) <= set().union(*(free_variables(b) for b in body)) and heads[0] not in body:
+            rule = Rule(tuple(head), tuple(tuple(b[1:]) for b in body), label=label)
+            if rule not in out:
+                out.append(rule)
+    return out
+
+
+def _clauses(formula: Formula, most: int = 100_000) -> list[list[Formula]]:
+    """The conjuncts of the formula's clausal form; over `most` of them raise an error."""
+    op, *rest = formula
+    if op == "and":
+        return [c for part in rest for c in _clauses(part, most)]
+    if op == "forall":
+        return _clauses(rest[1], most)
+    if op == "or":
+        out: list[list[Formula]] = [[]]
+        for part in rest:
+            out = [a + b for a in out for b in _clauses(part, most)]
+            if len(out) > most:
+                raise ValueError(f"more than {most} clauses")
+        return out
+    return [[formula]]
+
+
+#: Rules of axiom types over named terms, by the arguments of the axiom.
+AXIOM_RULES = {
+    "SubClassOf": lambda a, b: [Rule((b, "?x"), ((a, "?x"),))], "EquivalentClasses": lambda a, b: [Rule((b, "?x"), ((a, "?x"),)), Rule((a, "?x"), ((b, "?x"),))],
+    "SubObjectPropertyOf": lambda a, b: [Rule((b, "?x", "?y"), ((a, "?x", "?y"),))], "InverseObjectProperties": lambda a, b: [Rule((b, "?y", "?x"), ((a, "?x", "?y"),)), Rule((a, "?y", "?x"), ((b, "?x", "?y"),))],
+    "ObjectPropertyDomain": lambda p, c: [Rule((c, "?x"), ((p, "?x", "?y"),))], "ObjectPropertyRange": lambda p, c: [Rule((c, "?y"), ((p, "?x", "?y"),))],
+    "SymmetricObjectProperty": lambda p: [Rule((p, "?y", "?x"), ((p, "?x", "?y"),))], "TransitiveObjectProperty": lambda p: [Rule((p, "?x", "?z"), ((p, "?x", "?y"), (p, "?y", "?z")))],
+}
+
+
+def axiom_rules(axioms: list[tuple[str, ...]]) -> list[Rule]:
+    """Rules of axioms (type, term...); a type without rules raises an error."""
+    out: list[Rule] = []
+    for kind, *terms in axioms:
+        if kind not in AXIOM_RULES:
+            raise ValueError(f"{kind} has no rules")
+        out += AXIOM_RULES[kind](*terms)
+    return out

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quadrille.functions import strings as st
 from quadrille.functions.builtins import builtin
 from quadrille.functions.terms import DOMAIN, OWL, PREFIXES, RANGE, SUBCLASS, SUBPROPERTY, TYPE, call, number
 from quadrille.operators import axioms as ax
+from quadrille.operators import codes as cd
 from quadrille.operators import constraints as co
 from quadrille.operators import entailment as en
 from quadrille.operators import hierarchy as hi
@@ -703,3 +705,121 @@ def src09_sparql_results(s, d):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windowed_counts(s, d):
     return windowed_counts(table(s, d, "events"), "ts", "event_type")
+
+
+# ---- codes, further rules, labels and axioms ----
+
+
+@query("SELECT p_name AS name, list_sort(list(DISTINCT p_type))::VARCHAR AS sources FROM part GROUP BY p_name")
+def src27_merged_sources(s, d):
+    rows = cd.merged_sources(table(s, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("source")))
+    return rows.select("name", F.concat(F.lit("["), F.concat_ws(", ", "sources"), F.lit("]")).alias("sources"))
+
+
+@query("SELECT c_custkey::VARCHAR AS id, 'in' AS label, coalesce(n_name, 'n' || c_nationkey) AS name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 20")
+def src27_related(s, d):
+    links = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit("in").alias("label"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("related"))
+    names = table(s, d, "nation").filter("n_nationkey < 20").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"))
+    return cd.related(links, names)
+
+
+@query("SELECT match, count(*) AS n FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"/[A-Za-z]+\"')) AS match FROM pages) GROUP BY match")
+def src27_mentioned(s, d):
+    return cd.mentioned(table(s, d, "pages"), "html", 'href="/[A-Za-z]+"')
+
+
+PART_ATOMS = "a AS (SELECT p_size AS concept, 'brand' AS source, regexp_extract(p_brand, '\\d+') AS code FROM part UNION ALL SELECT p_size, 'type', p_type FROM part)"
+
+
+@query(f"WITH {PART_ATOMS} SELECT DISTINCT x.code, y.code AS mapped FROM a x JOIN a y ON x.concept = y.concept AND x.source = 'brand' AND y.source = 'type'")
+def src28_mapped_codes(s, d):
+    p = table(s, d, "part")
+    brand = p.select(F.col("p_size").alias("concept"), F.lit("brand").alias("source"), F.regexp_extract("p_brand", r"\d+", 0).alias("code"))
+    return cd.mapped_codes(brand.unionByName(p.select(F.col("p_size").alias("concept"), F.lit("type").alias("source"), F.col("p_type").alias("code"))), "brand", "type")
+
+
+@query("SELECT 'name (of ' || n_nationkey || ')' AS label, n_nationkey::VARCHAR AS code FROM nation WHERE n_nationkey = 3 UNION ALL SELECT 'NATION_4 (thing)', '4' UNION ALL SELECT 'NATION_5', '5'")
+def src28_labelled_codes(s, d):
+    names = table(s, d, "nation").select(F.when(F.col("n_nationkey") == 3, "name (of 3)").otherwise(F.col("n_name")).alias("name"), F.col("n_nationkey").cast("string").alias("code"))
+    return cd.labelled_codes(names, s.createDataFrame([("name (of 3)",), ("NATION_4 (thing)",), ("NATION_5",), ("none (here)",)], "label string"))
+
+
+@query("SELECT DISTINCT o_custkey::VARCHAR AS c FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 10 <> 0 UNION SELECT c_custkey::VARCHAR FROM customer WHERE c_nationkey = 3 AND c_custkey % 10 <> 0")
+def l05_generated_rules(s, d):
+    fact = lambda *x: ("fact", *x)
+    formula = ("forall", ["?o", "?c"], ("implies", ("and", fact("customer", "?c"), ("or", fact("by", "?o", "?c"), fact("in", "?c", "3"))), fact("known", "?c")))
+    return saturate(order_facts(s, d), co.rules_of(formula)).filter("pred = 'known'").select(F.col("args")[0].alias("c"))
+
+
+@query(f"""SELECT 'Event' AS class, count(*) AS n FROM orders UNION ALL SELECT 'Party', count(DISTINCT o_custkey) FROM orders""")
+def l18_axiom_rules(s, d):
+    facts = order_facts(s, d).filter("pred = 'by'")
+    rules = co.axiom_rules([("ObjectPropertyDomain", "by", "Deal"), ("ObjectPropertyRange", "by", "Party"), ("SubClassOf", "Deal", "Event")])
+    return saturate(facts, rules).filter("pred IN ('Event', 'Party')").groupBy(F.col("pred").alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM customer")
+def s03_model_order(s, d):
+    facts = mo.facts_of(table(s, d, "customer"), "customer", F.concat(F.lit("c"), F.col("c_custkey").cast("string")))
+    first = mo.ordered_by(facts, 0).select(F.substring(F.col("args")[0], F.lit(2), F.lit(20)).cast("long").alias("c_custkey"))
+    key = st.natural_key(F.concat(F.lit("c"), F.col("c_custkey").cast("string")))
+    return first.select("c_custkey", F.row_number().over(Window.orderBy(key)).cast("long").alias("place"))
+
+
+@query(f"WITH {AXIOMS} SELECT count(DISTINCT x) AS n FROM a")
+def u04_merged(s, d):
+    return ax.merged(part_axioms(s, d, "p_size < 40", "one"), part_axioms(s, d, "p_size >= 10", "two")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT axiom_type, n FROM (SELECT 'SubClassOf' AS axiom_type, count(*) AS n FROM part UNION ALL SELECT 'EquivalentClasses', count(*) FROM part WHERE p_size > 25)")
+def x01_axiom_types(s, d):
+    return ax.of_types(part_axioms(s, d), "SubClassOf", "EquivalentClasses").groupBy("axiom_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT '(SubClassOf part' || p_partkey || ' ' || p_brand || ')' AS sexpr FROM part UNION SELECT '(SubClassOf part' || p_partkey || ' ' || p_type || ')' FROM part")
+def x04_simplified_equivalents(s, d):
+    p = table(s, d, "part").select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("a"), F.explode(F.array("p_brand", "p_type")).alias("b"))
+    return ax.simplified_equivalents(p).select("sexpr")
+
+
+@query("SELECT 'undeclared class' AS violation, min(node) AS iri, count(*) AS n FROM (SELECT DISTINCT p_brand AS node FROM part UNION SELECT 'Group' || (regexp_extract(p_brand, '\\d+')::INT % 5) FROM part UNION VALUES ('Brand'), ('Type'), ('Top'))")
+def a07_exemplars(s, d):
+    return ax.exemplars(o22_profile(s, d))
+
+
+@query(f"{CLASS_CLOSURE} SELECT 3::INT AS depth")
+def a05_depth(s, d):
+    return hi.levels(class_edges(s, d)).agg(F.max("level").cast("int").alias("depth"))
+
+
+@query(f"{CLASS_CLOSURE}, r AS (SELECT DISTINCT p_type AS x, 'madeBy' AS p, p_brand AS c FROM part) SELECT x, p, c FROM r UNION SELECT 'SUB_' || x, p, c FROM r")
+def o24_inherited_restrictions(s, d):
+    links = table(s, d, "part").select(F.col("p_type").alias("x"), F.lit("madeBy").alias("p"), F.col("p_brand").alias("c")).distinct()
+    below = links.select(F.concat(F.lit("SUB_"), "x").alias("a"), F.col("x").alias("b")).distinct()
+    return hi.inherited_restrictions(links, below)
+
+
+@query(f"""SELECT p_type AS s, '{SUBCLASS}' AS p, count(DISTINCT p_brand) AS n FROM part GROUP BY p_type""")
+def snk06_restriction_triples(s, d):
+    links = table(s, d, "part").select(F.col("p_type").alias("x"), F.lit("ex:madeBy").alias("p"), F.col("p_brand").alias("c")).distinct()
+    made = hi.restriction_triples(links)
+    found = hi.some_restrictions(made)
+    return found.groupBy(F.col("x").alias("s")).agg(F.count("*").alias("n")).select("s", F.lit(SUBCLASS).alias("p"), "n")
+
+
+@query("SELECT n_name AS iri FROM nation WHERE n_nationkey % 4 <> 0")
+def o32_without_deprecated(s, d):
+    n = table(s, d, "nation")
+    flags = n.select(F.col("n_name").alias("s"), F.lit(f"{OWL}deprecated").alias("p"), F.when(F.col("n_nationkey") % 4 == 0, "true").otherwise("false").alias("o"))
+    return hi.without_deprecated(n.select(F.col("n_name").alias("iri")), flags)
+
+
+@query("SELECT s_name AS label FROM supplier WHERE regexp_matches(s_name, '(?i)supplier#0+[13]$')")
+def o32_labels_matching(s, d):
+    return hi.labels_matching(table(s, d, "supplier").select(F.col("s_name").alias("label")), "SUPPLIER#0+[13]$")
+
+
+@query(f"SELECT '{EX}nation/' || n_nationkey AS s FROM nation WHERE n_nationkey < 3")
+def snk09_bulk_load(s, d):
+    some = nation_names(s, d).filter(st.all_matches(F.col("s"), r"\d+$")[0].cast("int") < 3)
+    return up.insert(nation_names(s, d).limit(0), some).select("s")
