@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quadrille.llm.common import flat_words, table
+from quadrille.llm.common import flat_words, partitions, table
 from quadrille.plans.stages import stored
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Permutations; each gives a minimum and a maximum, so a signature has twice as many values.
-PERMUTATIONS = 40
-#: Values in a band. Two sets of similarity s meet in a band with 1 - (1 - s**ROWS)**(2 * PERMUTATIONS / ROWS).
-ROWS = 4
-#: Pairs whose signatures agree in a smaller part than this aren't confirmed on full sets: at
-#: similarity 0.85 that many agree but for five standard deviations.
-AGREE = 0.65
+PERMUTATIONS = 144
+#: Values in a band. Two sets of similarity s share no band with (1 - s**ROWS)**(2 * PERMUTATIONS / ROWS): 1e-5 at 0.85.
+ROWS = 8
+#: Bits of each value in the sketch that pairs are first compared by.
+SKETCH_BITS = 4
+#: Standard deviations by which a sketch may fall short of a link's expected agreement.
+SLACK = 4.8
 SALTS = 32
 
 
@@ -93,25 +95,43 @@ def signatures(sets: list, permutations: int = PERMUTATIONS):
     return out
 
 
+SIGNED = "doc_id long, row_key long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
     import xxhash
 
+    mix = mixed(np.arange(1, ROWS + 1, dtype=np.uint64))
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             sets = shingle_sets(part["text"])
             sig = signatures(sets)
-            bands = mixed(sig.astype(np.uint64).reshape(len(sets), -1, ROWS) @ np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)[:ROWS] + np.arange(1, sig.shape[1] // ROWS + 1, dtype=np.uint64))
+            bands = mixed((sig.astype(np.uint64).reshape(len(sets), -1, ROWS) * mix).sum(axis=2) + np.arange(1, sig.shape[1] // ROWS + 1, dtype=np.uint64))
+            bits = np.unpackbits(sig.astype(np.uint8)[:, :, None], axis=2, bitorder="little")[:, :, :SKETCH_BITS].reshape(len(sets), -1)
+            sketch = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                part["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
+                part["doc_id"], part["row_key"], pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                pa.array([s.tobytes() for s in sig], pa.binary()),
-                pa.array([b.view(np.int64) for b in bands], pa.list_(pa.int64())),
-            ], names=["doc_id", "n_shingles", "digest", "signature", "bands"])
-
-
-SIGNED = "doc_id long, n_shingles long, digest binary, signature binary, bands array<long>"
+                pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array(list(sketch), pa.list_(pa.int64())),
+            ], names=["doc_id", "row_key", "n_shingles", "digest", "bands", "sketch"])
+
+
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether two sketches may be those of a link: by the number of their values that differ in some bit."""
+    values, words = 2 * PERMUTATIONS, 2 * PERMUTATIONS * SKETCH_BITS // 64
+    same = percent / 100 + (1 - percent / 100) / 2**SKETCH_BITS
+    most = int(values * (1 - same + SLACK * math.sqrt(same * (1 - same) / values)))
+    mask = F.lit(int("1" * (64 // SKETCH_BITS), 2**SKETCH_BITS))
+    differing = F.lit(0)
+    for i in range(words):
+        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
+        any_ = x
+        for k in range(1, SKETCH_BITS):
+            any_ = any_.bitwiseOR(F.shiftrightunsigned(x, k))
+        differing = differing + F.bit_count(any_.bitwiseAND(mask))
+    return differing <= most
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -142,17 +162,6 @@ def components(edges: DataFrame) -> DataFrame:
         open_ = stored(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "open-edges")
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        left, right = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-        near = (left == right).mean(axis=1) >= least
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(near))
-
-
 def _confirmed(group: pa.Table, percent: int) -> pa.Table:
     """Of one center's candidates, those whose full sets are similar enough."""
     import numpy as np
@@ -178,16 +187,8 @@ def _confirmed(group: pa.Table, percent: int) -> pa.Table:
 TOGETHER = 256
 
 
-def links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those that full sets confirm. Each pair moves b's set; a's moves once for TOGETHER pairs."""
-    signed = nodes.select("node", "signature")
-    both = (
-        pairs.join(signed.withColumnsRenamed({"node": "a", "signature": "sig_a"}), "a")
-        .join(signed.withColumnsRenamed({"node": "b", "signature": "sig_b"}), "b").select("a", "b", "sig_a", "sig_b")
-    )
-    near = stored(both.mapInArrow(lambda x: _agreeing(x, AGREE * percent / PERCENT), "a long, b long"), "near-pairs")
-    if near.isEmpty():
-        return near
     counts = near.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
     salted = near.join(counts, "a").select(F.col("a").alias("center"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("node"))
     centers = counts.select(F.col("a").alias("center"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"))
@@ -196,6 +197,61 @@ def links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) ->
     )
 
 
+def shared_mass(sets: DataFrame, buckets: int) -> DataFrame:
+    """(node, mass): how many of a node's shingles at least one other node of sets(node, set) has.
+
+    Shingles are dealt to buckets of their hash as packed arrays; a bucket's tasks count, and give
+    back sums for each node.
+    """
+    import numpy as np
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                raw = [np.frombuffer(s, np.uint64) for s in part["set"].to_pylist()]
+                keys = np.concatenate(raw)
+                owner = np.repeat(np.arange(len(raw), dtype=np.uint16), [len(r) for r in raw])
+                bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+                nodes = part["node"].to_numpy().tobytes()
+                rows = [(k, nodes, keys[order[a:b]].tobytes(), owner[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "nodes", "keys", "owner"])
+
+    def count(group: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()])
+        owners = np.concatenate([np.frombuffer(n, np.int64)[np.frombuffer(o, np.uint16)] for n, o in zip(group["nodes"].to_pylist(), group["owner"].to_pylist(), strict=True)])
+        _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
+        node, mass = np.unique(owners[times[back] > 1], return_counts=True)
+        return pa.table({"node": pa.array(node, pa.int64()), "mass": pa.array(mass, pa.int64())})
+
+    return (
+        sets.mapInArrow(deal, "bucket int, nodes binary, keys binary, owner binary").groupBy("bucket").applyInArrow(count, "node long, mass long")
+        .groupBy("node").agg(F.sum("mass").alias("mass"))
+    )
+
+
+#: Lets Spark drop, by a filter of bounded size, rows of the larger side of a join before they are dealt.
+PREFILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
+}
+
+
+@contextmanager
+def session_with(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text).
 
@@ -208,10 +264,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     are ignored.
 
     A band that many classes share isn't expanded into all pairs. Its smallest class is compared
-    with all others first. Then, as long as the band holds classes of several components, classes
-    outside its largest component are compared with those of other components, more of them each
-    round, until every class outside the largest has met all others: no link between two classes
-    of one band is lost, and the large group costs one pair for each member and outsider.
+    with all others first. Where a band then still holds classes of several components, classes
+    outside its largest component are compared with classes of other components, if their sizes
+    and their shared masses allow a link: a class of n shingles, m of which occur in other classes
+    of such bands, has at most similarity m / (n + n2 - m) with a class of n2. So heavily edited
+    copies, which link with nothing, meet next to no others, and no link between two classes of
+    one band is lost. Pairs are compared by sketches within the join, before any row is made.
     """
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,51 +282,54 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 same = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(made, part["digest"].to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part["node"], pa.array(made, pa.binary())], names=["node", "set"]).filter(same)
 
-    key = F.xxhash64("doc_id", "text").alias("row_key")
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for done in _signed(iter([batch])):
-                yield done.append_column("row_key", batch["row_key"].slice(at, done.num_rows))
-                at += done.num_rows
-
-    signed = stored(
-        docs.select("doc_id", "text", key).mapInArrow(sign, f"{SIGNED}, row_key long").withColumn("row_id", F.monotonically_increasing_id()), "signed"
-    )
+    spark, key = docs.sparkSession, F.xxhash64("doc_id", "text").alias("row_key")
+    signed = stored(docs.select("doc_id", "text", key).mapInArrow(_signed, SIGNED).withColumn("row_id", F.monotonically_increasing_id()), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")).alias("first")
     classes = stored(signed.filter("digest IS NOT NULL").groupBy("digest").agg(first, F.count("*").alias("n")), "classes")
-    heads = signed.join(classes.select(F.col("first.row_id").alias("row_id")), "row_id", "left_semi")
-    bands = heads.select(F.col("row_id").alias("node"), F.explode("bands").alias("band"))
+    heads = stored(
+        signed.withColumnRenamed("row_id", "node").join(classes.select(F.col("first.row_id").alias("node")), "node", "left_semi")
+        .select("node", "row_key", "digest", "n_shingles", "bands", "sketch"), "heads",
+    )
+    bands = heads.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("center")).filter("n > 1").select("band", "center")
     members = stored(bands.join(shared, "band"), "members")
-    nodes = stored(heads.withColumnRenamed("row_id", "node").join(members.select("node").distinct(), "node", "left_semi").select("node", "row_key", "digest", "signature"), "nodes")
-    sets = stored(docs.select(key, "text").join(nodes.select("row_key", "node", "digest"), "row_key").mapInArrow(sets_of, "node long, set binary"), "sets")
-
-    tested = stored(members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    found = links(tested, nodes, sets, percent)
+    nodes = stored(heads.join(members.select("node").distinct(), "node", "left_semi"), "nodes")
+    wanted = nodes.filter("row_key IS NOT NULL AND node >= 0").select("row_key", "node", "digest")
+    with session_with(spark, PREFILTER):
+        sets = stored(docs.select(key, "text").join(wanted, "row_key").mapInArrow(sets_of, "node long, set binary"), "sets")
+
+    looks = nodes.select("node", F.col("n_shingles").alias("size"), "sketch")
+    size_fits = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
+    side = lambda x: looks.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    star = members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    found = links(stored(star.filter(size_fits & alike("sketch_a", "sketch_b", percent)).select("a", "b"), "near-pairs"), sets, percent)
     labels = components(found)
-    met = members.filter("node = center").select("band", "node")
-    at_once = 16
-    while True:
-        placed = stored(members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "placed")
-        sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots")).filter("roots > 1").select("band", F.col("top.root").alias("top"))
-        outside = placed.join(largest, "band").filter("root <> top").select("band", "node", "root").join(met, ["band", "node"], "left_anti")
-        turn = Window.partitionBy("band").orderBy("node")
-        centers = stored(outside.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= at_once).drop("turn"), "centers")
-        if centers.isEmpty():
-            break
-        pairs = (
-            centers.select("band", F.col("node").alias("a"), F.col("root").alias("ra")).join(placed.select("band", F.col("node").alias("b"), F.col("root").alias("rb")), "band")
-            .filter("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        )
-        fresh = stored(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
-        more = links(fresh, nodes, sets, percent)
-        tested, met, at_once = tested.unionByName(fresh), met.unionByName(centers.select("band", "node")), at_once * 32
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            labels = components(found)
+
+    # bands with classes of several components, and their members outside the largest one
+    placed = stored(members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "placed")
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1 AND n > 2").select("band", F.col("top.root").alias("top"))
+    open_ = stored(placed.join(largest, "band"), "open-bands")
+    some = open_.select("node").distinct()
+    mass = shared_mass(sets.join(some, "node", "left_semi"), max(partitions(docs), some.count() // 2000 + 1))
+    # the largest partner that the shared mass allows; one that is too small for the class itself rules it out
+    limit = F.floor(F.col("mass") * (100 + percent) / percent - F.col("n_shingles") + 1e-6)
+    able = stored(
+        nodes.join(mass, "node").withColumn("limit", limit.cast("long")).filter(100 * F.col("limit") >= percent * F.col("n_shingles"))
+        .select("node", F.col("n_shingles").alias("size"), "limit", "sketch", F.transform("bands", lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("bands")), "able",
+    )
+    rows = open_.join(able, "node")
+    one = lambda x, df: df.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "limit", "sketch", "bands")])
+    # a pair is made in the first band that both share, counted from the front
+    first_band = F.expr("array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) = array_position(bands_a, CAST(pmod(band, 2147483647L) AS INT))")
+    both = one("a", rows.filter("root <> top")).join(one("b", rows), "band").filter(
+        (F.col("root_a") != F.col("root_b")) & (F.col("size_b") <= F.col("limit_a")) & (F.col("size_a") <= F.col("limit_b")) & size_fits
+        & alike("sketch_a", "sketch_b", percent) & first_band
+    )
+    pairs = both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    more = links(stored(pairs, "near-pairs"), sets, percent)
+    if not more.isEmpty():
+        labels = components(found.unionByName(more))
 
     smallest = (
         classes.select("digest", "n", F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id")).join(labels, "node", "left")
