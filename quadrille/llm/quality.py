@@ -13,8 +13,12 @@ from quadrille.llm.common import flat_words, remainder, table
 from quadrille.plans.stages import stored
 
 #: Random features; the normal equations have WIDTH squared entries whatever the input.
-WIDTH = 192
-RIDGE = 1e-3
+WIDTH = 320
+#: Frequencies of the features, in units of one over a standardised statistic: a wide kernel.
+SPREAD = 0.3
+#: Standardised statistics beyond this are cut.
+CLIP = 6
+RIDGE = 1e-5
 #: Bins of raw scores that the calibration counts.
 BINS = 2000
 THRESHOLD = 0.3
@@ -85,7 +89,7 @@ class Model:
     def features(self, x):
         import numpy as np
 
-        z = np.cos(((x - self.mean) / self.scale).clip(-8, 8) @ self.weights + self.shift) * (2 / self.weights.shape[1]) ** 0.5
+        z = np.cos(((x - self.mean) / self.scale).clip(-CLIP, CLIP) @ self.weights + self.shift) * (2 / self.weights.shape[1]) ** 0.5
         return np.hstack([z, np.ones((len(x), 1))])
 
     def raw(self, x):
@@ -165,15 +169,18 @@ def fit(docs: DataFrame, labels: DataFrame, width: int = WIDTH, seed: int = 7) -
     scale = np.sqrt(np.maximum(moments[p + 1 :] / n - mean**2, 0))
     scale[scale < 1e-9] = 1.0
     rng = np.random.default_rng(seed)
-    weights, shift = rng.normal(size=(p, width)) / p**0.5, rng.uniform(0, 2 * np.pi, width)
+    weights, shift = rng.normal(size=(p, width)) * SPREAD / p**0.5, rng.uniform(0, 2 * np.pi, width)
     bare = Model(mean, scale, weights, shift, None, None, None)
 
     def normal(x, y):
         z = bare.features(x)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+        return np.concatenate([(z.T @ z)[upper], z.T @ y])
 
-    sums = _summed(train, normal, (width + 1) * (width + 2))
-    gram, right = sums[: (width + 1) ** 2].reshape(width + 1, width + 1), sums[(width + 1) ** 2 :]
+    upper = np.triu_indices(width + 1)
+    sums = _summed(train, normal, len(upper[0]) + width + 1)
+    gram, right = np.zeros((width + 1, width + 1)), sums[len(upper[0]) :]
+    gram[upper] = sums[: len(upper[0])]
+    gram += np.triu(gram, 1).T
     ridge = np.linalg.solve(gram / n + RIDGE / width * np.eye(width + 1), right / n)
     linear = Model(mean, scale, weights, shift, ridge, None, None)
 
