@@ -18,6 +18,8 @@ WEIGHTS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
 LABELLED = 20_000
 #: Telling words of each domain.
 LEXICON = 150
+#: How much likelier a telling word must be in its domain than in the others: weaker ones add up by chance in long texts.
+LEAST_ODDS = 30
 #: Rounds of the projected gradient, and the part of the total by which targets may be missed.
 ROUNDS, NEAR = 60, 1e-6
 
@@ -47,56 +49,58 @@ def shapes(text: str | Column, words: Column) -> Column:
 @dataclass(frozen=True)
 class Classifier:
     prior: list[float]
-    lexicon: dict[str, list[float]]  # log-odds of a word in each domain
+    lexicon: dict[str, list[str]]  # telling words by domain
+    classes: dict[str, list[float]]  # log-probability of each class of make-up in each domain
+
+    def make_up(self, text: str, words: Column) -> Column:
+        """The text's classes: shapes, and for each domain how many of its telling words the text has (5: five or more)."""
+        hits = [F.concat(F.lit(f" {d} "), F.least(F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in own]))), F.lit(5)).cast("string")) for d, own in self.lexicon.items() if own]
+        return F.concat(shapes(text, words), F.array(*hits)) if hits else shapes(text, words)
 
     def posteriors(self, text: str, words: Column) -> Column:
-        """The text's posterior of each domain, as a struct: Bernoulli naive Bayes over the lexicon."""
-        start = F.struct(*[F.lit(float(p)).alias(d) for d, p in zip(DOMAINS, self.prior, strict=True)])
-        logs = start
-        if self.lexicon:
-            odds = F.create_map(*[x for w, v in self.lexicon.items() for x in (F.lit(w), F.array(*[F.lit(float(o)) for o in v]))])
-            hits = F.array_intersect(F.concat(words, shapes(text, words)), F.array(*[F.lit(w) for w in self.lexicon]))
-            logs = F.aggregate(
-                F.transform(hits, lambda w: F.element_at(odds, w)), start,
-                lambda s, v: F.struct(*[(s[d] + v[i]).alias(d) for i, d in enumerate(DOMAINS)]),
-            )
+        """The text's posterior of each domain, as a struct: naive Bayes over the classes of its make-up."""
+        logs = F.struct(*[F.lit(float(p)).alias(d) for d, p in zip(DOMAINS, self.prior, strict=True)])
+        if self.classes:
+            of = F.create_map(*[x for w, v in self.classes.items() for x in (F.lit(w), F.array(*[F.lit(float(o)) for o in v]))])
+            known = F.filter(F.transform(self.make_up(text, words), lambda c: F.try_element_at(of, c)), lambda v: v.isNotNull())
+            logs = F.aggregate(known, logs, lambda s, v: F.struct(*[(s[d] + v[i]).alias(d) for i, d in enumerate(DOMAINS)]))
         top = lambda s: F.greatest(*[s[d] for d in DOMAINS])
         # an array of one element binds the sums once
         return F.transform(F.array(logs), lambda s: F.struct(*[(F.exp(s[d] - top(s)) / sum((F.exp(s[e] - top(s)) for e in DOMAINS), F.lit(0.0))).alias(d) for d in DOMAINS]))[0]
 
 
+def _counted(rows: DataFrame, values: Column) -> DataFrame:
+    """(value, n of each domain): rows(domain, ...) that have each of the values."""
+    return rows.select("domain", F.explode(values).alias("value")).groupBy("value").agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS])
+
+
 def fit_classifier(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Classifier:
-    """Learns the domains' telling words from at most `bound` labelled rows; counts are summed by Spark.
+    """Learns from at most `bound` labelled rows; counts are summed by Spark.
 
-    A domain's words are those with the largest (rows with the word) times log-odds against the
-    other domains, among those in one row of 200. Without labelled rows all texts are clean.
+    A domain's telling words are those with the largest (rows with the word) times log-odds
+    against the other domains, among those in one row of 100 that are LEAST_ODDS times likelier
+    there; the clean domain has none. Without labelled rows all texts are clean.
     """
     known = labels.select("doc_id", domain_of().alias("domain")).filter("doc_id IS NOT NULL AND domain IS NOT NULL")
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(bound)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # bound rows of an id and a short name
     words = words_of("text")
-    seen = stored(rows.select("domain", F.array_distinct(F.concat(words, shapes("text", words))).alias("words")), "labelled")
+    seen = stored(rows.select("domain", "text", words.alias("words")), "labelled")
     totals = dict(seen.groupBy("domain").count().collect())
     n = [totals.get(d, 0) for d in DOMAINS]
     whole = sum(n)
     if not whole:
-        return Classifier([0.0, -50.0, -50.0], {})
-    prior = [math.log((x + 0.5) / (whole + 1.5)) for x in n]
-    counts = (
-        seen.select("domain", F.explode("words").alias("word")).groupBy("word")
-        .agg(*[F.count(F.when(F.col("domain") == d, 1)).alias(d) for d in DOMAINS])
-    )
-    lexicon: dict[str, list[float]] = {}
-    for i, d in enumerate(DOMAINS):
-        if not n[i]:
-            continue
+        return Classifier([0.0, -50.0, -50.0], {}, {})
+    counts = stored(_counted(seen, F.array_distinct("words")), "word-counts")
+    lexicon: dict[str, list[str]] = {}
+    for i, d in enumerate(DOMAINS[1:], 1):
         others = sum((F.col(e) for e in DOMAINS if e != d), F.lit(0))
         odds = F.log((F.col(d) + 0.5) / (n[i] + 1)) - F.log((others + 0.5) / (whole - n[i] + 1))
-        telling = counts.filter((F.col(d) * 200 >= n[i]) & (F.col(d) >= 3) & (odds > math.log(4))) if d != "clean" else counts.filter(F.col("word").startswith(" "))
-        for r in telling.orderBy(F.desc(F.col(d) * odds), "word").limit(LEXICON).collect():
-            lexicon[r["word"]] = [(r[e] + 0.5) / (n[k] + 1) for k, e in enumerate(DOMAINS)]
-    prior = [p + sum(math.log(1 - min(v[k], 1 - 1e-6)) for v in lexicon.values()) for k, p in enumerate(prior)]
-    return Classifier(prior, {w: [math.log(x / (1 - min(x, 1 - 1e-6))) for x in v] for w, v in lexicon.items()})
+        telling = counts.filter((F.col(d) * 100 >= n[i]) & (F.col(d) >= 3) & (odds > math.log(LEAST_ODDS)))
+        lexicon[d] = [r["value"] for r in telling.orderBy(F.desc(F.col(d) * odds), "value").limit(LEXICON).collect()]
+    draft = Classifier([], lexicon, {})
+    classes = {r["value"]: [math.log((r[d] + 0.5) / (n[i] + 5)) for i, d in enumerate(DOMAINS)] for r in _counted(seen, draft.make_up("text", F.col("words"))).collect()}
+    return Classifier([math.log((x + 0.5) / (whole + 1.5)) for x in n], lexicon, classes)
 
 
 def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
