@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import flat_words, partitions, table
+from quadrille.llm.common import flat_words, table
 from quadrille.plans.stages import stored
 
 WORDS = 5
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1 AND n > 2").select("band", F.col("top.root").alias("top"))
     open_ = stored(placed.join(largest, "band"), "open-bands")
     some = open_.select("node").distinct()
-    mass = shared_mass(sets.join(some, "node", "left_semi"), max(partitions(docs), some.count() // 2000 + 1))
+    mass = shared_mass(sets.join(some, "node", "left_semi"), some.count() // 2000 + 1)
     # the largest partner that the shared mass allows; one that is too small for the class itself rules it out
     limit = F.floor(F.col("mass") * (100 + percent) / percent - F.col("n_shingles") + 1e-6)
     able = stored(
