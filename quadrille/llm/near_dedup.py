@@ -263,8 +263,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     component. A null doc_id is never a component's id unless it has no other. Further columns
     are ignored.
 
-    A band that many classes share isn't expanded into all pairs. Its smallest class is compared
-    with all others first. Where a band then still holds classes of several components, classes
+    A band that many classes share isn't expanded into all pairs. The class that shares most is
+    compared with all others first. Where a band then still holds classes of several components, classes
     outside its largest component are compared with classes of other components, if their sizes
     and their shared masses allow a link: a class of n shingles, m of which occur in other classes
     of such bands, has at most similarity m / (n + n2 - m) with a class of n2. So heavily edited
@@ -291,8 +291,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         .select("node", "row_key", "digest", "n_shingles", "bands", "sketch"), "heads",
     )
     bands = heads.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("center")).filter("n > 1").select("band", "center")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     members = stored(bands.join(shared, "band"), "members")
+    # a band's center is the class that shares most with others: of edited copies, the least edited one
+    hubs = members.join(members.groupBy("node").agg(F.sum("n").alias("weight")), "node")
+    centers = hubs.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top")).select("band", F.col("top.node").alias("center"))
     nodes = stored(heads.join(members.select("node").distinct(), "node", "left_semi"), "nodes")
     wanted = nodes.filter("row_key IS NOT NULL AND node >= 0").select("row_key", "node", "digest")
     with session_with(spark, PREFILTER):
@@ -301,7 +304,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     looks = nodes.select("node", F.col("n_shingles").alias("size"), "sketch")
     size_fits = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     side = lambda x: looks.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    star = members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    star = members.join(centers, "band").filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
     found = links(stored(star.filter(size_fits & alike("sketch_a", "sketch_b", percent)).select("a", "b"), "near-pairs"), sets, percent)
     labels = components(found)
 
@@ -346,3 +349,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] ELSE [array_to_string(w, ' ')] END) AS x FROM d WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a)
+SELECT v AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, v = min(c) AS kept FROM r LEFT JOIN n ON n.doc_id = v GROUP BY v
+"""

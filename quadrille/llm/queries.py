@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_top_k": topk.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL}
+    return {"op5_exact_top_k": topk.OP5_SQL, "op6_exact_dedup": exact_dedup.OP6_SQL, "op7_minhash_near_dedup": near_dedup.OP7_SQL}
