@@ -16,6 +16,8 @@ from quadrille.plans.stages import stored
 
 #: No stage that learns, and no stage that packs, can be said in SQL.
 ORACLE_SQL = None
+#: Stages on word shingles link documents of a similarity of 0.8 or more.
+NEAR_PERCENT = 80
 
 
 def _id(df: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    kept = _id(near_dedup.near_duplicates(docs).filter("kept").select("doc_id")).select("__null", "__id")
+    kept = _id(near_dedup.near_duplicates(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id")).select("__null", "__id")
     return _id(docs).join(kept, ["__null", "__id"], "left_semi").select(docs.columns)
 
 

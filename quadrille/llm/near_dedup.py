@@ -18,8 +18,8 @@ WORDS = 5
 PERCENT = 85
 #: Permutations; each gives a minimum and a maximum, so a signature has twice as many values.
 PERMUTATIONS = 144
-#: Values in a band. Two sets of similarity s share no band with (1 - s**ROWS)**(2 * PERMUTATIONS / ROWS): 1e-5 at 0.85.
-ROWS = 8
+#: The chance that a pair at the threshold may share no band: 1.06e-5 at 0.85, in bands of 8 values.
+MISS = 1.1e-5
 #: Bits of each value in the sketch that pairs are first compared by.
 SKETCH_BITS = 4
 #: Standard deviations by which a sketch may fall short of a link's expected agreement.
@@ -95,20 +95,33 @@ def signatures(sets: list, permutations: int = PERMUTATIONS):
     return out
 
 
+def rows_of(percent: int) -> int:
+    """Values in a band: as many as leave a pair at the threshold a chance of at most MISS to share no band.
+
+    Two sets of similarity s share no band of r values with (1 - s**r)**(2 * PERMUTATIONS / r). All values
+    are used, so r divides their number: 8 (36 bands, 1.06e-5) at 0.85, 6 (48 bands, 5e-7) at 0.80.
+    """
+    values, s = 2 * PERMUTATIONS, percent / 100
+    fit = [r for r in range(1, values + 1) if values % r == 0 and (1 - s**r) ** (values // r) <= MISS]
+    if not fit:
+        raise ValueError(f"{PERMUTATIONS} permutations can't find pairs of similarity {s}")
+    return max(fit)
+
+
 SIGNED = "doc_id long, row_key long, n_shingles long, digest binary, bands array<long>, sketch array<long>"
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     import numpy as np
     import xxhash
 
-    mix = mixed(np.arange(1, ROWS + 1, dtype=np.uint64))
+    mix = mixed(np.arange(1, rows + 1, dtype=np.uint64))
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
             sets = shingle_sets(part["text"])
             sig = signatures(sets)
-            bands = mixed((sig.astype(np.uint64).reshape(len(sets), -1, ROWS) * mix).sum(axis=2) + np.arange(1, sig.shape[1] // ROWS + 1, dtype=np.uint64))
+            bands = mixed((sig.astype(np.uint64).reshape(len(sets), -1, rows) * mix).sum(axis=2) + np.arange(1, sig.shape[1] // rows + 1, dtype=np.uint64))
             bits = np.unpackbits(sig.astype(np.uint8)[:, :, None], axis=2, bitorder="little")[:, :, :SKETCH_BITS].reshape(len(sets), -1)
             sketch = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
             yield pa.RecordBatch.from_arrays([
@@ -282,8 +295,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 same = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(made, part["digest"].to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part["node"], pa.array(made, pa.binary())], names=["node", "set"]).filter(same)
 
-    spark, key = docs.sparkSession, F.xxhash64("doc_id", "text").alias("row_key")
-    signed = stored(docs.select("doc_id", "text", key).mapInArrow(_signed, SIGNED).withColumn("row_id", F.monotonically_increasing_id()), "signed")
+    spark, key, width = docs.sparkSession, F.xxhash64("doc_id", "text").alias("row_key"), rows_of(percent)
+    signed = stored(docs.select("doc_id", "text", key).mapInArrow(lambda batches: _signed(batches, width), SIGNED).withColumn("row_id", F.monotonically_increasing_id()), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")).alias("first")
     classes = stored(signed.filter("digest IS NOT NULL").groupBy("digest").agg(first, F.count("*").alias("n")), "classes")
     heads = stored(

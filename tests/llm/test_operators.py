@@ -281,6 +281,37 @@ def test_near_dedup(spark, docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def copies_between(low, high, n, seed=4):
+    """n pairs of long texts whose shingles have a similarity in [low, high)."""
+    rng, rows = np.random.default_rng(seed), []
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    while len(rows) < 2 * n:
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        own = list(base)
+        for at in rng.integers(0, 200, int(rng.integers(3, 7))):
+            own[at] = f"e{rng.integers(0, 10**6)}"
+        a, b = shingles(base), shingles(own)
+        if low <= len(a & b) / len(a | b) < high:
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(own))]
+    return rows
+
+
+def test_near_dedup_at_80(spark):
+    rows = [*copies_between(0.80, 0.85, 150), *((10**6 + i, t) for i, t in copies_between(0.75, 0.80, 20, seed=5))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df, percent=80).collect())
+    assert got == sorted(brute_near(rows, percent=80)) and sum(d != c for d, _, c in got) == 150
+
+
+def test_bands_follow_the_threshold():
+    assert near_dedup.rows_of(85) == 8
+    for percent in (50, 60, 70, 80, 85, 90, 95):
+        r = near_dedup.rows_of(percent)
+        assert (1 - (percent / 100) ** r) ** (2 * near_dedup.PERMUTATIONS // r) <= 1.1e-5
+    with pytest.raises(ValueError):
+        near_dedup.rows_of(1)
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1060)]

@@ -46,3 +46,11 @@ def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_of_80_go(spark, tmp_path):
+    from test_operators import copies_between
+
+    rows = [(i, t, "en", "s", len(t)) for i, t in copies_between(0.80, 0.85, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies_out(spark, docs, str(tmp_path)).collect()) == list(range(0, 80, 2))
