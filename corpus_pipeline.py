@@ -56,7 +56,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     measured = mixing.measured(docs.select("doc_id", "text"), classifier)
     rows = stored(measured.drop("text"), "posteriors")
     steps, _, _ = mixing.fit_rates(rows, mixing.WEIGHTS)
-    drawn = _id(rows.withColumn("rate", mixing.rate_of(steps)).filter(mixing.copies_of() > 0).select("doc_id")).select("__null", "__id")
+    rated = rows.withColumn("rate", mixing.rate_of(steps))
+    drawn = _id(rated.filter(mixing.copies_of(most=mixing.most_of(rated)) > 0).select("doc_id")).select("__null", "__id")
     return _id(docs).join(drawn, ["__null", "__id"], "left_semi").select(docs.columns)
 
 

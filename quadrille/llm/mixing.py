@@ -133,6 +133,8 @@ def fit_rates(rows: DataFrame, weights: Mapping[str, float]) -> tuple[list[list[
     totals over all rows, and steps along the gradient of their squared distance from the targets,
     in the metric of the domains' moments (sums of tokens * p * p) in which a step of 1 is right.
     A round's state is the list of steps, some numbers a round; a row's rate follows from it.
+    Rates over 1 offset what the first domain loses with soft rows of others: `reached` counts them in full, so
+    copies, at most one a row, are to be drawn with rates divided by `most_of` and give `reached` divided by it.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     moments = rows.agg(
@@ -165,22 +167,30 @@ def measured(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__n").cast("long").alias("tokens"), *[F.col("__p")[d].alias(f"p_{d}") for d in DOMAINS])
 
 
-def copies_of(rate: str = "rate") -> Column:
-    """1 with the rate's probability (rates over 1 count as 1), by a hash of the id: the same in every run."""
+def most_of(rows: DataFrame) -> float:
+    """The largest rate of the rows(tokens, rate) that have tokens, 1 at least: divided by it no rate is over 1."""
+    return max(1.0, rows.filter("tokens > 0").agg(F.max("rate")).first()[0] or 0.0)
+
+
+def copies_of(rate: str = "rate", most: float = 1.0) -> Column:
+    """1 with the probability rate / most, by a hash of the id: the same in every run."""
     draw = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11).cast("double") + 0.5) * 2.0**-53
-    return (draw < F.col(rate)).cast("int")
+    return (draw * most < F.col(rate)).cast("int")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """doc_id, tokens, p_clean, p_low, p_toxic, rate, copies of each row of docs(doc_id, text).
 
+    Copies are drawn with rates divided by the largest one: with rates cut at 1 instead the domains
+    would miss their weights. Sums of copies * tokens * p are expected at the targets divided by the largest rate.
     A null or empty text has no tokens: its rate follows from the prior and moves no total.
     Repeated rows each have their rate, and are kept or left out together. Labels that are null or
     neither 0 nor 1 teach nothing; further columns are ignored.
     """
     rows = stored(measured(docs.select("doc_id", "text"), fit_classifier(docs, labels)).drop("text"), "posteriors")
     steps, _, _ = fit_rates(rows, weights)
-    return rows.withColumn("rate", rate_of(steps)).withColumn("copies", copies_of())
+    rated = rows.withColumn("rate", rate_of(steps))
+    return rated.withColumn("copies", copies_of(most=most_of(rated)))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -443,6 +443,21 @@ def test_mixing_edges(spark, docs, none):
     assert mixing.mix(none, labels).count() == 0
 
 
+def test_copies_meet_the_weights(spark, monkeypatch):
+    kind = F.when(F.col("doc_id") % 20 < 11, 0).when(F.col("doc_id") % 20 < 17, 1).otherwise(2)
+    p = lambda i: F.when(kind == i, F.array(F.lit(0.99), F.lit(0.93), F.lit(0.88))[i]).otherwise(F.when(kind == 1, 0.07).when(kind == 2, 0.12).otherwise(0.005) if i == 0 else F.when(kind == 0, 0.005).otherwise(0.0))
+    rows = spark.range(200_000).withColumnRenamed("id", "doc_id").select("doc_id", F.lit("").alias("text"), F.lit(100).cast("long").alias("tokens"), *[p(i).alias(f"p_{d}") for i, d in enumerate(mixing.DOMAINS)])
+    monkeypatch.setattr(mixing, "fit_classifier", lambda docs, labels: None)
+    monkeypatch.setattr(mixing, "measured", lambda docs, classifier: rows)
+    _, targets, reached = mixing.fit_rates(rows, mixing.WEIGHTS)
+    got = mixing.mix(rows, None)
+    assert got.agg(F.max("rate")).first()[0] > 1.05
+    drawn = got.agg(*[F.sum(F.col("copies") * F.col("tokens") * F.col(f"p_{d}")) for d in mixing.DOMAINS]).first()
+    for d, n in zip(mixing.DOMAINS, drawn, strict=True):
+        assert abs(reached[d] - targets[d]) <= 1e-4 * targets[d]
+        assert abs(n / sum(drawn) - mixing.WEIGHTS[d]) <= 0.003
+
+
 def test_rates_stay_nonnegative(spark):
     rows = spark.createDataFrame([(100, 0.9, 0.1, 0.0), (50, 0.2, 0.8, 0.0), (80, 0.0, 0.1, 0.9), (500, 0.5, 0.5, 0.0)], "tokens long, p_clean double, p_low double, p_toxic double")
     steps, targets, reached = mixing.fit_rates(rows, {"clean": 0.98, "low": 0.01, "toxic": 0.01})
