@@ -350,6 +350,18 @@ def test_lm_base_and_probabilities(spark, docs, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_head_words_are_counted_over_all_rows(spark, monkeypatch):
+    import xxhash
+
+    monkeypatch.setattr(lm, "WORD_SHARE", 0.01)
+    rows = [(10 * i + 1, " ".join([*["hot"] * (225 if i == 0 else 14), *(f"w{i}x{k}" for k in range(2774 if i == 0 else 2985))])) for i in range(10)]
+    for n in (1, 10):  # one part holds most of the word, the others less than half a share each
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, n), "doc_id long, text string")
+        head, counts, _, tokens = lm.train(docs, 4)
+        got = dict(zip(head.tolist(), counts.tolist(), strict=True))
+        assert tokens == 30_000 and got == {xxhash.xxh3_64_intdigest(b"hot"): 351}
+
+
 def test_lm_trie_gives_a_distribution():
     rng = np.random.default_rng(8)
     ids = rng.integers(0, 12, 6000)
