@@ -33,13 +33,28 @@ def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Deletes stored tables of which no plan that is still to run reads: all that came of them is stored itself."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path in _written:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def sweep(spark: SparkSession) -> int:
     """Deletes all tables that this program has stored; for the end of a job, when its results are written."""
     n = len(_written)
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
     return n
