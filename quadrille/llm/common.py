@@ -25,6 +25,20 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one group are dealt to so many join keys.
+SALTS = 32
+
+
+def given_back(rows: DataFrame, groups: DataFrame, key: list[str], row_id: str) -> DataFrame:
+    """rows left-joined with groups, of which there is one row for each key, though a group may hold any part of the rows.
+
+    A group's row is repeated for those of its SALTS parts that rows lie in, never more often than it has rows.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int"))
+    parts = salted.select(*key, "__salt").distinct().join(groups, key)
+    return salted.join(parts, [*key, "__salt"], "left").drop("__salt")
+
+
 def flat_words(texts: pa.Array, lower: bool = True):
     """All words of the texts in one array, A-Z lower-cased if asked, and the offsets of each text's words."""
     import numpy as np

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import flat_words, table
-from quadrille.plans.stages import stored
+from quadrille.llm.common import flat_words, given_back, table
+from quadrille.plans.stages import free, stored
 
 WORDS = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -24,7 +24,8 @@ MISS = 1.1e-5
 SKETCH_BITS = 4
 #: Standard deviations by which a sketch may fall short of a link's expected agreement.
 SLACK = 4.8
-SALTS = 32
+#: Members of a band that are compared with all others of the band in one group.
+BLOCK = 2_000
 
 
 def mixed(x):
@@ -154,25 +155,30 @@ def components(edges: DataFrame) -> DataFrame:
     arise by doubling, so rounds grow as the logarithm of a component's width. All tables stay
     distributed; each round is written to the shared folder.
     """
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-    open_ = edges
+    pairs = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    open_ = stored(pairs(edges), "edges")
+    labels = stored(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")), "labels")
     while True:
         parents = stored(open_.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("parent")), "parents")
         if parents.isEmpty():
+            free(open_, parents)
             return labels
         while True:
             above = parents.select(F.col("root").alias("parent"), F.col("parent").alias("over"))
-            parents = stored(parents.join(above, "parent", "left").select("root", F.coalesce("over", "parent").alias("parent"), F.col("over").isNotNull().alias("moved")), "parents")
-            moved = parents.filter("moved").isEmpty()
-            parents = parents.drop("moved")
-            if moved:
+            shorter = stored(parents.join(above, "parent", "left").select("root", F.coalesce("over", "parent").alias("parent"), F.col("over").isNotNull().alias("moved")), "parents")
+            free(parents)
+            parents = shorter
+            if parents.filter("moved").isEmpty():
                 break
-        labels = stored(labels.join(parents, "root", "left").select("node", F.coalesce("parent", "root").alias("root")), "labels")
+            parents = stored(shorter.drop("moved"), "parents")
+            free(shorter)
+        renamed = stored(labels.join(parents, "root", "left").select("node", F.coalesce("parent", "root").alias("root")), "labels")
         a = parents.select(F.col("root").alias("a"), F.col("parent").alias("pa"))
         b = parents.select(F.col("root").alias("b"), F.col("parent").alias("pb"))
-        open_ = open_.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
-        open_ = stored(open_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "open-edges")
+        left = open_.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+        left = stored(pairs(left), "open-edges")
+        free(open_, parents, labels)
+        labels, open_ = renamed, left
 
 
 def _confirmed(group: pa.Table, percent: int) -> pa.Table:
@@ -205,8 +211,9 @@ def links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = near.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
     salted = near.join(counts, "a").select(F.col("a").alias("center"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("node"))
     centers = counts.select(F.col("a").alias("center"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"))
+    # sets grow with the input: they are dealt by node at every size
     return stored(
-        salted.unionByName(centers).join(sets, "node").groupBy("center", "salt").applyInArrow(lambda g: _confirmed(g.select(["center", "node", "set"]), percent), "a long, b long"), "links"
+        salted.unionByName(centers).join(sets.hint("merge"), "node").groupBy("center", "salt").applyInArrow(lambda g: _confirmed(g.select(["center", "node", "set"]), percent), "a long, b long"), "links"
     )
 
 
@@ -288,73 +295,84 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        seen: set[int] = set()  # of repeated rows one is enough
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
+                fresh = [n not in seen and not seen.add(n) for n in part["node"].to_pylist()]
+                part = part.filter(pa.array(fresh, pa.bool_()))
                 made = [s.tobytes() for s in shingle_sets(part["text"])]
                 same = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(made, part["digest"].to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part["node"], pa.array(made, pa.binary())], names=["node", "set"]).filter(same)
 
     spark, key, width = docs.sparkSession, F.xxhash64("doc_id", "text").alias("row_key"), rows_of(percent)
     signed = stored(docs.select("doc_id", "text", key).mapInArrow(lambda batches: _signed(batches, width), SIGNED).withColumn("row_id", F.monotonically_increasing_id()), "signed")
+    # a class moves with one row's bands and sketch; nothing wide is dealt again but for nodes that share a band
+    look = F.min_by(F.struct("row_key", "n_shingles", "bands", "sketch"), "row_id").alias("look")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")).alias("first")
-    classes = stored(signed.filter("digest IS NOT NULL").groupBy("digest").agg(first, F.count("*").alias("n")), "classes")
-    heads = stored(
-        signed.withColumnRenamed("row_id", "node").join(classes.select(F.col("first.row_id").alias("node")), "node", "left_semi")
-        .select("node", "row_key", "digest", "n_shingles", "bands", "sketch"), "heads",
+    classes = stored(
+        signed.filter("digest IS NOT NULL").groupBy("digest").agg(first, F.count("*").alias("n"), look)
+        .select(F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id"), "digest", "n", "look.*"), "classes",
     )
-    bands = heads.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    members = stored(bands.join(shared, "band"), "members")
-    # a band's center is the class that shares most with others: of edited copies, the least edited one
-    hubs = members.join(members.groupBy("node").agg(F.sum("n").alias("weight")), "node")
-    centers = hubs.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top")).select("band", F.col("top.node").alias("center"))
-    nodes = stored(heads.join(members.select("node").distinct(), "node", "left_semi"), "nodes")
-    wanted = nodes.filter("row_key IS NOT NULL AND node >= 0").select("row_key", "node", "digest")
+    bands = classes.select("node", F.explode("bands").alias("band"))
+    shared = stored(bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1"), "shared-bands")
+    members = stored(bands.join(shared.hint("merge"), "band"), "members")
     with session_with(spark, PREFILTER):
+        weights = stored(members.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+        nodes = stored(classes.join(weights.filter("weight > 0").select("node"), "node", "left_semi").select("node", "row_key", "digest", "n_shingles", "bands", "sketch"), "nodes")
+        wanted = nodes.filter("row_key IS NOT NULL AND node >= 0").select("row_key", "node", "digest")
         sets = stored(docs.select(key, "text").join(wanted, "row_key").mapInArrow(sets_of, "node long, set binary"), "sets")
+    # a band's center is the class that shares most with others: of edited copies, the least edited one
+    centers = members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("top")).select("band", F.col("top.node").alias("center"))
 
     looks = nodes.select("node", F.col("n_shingles").alias("size"), "sketch")
     size_fits = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     side = lambda x: looks.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     star = members.join(centers, "band").filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    found = links(stored(star.filter(size_fits & alike("sketch_a", "sketch_b", percent)).select("a", "b"), "near-pairs"), sets, percent)
+    near = stored(star.filter(size_fits & alike("sketch_a", "sketch_b", percent)).select("a", "b"), "near-pairs")
+    found = links(near, sets, percent)
     labels = components(found)
+    free(shared, weights, near)
 
     # bands with classes of several components, and their members outside the largest one
     placed = stored(members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root")), "placed")
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1 AND n > 2").select("band", F.col("top.root").alias("top"))
+    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("n")).filter("roots > 1 AND n > 2").select("band", F.col("top.root").alias("top"), "n")
     open_ = stored(placed.join(largest, "band"), "open-bands")
-    some = open_.select("node").distinct()
-    mass = shared_mass(sets.join(some, "node", "left_semi"), some.count() // 2000 + 1)
+    some = stored(open_.select("node").distinct(), "open-nodes")
+    with session_with(spark, PREFILTER):
+        mass = stored(shared_mass(sets.join(some.filter("node >= 0"), "node", "left_semi"), some.count() // 2000 + 1), "shared-mass")
     # the largest partner that the shared mass allows; one that is too small for the class itself rules it out
     limit = F.floor(F.col("mass") * (100 + percent) / percent - F.col("n_shingles") + 1e-6)
     able = stored(
         nodes.join(mass, "node").withColumn("limit", limit.cast("long")).filter(100 * F.col("limit") >= percent * F.col("n_shingles"))
         .select("node", F.col("n_shingles").alias("size"), "limit", "sketch", F.transform("bands", lambda x: F.pmod(x, F.lit(2147483647)).cast("int")).alias("bands")), "able",
     )
+    # a band of many members is cut into blocks; each block meets all members in a group of its own
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = open_.join(able, "node")
-    one = lambda x, df: df.select("band", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "limit", "sketch", "bands")])
+    mine = rows.filter("root <> top").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    others = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    one = lambda x, df: df.select("band", "block", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "root", "size", "limit", "sketch", "bands")])
     # a pair is made in the first band that both share, counted from the front
     first_band = F.expr("array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) = array_position(bands_a, CAST(pmod(band, 2147483647L) AS INT))")
-    both = one("a", rows.filter("root <> top")).join(one("b", rows), "band").filter(
+    both = one("a", mine).join(one("b", others), ["band", "block"]).filter(
         (F.col("root_a") != F.col("root_b")) & (F.col("size_b") <= F.col("limit_a")) & (F.col("size_a") <= F.col("limit_b")) & size_fits
         & alike("sketch_a", "sketch_b", percent) & first_band
     )
-    pairs = both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    more = links(stored(pairs, "near-pairs"), sets, percent)
+    near = stored(both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "near-pairs")
+    more = links(near, sets, percent)
     if not more.isEmpty():
-        labels = components(found.unionByName(more))
+        old, labels = labels, components(found.unionByName(more))
+        free(old)
+    free(members, nodes, sets, placed, open_, some, mass, able, near, found, more)
 
-    smallest = (
-        classes.select("digest", "n", F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("doc_id")).join(labels, "node", "left")
-        .withColumn("root", F.coalesce("root", "node"))
-    )
+    smallest = classes.select("digest", "n", "node", "doc_id").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = smallest.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.sum("n").alias("rows")).filter("rows > 1").drop("rows")
-    named = smallest.join(roots, "root").select("digest", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = signed.select("doc_id", "n_shingles", "digest", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    return rows.join(named, ["digest", "salt"], "left").select(
+    named = stored(smallest.join(roots, "root").select("digest", "component_id"), "named")
+    free(classes, labels)
+    rows = given_back(signed.select("doc_id", "n_shingles", "digest", "row_id"), named, ["digest"], "row_id")
+    return rows.select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce(F.col("component_id").eqNullSafe(F.col("doc_id")) | F.col("component_id").isNull(), F.lit(True)).alias("kept"),
     )
