@@ -181,6 +181,26 @@ def components(edges: DataFrame) -> DataFrame:
         labels, open_ = renamed, left
 
 
+#: Lets Spark drop, by a filter of bounded size, rows of the larger side of a join before they are dealt.
+PREFILTER = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
+}
+
+
+@contextmanager
+def session_with(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _confirmed(group: pa.Table, percent: int) -> pa.Table:
     """Of one center's candidates, those whose full sets are similar enough."""
     import numpy as np
@@ -211,10 +231,14 @@ def links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     counts = near.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
     salted = near.join(counts, "a").select(F.col("a").alias("center"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("node"))
     centers = counts.select(F.col("a").alias("center"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"))
-    # sets grow with the input: they are dealt by node at every size
-    return stored(
-        salted.unionByName(centers).join(sets.hint("merge"), "node").groupBy("center", "salt").applyInArrow(lambda g: _confirmed(g.select(["center", "node", "set"]), percent), "a long, b long"), "links"
-    )
+    asked = stored(salted.unionByName(centers), "asked")
+    with session_with(near.sparkSession, PREFILTER):  # sets grow with the input: they are dealt by node at every size
+        out = stored(
+            asked.filter("node >= 0").join(sets.hint("merge"), "node").groupBy("center", "salt")
+            .applyInArrow(lambda g: _confirmed(g.select(["center", "node", "set"]), percent), "a long, b long"), "links",
+        )
+    free(asked)
+    return out
 
 
 def shared_mass(sets: DataFrame, buckets: int) -> DataFrame:
@@ -252,26 +276,6 @@ def shared_mass(sets: DataFrame, buckets: int) -> DataFrame:
     )
 
 
-#: Lets Spark drop, by a filter of bounded size, rows of the larger side of a join before they are dealt.
-PREFILTER = {
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
-}
-
-
-@contextmanager
-def session_with(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
-    old = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text).
 
