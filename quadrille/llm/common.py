@@ -25,6 +25,18 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until no column of df has them (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows of one group are dealt to so many join keys.
 SALTS = 32
 
@@ -34,9 +46,10 @@ def given_back(rows: DataFrame, groups: DataFrame, key: list[str], row_id: str)
 
     A group's row is repeated for those of its SALTS parts that rows lie in, never more often than it has rows.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int"))
-    parts = salted.select(*key, "__salt").distinct().join(groups, key)
-    return salted.join(parts, [*key, "__salt"], "left").drop("__salt")
+    (salt,) = fresh(rows, "__salt")
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(row_id), F.lit(SALTS)).cast("int"))
+    parts = salted.select(*key, salt).distinct().join(groups, key)
+    return salted.join(parts, [*key, salt], "left").drop(salt)
 
 
 def flat_words(texts: pa.Array, lower: bool = True):

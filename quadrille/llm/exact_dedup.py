@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.llm.common import table
+from quadrille.llm.common import given_back, table
 from quadrille.plans.stages import stored
 
 #: A chunk ends at the first of these marks after 512 characters, or else after 4096.
 CHUNK = r"(?s).{512,4096}?[.!?;:|]|(?s).{1,4096}"
-#: Rows of one group of copies are dealt to so many join keys.
-SALTS = 64
 
 
 def normalised(text: str):
@@ -59,18 +57,18 @@ def exact_dedup(df: DataFrame) -> DataFrame:
     repeated rows with that doc_id just one is kept. A null text counts as empty, all empty texts
     are one group, a null doc_id comes after all others. Further columns of df are ignored.
 
-    Documents move as recipes: 8 bytes for each chunk of over 512 characters. A group may hold
-    any part of the rows: groups are summed before the shuffle, and the outcome of groups with
-    copies is joined back under SALTS keys; a row without copies needs only its own values.
+    Documents move as recipes, 8 bytes for each chunk of over 512 characters, and are compared by
+    these ordered identifiers alone; the digest is for the result. A group may hold any part of the
+    rows: groups are summed before the shuffle, and the outcome of groups with copies is joined back
+    in parts; a row without copies needs only its own values.
     """
     rows, _ = recipes(df)
-    key = ["text_sha256", "recipe", *(["ranks"] if "ranks" in rows.columns else [])]
+    key = ["recipe"]
     if "ranks" in rows.columns:
-        rows = rows.withColumn("ranks", F.coalesce("ranks", F.array().cast(rows.schema["ranks"].dataType)))
+        rows, key = rows.withColumn("ranks", F.coalesce("ranks", F.array().cast(rows.schema["ranks"].dataType))), ["recipe", "ranks"]
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_id")
-    groups = rows.groupBy(*key).agg(F.min(order).alias("first"), F.count("*").alias("group_size")).filter("group_size > 1")
-    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"], "left")
+    groups = stored(rows.groupBy(*key).agg(F.min(order).alias("first"), F.count("*").alias("group_size")).filter("group_size > 1"), "copies")
+    joined = given_back(rows, groups, key, "row_id")
     return joined.select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"),

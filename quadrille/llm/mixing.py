@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ LEXICON = 150
 LEAST_ODDS = 30
 #: Rounds of the projected gradient, and the part of the total by which targets may be missed.
 ROUNDS, NEAR = 60, 1e-6
+#: A domain with a smaller share of the tokens than this counts as absent.
+LEAST_SHARE = 1e-9
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -49,13 +52,26 @@ def shapes(text: str | Column, words: Column) -> Column:
 @dataclass(frozen=True)
 class Classifier:
     prior: list[float]
-    lexicon: dict[str, list[str]]  # telling words by domain
+    lexicon: dict[str, list[str]]  # telling words by domain; a word tells of one domain only
     classes: dict[str, list[float]]  # log-probability of each class of make-up in each domain
 
     def make_up(self, text: str, words: Column) -> Column:
-        """The text's classes: shapes, and for each domain how many of its telling words the text has (5: five or more)."""
-        hits = [F.concat(F.lit(f" {d} "), F.least(F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in own]))), F.lit(5)).cast("string")) for d, own in self.lexicon.items() if own]
-        return F.concat(shapes(text, words), F.array(*hits)) if hits else shapes(text, words)
+        """The text's classes: shapes, and for each domain the magnitude of its telling words' number in the text.
+
+        All distinct words go once through one map of the lexicons. A number above all that the
+        labelled rows have falls into their highest class.
+        """
+        if not any(self.lexicon.values()):
+            return shapes(text, words)
+        of = F.create_map(*[F.lit(x) for d, own in self.lexicon.items() for w in own for x in (w, d)])
+        told = F.filter(F.transform(F.array_distinct(words), lambda w: F.try_element_at(of, w)), lambda d: d.isNotNull())
+
+        def hits(d: str) -> Column:
+            size = F.ceil(F.log2(F.size(F.filter(told, lambda x: x == d)) + F.lit(1.0))).cast("int")
+            top = [int(k.rsplit(" ", 1)[1]) for k in self.classes if k.startswith(f" {d} ")]
+            return F.concat(F.lit(f" {d} "), (F.least(size, F.lit(max(top))) if top else size).cast("string"))
+
+        return F.concat(shapes(text, words), F.array(*[hits(d) for d, own in self.lexicon.items() if own]))
 
     def posteriors(self, text: str, words: Column) -> Column:
         """The text's posterior of each domain, as a struct: naive Bayes over the classes of its make-up."""
@@ -117,24 +133,24 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[i][n] / rows[i][i] if rows[i][i] else 0.0 for i in range(n)]
 
 
-def rate_of(steps: list[list[float]]) -> Column:
-    """A row's rate after the steps: from 1, each takes off the posteriors' part of it and stops at 0."""
+def rate_of(steps: list[list[float]], repeat: bool = True) -> Column:
+    """A row's rate after the steps: from 1, each takes off the posteriors' part of it and stops at 0 (without repeat, at 1 as well)."""
     if not steps:
         return F.lit(1.0)
     history = F.array(*[F.array(*[F.lit(x) for x in s]) for s in steps])
-    return F.aggregate(history, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.col(f"p_{d}") * s[i] for i, d in enumerate(DOMAINS)), F.lit(0.0))))
+    high = (lambda x: x) if repeat else (lambda x: F.least(F.lit(1.0), x))
+    return F.aggregate(history, F.lit(1.0), lambda r, s: high(F.greatest(F.lit(0.0), r - sum((F.col(f"p_{d}") * s[i] for i, d in enumerate(DOMAINS)), F.lit(0.0)))))
 
 
-def fit_rates(rows: DataFrame, weights: Mapping[str, float]) -> tuple[list[list[float]], dict[str, float], dict[str, float]]:
+def fit_rates(rows: DataFrame, weights: Mapping[str, float], repeat: bool = True) -> tuple[list[list[float]], dict[str, float], dict[str, float]]:
     """(steps, targets, reached) for rows(tokens, p_...): rates r >= 0 with sums of r * tokens * p at the targets.
 
     The total is that at which the first domain's tokens all stay; a domain that has less than its
-    target keeps what it has, for a mix thins and repeats nothing. Each round sums the present
-    totals over all rows, and steps along the gradient of their squared distance from the targets,
-    in the metric of the domains' moments (sums of tokens * p * p) in which a step of 1 is right.
-    A round's state is the list of steps, some numbers a round; a row's rate follows from it.
-    Rates over 1 offset what the first domain loses with soft rows of others: `reached` counts them in full, so
-    copies, at most one a row, are to be drawn with rates divided by `most_of` and give `reached` divided by it.
+    target is repeated, or without `repeat` keeps what it has, and no rate is over 1. Domains without tokens can't be in the mix: the others share their weight. Each
+    round sums the present totals over all rows, and steps along the gradient of their squared distance
+    from the targets, in the metric of the domains' moments (sums of tokens * p * p) in which a step of
+    1 is right. A round's state is the list of steps, some numbers a round; a row's rate follows from it.
+    Where no rates meet the targets (all rows alike, say) the nearest found are given, with a warning.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     moments = rows.agg(
@@ -145,19 +161,25 @@ def fit_rates(rows: DataFrame, weights: Mapping[str, float]) -> tuple[list[list[
     total = sum(now)
     if not total:
         return [], dict.fromkeys(DOMAINS, 0.0), dict.fromkeys(DOMAINS, 0.0)
-    whole = now[0] / weights[DOMAINS[0]] if now[0] else total
-    targets = [min(weights[d] * whole, t) for d, t in zip(DOMAINS, now, strict=True)]
+    shares = [weights[d] if t > LEAST_SHARE * total else 0.0 for d, t in zip(DOMAINS, now, strict=True)]
+    whole = now[0] / shares[0] * sum(shares) if shares[0] else total
+    targets = [s / sum(shares) * whole for s in shares]
+    if not repeat:
+        targets = [min(x, t) for x, t in zip(targets, now, strict=True)]
     matrix = [[(moments[f"m{min(i, j)}{max(i, j)}"] or 0.0) + (1e-9 * total if i == j else 0) for j in range(len(p))] for i in range(len(p))]
     steps: list[list[float]] = []
-    reached = now
-    for _ in range(ROUNDS):
-        gap = [a - b for a, b in zip(reached, targets, strict=True)]
-        if max(map(abs, gap)) <= NEAR * total:
-            break
-        steps.append(solve(matrix, gap))
-        got = rows.select("tokens", *[f"p_{d}" for d in DOMAINS], rate_of(steps).alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * x) for x in p]).first()
+    best: list[list[float]] = []
+    reached, least = now, max(abs(a - b) for a, b in zip(now, targets, strict=True))
+    nearest = now
+    while least > NEAR * whole and len(steps) < (ROUNDS if repeat else 8):
+        steps.append(solve(matrix, [a - b for a, b in zip(reached, targets, strict=True)]))
+        got = rows.select("tokens", *[f"p_{d}" for d in DOMAINS], rate_of(steps, repeat).alias("rate")).agg(*[F.sum(F.col("rate") * F.col("tokens") * x) for x in p]).first()
         reached = [x or 0.0 for x in got]
-    return steps, dict(zip(DOMAINS, targets, strict=True)), dict(zip(DOMAINS, reached, strict=True))
+        if (gap := max(abs(a - b) for a, b in zip(reached, targets, strict=True))) < least:
+            least, best, nearest = gap, [*steps], reached
+    if least > (NEAR if repeat else 0.02) * whole:  # with all rates at 1 at most, soft rows leave a small gap
+        warnings.warn(f"the mix misses its targets {targets} by {least:.3g} of {whole:.6g} tokens: {nearest}", stacklevel=2)
+    return best, dict(zip(DOMAINS, targets, strict=True)), dict(zip(DOMAINS, nearest, strict=True))
 
 
 def measured(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -167,30 +189,25 @@ def measured(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__n").cast("long").alias("tokens"), *[F.col("__p")[d].alias(f"p_{d}") for d in DOMAINS])
 
 
-def most_of(rows: DataFrame) -> float:
-    """The largest rate of the rows(tokens, rate) that have tokens, 1 at least: divided by it no rate is over 1."""
-    return max(1.0, rows.filter("tokens > 0").agg(F.max("rate")).first()[0] or 0.0)
-
-
-def copies_of(rate: str = "rate", most: float = 1.0) -> Column:
-    """1 with the probability rate / most, by a hash of the id: the same in every run."""
+def copies_of(rate: str = "rate") -> Column:
+    """How often a row is drawn: its rate rounded down, and once more with the probability of the rest, by a
+    hash of the id: the same in every run, and the rate on average."""
     draw = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("mix")), 11).cast("double") + 0.5) * 2.0**-53
-    return (draw * most < F.col(rate)).cast("int")
+    whole = F.floor(F.col(rate))
+    return (whole + (draw < F.col(rate) - whole).cast("int")).cast("int")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """doc_id, tokens, p_clean, p_low, p_toxic, rate, copies of each row of docs(doc_id, text).
 
-    Copies are drawn with rates divided by the largest one: with rates cut at 1 instead the domains
-    would miss their weights. Sums of copies * tokens * p are expected at the targets divided by the largest rate.
+    Sums of copies * tokens * p are expected at the targets: a rate over 1 means more than one copy.
     A null or empty text has no tokens: its rate follows from the prior and moves no total.
     Repeated rows each have their rate, and are kept or left out together. Labels that are null or
     neither 0 nor 1 teach nothing; further columns are ignored.
     """
     rows = stored(measured(docs.select("doc_id", "text"), fit_classifier(docs, labels)).drop("text"), "posteriors")
     steps, _, _ = fit_rates(rows, weights)
-    rated = rows.withColumn("rate", rate_of(steps))
-    return rated.withColumn("copies", copies_of(most=most_of(rated)))
+    return rows.withColumn("rate", rate_of(steps)).withColumn("copies", copies_of())
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,25 +25,28 @@ CACHED = 600_000
 
 
 class Encoder(dict):
-    """Ids, as little-endian bytes, of a space and a word. Reads one vocabulary file.
+    """Ids, as little-endian bytes, of a space and a word. Reads one vocabulary in its two forms: ranks, and the
+    special tokens that the library `tokenizers` finds in a text, which are one id each here as well.
 
     A pre-token never runs from another character into white space, so a text may be cut before
     any space that follows a character other than white space. None marks a word that ends in
     white space or is empty: such a text is encoded whole.
     """
 
-    def __init__(self, vocabulary: str = "byte_bpe_50k.tiktoken"):
+    def __init__(self, vocabulary: str = "byte_bpe_50k"):
         import public_tokenizers
         import tiktoken
 
-        with open(public_tokenizers.path(vocabulary), "rb") as lines:
+        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.ids = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as whole:
+            special = {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
+        self.ids = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def whole(self, text: str) -> bytes:
         import numpy as np
 
-        return np.array(self.ids.encode_ordinary(text), dtype="<u4").tobytes()
+        return np.array(self.ids.encode(text, allowed_special="all"), dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes | None:
         if len(self) >= CACHED:
@@ -140,6 +144,7 @@ def pack(df: DataFrame, length: int = LENGTH, end: int = END, open_bins: int = O
     part, and packed by bounded-space best fit, so a part leaves hardly more than one sequence
     that isn't full, and a lost task can be run again with the same outcome. Only documents over
     `length` are cut; their first piece takes the rest, the others are full sequences.
+    Equal rows are dealt apart, so no id and no text fills a part.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they come;
     a null id stays null. Columns other than doc_id and text are ignored.
@@ -148,7 +153,7 @@ def pack(df: DataFrame, length: int = LENGTH, end: int = END, open_bins: int = O
     parts = max(1, -(-rows // ROWS_PER_PART))
     pieces = df.select("doc_id", "text").mapInArrow(lambda b: cut(b, length, end), PIECES)
     dealt = (
-        pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+        pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts)))
         .repartition(parts, "part")
         .sortWithinPartitions("part", F.desc("length"), "doc_id", "piece", "ids_crc32")
     )

@@ -23,6 +23,8 @@ RIDGE = 1e-5
 BINS = 2000
 THRESHOLD = 0.3
 HELD_OUT = 5
+#: Labelled rows that the classifier learns from at most (those with the smallest hashes of their ids).
+LABELLED = 100_000
 
 #: Byte classes whose shares are statistics.
 CLASSES = {
@@ -146,8 +148,11 @@ def measured(col: str | Column) -> Column:
     return stats(col)
 
 
-def fit(docs: DataFrame, labels: DataFrame, width: int = WIDTH, seed: int = 7) -> Model | None:
-    """Learns from all rows of labels(doc_id, quality) outside the held-out fifth.
+def fit(docs: DataFrame, labels: DataFrame, width: int = WIDTH, seed: int = 7, bound: int = LABELLED) -> Model | None:
+    """Learns from at most `bound` rows of labels(doc_id, quality) outside the held-out fifth.
+
+    The documents meet the labels first, so only texts that teach something are measured; the labels,
+    of bounded number, go to every task, and no text moves.
 
     Moments, normal equations and calibration counts are sums over the partitions, of a size that
     depends on width and BINS alone. Rows with a null id or another quality than 0 and 1 are left
@@ -156,10 +161,9 @@ def fit(docs: DataFrame, labels: DataFrame, width: int = WIDTH, seed: int = 7) -
     import numpy as np
 
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (remainder("doc_id", HELD_OUT) != 0))
-    train = stored(
-        docs.select("doc_id", measured("text").alias("x")).join(known.select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id").select("x", "y"),
-        "quality-train",
-    )
+    some = known.select("doc_id", F.col("quality").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(bound)
+    taught = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    train = stored(taught.select(measured("text").alias("x"), "y"), "quality-train")
     p = len(STATISTICS)
     moments = _summed(train, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)]), 1 + 2 * p)
     n = moments[0]

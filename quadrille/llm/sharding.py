@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.llm.common import partitions, table
+from quadrille.llm.common import table
 
 SHARDS = 24
+#: Rows of a shard that one window numbers, about.
+NUMBERED = 200_000
 
 
 def chosen_shard(key: str | Column, weights: Sequence[float]) -> Column:
@@ -37,19 +39,18 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], text: str = "text",
     one. slot numbers a shard's rows from 0 without gaps. grown_shard is the shard with one more
     of the weight `added`. Repeated rows get slots of their own. Other columns are left out.
 
-    A shard can hold any part of the rows, so its rows are numbered in many buckets of their
-    key's hash: one task sorts one bucket, and the buckets' counts (shards times buckets rows)
-    give where each bucket begins.
+    A shard can hold any part of the rows, so its rows are numbered in buckets of a hash of key,
+    size and checksum, as many as the rows need: rows of one id, or without any, are dealt apart. The
+    buckets' counts give where each bucket begins.
     """
-    buckets = partitions(df)
+    buckets = df.count() // NUMBERED + 1
     rows = df.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         chosen_shard(key, weights).cast("int").alias("shard"),
         chosen_shard(key, [*weights, added]).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(key), F.lit("bucket")), F.lit(buckets)).alias("bucket"),
-    )
+    ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit("bucket")), F.lit(buckets)))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -58,7 +59,7 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], text: str = "text",
     )
     return (
         rows.withColumn("place", F.row_number().over(within) - 1)
-        .join(F.broadcast(starts), ["shard", "bucket"])  # shards times buckets rows, whatever the input
+        .join(starts, ["shard", "bucket"])
         .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
                 (F.col("start") + F.col("place")).cast("long").alias("slot"), "grown_shard")
     )
