@@ -58,20 +58,22 @@ class Classifier:
     def make_up(self, text: str, words: Column) -> Column:
         """The text's classes: shapes, and for each domain the magnitude of its telling words' number in the text.
 
-        All distinct words go once through one map of the lexicons. A number above all that the
-        labelled rows have falls into their highest class.
+        All words meet the lexicons once, as one set; what they have in common is short. A number above
+        all that the labelled rows have falls into their highest class.
         """
         if not any(self.lexicon.values()):
             return shapes(text, words)
-        of = F.create_map(*[F.lit(x) for d, own in self.lexicon.items() for w in own for x in (w, d)])
-        told = F.filter(F.transform(F.array_distinct(words), lambda w: F.try_element_at(of, w)), lambda d: d.isNotNull())
+        every = F.array(*[F.lit(w) for own in self.lexicon.values() for w in own])
 
-        def hits(d: str) -> Column:
-            size = F.ceil(F.log2(F.size(F.filter(told, lambda x: x == d)) + F.lit(1.0))).cast("int")
+        def hits(told: Column, d: str) -> Column:
+            own = F.array(*[F.lit(w) for w in self.lexicon[d]])
+            size = F.ceil(F.log2(F.size(F.array_intersect(told, own)) + F.lit(1.0))).cast("int")
             top = [int(k.rsplit(" ", 1)[1]) for k in self.classes if k.startswith(f" {d} ")]
             return F.concat(F.lit(f" {d} "), (F.least(size, F.lit(max(top))) if top else size).cast("string"))
 
-        return F.concat(shapes(text, words), F.array(*[hits(d) for d, own in self.lexicon.items() if own]))
+        # an array of one element binds what was told once
+        found = F.transform(F.array(F.array_intersect(words, every)), lambda told: F.array(*[hits(told, d) for d, own in self.lexicon.items() if own]))[0]
+        return F.concat(shapes(text, words), found)
 
     def posteriors(self, text: str, words: Column) -> Column:
         """The text's posterior of each domain, as a struct: naive Bayes over the classes of its make-up."""
