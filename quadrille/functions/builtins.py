@@ -28,7 +28,7 @@ BUILTINS: dict[str, Callable[..., Column]] = {
     "add": lambda *x: sum(x[1:], x[0]), "subtract": lambda a, b: a - b,
     "multiply": lambda *x: reduce(lambda a, b: a * b, x), "divide": F.try_divide,
     "integerDivide": lambda a, b: F.try_divide(a - F.try_mod(a, b), b).cast("long"), "mod": F.try_mod, "pow": F.pow,
-    "unaryPlus": lambda a: a, "unaryMinus": lambda a: -a, "abs": F.abs, "ceiling": F.ceil, "floor": F.floor, "round": F.round,
+    "unaryPlus": lambda a: a, "unaryMinus": lambda a: -a, "abs": F.abs, "ceiling": F.ceil, "floor": F.floor, "round": lambda a: F.floor(a + F.lit(0.5)),
     "roundHalfToEven": F.bround, "sin": F.sin, "cos": F.cos, "tan": F.tan, "booleanNot": lambda a: ~a,
     "stringEqualIgnoreCase": lambda a, b: F.lower(a) == F.lower(b), "stringConcat": F.concat,
     "substring": lambda t, at, n=None: F.substring(t, at, n if n is not None else F.length(t)), "stringLength": F.length,
@@ -46,7 +46,7 @@ BUILTINS: dict[str, Callable[..., Column]] = {
     "addDayTimeDurationToDateTime": lambda t, i: t + i, "subtractYearMonthDurationFromDateTime": lambda t, i: t - i,
     "subtractDayTimeDurationFromDateTime": lambda t, i: t - i, "subtractYearMonthDurationFromDate": lambda d, m: F.add_months(d, -m),
     "subtractDayTimeDurationFromDate": lambda d, n: F.date_sub(d, n), "subtractDateTimesYieldingDayTimeDuration": lambda a, b: a - b,
-    "subtractDateTimesYieldingYearMonthDuration": lambda a, b: F.floor(F.months_between(a, b)),
+    "subtractDateTimesYieldingYearMonthDuration": lambda a, b: F.months_between(a, b).cast("int"),
     "resolveURI": resolved, "anyURI": F.concat, "listConcat": F.concat, "listIntersection": F.array_intersect, "listSubtraction": F.array_except,
     "member": lambda x, xs: F.array_contains(xs, x), "length": F.size, "first": lambda xs: F.get(xs, F.lit(0)),
     "rest": lambda xs: F.slice(xs, F.lit(2), F.greatest(F.size(xs), F.lit(1))), "sublist": lambda xs, ys: F.size(F.array_except(ys, xs)) == 0, "empty": lambda xs: F.size(xs) == 0,

@@ -80,3 +80,19 @@ def synonyms(text: Column) -> Column:
 def serial_date(days: Column) -> Column:
     """The date of a spreadsheet's serial number (from 61 on, where the calendars agree)."""
     return F.date_add(F.lit("1899-12-30").cast("date"), days.cast("int"))
+
+
+def interval_text(seconds: Column) -> Column:
+    """Days, hours, minutes and seconds that aren't zero, as a text; "ago" after negative ones."""
+    left = F.abs(seconds.cast("long"))
+    parts = []
+    for name, size, over in (("day", 86_400, None), ("hour", 3_600, 86_400), ("minute", 60, 3_600), ("second", 1, 60)):
+        n = F.floor((left if over is None else left % over) / size)
+        parts.append(F.when(n > 0, F.concat(n.cast("string"), F.when(n == 1, f" {name}").otherwise(f" {name}s"))))
+    text = F.concat_ws(", ", *parts)
+    return F.when(seconds == 0, F.lit("0 seconds")).otherwise(F.concat(text, F.when(seconds < 0, " ago").otherwise("")))
+
+
+def geometric_mean(x: Column) -> Column:
+    """An aggregate of one's own: built of others, it stays in the plan."""
+    return F.exp(F.avg(F.ln(x)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,49 @@ NUMERIC = [f"{XSD}{n}" for n in ("integer", "decimal", "double", "float", "long"
 PREFIXES = {"rdf": RDF, "rdfs": RDFS, "owl": OWL, "xsd": XSD, "ex": "http://example.org/"}
 
 
+@dataclass(frozen=True)
+class Literal:
+    """A literal of a pattern: its text, and a datatype (an IRI, which may be prefixed) or a language."""
+
+    text: str
+    datatype: str | None = None
+    lang: str | None = None
+
+    @property
+    def tag(self) -> str:
+        if self.lang:
+            return f'"@{self.lang.lower()}'
+        dt = expanded(self.datatype) if self.datatype else None
+        return f'"^{dt}' if dt and dt != f"{XSD}string" else '"'
+
+
+@dataclass(frozen=True)
+class Iri:
+    """A resource of a pattern, by a full or a prefixed name."""
+
+    name: str
+    tag = "r"
+
+    @property
+    def text(self) -> str:
+        return expanded(self.name)
+
+
+def lang_of_tag(tag: Column) -> Column:
+    """The language of a tagged literal, an empty text for other literals, NULL for resources."""
+    return F.when(tag.startswith('"@'), F.substring(tag, F.lit(3), F.length(tag))).when(tag.startswith('"'), F.lit(""))
+
+
+def datatype_of_tag(tag: Column) -> Column:
+    return F.when(tag.startswith('"^'), F.substring(tag, F.lit(3), F.length(tag))).when(tag.startswith('"@'), F.lit(f"{RDF}langString")).when(tag.startswith('"'), F.lit(f"{XSD}string"))
+
+
+def lang_matches(lang: Column, range_: str) -> Column:
+    """Whether a language is in a range: the same or a part of it; * fits any language."""
+    low = range_.lower()
+    return (lang != "") if low == "*" else (F.lower(lang) == low) | F.lower(lang).startswith(f"{low}-")
+
+
 def expanded(name: str, prefixes: Mapping[str, str] = PREFIXES) -> str:
     """prefix:local as a full IRI; other names stay."""
     head, mark, tail = name.partition(":")
@@ -94,7 +138,9 @@ REGISTRY: dict[str, Callable[..., Column]] = {
     "bound": lambda x: x.isNotNull(), "str": lambda x: x.cast("string"), "concat": F.concat, "strafter": strafter, "coalesce": F.coalesce,
     "if": lambda c, a, b: F.when(c, a).when(~c, b), "regex": regex, "uri": resolved, "ucase": F.upper, "lcase": F.lower, "strlen": F.length,
     "abs": F.abs, "ceil": F.ceil, "floor": F.floor, "round": F.round, "contains": lambda a, b: a.contains(b), "strstarts": lambda a, b: a.startswith(b),
-    "strends": lambda a, b: a.endswith(b), "isiri": is_iri, "isblank": is_blank, "isliteral": is_literal, "isnumeric": is_numeric,
+    "strends": lambda a, b: a.endswith(b), "lang": lang_of_tag, "datatype": datatype_of_tag, "langmatches": lang_matches, "sameterm": same_term,
+    "strbefore": lambda t, m: F.when(F.instr(t, F.lit(m)) > 0, F.substring_index(t, m, 1)).otherwise(F.lit("")), "substr": F.substring, "replace": F.regexp_replace,
+    "encode_for_uri": lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), "isiri": is_iri, "isblank": is_blank, "isliteral": is_literal, "isnumeric": is_numeric,
 }
 
 

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quadrille.functions.terms import OWL, SUBCLASS, TYPE
-from quadrille.plans.stages import stored
+from quadrille.functions.terms import OWL, RDFS, SUBCLASS, SUBPROPERTY, TYPE
+from quadrille.plans.fixpoint import transitive_closure
+from quadrille.plans.stages import stored, together
 
 SCHEMA = "ont string, axiom_id string, axiom_type string, is_logical boolean, sexpr string, symbols array<string>"
 #: Axiom types that carry no logic.
@@ -139,17 +141,24 @@ def minted(terms: DataFrame, taken: DataFrame, base: str, width: int = 7) -> Dat
     return ranges.withColumn("__n", place).join(F.broadcast(before), "__part").select("iri", F.concat(F.lit(base), F.lpad((F.col("__n") + F.col("__before") + last).cast("string"), width, "0")).alias("new"))
 
 
+#: Axioms that a reached symbol opens from any of their sides.
+TWO_SIDED = ("EquivalentClasses", "EquivalentObjectProperties", "EquivalentDataProperties", "InverseObjectProperties", "SameIndividual")
+
+
 def module(axioms: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The axioms that a signature seeds(iri) reaches: an axiom whose first symbol is reached belongs to the
-    module and its symbols are reached too (bottom locality of subclass and existential axioms)."""
-    heads = axioms.select("axiom_id", F.get("symbols", F.lit(0)).alias("iri"), "symbols")
-    known = delta = stored(seeds.select("iri").distinct(), "module")
+    """The axioms that a signature seeds(iri) reaches: an axiom whose first symbol (of equivalences, any symbol)
+    is reached belongs to the module and its symbols are reached too (bottom locality of subclass and
+    existential axioms)."""
+    sides = F.when(F.col("axiom_type").isin(list(TWO_SIDED)), F.col("symbols")).otherwise(F.slice("symbols", 1, 1))
+    heads = stored(axioms.select("axiom_id", F.explode(sides).alias("iri"), "symbols"), "heads")
+    parts = [stored(seeds.select("iri").distinct(), "module")]
     while True:
-        fresh = heads.join(delta, "iri", "left_semi").select(F.explode("symbols").alias("iri")).distinct().join(known, "iri", "left_anti")
-        delta = stored(fresh, "module-delta")
+        known = together(parts)
+        fresh = heads.join(parts[-1], "iri", "left_semi").select(F.explode("symbols").alias("iri")).distinct().join(known, "iri", "left_anti")
+        delta = stored(fresh, "module")
         if delta.isEmpty():
             break
-        known = stored(known.unionByName(delta), "module")
+        parts.append(delta)
     return axioms.join(heads.join(known, "iri", "left_semi").select("axiom_id"), "axiom_id", "left_semi")
 
 
@@ -157,18 +166,48 @@ def module(axioms: DataFrame, seeds: DataFrame) -> DataFrame:
 RESERVED = ("http://www.w3.org/2002/07/owl#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2001/XMLSchema#")
 
 
+KINDS = ("Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "NamedIndividual")
+#: Properties of these characteristics, and those in these axioms, have to be simple: neither transitive nor above a transitive one.
+SIMPLE_ONLY = ("FunctionalProperty", "InverseFunctionalProperty", "IrreflexiveProperty", "AsymmetricProperty")
+CARDINALITIES = [f"{OWL}{n}" for n in ("minCardinality", "maxCardinality", "cardinality", "minQualifiedCardinality", "maxQualifiedCardinality", "qualifiedCardinality")]
+
+
 def profile_violations(triples: DataFrame) -> DataFrame:
-    """(violation, iri): undeclared classes, IRIs of several kinds, reserved names that are declared."""
-    kinds = [f"{OWL}{k}" for k in ("Class", "ObjectProperty", "DatatypeProperty", "AnnotationProperty", "NamedIndividual")]
-    declared = triples.filter((F.col("p") == TYPE) & F.col("o").isin(kinds)).select(F.col("s").alias("iri"), F.col("o").alias("kind")).distinct()
-    classes = triples.filter(F.col("p") == SUBCLASS).select(F.explode(F.array("s", "o")).alias("iri")).distinct().filter(~F.col("iri").startswith("urn:blank:"))
-    reserved = F.lit(False)
-    for r in RESERVED:
-        reserved = reserved | F.col("iri").startswith(r)
-    undeclared = classes.filter(~reserved).join(declared.filter(F.col("kind") == kinds[0]), "iri", "left_anti").select(F.lit("undeclared class").alias("violation"), "iri")
-    punning = declared.groupBy("iri").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("several kinds").alias("violation"), "iri")
-    named = declared.filter(reserved).select(F.lit("reserved name").alias("violation"), "iri").distinct()
-    return undeclared.unionByName(punning).unionByName(named)
+    """(violation, iri), of the kinds that triples of named terms tell: undeclared classes and properties, names of several kinds
+    or of a class and a datatype, reserved names, names that aren't absolute, properties that have to be simple and aren't,
+    anonymous individuals, the top data property below another, cycles of datatype definitions."""
+    p, o = F.col("p"), F.col("o")
+    declared = triples.filter((p == TYPE) & o.isin([f"{OWL}{k}" for k in KINDS])).select(F.col("s").alias("iri"), F.col("o").alias("kind")).distinct()
+    of = lambda k: declared.filter(F.col("kind") == f"{OWL}{k}").select("iri")
+    anonymous = lambda c: F.col(c).startswith("urn:blank:")
+    reserved = lambda c: F.coalesce(F.array_max(F.array(*[F.col(c).startswith(r) for r in RESERVED])), F.lit(False))
+    found: list[tuple[str, DataFrame]] = []
+    classes = triples.filter(p == SUBCLASS).select(F.explode(F.array("s", "o")).alias("iri")).distinct()
+    found.append(("undeclared class", classes.filter(~anonymous("iri") & ~reserved("iri")).join(of("Class"), "iri", "left_anti")))
+    properties = of("ObjectProperty").unionByName(of("DatatypeProperty")).unionByName(of("AnnotationProperty"))
+    used = triples.filter(p == f"{OWL}onProperty").select(o.alias("iri")).distinct()
+    found.append(("undeclared property", used.filter(~reserved("iri") & ~anonymous("iri")).join(properties, "iri", "left_anti")))
+    found.append(("several kinds", declared.groupBy("iri").agg(F.count("*").alias("n")).filter("n > 1").select("iri")))
+    found.append(("reserved name", declared.filter(reserved("iri")).select("iri").distinct()))
+    datatypes = triples.filter((p == TYPE) & (o == f"{RDFS}Datatype")).select(F.col("s").alias("iri")).distinct()
+    found.append(("class and datatype", datatypes.join(of("Class"), "iri", "left_semi")))
+    headers = triples.filter((p == TYPE) & (o == f"{OWL}Ontology")).select(F.col("s").alias("iri")).unionByName(triples.filter(p == f"{OWL}versionIRI").select(o.alias("iri"))).distinct()
+    found.append(("ontology name not absolute", headers.filter(~F.col("iri").rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"))))
+    found.append(("reserved ontology name", headers.filter(reserved("iri"))))
+    transitive = triples.filter((p == TYPE) & (o == f"{OWL}TransitiveProperty")).select(F.col("s").alias("iri")).distinct()
+    above = transitive_closure(triples.filter(p == SUBPROPERTY).select(F.col("s").alias("a"), o.alias("b")))
+    composed = transitive.unionByName(above.join(transitive.select(F.col("iri").alias("a")), "a", "left_semi").select(F.col("b").alias("iri"))).distinct()
+    flagged = triples.filter((p == TYPE) & o.isin([f"{OWL}{k}" for k in SIMPLE_ONLY])).select(F.col("s").alias("iri"))
+    counted = triples.filter(p.isin(CARDINALITIES)).select("s").join(triples.filter(p == f"{OWL}onProperty").select("s", o.alias("iri")), "s").select("iri")
+    apart = triples.filter(p == f"{OWL}propertyDisjointWith").select(F.explode(F.array("s", "o")).alias("iri"))
+    for name, rows in (("not simple in a characteristic", flagged), ("not simple in a cardinality", counted), ("not simple in a disjointness", apart)):
+        found.append((name, rows.distinct().join(composed, "iri", "left_semi")))
+    structural = triples.filter((p == TYPE) & o.startswith(OWL)).select("s").distinct()
+    found.append(("anonymous individual", triples.filter((p == TYPE) & anonymous("s") & ~reserved("o")).select("s").distinct().join(structural, "s", "left_anti").select(F.col("s").alias("iri"))))
+    found.append(("top data property below another", triples.filter((p == SUBPROPERTY) & (F.col("s") == f"{OWL}topDataProperty") & (o != f"{OWL}topDataProperty")).select(F.col("s").alias("iri")).distinct()))
+    defined = triples.filter(p == f"{OWL}equivalentClass").join(datatypes.withColumnRenamed("iri", "s"), "s", "left_semi").select(F.col("s").alias("a"), o.alias("b"))
+    found.append(("cycle of datatypes", transitive_closure(defined).filter("a = b").select(F.col("a").alias("iri"))))
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("violation"), "iri") for name, rows in found])
 
 
 def exemplars(violations: DataFrame) -> DataFrame:

@@ -278,3 +278,17 @@ def axiom_rules(axioms: list[tuple[str, ...]]) -> list[Rule]:
             raise ValueError(f"{kind} has no rules")
         out += AXIOM_RULES[kind](*terms)
     return out
+
+
+def closure_axiom(propositions: list[tuple[str, ...]]) -> Formula:
+    """The formula that only the given ground propositions (pred, constant...) hold of their predicates: for each predicate and arity,
+    what it holds of is one of its tuples. For models small enough to be written as a formula."""
+    kinds: dict[tuple[str, int], list[tuple[str, ...]]] = {}
+    for pred, *args in propositions:
+        kinds.setdefault((pred, len(args)), []).append(tuple(args))
+    parts: list[Formula] = []
+    for (pred, n), rows in kinds.items():
+        names = [f"?v{i}" for i in range(n)]
+        same = [("and", *[("=", v, x) for v, x in zip(names, row, strict=True)]) if n > 1 else ("=", names[0], row[0]) for row in rows]
+        parts.append(("forall", names, ("implies", ("fact", pred, *names), ("or", *same) if len(same) > 1 else same[0])))
+    return ("and", *parts) if len(parts) != 1 else parts[0]

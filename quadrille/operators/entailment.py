@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.terms import DOMAIN, OWL, RANGE, SUBCLASS, SUBPROPERTY, TYPE
+from quadrille.functions.terms import DOMAIN, IRI, LITERAL, OWL, RANGE, SUBCLASS, SUBPROPERTY, TYPE
 from quadrille.operators.hierarchy import edges_of
 from quadrille.plans.fixpoint import transitive_closure
-from quadrille.plans.stages import stored
+from quadrille.plans.stages import free, stored
 
 #: Bundles by name; `none` is the stated graph.
 BUNDLES = ("none", "rdfs", "rdfs-plus")
@@ -18,28 +18,53 @@ def _plain(triples: DataFrame) -> DataFrame:
     return triples.select("s", "p", "o")
 
 
-def _up(rows: DataFrame, column: str, closure: DataFrame) -> DataFrame:
-    """Rows with the column replaced by each node above it."""
-    above = closure.select(F.col("a").alias(column), F.col("b").alias("__up"))
-    return rows.join(above, column).withColumn(column, F.col("__up")).drop("__up").select(rows.columns)
+def _sets(closure: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, name): the set of nodes above each node, a schema's size."""
+    return closure.groupBy(F.col("a").alias(key)).agg(F.collect_set("b").alias(name))
 
 
 def rdfs(triples: DataFrame) -> DataFrame:
-    """(s, p, o): subproperties, subclasses, domains and ranges followed to the end.
+    """(s, p, o): subproperties, subclasses, domains and ranges followed to the end; a literal has no type."""
+    return _rdfs(_things(triples)).select("s", "p", "o").distinct()
 
-    The schema's closures come first, so each rule over the data is one join and none is repeated.
+
+def _things(triples: DataFrame) -> DataFrame:
+    """(s, p, o, thing): whether the object is none but a literal."""
+    thing = (F.coalesce(F.col("o_kind"), F.lit(IRI)) != LITERAL) if "o_kind" in triples.columns else F.lit(True)
+    return triples.select("s", "p", "o", thing.alias("thing")).distinct()
+
+
+def _rdfs(base: DataFrame) -> DataFrame:
+    """(s, p, o, thing): subproperties, subclasses, domains and ranges followed to the end.
+
+    The schema's closures come first, and give for each property the properties above it and its
+    domains and ranges. Then each triple meets the schema once, and all that follows from it comes of
+    one row: its properties, the types of its ends and the classes above them. A literal has no type.
     """
-    base = _plain(triples).distinct()
-    properties, classes = transitive_closure(edges_of(base, SUBPROPERTY)), transitive_closure(edges_of(base))
-    data = base.filter(~F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE))
-    stated = data.unionByName(_up(data, "p", properties)).distinct()
-    domain, range_ = (base.filter(F.col("p") == w).select(F.col("s").alias("p"), F.col("o").alias("c")) for w in (DOMAIN, RANGE))
-    typed = stated.join(domain, "p").select("s", F.lit(TYPE).alias("p"), F.col("c").alias("o")).unionByName(stated.join(range_, "p").select(F.col("o").alias("s"), F.lit(TYPE).alias("p"), F.col("c").alias("o")))
-    types = stated.filter(F.col("p") == TYPE).unionByName(typed).distinct()
-    schema = [classes.select(F.col("a").alias("s"), F.lit(SUBCLASS).alias("p"), F.col("b").alias("o")), properties.select(F.col("a").alias("s"), F.lit(SUBPROPERTY).alias("p"), F.col("b").alias("o"))]
-    out = base.unionByName(stated).unionByName(types).unionByName(_up(types, "o", classes))
-    for rows in schema:
-        out = out.unionByName(rows)
+    schema = stored(base.filter(F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)), "schema")
+    properties, classes = transitive_closure(edges_of(schema, SUBPROPERTY)), transitive_closure(edges_of(schema))
+    above = properties.unionByName(schema.filter(F.col("p").isin(DOMAIN, RANGE)).select(F.col("s").alias("a"), F.col("s").alias("b"))).distinct()
+    ends = {}
+    for which, name in ((DOMAIN, "__domains"), (RANGE, "__ranges")):
+        own = schema.filter(F.col("p") == which).select(F.col("s").alias("b"), F.col("o").alias("__c"))
+        ends[name] = above.join(own, "b").groupBy(F.col("a").alias("p")).agg(F.collect_set("__c").alias(name))
+    rules = _sets(properties, "p", "__above").join(ends["__domains"], "p", "full_outer").join(ends["__ranges"], "p", "full_outer")
+    none = F.array().cast("array<string>")
+    row = lambda x, p, o, thing: F.struct(x.alias("s"), p.alias("p"), o.alias("o"), thing.alias("thing"))
+    yes, s, o = F.lit(True), F.col("s"), F.col("o")
+    made = F.concat(
+        F.array(row(s, F.col("p"), o, F.col("thing"))),
+        F.transform(F.coalesce("__above", none), lambda p: row(s, p, o, F.col("thing"))),
+        F.transform(F.coalesce("__domains", none), lambda c: row(s, F.lit(TYPE), c, yes)),
+        F.transform(F.when(F.col("thing"), F.coalesce("__ranges", none)).otherwise(none), lambda c: row(o, F.lit(TYPE), c, yes)),
+    )
+    out = base.join(rules, "p", "left").select(F.explode(made).alias("t")).select("t.*")
+    up = _sets(classes, "__c", "__up")
+    out = out.withColumn("__c", F.when(F.col("p") == TYPE, F.col("o"))).join(up, "__c", "left")
+    out = out.select("s", "p", F.explode(F.concat(F.array("o"), F.coalesce("__up", none))).alias("o"), "thing")
+    closed = [classes.select(F.col("a").alias("s"), F.lit(SUBCLASS).alias("p"), F.col("b").alias("o")), properties.select(F.col("a").alias("s"), F.lit(SUBPROPERTY).alias("p"), F.col("b").alias("o"))]
+    for rows in closed:
+        out = out.unionByName(rows.withColumn("thing", F.lit(True)))
     return out.distinct()
 
 
@@ -49,21 +74,25 @@ def _flagged(base: DataFrame, kind: str) -> DataFrame:
 
 def rdfs_plus(triples: DataFrame, rounds: int = 20) -> DataFrame:
     """RDFS with inverse, symmetric and transitive properties and equivalent classes and properties."""
-    base = _plain(triples).distinct()
-    both = lambda p, q: base.filter(F.col("p") == OWL + p).select(F.explode(F.array(F.struct("s", "o"), F.struct(F.col("o").alias("s"), F.col("s").alias("o")))).alias("t")).select("t.s", F.lit(q).alias("p"), "t.o")
+    base = stored(_things(triples), "stated")
+    turn = F.explode(F.array(F.struct("s", "o"), F.struct(F.col("o").alias("s"), F.col("s").alias("o")))).alias("t")
+    both = lambda p, q: base.filter(F.col("p") == OWL + p).select(turn).select("t.s", F.lit(q).alias("p"), "t.o", F.lit(True).alias("thing"))
     now = stored(base.unionByName(both("equivalentClass", SUBCLASS)).unionByName(both("equivalentProperty", SUBPROPERTY)).distinct(), "entailed")
-    inverse = base.filter(F.col("p") == f"{OWL}inverseOf").select(F.explode(F.array(F.struct("s", "o"), F.struct(F.col("o").alias("s"), F.col("s").alias("o")))).alias("t")).select(F.col("t.s").alias("p"), F.col("t.o").alias("q"))
+    inverse = base.filter(F.col("p") == f"{OWL}inverseOf").select(turn).select(F.col("t.s").alias("p"), F.col("t.o").alias("q"))
     for _ in range(rounds):
-        full = rdfs(now)
-        turned = full.join(inverse, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
-        mirrored = full.join(_flagged(base, "SymmetricProperty"), "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
-        whole = full.unionByName(turned).unionByName(mirrored).distinct()
-        chains = whole.join(_flagged(base, "TransitiveProperty"), "p").select("p", F.col("s").alias("a"), F.col("o").alias("b"))
-        closed = transitive_closure(chains, by=["p"]).select(F.col("a").alias("s"), "p", F.col("b").alias("o"))
-        after = stored(whole.unionByName(closed).distinct(), "entailed")
-        if after.join(now, ["s", "p", "o"], "left_anti").isEmpty():
-            return after
+        full = stored(_rdfs(now), "entailed")
+        things = full.filter("thing")
+        turned = things.join(inverse, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
+        mirrored = things.join(_flagged(base, "SymmetricProperty"), "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+        new = turned.unionByName(mirrored).withColumn("thing", F.lit(True))
+        chains = things.unionByName(new).join(_flagged(base, "TransitiveProperty"), "p").select("p", F.col("s").alias("a"), F.col("o").alias("b"))
+        closed = transitive_closure(chains, by=["p"]).select(F.col("a").alias("s"), "p", F.col("b").alias("o"), F.lit(True).alias("thing"))
+        after = stored(full.unionByName(new).unionByName(closed).distinct(), "entailed")
+        ended = after.join(now, ["s", "p", "o"], "left_anti").isEmpty()
+        free(now, full)
         now = after
+        if ended:
+            return now.select("s", "p", "o").distinct()
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 

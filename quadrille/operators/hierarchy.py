@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadrille.functions.terms import DOMAIN, LABEL, OWL, RANGE, SUBCLASS, SUBPROPERTY, TYPE
-from quadrille.plans.fixpoint import transitive_closure
-from quadrille.plans.stages import stored
+from quadrille.plans.fixpoint import reachable, transitive_closure
+from quadrille.plans.stages import free, stored, together
 
 NOTHING, THING = f"{OWL}Nothing", f"{OWL}Thing"
 
@@ -54,6 +54,19 @@ def ancestors(closure: DataFrame, node: str) -> DataFrame:
     return closure.filter((F.col("a") == node) & (F.col("b") != node)).select(F.col("b").alias("node"))
 
 
+def below(edges: DataFrame, node: str) -> DataFrame:
+    """The descendants of one node, by a search down from it: nothing else is closed."""
+    down = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    found = reachable(down, edges.sparkSession.createDataFrame([(node,)], "a string"))
+    return found.filter((F.col("b") != node) & (F.col("b") != NOTHING)).select(F.col("b").alias("node"))
+
+
+def above(edges: DataFrame, node: str) -> DataFrame:
+    """The ancestors of one node, by a search up from it."""
+    found = reachable(edges, edges.sparkSession.createDataFrame([(node,)], "a string"))
+    return found.filter(F.col("b") != node).select(F.col("b").alias("node"))
+
+
 def leaves(edges: DataFrame) -> DataFrame:
     """Nodes that no other than owl:Nothing is below."""
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().filter(F.col("node") != NOTHING)
@@ -136,20 +149,22 @@ def forbidden_characteristics(triples: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path from a root; nodes on or below a cycle have none."""
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     level = 0
     now = stored(roots(edges).withColumn("level", F.lit(0)), "levels")
-    open_ = stored(edges.filter("a <> b"), "open-edges")
-    out = now
+    parts = [now]
+    open_ = stored(edges.filter("a <> b").distinct(), "open-edges")
     while True:
-        # a node's level is known once all nodes above it have theirs
-        open_ = stored(open_.join(now.select(F.col("node").alias("b")), "b", "left_anti"), "open-edges")
+        # a node's level is known once all nodes above it have theirs: the last of its links has just gone
+        gone = open_.join(now.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct()
+        rest = stored(open_.join(now.select(F.col("node").alias("b")), "b", "left_anti"), "open-edges")
         level += 1
-        ready = nodes.join(out.select("node"), "node", "left_anti").join(open_.select(F.col("a").alias("node")), "node", "left_anti")
-        now = stored(ready.withColumn("level", F.lit(level)), "levels")
+        now = stored(gone.join(rest.select(F.col("a").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)), "levels")
+        free(open_)
         if now.isEmpty():
-            return out
-        out = out.unionByName(now)
+            free(rest, now)
+            return together(parts)
+        parts.append(now)
+        open_ = rest
 
 
 def depth(edges: DataFrame) -> int:
@@ -249,17 +264,19 @@ def labels_matching(labels: DataFrame, pattern: str) -> DataFrame:
     return labels.filter(F.col("label").rlike(f"(?i){pattern}"))
 
 
-def tree_rows(edges: DataFrame, root: str, most: int = 100) -> DataFrame:
-    """(node, path, depth) of all paths down from a root, for a tree view; at most `most` levels."""
-    now = edges.sparkSession.createDataFrame([(root, [root], 0)], "node string, path array<string>, depth int")
-    out = now
-    for _ in range(most):
-        down = edges.select(F.col("b").alias("node"), F.col("a").alias("__n")).join(now, "node").filter(~F.array_contains("path", F.col("__n")))
+def tree_rows(edges: DataFrame, root: str, most: int | None = None) -> DataFrame:
+    """(node, path, depth) of all paths down from a root, for a tree view; no path repeats a node, so they end.
+
+    most: levels to stop after, if asked.
+    """
+    parts = [stored(edges.sparkSession.createDataFrame([(root, [root], 0)], "node string, path array<string>, depth int"), "tree")]
+    while most is None or len(parts) <= most:
+        down = edges.select(F.col("b").alias("node"), F.col("a").alias("__n")).join(parts[-1], "node").filter(~F.array_contains("path", F.col("__n")))
         now = stored(down.select(F.col("__n").alias("node"), F.concat("path", F.array("__n")).alias("path"), (F.col("depth") + 1).alias("depth")), "tree")
         if now.isEmpty():
             break
-        out = out.unionByName(now)
-    return out
+        parts.append(now)
+    return together(parts)
 
 
 def individual_properties(triples: DataFrame, individual: str, properties: DataFrame) -> DataFrame:

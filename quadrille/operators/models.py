@@ -47,6 +47,18 @@ def ordered_by(facts: DataFrame, position: int) -> DataFrame:
     return facts.orderBy("pred", natural_key(F.get("args", F.lit(position))), "args")
 
 
+def numbered(facts: DataFrame, position: int) -> DataFrame:
+    """facts with their place, from 1, in the order of `ordered_by`: numbers within ranges of the order, and where each range begins."""
+    from quadrille.plans.stages import stored
+
+    keyed = facts.withColumn("__key", natural_key(F.get("args", F.lit(position))))
+    parts = stored(keyed.repartitionByRange("pred", "__key", "args").withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(Window.orderBy("__part")) - F.col("n")).alias("__before"))  # one row for each partition
+    own = F.row_number().over(Window.partitionBy("__part").orderBy("pred", "__key", "args"))
+    return parts.withColumn("__n", own).join(F.broadcast(before), "__part").select(*facts.columns, (F.col("__n") + F.col("__before")).cast("long").alias("place"))
+
+
 def relabelled(facts: DataFrame, pred: str, position: int, prefix: str) -> DataFrame:
     """The elements at a place of a relation named prefix1, prefix2, ... wherever they stand.
 

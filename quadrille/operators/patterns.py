@@ -7,10 +7,15 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.terms import IRI, LABEL, TYPE, expanded, order_keys
-from quadrille.plans.fixpoint import bounded_paths, transitive_closure
+from quadrille.functions.terms import BNODE, IRI, LABEL, LITERAL, PREFIXES, TYPE, XSD, Iri, Literal, datatype_of_tag, expanded, lang_of_tag, order_keys
+from quadrille.plans.fixpoint import bounded_paths, reachable, transitive_closure
 
-Triple = tuple[str, "str | Path", str]
+Triple = tuple["str | Iri", "str | Path", "str | Iri | Literal"]
+#: Begins the name of the column that tells a variable's term from others of the same text.
+TAG = "__t_"
+RESOURCE = "r"
+#: Rows of a product's smaller side at most.
+PRODUCT_ROWS = 10_000
 
 
 class Path:
@@ -44,6 +49,12 @@ class Path:
         """The pairs (a, b) that the path connects: a set for closures and counted paths, else a bag."""
         raise NotImplementedError
 
+    def between(self, triples: DataFrame, start: str | None, end: str | None) -> DataFrame:
+        """The pairs with the given ends (None: any). Closures search from a bound end alone."""
+        rows = self.pairs(triples)
+        rows = rows if start is None else rows.filter(F.col("a") == start)
+        return rows if end is None else rows.filter(F.col("b") == end)
+
 
 class _Predicate(Path):
     def __init__(self, name: str):
@@ -62,6 +73,11 @@ class _Sequence(Path):
         out = self.left.pairs(triples).join(ahead, "b").select("a", F.col("__c").alias("b"))
         return out.distinct() if self.as_set else out
 
+    def between(self, triples: DataFrame, start: str | None, end: str | None) -> DataFrame:
+        ahead = self.right.between(triples, None, end).select(F.col("a").alias("b"), F.col("b").alias("__c"))
+        out = self.left.between(triples, start, None).join(ahead, "b").select("a", F.col("__c").alias("b"))
+        return out.distinct() if self.as_set else out
+
 
 class _Alternative(Path):
     def __init__(self, left: Path, right: Path):
@@ -70,6 +86,9 @@ class _Alternative(Path):
     def pairs(self, triples: DataFrame) -> DataFrame:
         return self.left.pairs(triples).unionByName(self.right.pairs(triples))
 
+    def between(self, triples: DataFrame, start: str | None, end: str | None) -> DataFrame:
+        return self.left.between(triples, start, end).unionByName(self.right.between(triples, start, end))
+
 
 class _Inverse(Path):
     def __init__(self, path: Path):
@@ -78,6 +97,9 @@ class _Inverse(Path):
     def pairs(self, triples: DataFrame) -> DataFrame:
         return self.path.pairs(triples).select(F.col("b").alias("a"), F.col("a").alias("b"))
 
+    def between(self, triples: DataFrame, start: str | None, end: str | None) -> DataFrame:
+        return self.path.between(triples, end, start).select(F.col("b").alias("a"), F.col("a").alias("b"))
+
 
 class _Closure(Path):
     def __init__(self, path: Path, reflexive: bool):
@@ -90,6 +112,19 @@ class _Closure(Path):
             out = out.unionByName(nodes.withColumn("b", F.col("a"))).distinct()
         return out
 
+    def between(self, triples: DataFrame, start: str | None, end: str | None) -> DataFrame:
+        if start is None and end is None:
+            return self.pairs(triples)
+        edges, bound = self.path.pairs(triples), start if start is not None else end
+        if start is None:  # from the end, backwards
+            edges = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        found = reachable(edges, triples.sparkSession.createDataFrame([(bound,)], "a string"))
+        if self.reflexive:
+            found = found.unionByName(triples.sparkSession.createDataFrame([(bound, bound)], "a string, b string")).distinct()
+        if start is None:
+            return found.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        return found if end is None else found.filter(F.col("b") == end)
+
 
 class _Bounded(Path):
     def __init__(self, path: Path, least: int, most: int):
@@ -130,35 +165,141 @@ def is_hidden(term: object) -> bool:
     return isinstance(term, str) and term.startswith("_:")
 
 
+def object_tag(triples: DataFrame) -> Column:
+    """What tells an object from others of the same text: r of IRIs and blank nodes; of literals a quote and their language or datatype.
+
+    Languages don't depend on case, and xsd:string is the same as no datatype.
+    """
+    none = F.lit(None).cast("string")
+    lang = F.col("o_lang") if "o_lang" in triples.columns else none
+    dt = F.col("o_dt") if "o_dt" in triples.columns else none
+    literal = F.concat(F.lit('"'), F.when(lang.isNotNull(), F.concat(F.lit("@"), F.lower(lang))).when(dt != f"{XSD}string", F.concat(F.lit("^"), dt)).otherwise(F.lit("")))
+    return F.when(F.col("o_kind") == LITERAL, literal).otherwise(F.lit(RESOURCE))
+
+
+def _resource(name: str) -> bool:
+    head, mark, _ = name.partition(":")
+    return bool(mark) and (head in PREFIXES or head in ("urn", "http", "https", "mailto", "file", "_"))
+
+
+def constant(term: str | Literal | Iri) -> tuple[str, tuple[str, ...]]:
+    """Text and possible tags of a pattern's constant. A text that looks like an IRI or a prefixed name is a resource;
+    any other may be a resource or a plain literal, which Iri and Literal tell apart."""
+    if isinstance(term, (Literal, Iri)):
+        return term.text, (term.tag,)
+    return (expanded(term), (RESOURCE,)) if _resource(term) else (term, (RESOURCE, '"'))
+
+
+#: Keep the parts of a node's name apart while paths are followed.
+GRAPH_END, TAG_END = "\x1d", "\x1f"
+
+
+def _after(text: Column, mark: str) -> Column:
+    return F.substring(text, F.instr(text, F.lit(mark)) + 1, F.length(text))
+
+
+def _path_rows(triples: DataFrame, triple: Triple, graph: str | None) -> DataFrame:
+    """Solutions of a path pattern. A path never leaves its graph, and ends at a literal only as the same term."""
+    s, path, o = triple
+    typed, rows = "o_kind" in triples.columns, triples
+    by_graph = is_variable(graph)
+    if graph is not None:
+        rows = rows.filter("g IS NOT NULL") if by_graph else rows.filter(F.col("g") == expanded(graph))
+    node = F.when(F.col("o_kind") == LITERAL, F.concat(object_tag(triples), F.lit(TAG_END), F.col("o"))).otherwise(F.col("o")) if typed else F.col("o")
+    inside = (lambda x: F.concat(F.col("g"), F.lit(GRAPH_END), x)) if by_graph else (lambda x: x)
+    rows = rows.select(inside(F.col("s")).alias("s"), "p", inside(node).alias("o"))
+
+    def bound(term) -> str | None:
+        if is_variable(term) or is_hidden(term):
+            return None
+        text, tags = constant(term)
+        return text if not typed or RESOURCE in tags else f"{tags[0]}{TAG_END}{text}"
+
+    start, end = bound(s), bound(o)
+    pairs = path.pairs(rows) if by_graph else path.between(rows, start, end)
+    if by_graph:
+        pairs = pairs.select(F.substring_index("a", GRAPH_END, 1).alias("g"), _after(F.col("a"), GRAPH_END).alias("a"), _after(F.col("b"), GRAPH_END).alias("b"))
+        for column, value in (("a", start), ("b", end)):
+            pairs = pairs if value is None else pairs.filter(F.col(column) == value)
+    if s == o and start is None:
+        pairs = pairs.filter("a = b")
+    out = []
+    for column, term in (("a", s), ("b", o)) if s != o else (("a", s),):
+        if is_variable(term) or is_hidden(term):
+            name, literal = _name(term), F.instr(F.col(column), F.lit(TAG_END)) > 0
+            out.append((F.when(literal, _after(F.col(column), TAG_END)).otherwise(F.col(column)) if typed else F.col(column)).alias(name))
+            if typed:
+                out.append(F.when(literal, F.substring_index(column, TAG_END, 1)).otherwise(F.lit(RESOURCE)).alias(TAG + name))
+    if by_graph:
+        out.append(F.col("g").alias(graph[1:]))
+        out += [F.lit(RESOURCE).alias(TAG + graph[1:])] if typed else []
+    return pairs.select(out)
+
+
+def _name(term: str) -> str:
+    return term[1:] if is_variable(term) else "__blank" + term[2:]
+
+
 def triple_rows(triples: DataFrame, triple: Triple, graph: str | None = None) -> DataFrame:
-    """Solutions of one triple pattern. Constants filter the scan; a repeated variable means equality."""
+    """Solutions of one triple pattern. Constants filter the scan; a repeated variable means equality.
+
+    Where the triples tell kinds, datatypes and languages of objects (o_kind, o_dt, o_lang), terms are
+    compared whole: each variable has a column TAG + its name beside it.
+    """
     s, p, o = triple
     if isinstance(p, Path):
-        rows, places = p.pairs(triples), [("a", s), ("b", o)]
-    else:
-        rows, places = triples, [("s", s), ("p", TYPE if p == "a" else p), ("o", o)]
-        if graph is not None:
-            places.append(("g", graph))
-            rows = rows.filter("g IS NOT NULL") if is_variable(graph) else rows
+        return _path_rows(triples, triple, graph)
+    typed, rows = "o_kind" in triples.columns, triples
+    tags = {"o": object_tag(triples) if typed else None}
+    places = [("s", s), ("p", TYPE if p == "a" else p), ("o", o)]
+    if graph is not None:
+        places.append(("g", graph))
+        rows = rows.filter("g IS NOT NULL") if is_variable(graph) else rows
     names: dict[str, str] = {}
     for column, term in places:
         if not (is_variable(term) or is_hidden(term)):
-            rows = rows.filter(F.col(column) == expanded(term))
+            text, fits = constant(term)
+            rows = rows.filter(F.col(column) == text)
+            rows = rows.filter(tags["o"].isin(list(fits))) if column == "o" and typed else rows
         elif term in names:
             rows = rows.filter(F.col(column) == F.col(names[term]))
+            rows = rows.filter(tags["o"] == RESOURCE) if typed and "o" in (column, names[term]) else rows
         else:
             names[term] = column
-    return rows.select(*[F.col(c).alias(t[1:] if is_variable(t) else "__blank" + t[2:]) for t, c in names.items()])
+    out = [F.col(c).alias(_name(t)) for t, c in names.items()]
+    if typed:
+        out += [(tags["o"] if c == "o" else F.lit(RESOURCE)).alias(TAG + _name(t)) for t, c in names.items()]
+    return rows.select(out)
+
+
+def untagged(solutions: DataFrame) -> DataFrame:
+    """Solutions without the columns that tell terms of one text apart."""
+    return solutions.drop(*[c for c in solutions.columns if c.startswith(TAG)])
+
 
+def product(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """All combinations, of sides one of which has PRODUCT_ROWS rows at most (it is counted): that one goes to the other's tasks."""
+    small = lambda df: df.limit(PRODUCT_ROWS + 1).count() <= PRODUCT_ROWS
+    if small(right):
+        return left.join(F.broadcast(right), F.lit(True), how)
+    if how == "inner" and small(left):
+        return right.join(F.broadcast(left), F.lit(True)).select(*left.columns, *right.columns)
+    raise ValueError(f"a product needs a side of at most {PRODUCT_ROWS} rows: give a condition instead")
 
-def natural_join(left: DataFrame, right: DataFrame, how: str = "inner", unbound: Sequence[str] = (), on: Column | None = None) -> DataFrame:
-    """Joins on all shared variables. Those in `unbound` may be NULL on a side, which fits any value."""
+
+def natural_join(left: DataFrame, right: DataFrame, how: str = "inner", unbound: Sequence[str] = (), on: Column | None = None, allow_product: bool = False) -> DataFrame:
+    """Joins on all shared variables. Those in `unbound` may be NULL on a side, which fits any value.
+
+    Without shared variables EXISTS asks whether right has any row; joins are products, and have to be allowed.
+    """
     shared = [c for c in left.columns if c in right.columns]
-    loose = [c for c in shared if c in unbound]
+    loose = [c for c in shared if c in unbound or c.removeprefix(TAG) in unbound]
     if not shared and on is None:
-        if how == "inner":
-            raise ValueError("patterns without a shared variable: give a condition (theta)")
-        return left
+        if how in ("left_semi", "left_anti"):
+            return left if right.isEmpty() == (how == "left_anti") else left.filter(F.lit(False))
+        if not allow_product:
+            raise ValueError("patterns without a shared variable: give a condition (theta), or allow a product")
+        return product(left, right, how)
     other = right.withColumnsRenamed({c: f"__r_{c}" for c in shared})
     fits = F.lit(True)
     for c in shared:
@@ -171,18 +312,22 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "inner", unbound:
     return out.select(*kept, *[c for c in right.columns if c not in shared])
 
 
-def bgp(triples: DataFrame, *patterns: Triple, graph: str | None = None, keep_hidden: bool = False) -> DataFrame:
+def bgp(triples: DataFrame, *patterns: Triple, graph: str | None = None, keep_hidden: bool = False, terms: bool = False, allow_product: bool = False) -> DataFrame:
     """Solutions of a basic graph pattern: patterns joined on all variables that they share, in the order
-    in which neighbours share some; Catalyst picks and reorders the physical joins."""
+    in which neighbours share some; Catalyst picks and reorders the physical joins.
+
+    With `terms` the solutions keep their tags, so that joins with other solutions compare whole terms too.
+    """
     left = [*patterns]
     out = triple_rows(triples, left.pop(0), graph)
     while left:
         names = set(out.columns)
         rows = [triple_rows(triples, t, graph) for t in left]
         at = next((i for i, r in enumerate(rows) if names & set(r.columns)), 0)
-        out = natural_join(out, rows[at]) if rows[at].columns else out.filter(F.lit(not rows[at].isEmpty()))
+        out = natural_join(out, rows[at], allow_product=allow_product) if rows[at].columns else out.filter(F.lit(not rows[at].isEmpty()))
         left.pop(at)
-    return out if keep_hidden else out.drop(*[c for c in out.columns if c.startswith("__blank")])
+    out = out if keep_hidden else out.drop(*[c for c in out.columns if c.removeprefix(TAG).startswith("__blank")])
+    return out if terms else untagged(out)
 
 
 def about(subject: str, *pairs: tuple[str | Path, str]) -> list[Triple]:
@@ -190,9 +335,9 @@ def about(subject: str, *pairs: tuple[str | Path, str]) -> list[Triple]:
     return [(subject, p, o) for p, o in pairs]
 
 
-def optional(left: DataFrame, right: DataFrame, on: Column | None = None, unbound: Sequence[str] = ()) -> DataFrame:
+def optional(left: DataFrame, right: DataFrame, on: Column | None = None, unbound: Sequence[str] = (), allow_product: bool = False) -> DataFrame:
     """Left join; a filter within the optional part belongs to the condition `on`."""
-    return natural_join(left, right, "left", unbound, on)
+    return natural_join(left, right, "left", unbound, on, allow_product)
 
 
 def minus(left: DataFrame, right: DataFrame, unbound: Sequence[str] = ()) -> DataFrame:
@@ -200,7 +345,7 @@ def minus(left: DataFrame, right: DataFrame, unbound: Sequence[str] = ()) -> Dat
     shared = [c for c in left.columns if c in right.columns]
     if not shared:
         return left
-    loose = [c for c in shared if c in unbound]
+    loose = [c for c in shared if c in unbound or c.removeprefix(TAG) in unbound]
     if not loose:
         return natural_join(left, right, "left_anti")
     other = right.withColumnsRenamed({c: f"__r_{c}" for c in shared})
@@ -228,8 +373,8 @@ def union(*solutions: DataFrame) -> DataFrame:
 
 
 def theta(left: DataFrame, right: DataFrame, key: str, condition: Column) -> DataFrame:
-    """Inner join on a shared variable and a further comparison across the patterns."""
-    return natural_join(left, right, "inner", (), condition) if key in left.columns and key in right.columns else left.join(right, condition)
+    """Inner join on a shared variable and a further comparison across the patterns. Without the shared one a side has to be small."""
+    return natural_join(left, right, "inner", (), condition) if key in left.columns and key in right.columns else product(left, right).filter(condition)
 
 
 def values(spark, rows: Sequence[Mapping[str, str | None]]) -> DataFrame:
@@ -278,13 +423,95 @@ def ask(solutions: DataFrame) -> bool:
     return not solutions.isEmpty()
 
 
-def ordered(solutions: DataFrame, variable: str, kinds: Column | None = None, datatypes: Column | None = None, descending: bool = False) -> DataFrame:
-    """SPARQL's order of terms; without kinds, all bound terms are IRIs."""
-    keys = order_keys(F.when(F.col(variable).isNotNull(), F.lit(IRI)) if kinds is None else kinds, F.col(variable), F.lit(None).cast("string") if datatypes is None else datatypes)
+def ordered(solutions: DataFrame, variable: str, descending: bool = False) -> DataFrame:
+    """SPARQL's order of terms, by the variable's tag; without one, all bound terms are IRIs."""
+    text, tag = F.col(variable), TAG + variable
+    if tag in solutions.columns:
+        blank = text.startswith("urn:blank:") | text.startswith("_:")
+        kind = F.when(text.isNull(), None).when(F.col(tag) != RESOURCE, LITERAL).when(blank, BNODE).otherwise(IRI)
+        keys = order_keys(kind, text, datatype_of_tag(F.col(tag)))
+        keys.append(F.coalesce(lang_of_tag(F.col(tag)), F.lit("")))
+    else:
+        keys = order_keys(F.when(text.isNotNull(), F.lit(IRI)), text, F.lit(None).cast("string"))
     return solutions.orderBy(*[F.desc(k) if descending else F.asc(k) for k in keys])
 
 
+def terms_of(solutions: DataFrame, *variables: str) -> DataFrame:
+    """The variables as structs of text, kind, datatype and language, from solutions with tags."""
+    out = solutions
+    for v in variables:
+        tag = F.col(TAG + v)
+        kind = F.when(tag != RESOURCE, LITERAL).when(F.col(v).startswith("urn:blank:"), BNODE).otherwise(IRI)
+        out = out.withColumn(v, F.when(F.col(v).isNotNull(), F.struct(F.col(v).alias("text"), kind.alias("kind"), datatype_of_tag(tag).alias("datatype"), lang_of_tag(tag).alias("lang"))))
+    return untagged(out)
+
+
+def select(
+    triples: DataFrame, where: Sequence[Triple] | Callable[[DataFrame], DataFrame], variables: Sequence[str] = (), backend: Callable[[DataFrame], DataFrame] | None = None,
+    distinct: bool = False, count: bool = False, flatten: bool = False, order: str | None = None, limit: int | None = None, offset: int = 0,
+) -> DataFrame:
+    """One query: patterns (or a function of the graph) over what the backend makes of the triples, as entailments.
+
+    variables: the columns to return, all without. Then in this order: distinct, order by a variable, offset
+    and limit; `count` gives the number of rows instead, `flatten` one column of all values.
+    """
+    graph = backend(triples) if backend else triples
+    out = where(graph) if callable(where) else bgp(graph, *where, terms=True)
+    if variables:
+        out = out.select(*[c for v in variables for c in (v, TAG + v) if c in out.columns])
+    out = out.distinct() if distinct else out
+    out = ordered(out, order) if order else out
+    out = untagged(out)
+    out = out.offset(offset) if offset else out
+    out = out if limit is None else out.limit(limit)
+    if count:
+        return out.agg(F.count("*").alias("n"))
+    return flattened(out) if flatten else out
+
+
+def expression_instances(triples: DataFrame, expression: tuple | str) -> DataFrame:
+    """The stated instances (x) of a class expression: a name, ("and", ...), ("or", ...), ("not", e) within an "and",
+    ("some", property, e), ("value", property, individual), ("min", n, property, e) or ("one", individual, ...)."""
+    if isinstance(expression, str):
+        return bgp(triples, ("?x", "a", expression)).distinct()
+    op, *rest = expression
+    if op == "one":
+        return values(triples.sparkSession, [{"x": expanded(r)} for r in rest]).distinct()
+    if op == "value":
+        return bgp(triples, ("?x", rest[0], rest[1])).distinct()
+    if op in ("some", "min"):
+        p, inner = (rest[0], rest[1]) if op == "some" else (rest[1], rest[2])
+        links = bgp(triples, ("?x", p, "?y"))
+        links = links if inner in ("owl:Thing", None) else links.join(expression_instances(triples, inner).withColumnRenamed("x", "y"), "y", "left_semi")
+        return links.select("x").distinct() if op == "some" else links.groupBy("x").agg(F.count_distinct("y").alias("n")).filter(F.col("n") >= rest[0]).select("x")
+    if op == "or":
+        out = expression_instances(triples, rest[0])
+        for e in rest[1:]:
+            out = out.unionByName(expression_instances(triples, e))
+        return out.distinct()
+    if op == "and":
+        first, *others = sorted(rest, key=lambda e: e[0] == "not")
+        out = expression_instances(triples, first)
+        for e in others:
+            negative = e[0] == "not"
+            out = out.join(expression_instances(triples, e[1] if negative else e), "x", "left_anti" if negative else "left_semi")
+        return out
+    raise ValueError(f"{op} needs a positive expression beside it" if op == "not" else f"no class expression: {op}")
+
+
 def external_terms(terms: DataFrame, templates: DataFrame, query: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """terms(term, ontology) under the templates(pattern, template) whose pattern their ontology matches,
-    in one query: the join takes the templates, a handful by nature, as the side to repeat."""
-    return query(terms.join(templates, F.expr("ontology RLIKE pattern")))
+    in one query. The templates, a handful by nature, are checked to be few and go to all tasks."""
+    return query(product(terms, templates).filter(F.expr("ontology RLIKE pattern")))
+
+
+def paged(solutions: DataFrame, keys: Sequence[str], size: int, after: Sequence[str] | None = None) -> DataFrame:
+    """The next `size` rows in the order of keys, which tell rows apart, after the last page's last key: no page is read twice
+    and none is missed, whatever the layout."""
+    rows = solutions
+    if after is not None:
+        later, same = F.lit(False), F.lit(True)
+        for k, v in zip(keys, after, strict=True):
+            later, same = later | (same & (F.col(k) > v)), same & (F.col(k) == v)
+        rows = rows.filter(later)
+    return rows.orderBy(*keys).limit(size)

@@ -10,29 +10,34 @@ from pyspark.sql import functions as F
 from quadrille.functions.terms import expanded
 from quadrille.operators.patterns import construct
 
-KEY = ["s", "p", "o", "g"]
+#: What tells quads apart: where a store has kinds, datatypes and languages of objects, these too.
+KEY, TERM = ["s", "p", "o", "g"], ["o_kind", "o_dt", "o_lang"]
 
 
-def _graph(name: str | None):
-    return F.lit(expanded(name) if name else None).cast("string")
+def key_of(store: DataFrame) -> list[str]:
+    return KEY + [c for c in TERM if c in store.columns]
 
 
-def _same(a: DataFrame, b: DataFrame):
-    cond = F.lit(True)
-    for c in KEY:
-        cond = cond & a[c].eqNullSafe(b[c])
-    return cond
+def _graph(name: str | None):
+    return F.lit(expanded(name) if name else None).cast("string")
 
 
 def insert(store: DataFrame, triples: DataFrame, graph: str | None = None) -> DataFrame:
     """The store with the triples in a graph (the default graph without a name)."""
     fresh = triples if "g" in triples.columns else triples.withColumn("g", _graph(graph))
-    return store.unionByName(fresh, allowMissingColumns=True).dropDuplicates(KEY)
+    out = store.unionByName(fresh, allowMissingColumns=True)
+    return out.dropDuplicates(key_of(out))
 
 
 def delete(store: DataFrame, triples: DataFrame, graph: str | None = None) -> DataFrame:
-    gone = (triples if "g" in triples.columns else triples.withColumn("g", _graph(graph))).select(KEY).distinct()
-    return store.join(gone, _same(store, gone), "left_anti")
+    """The store without the triples: whole terms where both sides tell kinds, datatypes and languages, else texts."""
+    gone = triples if "g" in triples.columns else triples.withColumn("g", _graph(graph))
+    key = [c for c in key_of(store) if c in gone.columns]
+    gone = gone.select(key).distinct()
+    cond = F.lit(True)
+    for c in key:
+        cond = cond & store[c].eqNullSafe(gone[c])
+    return store.join(gone, cond, "left_anti")
 
 
 def modify(store: DataFrame, solutions: DataFrame, delete_template: Sequence[tuple] = (), insert_template: Sequence[tuple] = (), graph: str | None = None) -> DataFrame:
@@ -46,6 +51,13 @@ def _in(graph: str | None):
     return F.col("g").eqNullSafe(_graph(graph))
 
 
+def in_using(store: DataFrame, graphs: Sequence[str] = ()) -> DataFrame:
+    """What the patterns of an update read: the merge of the graphs USING names, or the default graph without any."""
+    rows = store.filter(F.col("g").isin([expanded(g) for g in graphs])) if graphs else store.filter("g IS NULL")
+    rows = rows.drop("g")
+    return rows.dropDuplicates([c for c in key_of(store) if c != "g"])
+
+
 def clear(store: DataFrame, graph: str | None = None, which: str = "graph") -> DataFrame:
     """Without a graph's quads; which: graph, default, named or all."""
     if which == "all":
@@ -98,6 +110,18 @@ class GraphStore:
         version = max(self._versions(name), default=0) + 1
         quads.write.parquet(f"{self.root}/{name}/v{version}")
 
+    def exists(self, name: str) -> bool:
+        return bool(self._versions(name))
+
+    def append(self, name: str, quads: DataFrame) -> None:
+        """Adds quads to the current version (the first, where there is none); each call is one atomic commit of files."""
+        version = max(self._versions(name), default=1)
+        quads.write.mode("append").parquet(f"{self.root}/{name}/v{version}")
+
+    def compact(self, name: str) -> None:
+        """A new version of the same quads in fewer files."""
+        self.write(name, self.read(name))
+
     def read(self, name: str) -> DataFrame:
         versions = self._versions(name)
         if not versions:

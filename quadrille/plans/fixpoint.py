@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.plans.stages import stored
+from quadrille.plans.stages import free, stored, together
 
 
 def transitive_closure(edges: DataFrame, by: Sequence[str] = (), reflexive: bool = False) -> DataFrame:
@@ -24,14 +24,31 @@ def transitive_closure(edges: DataFrame, by: Sequence[str] = (), reflexive: bool
     if reflexive:
         nodes = base.select(*by, F.explode(F.array("a", "b")).alias("a")).distinct()
         base = base.unionByName(nodes.withColumn("b", F.col("a"))).distinct()
-    known = delta = stored(base, "closure")
+    parts = [stored(base, "closure")]
     while True:
+        known = together(parts)
         ahead = known.select(*by, F.col("a").alias("b"), F.col("b").alias("__c"))
-        fresh = delta.join(ahead, [*by, "b"]).select(*by, "a", F.col("__c").alias("b")).distinct().join(known, key, "left_anti")
-        delta = stored(fresh, "closure-delta")
+        fresh = parts[-1].join(ahead, [*by, "b"]).select(*by, "a", F.col("__c").alias("b")).distinct().join(known, key, "left_anti")
+        delta = stored(fresh, "closure")
         if delta.isEmpty():
+            free(delta)
             return known
-        known = stored(known.unionByName(delta), "closure")
+        parts.append(delta)
+
+
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Pairs (a, b): what each of seeds(a) reaches by one or more edges. A search from the seeds: only pairs of
+    the result are ever made, one round for each step of distance, each written once."""
+    links = stored(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "links")
+    step = links.select(F.col("a").alias("b"), F.col("b").alias("__c"))
+    parts = [stored(links.join(seeds.select("a").distinct(), "a", "left_semi"), "reached")]
+    while True:
+        known = together(parts)
+        delta = stored(parts[-1].join(step, "b").select("a", F.col("__c").alias("b")).distinct().join(known, ["a", "b"], "left_anti"), "reached")
+        if delta.isEmpty():
+            free(links, delta)
+            return known
+        parts.append(delta)
 
 
 def bounded_paths(edges: DataFrame, least: int, most: int) -> DataFrame:
@@ -116,19 +133,38 @@ def saturate(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     for r in rules:
         if late := {a[0] for a in r.unless} & derived:
             raise ValueError(f"{r.label or r.head[0]}: {sorted(late)} is derived in the same stratum")
-    known = delta = stored(facts.select("pred", "args").distinct(), "facts")
+    # facts of the rules' predicates lie apart by predicate, so an atom reads those of its own only
+    given = stored(facts.select("pred", "args").distinct(), "facts", by="pred")
+    found: dict[str, list[DataFrame]] = {}
+
+    def known(pred: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [given.filter(F.col("pred") == pred), *found.get(pred, [])])
+
+    def bindings(rule: Rule, new: int | None, delta: dict[str, DataFrame]) -> DataFrame:
+        order = sorted(enumerate(rule.body), key=lambda x: x[0] != new)
+        rows = conjunction([(delta[a[0]] if k == new else known(a[0]), a) for k, a in order])
+        for a in rule.unless:
+            rows = _joined(rows, atom_rows(known(a[0]), a), "left_anti")
+        return _head(rule, rows)
+
+    first, delta = True, {}
+    tables = [given]
     while True:
-        found = []
-        for rule in rules:
-            for i in range(len(rule.body)):
-                rows = conjunction([(delta if k == i else known, a) for k, a in sorted(enumerate(rule.body), key=lambda x: x[0] != i)])
-                for a in rule.unless:
-                    rows = _joined(rows, atom_rows(known, a), "left_anti")
-                found.append(_head(rule, rows))
-        if not found:
-            return known
-        fresh = reduce(DataFrame.unionByName, found).distinct().join(known, ["pred", "args"], "left_anti")
-        delta = stored(fresh, "new-facts")
-        if delta.isEmpty():
-            return known
-        known = stored(known.unionByName(delta), "facts")
+        # in the first round all facts are new; later a rule starts only where an atom of its body has new facts
+        starts = [(r, None if first else i) for r in rules for i in (range(1) if first else range(len(r.body))) if first or r.body[i][0] in delta]
+        made: dict[str, list[DataFrame]] = {}
+        for rule, i in starts:
+            made.setdefault(rule.head[0], []).append(bindings(rule, i, delta))
+        first, delta = False, {}
+        for pred, rows in made.items():
+            fresh = reduce(DataFrame.unionByName, rows).distinct().join(known(pred), ["pred", "args"], "left_anti")
+            new = stored(fresh, "new-facts")
+            if new.isEmpty():
+                free(new)
+            else:
+                delta[pred] = new
+                tables.append(new)
+        for pred, new in delta.items():
+            found.setdefault(pred, []).append(new)
+        if not delta:
+            return reduce(DataFrame.unionByName, tables).select("pred", "args")

@@ -25,19 +25,26 @@ def scratch_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def stored(df: DataFrame, name: str = "stage") -> DataFrame:
+def stored(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
     """Cuts the lineage: writes df as Parquet to the shared folder and reads it back.
 
-    A lost executor then costs the tasks that it ran, and row ids, once written, stay.
+    A lost executor then costs the tasks that it ran, and row ids, once written, stay. by: a column of few
+    values, whose rows are read apart from others.
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _written.append(path)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Stored tables of one schema as one table, read in one scan."""
+    first = tables[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*[t._stored_at for t in tables])
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

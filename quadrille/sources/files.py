@@ -74,16 +74,19 @@ def attributes_of(text: Column) -> Column:
 def sheet(spark: SparkSession, path: str, skip: int = 0, limit: int | None = None, sheet_name: str = "sheet") -> DataFrame:
     """Rows of a CSV sheet with a header: its columns, the sheet's name and each row's number from 1.
 
-    A blank header is named Column-n. Numbers are by place in the file and need its rows once in order.
+    A blank header is named Column-n. A path of several files is one sheet for each: rows are numbered, and
+    the header left out, file by file; the first file's header names the columns. Each file is read whole by one task.
     """
     lines = spark.read.option("multiLine", True).csv(path)
-    numbered = lines.select(*lines.columns, F.monotonically_increasing_id().alias("__at"))
-    first = numbered.orderBy("__at").offset(skip).first()
+    places = lines.select(*lines.columns, F.col("_metadata.file_path").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    begins = places.groupBy("__file").agg(F.min("__at").alias("__begin"))
+    numbered = places.join(begins, "__file").withColumn("__row", F.col("__at") - F.col("__begin") - skip)
+    first = numbered.filter("__row = 0").orderBy("__file").first()
     if first is None:
         raise ValueError(f"{path} has no header")
     names = [re.sub(r"\s+", " ", first[c].strip()) if first[c] and first[c].strip() else f"Column-{i}" for i, c in enumerate(lines.columns, 1)]
-    body = numbered.filter(F.col("__at") > first["__at"])
-    out = body.select(F.lit(sheet_name).alias("sheet"), (F.col("__at") - first["__at"]).alias("row"), *[F.col(c).alias(n) for c, n in zip(lines.columns, names, strict=True)])
+    body = numbered.filter("__row > 0")
+    out = body.select(F.lit(sheet_name).alias("sheet"), F.col("__row").alias("row"), *[F.col(c).alias(n) for c, n in zip(lines.columns, names, strict=True)])
     return out if limit is None else out.filter(F.col("row") <= limit)
 
 

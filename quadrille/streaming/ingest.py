@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.operators.update import GraphStore
+from quadrille.operators.update import GraphStore, key_of
 
 
 def ingest(stream: DataFrame, store: GraphStore, name: str, checkpoint: str):
-    """Adds each micro-batch's quads to the named store; a batch that is played again changes nothing, for the
-    store is a set. Returns the started query; only what is available is read, then it ends."""
-
-    def add(batch: DataFrame, _: int) -> None:
-        known = store._versions(name)
-        fresh = batch.dropDuplicates(["s", "p", "o", "g"])
-        if known:
-            fresh = store.read(name).unionByName(fresh, allowMissingColumns=True).dropDuplicates(["s", "p", "o", "g"])
-        store.write(name, fresh)
+    """Adds each micro-batch's new quads to the named store; a batch that is played again changes nothing, for the
+    store is a set. Only what a batch adds is written, as a part of the current version; `GraphStore.compact`
+    joins the parts. Returns the started query; only what is available is read, then it ends."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(key_of(batch))
+        if store.exists(name):
+            known = store.read(name)
+            cond = F.lit(True)
+            for c in [c for c in key_of(batch) if c in known.columns]:
+                cond = cond & fresh[c].eqNullSafe(known[c])
+            fresh = fresh.join(known, cond, "left_anti")
+        store.append(name, fresh)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
