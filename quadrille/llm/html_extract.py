@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 
 from quadrille.llm.common import table
 
-#: Fixed values of HTML: elements without content, elements whose content is no text, elements that begin a block.
+#: Fixed values of HTML: elements without content, elements whose content is text up to their end tag, elements that show none of
+#: their content or are controls of forms, elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg iframe object math select button".split())
+RAW = frozenset("script style textarea title".split())
+HIDDEN = frozenset("noscript template iframe select".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -26,7 +28,9 @@ ENDS = {t: frozenset(["p"]) for t in BLOCK - {"html", "body", "option"}} | {
 }
 #: Elements that such an end doesn't reach across.
 SCOPE = frozenset("table ul ol dl article section main aside nav header footer div form body html blockquote".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|(!--)|[!?/])")
+#: A step through a tag: to its end, or over a value, quoted or not, or over a quote that begins none.
+STEP = re.compile(r"[^>\"'=]*+(?:(>)|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])")
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -66,9 +70,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("#page", -1, 0, 0, 0)]
     blocks: list[tuple[int, str]] = []
     stack, parts = [0], []
-    inline: list[str] = []
     in_link = linked = 0
-    marks: dict[int, int] = {}
 
     def close() -> None:
         nonlocal parts, linked
@@ -86,7 +88,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def leave(upto: int) -> None:
         close()
         while len(stack) > upto:
-            nodes[stack.pop()].end = len(blocks)
+            gone = nodes[stack.pop()]
+            gone.end = len(blocks)
+            if stack:
+                open_tags[gone.tag] -= 1
 
     def add(text: str) -> None:
         nonlocal linked
@@ -95,45 +100,59 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             linked += len(text)
 
     at, size = 0, len(page)
+    open_tags: dict[str, int] = {}  # open elements of each name
+    endless: set[str] = set()  # names without an end tag further on
     while at < size:
-        found = TOKEN.search(page, at)
+        found = OPEN.search(page, at)
         if not found:
             add(page[at:])
             break
         if found.start() > at:
             add(page[at : found.start()])
-        at = found.end()
         name = found[2]
-        if not name:
+        if not name:  # a comment, a declaration, or what is read as a comment
+            stop = page.find("-->", found.start() + 2) + 3 if found[3] else page.find(">", found.end()) + 1
+            at = stop if stop > found.start() + 2 else size
             continue
-        name = name.lower()
-        if name in RAW:
-            if not found[1] and not found[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else size
+        at = found.end()
+        while step := STEP.match(page, at):
+            at = step.end()
+            if step[1]:
+                break
+        else:
+            break  # a tag that the page ends in is none, as in a browser
+        name, attributes, closing = name.lower(), page[found.end() : at - 1], found[1]
+        if name in RAW or name in HIDDEN:
+            if not closing and name not in endless:
+                stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                if stop:
+                    at = stop.end()
+                elif name in RAW:
+                    at = size
+                else:
+                    endless.add(name)
             continue
         if name not in BLOCK:
             if name == "br":
                 parts.append(" ")
             elif name == "a":
-                in_link = 0 if found[1] else 1
-            elif found[1] == "" and name not in VOID:
-                inline.append(name)
+                in_link = 0 if closing else 1
             continue
         in_link = 0
-        if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if nodes[stack[k]].tag == name:
-                    leave(k)
-                    break
+        if closing:
+            if open_tags.get(name):
+                leave(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == name))
             else:
                 close()
             continue
-        if ends := ENDS.get(name):
+        ends = ENDS.get(name, frozenset())
+        if any(open_tags.get(t) for t in ends):
             for k in range(len(stack) - 1, 0, -1):
                 tag = nodes[stack[k]].tag
                 if tag in ends:
                     leave(k)
+                    if not any(open_tags.get(t) for t in ends):
+                        break
                 elif tag in SCOPE:
                     break
         close()
@@ -141,17 +160,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             continue
         parent = nodes[stack[-1]]
         good, bad, y = name in GOOD_TAGS, name in BAD_TAGS, parent.y
-        if found[3]:
-            for groups in NAMES.findall(found[3]):
+        if attributes:
+            for groups in NAMES.findall(attributes):
                 names = {w.lower() for w in SPLIT.split("".join(groups)) if w} | {"".join(groups).lower()}
                 good += len(names & GOOD)
                 bad += len(names & BAD)
-            if mark := re.search(r"data-y=\"(\d)\"", found[3]):
+            if mark := re.search(r"data-y=\"(\d)\"", attributes):
                 y = int(mark[1])
         nodes.append(Node(name, stack[-1], parent.depth + 1, int(good), int(bad), y, place=parent.kids, begin=len(blocks)))
         parent.kids += 1
-        marks[len(nodes) - 1] = y
         stack.append(len(nodes) - 1)
+        open_tags[name] = open_tags.get(name, 0) + 1
     leave(0)
     return nodes, blocks
 
@@ -398,7 +417,8 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html gives an empty text, as does a page without main text. Character
     references are decoded, white space in a block becomes one space, blocks are joined by two
     line ends; markup that isn't well formed is read as a browser would: paragraphs and list
-    items end where the next begins. Repeated rows stay; further columns are ignored.
+    items end where the next begins, a quote counts only where a value begins, a slash doesn't end a
+    script, and a tag that the page ends in is dropped. Reading takes time in proportion to the page. Repeated rows stay; further columns are ignored.
 
     The trees are learned on the driver from LEARNED_FROM made pages of many layouts and sent to
     the tasks (some hundred kB, whatever the input).

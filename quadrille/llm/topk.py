@@ -32,38 +32,81 @@ def summary(x, segments: int):
     return np.hstack(out)
 
 
+#: Products of two norms from which a double may not hold a score.
+WIDE = 2.0**52
+LONG = 2**63
+
+
+def by_variance(q, c):
+    """Both with their places in the order of the candidates' variance: segments then hold places that vary alike. Products stay."""
+    import numpy as np
+
+    order = np.argsort(-c.var(axis=0), kind="stable")
+    return q[:, order], c[:, order]
+
+
+def survivors(q, c, k: int, own, norms, levels=LEVELS):
+    """(pairs that may be among the k best, the bound that each query's k best reach): coarse segments rule out candidates before fine ones are asked."""
+    import numpy as np
+
+    slack = 1 + 1e-9 * np.sqrt((q**2).sum(axis=1))[:, None] * norms[None, :]  # rounding of the bounds
+    bound = summary(q, levels[0]) @ c[levels[0]].T + slack
+    bound[own] = -np.inf
+    floor = np.full(bound.shape[0], -np.inf)
+    if bound.shape[1] > k:  # exact scores of the k highest bounds: the k-th best is no less
+        first = np.argpartition(-bound, k - 1, axis=1)[:, :k]
+        exact = np.einsum("ijk,ik->ij", c["all"][first], q)
+        exact[np.take_along_axis(own, first, axis=1)] = -np.inf
+        floor = exact.min(axis=1)
+    alive = (bound >= floor[:, None]) & ~own
+    for n in levels[1:]:
+        some = np.flatnonzero(alive.any(axis=0))
+        alive[:, some] &= summary(q, n) @ c[n][some].T + slack[:, some] >= floor[:, None]
+    return alive
+
+
 def best(q, c, c_ids, q_ids, k: int, levels=LEVELS, chunk: int = 128):
-    """(query's place, candidate's place, score) of each query's k best in the block of candidates."""
+    """(query's place, candidate's place, score) of each query's k best in the block of candidates.
+
+    Scores are whole numbers: those that a double holds come from it, others from Python's integers.
+    """
     import numpy as np
 
-    coarse = [(summary(q, n), summary(c, n)) for n in levels]
-    norms = np.sqrt((c**2).sum(axis=1))
+    if not len(c):
+        return
+    most = np.abs(c).max(axis=1) * c.shape[1] ** 0.5  # no less than the norms, and safe from overflow
+    reach = (np.abs(q).max() if len(q) else 0.0) * c.shape[1] ** 0.5
+    with np.errstate(over="ignore"):
+        holds = most * reach < WIDE
+    wide, plain = np.flatnonzero(~holds), np.flatnonzero(holds)
+    q2, c2 = by_variance(q, c[plain]) if len(plain) else (q, c[plain])
+    norms = np.sqrt((c2**2).sum(axis=1))
+    levelled = {"all": c2} | {n: summary(c2, n) for n in levels} if len(plain) else {}
+    whole = [[int(x) for x in row] for row in c[wide]]
     for at in range(0, len(q), chunk):
         rows = slice(at, at + chunk)
-        own = q_ids[rows, None] == c_ids[None, :]
-        slack = 1 + 1e-9 * np.sqrt((q[rows] ** 2).sum(axis=1))[:, None] * norms[None, :]  # rounding of the bounds
-        bound = coarse[0][0][rows] @ coarse[0][1].T + slack
-        bound[own] = -np.inf
-        floor = np.full(bound.shape[0], -np.inf)
-        if bound.shape[1] > k:  # exact scores of the k highest bounds: the k-th best is no less
-            first = np.argpartition(-bound, k - 1, axis=1)[:, :k]
-            exact = np.einsum("ijk,ik->ij", c[first], q[rows])
-            exact[np.take_along_axis(own, first, axis=1)] = -np.inf
-            floor = exact.min(axis=1)
-        alive = (bound >= floor[:, None]) & ~own
-        for fine_q, fine_c in coarse[1:]:
-            some = np.flatnonzero(alive.any(axis=0))
-            alive[:, some] &= fine_q[rows] @ fine_c[some].T + slack[:, some] >= floor[:, None]
-        some = np.flatnonzero(alive.any(axis=0))
-        scores = np.where(alive[:, some], q[rows] @ c[some].T, -np.inf)
-        for i, line in enumerate(scores):
-            if len(line) > k:
-                near = np.flatnonzero((line >= -np.partition(-line, k - 1)[k - 1]) & (line > -np.inf))
+        hits: list[list[tuple]] = [[] for _ in range(len(q[rows]))]
+        if len(plain):
+            own = q_ids[rows, None] == c_ids[plain][None, :]
+            alive = survivors(q2[rows], levelled, k, own, norms, levels)
+            i, j = np.nonzero(alive)
+            if len(i) * 4 < alive.size:  # few pairs are left: each is scored alone
+                scores = np.concatenate([np.einsum("ij,ij->i", q2[rows][i[a : a + 65536]], c2[j[a : a + 65536]]) for a in range(0, len(i), 65536)] or [np.zeros(0)])
             else:
-                near = np.flatnonzero(line > -np.inf)
-            near = near[np.lexsort((c_ids[some[near]], -line[near]))[:k]]
-            for j in near:
-                yield at + i, some[j], line[j]
+                scores = (q2[rows] @ c2.T)[i, j]
+            ends = np.searchsorted(i, np.arange(len(alive) + 1))
+            for n, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                line, where = scores[a:b], j[a:b]
+                if len(line) > k:
+                    near = line >= np.partition(line, len(line) - k)[len(line) - k]
+                    line, where = line[near], where[near]
+                hits[n] += [(-int(x), c_ids[plain[w]], plain[w]) for x, w in zip(line, where, strict=True)]
+        for n, query in enumerate(q[rows] if len(wide) else ()):
+            own_row = [int(x) for x in query]
+            hits[n] += [(-max(-LONG, min(LONG - 1, sum(x * y for x, y in zip(own_row, row, strict=True)))), c_ids[w], w) for w, row in zip(wide, whole, strict=True) if c_ids[w] != q_ids[at + n]]
+        for n, found in enumerate(hits):
+            for score, _, where in sorted(found)[:k]:
+                yield at + n, where, -score
 
 
 def search_block(block: pa.Table, k: int) -> pa.Table:
@@ -74,8 +117,6 @@ def search_block(block: pa.Table, k: int) -> pa.Table:
     vectors = block["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
     asks = block["is_query"].to_numpy(zero_copy_only=False)
     q_at, c_at = np.flatnonzero(asks), np.flatnonzero(~asks)
-    if (np.abs(vectors).max(initial=0) ** 2) * dim >= 2.0**53:
-        raise ValueError("a component is too large for exact scores in a double")
     hits = list(best(vectors[q_at], vectors[c_at], ids[c_at], ids[q_at], k)) if len(q_at) and len(c_at) else []
     qs, cs, scores = zip(*hits, strict=True) if hits else ((), (), ())
     picked = q_at[np.array(qs, dtype=int)]
@@ -83,7 +124,7 @@ def search_block(block: pa.Table, k: int) -> pa.Table:
         "query_id": pa.array(ids[picked], pa.int64()),
         "query_row": pa.array(block["row_hash"].to_numpy()[picked], pa.int64()),
         "vec_id": pa.array(ids[c_at[np.array(cs, dtype=int)]], pa.int64()),
-        "score": pa.array(np.array(scores).astype(np.int64), pa.int64()),
+        "score": pa.array(list(scores), pa.int64()),
     })
 
 
@@ -94,25 +135,28 @@ def top_k(df: DataFrame, queries, k: int = TOP) -> DataFrame:
     floor(256 * x). A vector that is null, empty, holds a null or a non-finite component, or has a
     null vec_id takes no part; only vectors of equal length are compared. Candidates are all rows
     but those with the query's vec_id; a candidate row that comes twice counts twice, equal query
-    rows are one query. Ties go to the smaller vec_id.
+    rows are one query. Ties go to the smaller vec_id. Scores are exact for all finite components (256 times
+    one must be finite too, else the vector takes no part); one beyond a long is the nearest long.
 
     The query set meets all rows in blocks of bounded size, dealt by hashes: each pair of blocks is
-    one group, and gives k rows for each of its queries.
+    one group, and gives k rows for each of its queries. Segments bound the scores from above; what
+    they rule out depends on the vectors: nearly nothing for independent places of like variance.
     """
-    n = df.count()
-    c_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n // 50 // QUERIES))
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    n, asks = df.agg(F.count("*"), F.count_if(queries)).first()
+    c_blocks, q_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-asks // QUERIES))
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * 256) == float("inf")))
+    scaled = lambda x: x.cast("double") * 256
     rows = (
         df.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~bad)
         .select("vec_id", F.size("embedding").alias("dim"), queries.alias("is_query"),
-                F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("vector"))
+                F.transform("embedding", lambda x: F.when(F.abs(scaled(x)) < WIDE, F.floor(scaled(x)).cast("double")).otherwise(scaled(x))).alias("vector"))
         .withColumn("row_hash", F.xxhash64("vec_id", "vector"))
     )
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod("row_hash", F.lit(n)).cast("int")
     columns = ["dim", "q_block", "c_block", "vec_id", "row_hash", "is_query", "vector"]
     asked = rows.filter("is_query").dropDuplicates(["vec_id", "row_hash"]).withColumn("q_block", deal(q_blocks)).withColumn("c_block", every(c_blocks))
-    given = rows.withColumn("is_query", F.lit(False)).withColumn("c_block", deal(c_blocks)).withColumn("q_block", every(q_blocks))
+    given = rows.withColumn("is_query", F.lit(False)).withColumn("c_block", F.pmod(F.xxhash64("row_hash", F.monotonically_increasing_id()), F.lit(c_blocks)).cast("int")).withColumn("q_block", every(q_blocks))
     found = (
         asked.select(columns).unionByName(given.select(columns)).groupBy("dim", "q_block", "c_block")
         .applyInArrow(lambda block: search_block(block, k), "query_id long, query_row long, vec_id long, score long")

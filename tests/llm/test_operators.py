@@ -147,6 +147,29 @@ def test_extraction_from_the_table(spark, sf):
         assert r.text == "\n\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<article><p title="5" tall">Hello there, you. It is a fine day.</p></article>', "Hello there, you. It is a fine day."),
+    ("<article><p>One line, here.</p><script src=x />var leaked=1;</script><p>Two lines, there.</p></article>", "One line, here.\n\nTwo lines, there."),
+    ("<article><p>Let <math><mi>x</mi></math> be, and <button>press</button> or <object>see</object> it.</p></article>", "Let x be, and press or see it."),
+    ("<article><p>An unclosed <select> and <noscript> here, still.</p><p>More of it, too.</p></article>", "An unclosed and here, still.\n\nMore of it, too."),
+    ("<article><p a='1 > 0' b=x>y>Greater, than. It is so.</p></article>", "y>Greater, than. It is so."),
+    ("<article><p>Less < more, 3<4. <!--> no comment<!-- x --></p><!bad><?php 1>", "Less < more, 3<4. no comment"),
+    ("<main><p>A page that ends, here. In a <a href='x", "A page that ends, here. In a"),
+    ("<div class=post><p>No article, but a post. It is long enough, is it not? Yes, it is.</div>", "No article, but a post. It is long enough, is it not? Yes, it is."),
+])
+def test_extraction_of_odd_markup(page, text):
+    assert html_extract.main_texts([page], html_extract.learned()) == [text]
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<a =\"'", "<!", "<!--", "</", "<p", "<div>", "<h1>", "</p>", "<select>", "<h2><p></h3>", "&lt;", "<script", "='"])
+def test_extraction_takes_linear_time(unit):
+    import time
+
+    began = time.perf_counter()
+    html_extract.parse("<article>" + unit * (200_000 // len(unit)))
+    assert time.perf_counter() - began < 8
+
+
 def test_decoding_never_contradicts():
     nodes = [html_extract.Node("#page", -1, 0, 0, 0)] + [html_extract.Node("div", (i - 1) // 2, 1, 0, 0, own=10) for i in range(1, 15)]
     rng = np.random.default_rng(0)
@@ -200,6 +223,42 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def plain_top(rows, k):
+    """(query, rank, id, score) of the contract, by Python's integers."""
+    made = {v: [math.floor(256 * x) for x in e] for v, e in rows}
+    out = []
+    for q, e in made.items():
+        if q % 50 == 0:
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(e, f)))), v) for v, f in made.items() if v != q)[:k]
+            out += [(q, n, v, -s) for n, (s, v) in enumerate(scores, 1)]
+    return sorted(out)
+
+
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * 10.0 ** rng.integers(-2, 9)]) for i in range(160)]
+    rows += [(200, [1e6] * 6), (201, [1e6 + 1 / 256] * 6), (202, [1e300, -1e300, 1.0, 0.0, 0.0, 0.0]), (203, [2.0**53 + 2] * 6), (250, [2.0**53] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
+    assert got == plain_top(rows, 5)
+
+
+def test_segments_rule_out_candidates():
+    """Of smooth vectors in groups the bounds leave few pairs; of independent noise they leave nearly all."""
+    rng = np.random.default_rng(3)
+    centers = np.repeat(rng.normal(size=(40, 8)) * 100, 8, axis=1)
+    smooth = np.floor(centers[rng.integers(0, 40, 2000)] + rng.normal(size=(2000, 64)) * 3)
+    noise = np.floor(rng.normal(size=(2000, 64)) * 30)
+    for rows, least, most in ((smooth, 0, 0.3), (noise, 0.5, 1)):
+        q, c = topk.by_variance(rows[:100], rows[100:])
+        levelled = {"all": c} | {n: topk.summary(c, n) for n in topk.LEVELS}
+        own = np.zeros((100, 1900), bool)
+        alive = topk.survivors(q, levelled, 5, own, np.sqrt((c**2).sum(axis=1)))
+        assert least <= alive.mean() <= most
+        exact = q @ c.T
+        assert all(alive[i][np.argsort(-exact[i])[:5]].all() for i in range(100))
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "CANDIDATES", 64)
     monkeypatch.setattr(topk, "QUERIES", 2)
