@@ -408,6 +408,54 @@ def test_lm_base_and_probabilities(spark, docs, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_equals_a_plain_trigram_model(spark):
+    """score, of a corpus all of whose words and grams are in the trie, against the model said with dictionaries."""
+    rng = np.random.default_rng(12)
+    vocabulary = "a b c d e f g h".split()
+    rows = [(i, " ".join(rng.choice(vocabulary, rng.integers(0, 30), p=[0.3, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05]))) for i in range(60)]
+    tokens = {i: [*t.split(), None] for i, t in rows}
+    learned = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 10]
+    one = collections.Counter(w for t in learned for w in t)
+    two = collections.Counter(p for t in learned for p in zip(t, t[1:]))
+    three = collections.Counter(p for t in learned for p in zip(t, t[1:], t[2:]))
+    n, v = sum(one.values()), len(one)
+    base = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+    kept = lambda grams, context, total: 1 - sum(c - lm.DISCOUNT for g, c in grams.items() if g[:-1] == context) / total
+    # the trie mixes in a unigram share over the most that the base's denominator can be
+    share = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
+
+    def p2(a, w):
+        left = kept(two, (a,), one[a]) if one[a] else 1.0
+        return (two[a, w] - lm.DISCOUNT) / one[a] + left * share(w) if two[a, w] else left * base(w)
+
+    def p3(a, b, w):
+        if not two[a, b]:
+            return p2(b, w)
+        left = kept(three, (a, b), two[a, b])
+        return (three[a, b, w] - lm.DISCOUNT) / two[a, b] + left * p2(b, w) if three[a, b, w] else left * p2(b, w)
+
+    want = {}
+    for i, t in tokens.items():
+        want[i] = sum(math.log10(base(w) if k == 0 else p2(t[0], w) if k == 1 else p3(t[k - 2], t[k - 1], w)) for k, w in enumerate(t))
+    for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        # values are rounded down to 256 levels: a token loses a few hundredths at most
+        assert want[r.doc_id] - 0.06 * r.n_tokens <= r.score <= want[r.doc_id] + 0.02 * r.n_tokens
+
+
+def test_lm_dealing_does_not_grow_with_the_buckets():
+    import time
+
+    rng = np.random.default_rng(4)
+    keys, counts, took = np.unique(rng.integers(0, 1 << 62, 600_000).astype(np.uint64)), None, {}
+    counts = np.ones(len(keys), np.int64)
+    for buckets in (50, 3000):
+        began = time.perf_counter()
+        rows = list(lm._dealt(keys, counts, buckets))
+        took[buckets] = time.perf_counter() - began
+        assert sum(len(k) for _, k, _ in rows) == 8 * len(keys) and len(rows) == buckets
+    assert took[3000] < 5 * took[50] + 0.2
+
+
 def test_lm_head_words_are_counted_over_all_rows(spark, monkeypatch):
     import xxhash
 
