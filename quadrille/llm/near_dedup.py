@@ -229,7 +229,7 @@ TOGETHER = 256
 def links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b), those that full sets confirm. Each pair moves b's set; a's moves once for TOGETHER pairs."""
     counts = near.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("salts"))
-    salted = near.join(counts, "a").select(F.col("a").alias("center"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("node"))
+    salted = given_back(near, counts, ["a"], "b").select(F.col("a").alias("center"), F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("node"))
     centers = counts.select(F.col("a").alias("center"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("node"))
     asked = stored(salted.unionByName(centers), "asked")
     with session_with(near.sparkSession, PREFILTER):  # sets grow with the input: they are dealt by node at every size
@@ -332,7 +332,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     looks = nodes.select("node", F.col("n_shingles").alias("size"), "sketch")
     size_fits = (100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
     side = lambda x: looks.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    star = members.join(centers, "band").filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    # a band, and a center, may have any part of the members: what they have in common comes back to them in parts
+    star = given_back(members, centers, ["band"], "node").filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    star = given_back(star.join(side("b"), "b"), side("a"), ["a"], "b")
     near = stored(star.filter(size_fits & alike("sketch_a", "sketch_b", percent)).select("a", "b"), "near-pairs")
     found = links(near, sets, percent)
     labels = components(found)
