@@ -53,6 +53,17 @@ BUILTINS: dict[str, Callable[..., Column]] = {
 }
 
 
+def test(name: str, *args: str | float, numeric: bool = True):
+    """A condition of a rule: a built-in over variables (?x) and constants; numbers are compared by value. A built-in that can't be
+    calculated fails the rule's atom."""
+
+    def condition(bound) -> Column:
+        column = lambda x: (bound[x[1:]] if isinstance(x, str) and x.startswith("?") else F.lit(x))
+        return F.coalesce(builtin(name, *[column(a).try_cast("double") if numeric else column(a) for a in args]), F.lit(False))
+
+    return condition
+
+
 def builtin(name: str, *args) -> Column:
     """The built-in of that name, applied to columns."""
     if name not in BUILTINS:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,3 +97,10 @@ def interval_text(seconds: Column) -> Column:
 def geometric_mean(x: Column) -> Column:
     """An aggregate of one's own: built of others, it stays in the plan."""
     return F.exp(F.avg(F.ln(x)))
+
+
+def replaced_by(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
+    """Each match replaced by what the function makes of it."""
+    between = F.split(text, pattern, -1)
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), change), F.array(F.lit("")))
+    return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")

@@ -150,3 +150,20 @@ def call(name: str, *args) -> Column:
     if function is None:
         raise ValueError(f"no function is registered as {name}")
     return function(*args)
+
+
+#: Short names of terms, by which queries may call them: :name stands for the IRI.
+NICKNAMES: dict[str, str] = {}
+
+
+def nickname(name: str, iri: str) -> None:
+    NICKNAMES[name] = expanded(iri)
+
+
+def resolved_term(term: str) -> str:
+    """A :nickname's IRI; one that isn't registered is an error. Other terms stay."""
+    if not term.startswith(":") or len(term) < 2:
+        return term
+    if term[1:] not in NICKNAMES:
+        raise ValueError(f"no term is called {term}")
+    return NICKNAMES[term[1:]]

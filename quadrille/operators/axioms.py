@@ -53,6 +53,28 @@ def only_subclasses(axioms: DataFrame) -> DataFrame:
     return axioms.filter(simple | F.col("axiom_type").isin("Declaration", "AnnotationAssertion"))
 
 
+def is_simple(axioms: DataFrame, kind: str) -> DataFrame:
+    """Axioms of the kind (SubClassOf, EquivalentClasses) that relate two named classes."""
+    return axioms.filter((F.col("axiom_type") == kind) & F.col("sexpr").rlike(rf"^\({kind} [^\s()]+ [^\s()]+\)$"))
+
+
+def subclasses_and_values(axioms: DataFrame) -> DataFrame:
+    """Simple subclass axioms, declarations and annotations, and subclass axioms of a named class and a hasValue restriction."""
+    value = (F.col("axiom_type") == "SubClassOf") & F.col("sexpr").rlike(r"^\(SubClassOf [^\s()]+ \((?:Object|Data)HasValue [^()]*\)\)$")
+    return only_subclasses(axioms).unionByName(axioms.filter(value))
+
+
+def branch(axioms: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Axioms about a branch's nodes(node), those whose first symbol is among them."""
+    return axioms.join(nodes.select(F.col("node").alias("__h")).distinct(), F.get("symbols", F.lit(0)) == F.col("__h"), "left_semi")
+
+
+def weakened(axioms: DataFrame, keep_assertions: bool = True) -> DataFrame:
+    """Simple subclass axioms, declarations and annotations, with class assertions unless they are to go."""
+    out = only_subclasses(axioms)
+    return out.unionByName(of_types(axioms, "ClassAssertion")) if keep_assertions else out
+
+
 def without_types(axioms: DataFrame, *types: str) -> DataFrame:
     return axioms.filter(~F.col("axiom_type").isin(list(types)))
 
@@ -81,6 +103,17 @@ def within_signature(axioms: DataFrame, terms: DataFrame) -> DataFrame:
     return axioms.join(outside, "axiom_id", "left_anti")
 
 
+def with_keywords(triples: DataFrame, names: Mapping[str, str]) -> DataFrame:
+    """Triples with :keywords replaced by their IRIs; a keyword without one fails the job that writes the triples."""
+    known = F.create_map(*[F.lit(x) for k, v in names.items() for x in (f":{k}", v)]) if names else None
+    out = triples
+    for c in ("s", "p", "o"):
+        missing = F.raise_error(F.concat(F.lit("unresolved keyword "), F.col(c))).cast("string")
+        named = missing if known is None else F.coalesce(F.try_element_at(known, F.col(c)), missing)
+        out = out.withColumn(c, F.when(F.col(c).rlike(r"^:[^:/\s]+$"), named).otherwise(F.col(c)))
+    return out
+
+
 def referencing(axioms: DataFrame, terms: DataFrame) -> DataFrame:
     """Axioms that mention one of terms(iri)."""
     used = axioms.select("axiom_id", F.explode("symbols").alias("iri")).join(terms, "iri", "left_semi").select("axiom_id").distinct()

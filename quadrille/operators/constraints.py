@@ -292,3 +292,71 @@ def closure_axiom(propositions: list[tuple[str, ...]]) -> Formula:
         same = [("and", *[("=", v, x) for v, x in zip(names, row, strict=True)]) if n > 1 else ("=", names[0], row[0]) for row in rows]
         parts.append(("forall", names, ("implies", ("fact", pred, *names), ("or", *same) if len(same) > 1 else same[0])))
     return ("and", *parts) if len(parts) != 1 else parts[0]
+
+
+def class_formula(expression: str | tuple, x: str, depth: int = 0) -> Formula:
+    """That x is in a class: a name, ("and", ...), ("or", ...), ("not", c), ("some", p, c), ("all", p, c), ("value", p, i), ("self", p),
+    ("one", i...), ("min", n, p, c), ("max", n, p, c) or ("exactly", n, p, c). A property ("inverse", p) turns its link."""
+    if isinstance(expression, str):
+        return ("fact", expression, x)
+    op, *rest = expression
+    y = f"?{op}{depth}"
+    link = lambda p, a, b: ("fact", p[1], b, a) if isinstance(p, tuple) else ("fact", p, a, b)
+    if op in ("and", "or"):
+        return (op, *[class_formula(e, x, depth + 1) for e in rest])
+    if op == "not":
+        return ("not", class_formula(rest[0], x, depth + 1))
+    if op == "some":
+        return ("exists", [y], ("and", link(rest[0], x, y), class_formula(rest[1], y, depth + 1)))
+    if op == "all":
+        return ("forall", [y], ("implies", link(rest[0], x, y), class_formula(rest[1], y, depth + 1)))
+    if op == "value":
+        return link(rest[0], x, rest[1])
+    if op == "self":
+        return link(rest[0], x, x)
+    if op == "one":
+        return ("or", *[("=", x, i) for i in rest]) if len(rest) > 1 else ("=", x, rest[0])
+    n, p, c = rest
+    if op == "exactly":
+        return ("and", class_formula(("min", n, p, c), x, depth + 1), class_formula(("max", n, p, c), x, depth + 2))
+    count = n if op == "min" else n + 1
+    names = [f"{y}n{i}" for i in range(count)]
+    inside = [part for v in names for part in (link(p, x, v), class_formula(c, v, depth + 1))]
+    apart = [("not", ("=", a, b)) for i, a in enumerate(names) for b in names[i + 1 :]]
+    there = ("exists", names, ("and", *inside, *apart))
+    return there if op == "min" else ("not", there)
+
+
+def axiom_formula(kind: str, *args) -> Formula:
+    """The closed formula of an axiom over class expressions, properties and individuals."""
+    x, y, z = "?x", "?y", "?z"
+    of = lambda c, v=x: class_formula(c, v)
+    pairs = lambda xs: [(a, b) for i, a in enumerate(xs) for b in xs[i + 1 :]]
+    every = lambda names, f: ("forall", names, f)
+    both = lambda fs: fs[0] if len(fs) == 1 else ("and", *fs)
+    link = lambda p, a, b: ("fact", p[1], b, a) if isinstance(p, tuple) else ("fact", p, a, b)
+    forms = {
+        "SubClassOf": lambda a, b: every([x], ("implies", of(a), of(b))),
+        "EquivalentClasses": lambda *cs: both([every([x], ("iff", of(a), of(b))) for a, b in zip(cs, cs[1:], strict=False)]),
+        "DisjointClasses": lambda *cs: both([every([x], ("not", ("and", of(a), of(b)))) for a, b in pairs(cs)]),
+        "DisjointUnion": lambda c, *cs: both([axiom_formula("EquivalentClasses", c, ("or", *cs)), axiom_formula("DisjointClasses", *cs)]),
+        "SubObjectPropertyOf": lambda p, q: every([x, y], ("implies", link(p, x, y), link(q, x, y))),
+        "SubObjectPropertyOfChain": lambda q, *ps: every([f"?c{i}" for i in range(len(ps) + 1)], ("implies", both([link(p, f"?c{i}", f"?c{i + 1}") for i, p in enumerate(ps)]), link(q, "?c0", f"?c{len(ps)}"))),
+        "EquivalentObjectProperties": lambda *ps: both([every([x, y], ("iff", link(a, x, y), link(b, x, y))) for a, b in zip(ps, ps[1:], strict=False)]),
+        "DisjointObjectProperties": lambda *ps: both([every([x, y], ("not", ("and", link(a, x, y), link(b, x, y)))) for a, b in pairs(ps)]),
+        "InverseObjectProperties": lambda p, q: every([x, y], ("iff", link(p, x, y), link(q, y, x))),
+        "ObjectPropertyDomain": lambda p, c: every([x, y], ("implies", link(p, x, y), of(c))),
+        "ObjectPropertyRange": lambda p, c: every([x, y], ("implies", link(p, x, y), of(c, y))),
+        "FunctionalObjectProperty": lambda p: every([x, y, z], ("implies", ("and", link(p, x, y), link(p, x, z)), ("=", y, z))),
+        "InverseFunctionalObjectProperty": lambda p: every([x, y, z], ("implies", ("and", link(p, y, x), link(p, z, x)), ("=", y, z))),
+        "TransitiveObjectProperty": lambda p: every([x, y, z], ("implies", ("and", link(p, x, y), link(p, y, z)), link(p, x, z))),
+        "SymmetricObjectProperty": lambda p: every([x, y], ("implies", link(p, x, y), link(p, y, x))),
+        "AsymmetricObjectProperty": lambda p: every([x, y], ("not", ("and", link(p, x, y), link(p, y, x)))),
+        "IrreflexiveObjectProperty": lambda p: every([x], ("not", link(p, x, x))),
+        "ClassAssertion": lambda c, i: of(c, i), "ObjectPropertyAssertion": lambda p, a, b: link(p, a, b), "NegativeObjectPropertyAssertion": lambda p, a, b: ("not", link(p, a, b)),
+        "SameIndividual": lambda *xs: both([("=", a, b) for a, b in zip(xs, xs[1:], strict=False)]), "DifferentIndividuals": lambda *xs: both([("not", ("=", a, b)) for a, b in pairs(xs)]),
+        "HasKey": lambda c, *ps: every([x, y, *[f"?k{i}" for i in range(len(ps))]], ("implies", both([of(c), of(c, y), *[part for i, p in enumerate(ps) for part in (link(p, x, f"?k{i}"), link(p, y, f"?k{i}"))]]), ("=", x, y))),
+    }
+    if kind not in forms:
+        raise ValueError(f"{kind} has no formula")
+    return forms[kind](*args)

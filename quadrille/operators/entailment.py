@@ -11,7 +11,7 @@ from quadrille.plans.fixpoint import transitive_closure
 from quadrille.plans.stages import free, stored
 
 #: Bundles by name; `none` is the stated graph.
-BUNDLES = ("none", "rdfs", "rdfs-plus")
+BUNDLES = ("none", "rdfs", "rdfs-plus", "horst")
 
 
 def _plain(triples: DataFrame) -> DataFrame:
@@ -96,11 +96,63 @@ def rdfs_plus(triples: DataFrame, rounds: int = 20) -> DataFrame:
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
+SAME = f"{OWL}sameAs"
+
+
+def same_individuals(triples: DataFrame) -> DataFrame:
+    """(a, b) of different individuals that are the same: stated, or by functional and inverse functional properties."""
+    flag = lambda k: triples.filter((F.col("p") == TYPE) & (F.col("o") == f"{OWL}{k}")).select(F.col("s").alias("p")).distinct()
+    things = triples.filter(F.coalesce(F.col("o_kind"), F.lit(IRI)) != LITERAL) if "o_kind" in triples.columns else triples
+    values = lambda k, key, value: things.join(flag(k), "p").select("p", F.col(key).alias("k"), F.col(value).alias("a")).distinct()
+    # of the values of one key the smallest stands for all: the closure does the rest
+    pairs = [edges_of(triples, SAME)]
+    for kind, key, value in (("FunctionalProperty", "s", "o"), ("InverseFunctionalProperty", "o", "s")):
+        rows = values(kind, key, value)
+        pairs.append(rows.join(rows.groupBy("p", "k").agg(F.min("a").alias("b")), ["p", "k"]).select("a", "b"))
+    links = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).filter("a <> b")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return transitive_closure(both).filter("a <> b")
+
+
+def horst(triples: DataFrame, rounds: int = 20) -> DataFrame:
+    """RDFS-plus with equal individuals, which share all their triples, and the restrictions some, all and value followed from triples
+    to types and, for all and value, back."""
+    base = _things(triples)
+    now = stored(base, "entailed")
+    for _ in range(rounds):
+        plain = now.withColumn("o_kind", F.when(F.col("thing"), F.lit(IRI)).otherwise(F.lit(LITERAL)))
+        full = stored(rdfs_plus(plain).join(now.filter("NOT thing").select("s", "p", "o", F.lit(True).alias("__l")), ["s", "p", "o"], "left").select("s", "p", "o", F.col("__l").isNull().alias("thing")), "entailed")
+        same = stored(same_individuals(full.withColumn("o_kind", F.when(F.col("thing"), F.lit(IRI)).otherwise(F.lit(LITERAL)))), "same")
+        other = same.select(F.col("a").alias("s"), F.col("b").alias("__s"))
+        subjects = full.unionByName(full.join(other, "s").select(F.col("__s").alias("s"), "p", "o", "thing")).distinct()
+        objects = subjects.filter("thing").join(same.select(F.col("a").alias("o"), F.col("b").alias("__o")), "o").select("s", "p", F.col("__o").alias("o"), "thing")
+        made = subjects.unionByName(objects).unionByName(same.select(F.col("a").alias("s"), F.lit(SAME).alias("p"), F.col("b").alias("o"), F.lit(True).alias("thing")))
+        on = full.filter(F.col("p") == f"{OWL}onProperty").select(F.col("s").alias("v"), F.col("o").alias("p"))
+        filler = lambda k: full.filter(F.col("p") == f"{OWL}{k}").select(F.col("s").alias("v"), F.col("o").alias("w")).join(on, "v")  # noqa: B023, E731
+        types = full.filter(F.col("p") == TYPE).select(F.col("s").alias("x"), F.col("o").alias("c"))
+        typed = lambda df, x, c: df.select(F.col(x).alias("s"), F.lit(TYPE).alias("p"), F.col(c).alias("o"), F.lit(True).alias("thing"))
+        value, some, every = filler("hasValue"), filler("someValuesFrom"), filler("allValuesFrom")
+        made = made.unionByName(typed(full.join(value.withColumnRenamed("w", "o"), ["p", "o"]), "s", "v"))
+        made = made.unionByName(types.join(value, types["c"] == value["v"]).select(F.col("x").alias("s"), "p", F.col("w").alias("o"), F.lit(True).alias("thing")))
+        made = made.unionByName(typed(full.join(some, "p").join(types, (F.col("o") == F.col("x")) & (F.col("w") == F.col("c"))), "s", "v"))
+        owners = types.join(every, types["c"] == every["v"]).select(F.col("x").alias("s"), "p", "w")
+        made = made.unionByName(typed(full.filter("thing").join(owners, ["s", "p"]), "o", "w"))
+        after = stored(made.distinct(), "entailed")
+        ended = after.join(now, ["s", "p", "o"], "left_anti").isEmpty()
+        free(now, full, same)
+        now = after
+        if ended:
+            return now.select("s", "p", "o").distinct()
+    raise RuntimeError(f"no fixpoint after {rounds} rounds")
+
+
 def entailed(triples: DataFrame, bundle: str = "rdfs") -> DataFrame:
     """The graph that a query runs on: stated (none) or with a bundle's entailments; others raise an error."""
     if bundle not in BUNDLES:
         raise ValueError(f"{bundle} isn't among {BUNDLES}: no answer rather than a wrong one")
-    return _plain(triples).distinct() if bundle == "none" else (rdfs if bundle == "rdfs" else rdfs_plus)(triples)
+    if bundle == "none":
+        return _plain(triples).distinct()
+    return {"rdfs": rdfs, "rdfs-plus": rdfs_plus, "horst": horst}[bundle](triples)
 
 
 #: Inferred axioms by type: the predicate, and whether both ends are classes.
@@ -113,9 +165,9 @@ def inferred_axioms(triples: DataFrame, kind: str, bundle: str = "rdfs") -> Data
     return entailed(triples, bundle).filter((F.col("p") == p) & (F.col("s") != F.col("o"))).join(_plain(triples), ["s", "p", "o"], "left_anti")
 
 
-def why_subclass(triples: DataFrame, sub: str, sup: str) -> DataFrame:
-    """(step, a, b): the links of one shortest chain from sub up to sup; none if there is no chain."""
-    edges = stored(edges_of(triples), "edges")
+def why_subclass(triples: DataFrame, sub: str, sup: str, predicate: str = SUBCLASS) -> DataFrame:
+    """(step, a, b): the links of one shortest chain from sub up to sup (by another predicate, of properties, say); none if there is no chain."""
+    edges = stored(edges_of(triples, predicate), "edges")
     spark = triples.sparkSession
     now = spark.createDataFrame([(sub, [sub])], "node string, path array<string>")
     seen = now.select("node")

@@ -75,3 +75,15 @@ def relabelled(facts: DataFrame, pred: str, position: int, prefix: str) -> DataF
     rows = stored(rows, "facts")
     cells = rows.select("__id", "pred", F.posexplode("args").alias("at", "x")).join(named, "x", "left").select("__id", "pred", F.struct("at", F.coalesce("name", "x").alias("x")).alias("c"))
     return cells.groupBy("__id", "pred").agg(F.array_sort(F.collect_list("c")).alias("c")).select("pred", F.transform("c", lambda c: c["x"]).alias("args"))
+
+
+def in_time(facts: DataFrame, time: int) -> DataFrame:
+    """facts in the order of the time at a place of theirs (numbers or dates as texts), then by name: those without come last."""
+    at = F.get("args", F.lit(time))
+    return facts.orderBy(F.coalesce(at.try_cast("double"), F.unix_timestamp(at.try_cast("timestamp")).cast("double")).asc_nulls_last(), "pred", "args")
+
+
+def first_of_each(rows: DataFrame, group: str, order: Column, n: int) -> DataFrame:
+    """The first n rows of each group; Spark keeps n rows of a group in each task before it deals them."""
+    own = Window.partitionBy(group).orderBy(order, *[c for c in rows.columns if c != group])
+    return rows.withColumn("__n", F.row_number().over(own)).filter(F.col("__n") <= n).drop("__n")

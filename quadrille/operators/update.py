@@ -134,3 +134,21 @@ class GraphStore:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Operations of updates by name, with the qualifiers that each has.
+OPERATIONS = {
+    "insert": (insert, {"triples", "graph"}), "delete": (delete, {"triples", "graph"}), "modify": (modify, {"solutions", "delete_template", "insert_template", "graph"}),
+    "clear": (clear, {"graph", "which"}), "drop": (clear, {"graph", "which"}), "add": (add, {"source", "target"}), "copy": (copy, {"source", "target"}), "move": (move, {"source", "target"}),
+    "create": (lambda store, graph: store, {"graph"}),
+}
+
+
+def update(store: DataFrame, operation: str, **qualifiers) -> DataFrame:
+    """One update by name; a qualifier that the operation doesn't use is an error. A created graph has no quads yet, so nothing changes."""
+    if operation not in OPERATIONS:
+        raise ValueError(f"no update: {operation}")
+    run, known = OPERATIONS[operation]
+    if unused := set(qualifiers) - known:
+        raise ValueError(f"{operation} doesn't use {sorted(unused)}")
+    return run(store, **qualifiers)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.plans.stages import free, stored, together
@@ -68,12 +68,16 @@ def bounded_paths(edges: DataFrame, least: int, most: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """head if all of body and none of unless. Atoms are (predicate, argument...); arguments that begin with ? are variables."""
+    """head if all of body and tests, and none of unless. Atoms are (predicate, argument...); arguments that begin with ? are variables.
+
+    tests: conditions on the bindings of the body, as functions of a mapping from the variables' names to columns.
+    """
 
     head: tuple[str, ...]
     body: tuple[tuple[str, ...], ...]
     unless: tuple[tuple[str, ...], ...] = ()
     label: str = ""
+    tests: tuple[Callable[[Mapping[str, Column]], Column], ...] = ()
 
     def __post_init__(self) -> None:
         bound = {x for atom in self.body for x in atom[1:] if x.startswith("?")}
@@ -143,6 +147,8 @@ def saturate(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     def bindings(rule: Rule, new: int | None, delta: dict[str, DataFrame]) -> DataFrame:
         order = sorted(enumerate(rule.body), key=lambda x: x[0] != new)
         rows = conjunction([(delta[a[0]] if k == new else known(a[0]), a) for k, a in order])
+        for test in rule.tests:
+            rows = rows.filter(test({c: F.col(c) for c in rows.columns}))
         for a in rule.unless:
             rows = _joined(rows, atom_rows(known(a[0]), a), "left_anti")
         return _head(rule, rows)
