@@ -188,6 +188,56 @@ def test_quality(spark, sf):
     assert np.mean([r.predicted == r.quality for r in held]) > 0.93
 
 
+def plain_statistics(text):
+    """The statistics of one text, said in plain Python."""
+    if not text:
+        return [0.0] * len(quality.STATISTICS)
+    raw, own = text.encode(), [w.encode() for w in words(lower(text))]
+    sets = [set(c) for c in quality.CLASSES.values()]
+    shares = [sum(b in c for b in raw) / len(raw) for c in sets]
+    row = [*shares, 1 - sum(shares), math.log1p(len(raw))]
+    if own:
+        n, sizes, counts = len(own), [len(w) for w in own], collections.Counter(own)
+        mean = sum(sizes) / n
+        spread = (sum((x - mean) ** 2 for x in sizes) / n) ** 0.5
+        pairs = len(set(zip(own, own[1:]))) / max(1, n - 1)
+        row += [math.log1p(n), math.log1p(mean), math.log1p(spread), len(counts) / n, max(counts.values()) / n, sum(a == b for a, b in zip(own, own[1:])) / n, pairs]
+    else:
+        row += [0.0] * 7
+    lines = text.split("\n")
+    return [*row, math.log1p(len(lines)), len(set(lines)) / len(lines)]
+
+
+def test_quality_equals_a_plain_version(spark, sf):
+    """Statistics, features, ridge and calibration over all labelled rows at once, without Spark."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    taught = [(r.doc_id, r.quality) for r in labels.collect() if r.doc_id in texts and r.quality in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 5]
+    x, y = np.array([plain_statistics(texts[i]) for i, _ in taught]), np.array([float(q) for _, q in taught])
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < 1e-9] = 1
+    rng = np.random.default_rng(7)
+    weights, shift = rng.normal(size=(x.shape[1], quality.WIDTH)) * quality.SPREAD / x.shape[1] ** 0.5, rng.uniform(0, 2 * np.pi, quality.WIDTH)
+
+    def features(x):
+        z = np.cos(np.clip((x - mean) / scale, -quality.CLIP, quality.CLIP) @ weights + shift) * (2 / quality.WIDTH) ** 0.5
+        return np.hstack([z, np.ones((len(x), 1))])
+
+    z = features(x)
+    ridge = np.linalg.solve(z.T @ z / len(y) + quality.RIDGE / quality.WIDTH * np.eye(z.shape[1]), z.T @ y / len(y))
+    place = ((np.clip(z @ ridge, -0.5, 1.499999) + 0.5) * quality.BINS / 2).astype(int)
+    there = sorted(set(place.tolist()))
+    means, sizes = [y[place == b].mean() for b in there], [(place == b).sum() for b in there]
+    # the isotonic fit by its min-max formula
+    total = np.concatenate([[0], np.cumsum(np.array(means) * sizes)])
+    count = np.concatenate([[0], np.cumsum(sizes)])
+    fit = [max(min((total[b] - total[a]) / (count[b] - count[a]) for b in range(i + 1, len(there) + 1)) for a in range(i + 1)) for i in range(len(there))]
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    want = np.interp(features(np.array([plain_statistics(t) for t in texts.values()])) @ ridge, (np.array(there) + 0.5) * 2 / quality.BINS - 0.5, fit).clip(0, 1)
+    # a raw score at the edge of a bin may fall to either side
+    assert np.mean(np.abs(np.array([got[i] for i in texts]) - want) < 1e-3) > 0.97
+
+
 def test_quality_edges(spark, docs, none):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(None, 1, 0), (5, None, 1)], "doc_id long, quality int, toxic int")
     rows = quality.classify(docs, labels).collect()
