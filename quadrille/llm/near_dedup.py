@@ -241,38 +241,57 @@ def links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+#: The owner of a shingle that several nodes of one batch have: these know it, others learn that it is shared.
+SEVERAL = 0xFFFF
+
+
 def shared_mass(sets: DataFrame, buckets: int) -> DataFrame:
     """(node, mass): how many of a node's shingles at least one other node of sets(node, set) has.
 
     Shingles are dealt to buckets of their hash as packed arrays; a bucket's tasks count, and give
-    back sums for each node.
+    back sums for each node. A shingle that several nodes of a batch have counts for them at once and is
+    sent on once, so one that very many nodes have fills no bucket.
     """
     import numpy as np
 
+    names = ["bucket", "nodes", "keys", "owner", "mass"]
+    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 raw = [np.frombuffer(s, np.uint64) for s in part["set"].to_pylist()]
-                keys = np.concatenate(raw)
+                every = np.concatenate(raw)
                 owner = np.repeat(np.arange(len(raw), dtype=np.uint16), [len(r) for r in raw])
+                keys, first, back, times = np.unique(every, return_index=True, return_inverse=True, return_counts=True)
+                known = np.bincount(owner[times[back] > 1], minlength=len(raw)).astype(np.uint32)
+                owners = np.where(times > 1, np.uint16(SEVERAL), owner[first])
                 bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+                there, begin = np.unique(bucket[order], return_index=True)
                 nodes = part["node"].to_numpy().tobytes()
-                rows = [(k, nodes, keys[order[a:b]].tobytes(), owner[order[a:b]].tobytes()) for k, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "nodes", "keys", "owner"])
+                rows = [(int(k), nodes, keys[order[a:b]].tobytes(), owners[order[a:b]].tobytes(), None) for k, a, b in zip(there, begin, [*begin[1:], len(keys)], strict=True)]
+                rows.append((int(part["node"][0].as_py() % buckets), nodes, b"", b"", known.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def count(group: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()])
-        owners = np.concatenate([np.frombuffer(n, np.int64)[np.frombuffer(o, np.uint16)] for n, o in zip(group["nodes"].to_pylist(), group["owner"].to_pylist(), strict=True)])
-        _, back, times = np.unique(keys, return_inverse=True, return_counts=True)
-        node, mass = np.unique(owners[times[back] > 1], return_counts=True)
+        rows = group.to_pylist()
+        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+        place = np.concatenate([np.frombuffer(r["owner"], np.uint16) for r in rows])
+        owners = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["nodes"], np.int64)[np.minimum(own, len(r["nodes"]) // 8 - 1)] for r in rows if len(own := np.frombuffer(r["owner"], np.uint16))]])
+        _, back = np.unique(keys, return_inverse=True)
+        seen = np.bincount(back, 1 + (place == SEVERAL)) if len(keys) else np.zeros(0)
+        hit = (seen[back] > 1) & (place != SEVERAL) if len(keys) else np.zeros(0, bool)
+        node, mass = np.unique(owners[hit], return_counts=True)
+        for r in rows:
+            if r["mass"] is not None:
+                node, mass = np.concatenate([node, np.frombuffer(r["nodes"], np.int64)]), np.concatenate([mass, np.frombuffer(r["mass"], np.uint32)])
         return pa.table({"node": pa.array(node, pa.int64()), "mass": pa.array(mass, pa.int64())})
 
     return (
-        sets.mapInArrow(deal, "bucket int, nodes binary, keys binary, owner binary").groupBy("bucket").applyInArrow(count, "node long, mass long")
-        .groupBy("node").agg(F.sum("mass").alias("mass"))
+        sets.mapInArrow(deal, "bucket int, nodes binary, keys binary, owner binary, mass binary").groupBy("bucket").applyInArrow(count, "node long, mass long")
+        .groupBy("node").agg(F.sum("mass").alias("mass")).filter("mass > 0")
     )
 
 

@@ -437,6 +437,15 @@ def test_components(spark):
     assert got == {x: root(x) for e in edges if e[0] != e[1] for x in e}
 
 
+def test_shared_mass(spark):
+    rng = np.random.default_rng(9)
+    sets = {i: set(rng.integers(0, 1 << 62, 5).tolist()) | ({7} if i % 3 else set()) | ({1000 + i // 2}) for i in range(5000)}
+    times = collections.Counter(x for s in sets.values() for x in s)
+    want = {i: n for i, s in sets.items() if (n := sum(times[x] > 1 for x in s))}
+    rows = spark.createDataFrame([(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in sets.items()], "node long, set binary").repartition(3)
+    assert {r.node: r.mass for r in near_dedup.shared_mass(rows, 7).collect()} == want
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
