@@ -38,6 +38,28 @@ def direct(closure: DataFrame) -> DataFrame:
     return strict.join(between, ["a", "b"], "left_anti")
 
 
+def direct_links(edges: DataFrame) -> DataFrame:
+    """The direct links of edges(a, b), as `direct` gives them from the closure. A direct link is a stated one (between classes of nodes
+    that reach each other), so only stated links are tested: one that another stated link followed by a path replaces goes."""
+    closure = transitive_closure(edges)
+    ring = closure.join(closure.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
+    names = stored(ring.groupBy("a").agg(F.min("b").alias("name")), "rings")
+
+    def named(rows: DataFrame) -> DataFrame:
+        for c in ("a", "b"):
+            own = names.select(F.col("a").alias(c), F.col("name").alias("__name"))
+            rows = rows.join(own, c, "left").withColumn(c, F.coalesce("__name", c)).drop("__name")
+        return rows.select("a", "b").filter("a <> b").distinct()
+
+    links, paths = named(edges), named(closure)
+    around = links.join(paths.select(F.col("a").alias("b"), F.col("b").alias("__c")), "b").select("a", F.col("__c").alias("b"))
+    out = links.join(around, ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        members = names.select(F.col("name").alias(c), F.col("a").alias("__m"))
+        out = out.join(members, c, "left").withColumn(c, F.coalesce("__m", c)).drop("__m")
+    return out.select("a", "b")
+
+
 def children(closure: DataFrame, node: str) -> DataFrame:
     return direct(closure).filter(F.col("b") == node).select(F.col("a").alias("node"))
 

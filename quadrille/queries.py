@@ -340,7 +340,7 @@ def class_edges(s, d):
 
 @query(f"{CLASS_CLOSURE} SELECT a, b FROM t EXCEPT SELECT x.a, y.b FROM t x JOIN t y ON x.b = y.a")
 def o01_direct_parents(s, d):
-    return hi.direct(hi.subsumptions(class_edges(s, d)))
+    return hi.direct_links(class_edges(s, d))
 
 
 @query(f"{CLASS_CLOSURE} SELECT a AS node FROM t WHERE b = 'Brand'")

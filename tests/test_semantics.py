@@ -181,3 +181,28 @@ def test_axioms_and_models(spark):
     assert pairs(models.domain(m)) == [("x",), ("y",), ("z",)]
     hit, rest = axioms.split_by(spark.range(4), F.col("id") > 2)
     assert (hit.count(), rest.count()) == (1, 3)
+
+
+def test_direct_links_equal_those_of_the_closure(spark):
+    import random
+
+    from quadrille.operators import hierarchy as hi
+    from quadrille.plans.fixpoint import transitive_closure as closed
+
+    r = random.Random(4)
+    for _ in range(3):
+        edges = spark.createDataFrame([(str(r.randint(0, 9)), str(r.randint(0, 9))) for _ in range(13)], "a string, b string")
+        assert pairs(hi.direct_links(edges)) == pairs(hi.direct(closed(edges)))
+
+
+def test_terms_across_solutions(spark):
+    from quadrille.functions.terms import Literal
+
+    rows = [("x", "p", "1", 2, "http://www.w3.org/2001/XMLSchema#integer", None), ("y", "q", "1", 2, None, None), ("z", "q", "1", 0, None, None), ("w", "q", "1", 2, "http://www.w3.org/2001/XMLSchema#integer", None)]
+    g = spark.createDataFrame(rows, "s string, p string, o string, o_kind tinyint, o_dt string, o_lang string")
+    a, b = patterns.bgp(g, ("?s", "p", "?v"), terms=True), patterns.bgp(g, ("?t", "q", "?v"), terms=True)
+    assert [r.t for r in patterns.natural_join(a, b).collect()] == ["w"]
+    assert sorted(r.t for r in patterns.minus(b, a.drop("s", "__t_s")).collect()) == ["y", "z"]
+    assert sorted(r.t for r in patterns.optional(b, a).filter("s IS NULL").collect()) == ["y", "z"]
+    assert sorted(r.s for r in patterns.bgp(g, ("?s", "q", Literal("1"))).collect()) == ["y"]
+    assert sorted(r.s for r in patterns.bgp(g, ("?s", patterns.iri("p") | "q", Literal("1", "xsd:integer"))).collect()) == ["w", "x"]
