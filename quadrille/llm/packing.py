@@ -40,13 +40,14 @@ class Encoder(dict):
         with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as whole:
-            special = {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
-        self.ids = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+            self.special = {t["content"]: t["id"] for t in json.load(whole)["added_tokens"]}
+        self.ids = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def whole(self, text: str) -> bytes:
         import numpy as np
 
-        return np.array(self.ids.encode(text, allowed_special="all"), dtype="<u4").tobytes()
+        found = any(token in text for token in self.special)
+        return np.array(self.ids.encode(text, allowed_special="all") if found else self.ids.encode_ordinary(text), dtype="<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes | None:
         if len(self) >= CACHED:
