@@ -72,30 +72,48 @@ def _flagged(base: DataFrame, kind: str) -> DataFrame:
     return base.filter((F.col("p") == TYPE) & (F.col("o") == OWL + kind)).select(F.col("s").alias("p")).distinct()
 
 
-def rdfs_plus(triples: DataFrame, rounds: int = 20) -> DataFrame:
-    """RDFS with inverse, symmetric and transitive properties and equivalent classes and properties."""
-    base = stored(_things(triples), "stated")
+def _seed(triples: DataFrame) -> DataFrame:
+    """(s, p, o, thing) with equivalences of classes and properties as links both ways."""
+    base = _things(triples)
     turn = F.explode(F.array(F.struct("s", "o"), F.struct(F.col("o").alias("s"), F.col("s").alias("o")))).alias("t")
     both = lambda p, q: base.filter(F.col("p") == OWL + p).select(turn).select("t.s", F.lit(q).alias("p"), "t.o", F.lit(True).alias("thing"))
-    now = stored(base.unionByName(both("equivalentClass", SUBCLASS)).unionByName(both("equivalentProperty", SUBPROPERTY)).distinct(), "entailed")
-    inverse = base.filter(F.col("p") == f"{OWL}inverseOf").select(turn).select(F.col("t.s").alias("p"), F.col("t.o").alias("q"))
+    return base.unionByName(both("equivalentClass", SUBCLASS)).unionByName(both("equivalentProperty", SUBPROPERTY)).distinct()
+
+
+def _plus(now: DataFrame) -> DataFrame:
+    """One round of RDFS and of inverse, symmetric and transitive properties over (s, p, o, thing)."""
+    full = stored(_rdfs(now), "entailed")
+    things = full.filter("thing")
+    turn = F.explode(F.array(F.struct("s", "o"), F.struct(F.col("o").alias("s"), F.col("s").alias("o")))).alias("t")
+    inverse = full.filter(F.col("p") == f"{OWL}inverseOf").select(turn).select(F.col("t.s").alias("p"), F.col("t.o").alias("q")).distinct()
+    turned = things.join(inverse, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
+    mirrored = things.join(_flagged(full, "SymmetricProperty"), "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+    new = turned.unionByName(mirrored).withColumn("thing", F.lit(True))
+    chains = things.unionByName(new).join(_flagged(full, "TransitiveProperty"), "p").select("p", F.col("s").alias("a"), F.col("o").alias("b"))
+    closed = transitive_closure(chains, by=["p"]).select(F.col("a").alias("s"), "p", F.col("b").alias("o"), F.lit(True).alias("thing"))
+    after = stored(full.unionByName(new).unionByName(closed).distinct(), "entailed")
+    free(full)
+    return after
+
+
+def _fixpoint(now: DataFrame, step, rounds: int) -> DataFrame:
+    """(s, p, o) when a step adds nothing; an error after so many rounds."""
+    now = stored(now, "entailed")
     for _ in range(rounds):
-        full = stored(_rdfs(now), "entailed")
-        things = full.filter("thing")
-        turned = things.join(inverse, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
-        mirrored = things.join(_flagged(base, "SymmetricProperty"), "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
-        new = turned.unionByName(mirrored).withColumn("thing", F.lit(True))
-        chains = things.unionByName(new).join(_flagged(base, "TransitiveProperty"), "p").select("p", F.col("s").alias("a"), F.col("o").alias("b"))
-        closed = transitive_closure(chains, by=["p"]).select(F.col("a").alias("s"), "p", F.col("b").alias("o"), F.lit(True).alias("thing"))
-        after = stored(full.unionByName(new).unionByName(closed).distinct(), "entailed")
+        after = step(now)
         ended = after.join(now, ["s", "p", "o"], "left_anti").isEmpty()
-        free(now, full)
+        free(now)
         now = after
         if ended:
             return now.select("s", "p", "o").distinct()
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
+def rdfs_plus(triples: DataFrame, rounds: int = 20) -> DataFrame:
+    """RDFS with inverse, symmetric and transitive properties and equivalent classes and properties."""
+    return _fixpoint(_seed(triples), _plus, rounds)
+
+
 SAME = f"{OWL}sameAs"
 
 
@@ -114,36 +132,33 @@ def same_individuals(triples: DataFrame) -> DataFrame:
     return transitive_closure(both).filter("a <> b")
 
 
+def _horst(now: DataFrame) -> DataFrame:
+    """One round of RDFS-plus, equal individuals and restrictions."""
+    full = _plus(now)
+    same = stored(same_individuals(full.withColumn("o_kind", F.when(F.col("thing"), F.lit(IRI)).otherwise(F.lit(LITERAL)))), "same")
+    yes = F.lit(True).alias("thing")
+    subjects = full.unionByName(full.join(same.select(F.col("a").alias("s"), F.col("b").alias("__s")), "s").select(F.col("__s").alias("s"), "p", "o", "thing")).distinct()
+    objects = subjects.filter("thing").join(same.select(F.col("a").alias("o"), F.col("b").alias("__o")), "o").select("s", "p", F.col("__o").alias("o"), "thing")
+    made = subjects.unionByName(objects).unionByName(same.select(F.col("a").alias("s"), F.lit(SAME).alias("p"), F.col("b").alias("o"), yes))
+    on = full.filter(F.col("p") == f"{OWL}onProperty").select(F.col("s").alias("v"), F.col("o").alias("p"))
+    filler = lambda k: full.filter(F.col("p") == f"{OWL}{k}").select(F.col("s").alias("v"), F.col("o").alias("w")).join(on, "v")
+    types = full.filter(F.col("p") == TYPE).select(F.col("s").alias("x"), F.col("o").alias("c"))
+    typed = lambda df, x, c: df.select(F.col(x).alias("s"), F.lit(TYPE).alias("p"), F.col(c).alias("o"), yes)
+    value, some, every = filler("hasValue"), filler("someValuesFrom"), filler("allValuesFrom")
+    made = made.unionByName(typed(full.join(value.withColumnRenamed("w", "o"), ["p", "o"]), "s", "v"))
+    made = made.unionByName(types.join(value, types["c"] == value["v"]).select(F.col("x").alias("s"), "p", F.col("w").alias("o"), yes))
+    made = made.unionByName(typed(full.join(some, "p").join(types, (F.col("o") == F.col("x")) & (F.col("w") == F.col("c"))), "s", "v"))
+    owners = types.join(every, types["c"] == every["v"]).select(F.col("x").alias("s"), "p", "w")
+    made = made.unionByName(typed(full.filter("thing").join(owners, ["s", "p"]), "o", "w"))
+    after = stored(made.distinct(), "entailed")
+    free(full, same)
+    return after
+
+
 def horst(triples: DataFrame, rounds: int = 20) -> DataFrame:
     """RDFS-plus with equal individuals, which share all their triples, and the restrictions some, all and value followed from triples
     to types and, for all and value, back."""
-    base = _things(triples)
-    now = stored(base, "entailed")
-    for _ in range(rounds):
-        plain = now.withColumn("o_kind", F.when(F.col("thing"), F.lit(IRI)).otherwise(F.lit(LITERAL)))
-        full = stored(rdfs_plus(plain).join(now.filter("NOT thing").select("s", "p", "o", F.lit(True).alias("__l")), ["s", "p", "o"], "left").select("s", "p", "o", F.col("__l").isNull().alias("thing")), "entailed")
-        same = stored(same_individuals(full.withColumn("o_kind", F.when(F.col("thing"), F.lit(IRI)).otherwise(F.lit(LITERAL)))), "same")
-        other = same.select(F.col("a").alias("s"), F.col("b").alias("__s"))
-        subjects = full.unionByName(full.join(other, "s").select(F.col("__s").alias("s"), "p", "o", "thing")).distinct()
-        objects = subjects.filter("thing").join(same.select(F.col("a").alias("o"), F.col("b").alias("__o")), "o").select("s", "p", F.col("__o").alias("o"), "thing")
-        made = subjects.unionByName(objects).unionByName(same.select(F.col("a").alias("s"), F.lit(SAME).alias("p"), F.col("b").alias("o"), F.lit(True).alias("thing")))
-        on = full.filter(F.col("p") == f"{OWL}onProperty").select(F.col("s").alias("v"), F.col("o").alias("p"))
-        filler = lambda k: full.filter(F.col("p") == f"{OWL}{k}").select(F.col("s").alias("v"), F.col("o").alias("w")).join(on, "v")  # noqa: B023, E731
-        types = full.filter(F.col("p") == TYPE).select(F.col("s").alias("x"), F.col("o").alias("c"))
-        typed = lambda df, x, c: df.select(F.col(x).alias("s"), F.lit(TYPE).alias("p"), F.col(c).alias("o"), F.lit(True).alias("thing"))
-        value, some, every = filler("hasValue"), filler("someValuesFrom"), filler("allValuesFrom")
-        made = made.unionByName(typed(full.join(value.withColumnRenamed("w", "o"), ["p", "o"]), "s", "v"))
-        made = made.unionByName(types.join(value, types["c"] == value["v"]).select(F.col("x").alias("s"), "p", F.col("w").alias("o"), F.lit(True).alias("thing")))
-        made = made.unionByName(typed(full.join(some, "p").join(types, (F.col("o") == F.col("x")) & (F.col("w") == F.col("c"))), "s", "v"))
-        owners = types.join(every, types["c"] == every["v"]).select(F.col("x").alias("s"), "p", "w")
-        made = made.unionByName(typed(full.filter("thing").join(owners, ["s", "p"]), "o", "w"))
-        after = stored(made.distinct(), "entailed")
-        ended = after.join(now, ["s", "p", "o"], "left_anti").isEmpty()
-        free(now, full, same)
-        now = after
-        if ended:
-            return now.select("s", "p", "o").distinct()
-    raise RuntimeError(f"no fixpoint after {rounds} rounds")
+    return _fixpoint(_seed(triples), _horst, rounds)
 
 
 def entailed(triples: DataFrame, bundle: str = "rdfs") -> DataFrame:
