@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import table
-from quadrille.plans.stages import stored
+from quadrille.plans.stages import free, stored
 
 DOMAINS = ("clean", "low", "toxic")
 WEIGHTS = {"clean": 0.90, "low": 0.07, "toxic": 0.03}
@@ -118,6 +118,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) ->
         lexicon[d] = [r["value"] for r in telling.orderBy(F.desc(F.col(d) * odds), "value").limit(LEXICON).collect()]
     draft = Classifier([], lexicon, {})
     classes = {r["value"]: [math.log((r[d] + 0.5) / (n[i] + 5)) for i, d in enumerate(DOMAINS)] for r in _counted(seen, draft.make_up("text", F.col("words"))).collect()}
+    free(seen, counts)
     return Classifier([math.log((x + 0.5) / (whole + 1.5)) for x in n], lexicon, classes)
 
 

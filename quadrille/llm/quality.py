@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import flat_words, remainder, table
-from quadrille.plans.stages import stored
+from quadrille.plans.stages import free, stored
 
 #: Random features; the normal equations have WIDTH squared entries whatever the input.
 WIDTH = 320
@@ -193,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, width: int = WIDTH, seed: int = 7, b
         return np.concatenate([np.bincount(at.astype(int), minlength=BINS), np.bincount(at.astype(int), y, BINS)])
 
     counts = _summed(train, binned, 2 * BINS)
+    free(train)
     full = np.flatnonzero(counts[:BINS])
     values = isotonic(counts[BINS:][full], counts[:BINS][full])
     return Model(mean, scale, weights, shift, ridge, (full + 0.5) * (2 / BINS) - 0.5, np.array(values))
