@@ -17,7 +17,9 @@ from quadrille.llm.common import slices, table
 LENGTH = 1024
 END = 2
 #: Open bins that a packing task holds at most.
-OPEN_BINS = 1 << 16
+OPEN_BINS = 4096
+#: Pieces that are looked at together, longest first; fewer than open bins, so that what a window leaves open, the next ones fill.
+WINDOW = 2000
 #: Documents for each packing task.
 ROWS_PER_PART = 100_000
 #: Words that a worker keeps encoded; the table is emptied when full, which changes no result.
@@ -123,27 +125,49 @@ class BestFit:
         return bin_, self.length - free
 
 
-def fill(batches: Iterator[pa.RecordBatch], length: int, open_bins: int) -> Iterator[pa.RecordBatch]:
+def fill(batches: Iterator[pa.RecordBatch], length: int, open_bins: int, window: int) -> Iterator[pa.RecordBatch]:
+    """Each piece's bin and offset, in the order of the stream: windows one after the other, each window's pieces longest first."""
+    import numpy as np
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    held: list[pa.RecordBatch] = []
     part, packer = None, None
+
+    def packed() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        sizes = rows["length"].to_numpy()
+        ids, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        for k in np.argsort(-sizes, kind="stable").tolist():
+            bin_, offsets[k] = packer.put(int(sizes[k]))
+            ids[k] = part << 32 | bin_
+        held.clear()
+        return pa.RecordBatch.from_arrays([*[rows[c].combine_chunks() for c in names], pa.array(ids), pa.array(offsets)], names=[*names, "sequence_id", "offset"])
+
     for batch in batches:
-        ids, offsets = [], []
-        for p, size in zip(batch["part"].to_pylist(), batch["length"].to_pylist(), strict=True):
-            if p != part:
-                part, packer = p, BestFit(length, open_bins)
-            bin_, offset = packer.put(size)
-            ids.append(p << 32 | bin_)
-            offsets.append(offset)
-        columns = [batch[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-
-def pack(df: DataFrame, length: int = LENGTH, end: int = END, open_bins: int = OPEN_BINS, rows: int | None = None) -> DataFrame:
+        parts = batch["part"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a < b and int(parts[a]) != part:
+                if held:
+                    yield packed()
+                part, packer = int(parts[a]), BestFit(length, open_bins)
+            while a < b:
+                some = min(b - a, window - sum(h.num_rows for h in held))
+                held.append(batch.slice(a, some))
+                a += some
+                if sum(h.num_rows for h in held) == window:
+                    yield packed()
+    if held:
+        yield packed()
+
+
+def pack(df: DataFrame, length: int = LENGTH, end: int = END, open_bins: int = OPEN_BINS, rows: int | None = None, window: int = WINDOW) -> DataFrame:
     """Pieces of the documents (doc_id, text) and each one's place in a sequence.
 
     Each text is encoded once, in the task that reads it; only the pieces' lengths move on. They
-    are dealt evenly by a hash into parts of about ROWS_PER_PART documents, longest first in a
-    part, and packed by bounded-space best fit, so a part leaves hardly more than one sequence
-    that isn't full, and a lost task can be run again with the same outcome. Only documents over
+    are dealt evenly by a hash into parts of about ROWS_PER_PART documents, and packed as they come, in the
+    order of a hash, by bounded-space best fit with a window of some pieces, longest first. A lost task
+    can be run again with the same outcome. Only documents over
     `length` are cut; their first piece takes the rest, the others are full sequences.
     Equal rows are dealt apart, so no id and no text fills a part.
 
@@ -153,12 +177,13 @@ def pack(df: DataFrame, length: int = LENGTH, end: int = END, open_bins: int = O
     rows = df.count() if rows is None else rows
     parts = max(1, -(-rows // ROWS_PER_PART))
     pieces = df.select("doc_id", "text").mapInArrow(lambda b: cut(b, length, end), PIECES)
+    place = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
     dealt = (
-        pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts)))
+        pieces.withColumn("place", place).withColumn("part", F.pmod("place", F.lit(parts)))
         .repartition(parts, "part")
-        .sortWithinPartitions("part", F.desc("length"), "doc_id", "piece", "ids_crc32")
+        .sortWithinPartitions("part", F.xxhash64("place", F.lit("order")), "doc_id", "piece", "ids_crc32")
     )
-    return dealt.mapInArrow(lambda b: fill(b, length, open_bins), f"{PIECES}, sequence_id long, offset long")
+    return dealt.mapInArrow(lambda b: fill(b, length, open_bins, window), f"{PIECES}, sequence_id long, offset long")
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:

@@ -93,11 +93,21 @@ def test_packing(spark, docs, none):
 
 def test_best_fit_is_tight():
     rng = np.random.default_rng(5)
-    sizes = sorted(rng.integers(1, 1024, 20000).tolist(), reverse=True)
+    sizes = rng.integers(1, 1024, 20000).tolist()
     fit = packing.BestFit(1024, packing.OPEN_BINS)
-    for s in sizes:
-        fit.put(s)
-    assert fit.n_bins <= 1.01 * sum(sizes) / 1024
+    for a in range(0, len(sizes), packing.WINDOW):
+        for s in sorted(sizes[a : a + packing.WINDOW], reverse=True):
+            fit.put(s)
+            assert fit.n_open <= packing.OPEN_BINS
+    assert fit.n_bins <= 1.02 * sum(sizes) / 1024
+
+
+def test_packing_of_a_table_is_tight(spark, sf):
+    """Over several windows and parts: within a hundredth of the least number of sequences, and two for each part."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = packing.pack(docs, rows=300_000)
+    n, tokens = rows.agg(F.count_distinct("sequence_id"), F.sum("length")).first()
+    assert n <= 1.01 * tokens / 1024 + 2 * 3
     tight = packing.BestFit(10, 2)  # a third open bin closes the fullest
     assert [tight.put(s)[0] for s in (9, 8, 7)] == [0, 1, 2]
     assert tight.put(1)[0] == 1 and tight.n_open == 2
@@ -117,6 +127,12 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == want.ids
 
 
+PAGES = [
+    (0, "u", "<html><body><nav><ul><li><a href='/'>Home page</a></li></ul></nav><article><h1>Title &amp; more</h1><p>First   <b>bold</b>\nline.<p>Second&nbsp;one, still going on with words.</article><div class='comments'><p>nice one</p></div><footer>&copy; me</footer></body></html>"),
+    (1, "u", None), (2, "u", ""), (3, "u", "<p>unclosed"), (4, None, "no markup at all"), (5, "u", "<div" * 50), (6, "u", "<script>var a = '<p>x</p>';</script><!-- <p>no</p> -->"),
+]
+
+
 def test_extraction(spark):
     df = spark.createDataFrame([(*p, 1, 2) for p in PAGES], "page_id long, url string, html string, text int, n_chars int")
     got = {r.page_id: r for r in html_extract.extract(df).collect()}
