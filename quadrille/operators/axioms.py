@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadrille.functions.terms import OWL, RDFS, SUBCLASS, SUBPROPERTY, TYPE
+from quadrille.operators.trees import shape
 from quadrille.plans.fixpoint import transitive_closure
-from quadrille.plans.stages import stored, together
+from quadrille.plans.stages import stored
 
 SCHEMA = "ont string, axiom_id string, axiom_type string, is_logical boolean, sexpr string, symbols array<string>"
 #: Axiom types that carry no logic.
@@ -147,11 +148,16 @@ def diff(first: DataFrame, second: DataFrame, key: Sequence[str] = ("axiom_id",)
 
 
 def shapes(axioms: DataFrame, examples: int = 3) -> DataFrame:
-    """(shape, n, examples): axioms with their names replaced by place holders, and the first texts of each shape."""
-    shape = F.regexp_replace("sexpr", r"(?<=[\s(])(?![A-Z][A-Za-z]*(?:[\s)]))[^\s()]+(?=[\s)])", "_")
-    rows = axioms.withColumn("shape", shape)
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("shape").orderBy("sexpr"))).filter(F.col("n") <= examples).groupBy("shape").agg(F.array_sort(F.collect_list("sexpr")).alias("examples"))
-    return rows.groupBy("shape").agg(F.count("*").alias("n")).join(first, "shape")
+    """(shape, n, examples): axioms with their names replaced by place holders, and the first texts of each shape.
+
+    A name is what doesn't begin a form, however it is spelt. First texts are chosen in each task before a shape's rows meet.
+    """
+    rows = axioms.select(shape("sexpr").alias("shape"), "sexpr")
+    first = rows.distinct().withColumn("part", F.pmod(F.xxhash64("sexpr"), F.lit(64)))
+    for key in (["shape", "part"], ["shape"]):
+        first = first.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("sexpr"))).filter(F.col("n") <= examples)
+    texts = first.groupBy("shape").agg(F.array_sort(F.collect_list("sexpr")).alias("examples"))
+    return rows.groupBy("shape").agg(F.count("*").alias("n")).join(texts, "shape")
 
 
 def rewritten_iris(triples: DataFrame, mapping: DataFrame, columns: Sequence[str] = ("s", "p", "o")) -> DataFrame:
@@ -174,27 +180,6 @@ def minted(terms: DataFrame, taken: DataFrame, base: str, width: int = 7) -> Dat
     return ranges.withColumn("__n", place).join(F.broadcast(before), "__part").select("iri", F.concat(F.lit(base), F.lpad((F.col("__n") + F.col("__before") + last).cast("string"), width, "0")).alias("new"))
 
 
-#: Axioms that a reached symbol opens from any of their sides.
-TWO_SIDED = ("EquivalentClasses", "EquivalentObjectProperties", "EquivalentDataProperties", "InverseObjectProperties", "SameIndividual")
-
-
-def module(axioms: DataFrame, seeds: DataFrame) -> DataFrame:
-    """The axioms that a signature seeds(iri) reaches: an axiom whose first symbol (of equivalences, any symbol)
-    is reached belongs to the module and its symbols are reached too (bottom locality of subclass and
-    existential axioms)."""
-    sides = F.when(F.col("axiom_type").isin(list(TWO_SIDED)), F.col("symbols")).otherwise(F.slice("symbols", 1, 1))
-    heads = stored(axioms.select("axiom_id", F.explode(sides).alias("iri"), "symbols"), "heads")
-    parts = [stored(seeds.select("iri").distinct(), "module")]
-    while True:
-        known = together(parts)
-        fresh = heads.join(parts[-1], "iri", "left_semi").select(F.explode("symbols").alias("iri")).distinct().join(known, "iri", "left_anti")
-        delta = stored(fresh, "module")
-        if delta.isEmpty():
-            break
-        parts.append(delta)
-    return axioms.join(heads.join(known, "iri", "left_semi").select("axiom_id"), "axiom_id", "left_semi")
-
-
 #: Names that ontologies may not declare.
 RESERVED = ("http://www.w3.org/2002/07/owl#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2000/01/rdf-schema#", "http://www.w3.org/2001/XMLSchema#")
 

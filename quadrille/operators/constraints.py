@@ -8,17 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.plans.fixpoint import Rule, atom_rows, saturate
+from quadrille.plans.fixpoint import Rule, atom_rows, product, saturate
+from quadrille.plans.stages import stored
 
 #: A formula is a nested tuple: ("fact", pred, term...), ("=", a, b), ("and", f...), ("or", f...), ("not", f),
 #: ("implies", f, g), ("iff", f, g), ("exists", vars, f) or ("forall", vars, f). Terms that begin with ? are variables.
 Formula = tuple
 
 
-class NotRangeRestricted(ValueError):
-    """A variable is bound by no positive fact: its values would be the whole domain."""
-
-
 def free_variables(formula: Formula) -> set[str]:
     op, *rest = formula
     if op in ("fact", "="):
@@ -83,84 +80,139 @@ def _true(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
-def satisfying(formula: Formula, facts: DataFrame) -> DataFrame | bool:
+def universe_of(facts: DataFrame, formula: Formula = ("and",)) -> DataFrame:
+    """(c): the constants of the facts and of a formula, over which its variables range."""
+    named = sorted(symbols(formula)["constants"])
+    return facts.select(F.explode("args").alias("c")).unionByName(facts.sparkSession.createDataFrame([(x,) for x in named], "c string")).distinct()
+
+
+class _Model:
+    """Facts and the universe over which variables range that no fact binds; it is stored when the first of them asks for it."""
+
+    def __init__(self, facts: DataFrame, formula: Formula, universe: DataFrame | None):
+        self.facts, self.formula, self.given, self.kept = facts, formula, universe, None
+
+    def universe(self, name: str) -> DataFrame:
+        if self.kept is None:
+            self.kept = stored(universe_of(self.facts, self.formula) if self.given is None else self.given.select("c").distinct(), "universe")
+        return self.kept.select(F.col("c").alias(name))
+
+    def widened(self, rows: DataFrame | None, names: set[str]) -> DataFrame | None:
+        """The rows with each of the variables at each value of the universe."""
+        for v in sorted(names):
+            rows = self.universe(v[1:]) if rows is None else product(rows, self.universe(v[1:]))
+        return rows
+
+
+def satisfying(formula: Formula, facts: DataFrame, universe: DataFrame | None = None) -> DataFrame | bool:
     """The bindings of the formula's free variables under which it holds, or its truth if it has none.
 
-    Conjunctions join their positive parts and take the rest away by anti joins; a universal part
-    is what has no counterexample. A variable that no positive fact binds raises NotRangeRestricted
-    instead of a product with the domain. Names are unique: = compares them.
+    Variables range over the universe(c), without one over the constants of the facts and the formula. Conjunctions join their
+    positive parts and take the rest away by anti joins; a universal part is what has no counterexample. The universe is paired only
+    with variables that no positive part of the formula binds: their complements can't be smaller. Names are unique: = compares them.
     """
-    formula = inward(formula)
+    return _satisfying(inward(formula), _Model(facts, formula, universe))
+
+
+def _satisfying(formula: Formula, model: _Model) -> DataFrame | bool:
     op, *rest = formula
+    loose = free_variables(formula)
     if op == "fact":
-        rows = atom_rows(facts, tuple(rest))
-        return rows.distinct() if rows.columns else _true(facts.filter((F.col("pred") == rest[0]) & (F.col("args") == F.array(*[F.lit(x) for x in rest[1:]]))))
-    if op == "=" and not free_variables(formula):
-        return rest[0] == rest[1]
+        rows = atom_rows(model.facts, tuple(rest))
+        return rows.distinct() if rows.columns else _true(model.facts.filter((F.col("pred") == rest[0]) & (F.col("args") == F.array(*[F.lit(x) for x in rest[1:]]))))
+    if op == "=":
+        if not loose:
+            return rest[0] == rest[1]
+        if len(loose) == 1 and rest[0] != rest[1]:  # the constant itself, if it is in the universe
+            name, value = (rest[0], rest[1]) if rest[0].startswith("?") else (rest[1], rest[0])
+            return model.universe(name[1:]).filter(F.col(name[1:]) == value)
+        rows = model.universe(rest[0][1:])
+        return rows if len(loose) == 1 else rows.withColumn(rest[1][1:], F.col(rest[0][1:]))
     if op == "exists":
-        rows = satisfying(rest[1], facts)
-        if isinstance(rows, bool):
-            return rows
+        rows = _satisfying(rest[1], model)
+        if isinstance(rows, bool):  # its variables don't occur: there has to be some value
+            return rows and _true(model.universe("c"))
         kept = [c for c in rows.columns if f"?{c}" not in rest[0]]
         return rows.select(kept).distinct() if kept else _true(rows)
-    if op == "forall" and not free_variables(formula):
-        found = satisfying(("exists", rest[0], negated(rest[1])), facts)
-        return not found
     if op == "or":
-        parts = [satisfying(f, facts) for f in rest]
-        if any(p is True for p in parts) and not free_variables(formula):
-            return True
-        rows = [p for p in parts if not isinstance(p, bool)]
-        if any(p is True for p in parts) or len({tuple(sorted(r.columns)) for r in rows}) > 1:
-            raise NotRangeRestricted("parts of a disjunction bind different variables")
-        return reduce(DataFrame.unionByName, rows).distinct() if rows else False
+        return _disjunction(rest, loose, model)
     if op == "and":
-        return _conjunction(rest, facts)
-    if not free_variables(formula):
-        return not satisfying(rest[0], facts)
-    raise NotRangeRestricted(f"{formula[0]} binds none of {sorted(free_variables(formula))}")
+        return _conjunction(rest, model)
+    inner = ("exists", rest[0], negated(rest[1])) if op == "forall" else rest[0]
+    if not loose:
+        return not _satisfying(inner, model)
+    return _tested(model.widened(None, loose), formula, model)
+
+
+def _disjunction(parts: list[Formula], loose: set[str], model: _Model) -> DataFrame | bool:
+    found = [_satisfying(f, model) for f in parts]
+    if not loose:
+        return any(p if isinstance(p, bool) else _true(p) for p in found)
+    rows = []
+    for p in found:
+        if p is not False:
+            p = None if p is True else p
+            rows.append(model.widened(p, loose - {f"?{c}" for c in (p.columns if p is not None else [])}))
+    return reduce(DataFrame.unionByName, rows).distinct() if rows else model.widened(None, loose).limit(0)
+
+
+def _binds(part: Formula) -> set[str]:
+    """The free variables that the positive facts of a part bind."""
+    op, *rest = part
+    if op == "fact":
+        return free_variables(part)
+    if op == "exists":
+        return _binds(rest[1]) - set(rest[0])
+    if op == "and":
+        return set().union(*map(_binds, rest))
+    if op == "or":
+        return set.intersection(*map(_binds, rest)) if rest else set()
+    return set()
 
 
-def _conjunction(parts: list[Formula], facts: DataFrame) -> DataFrame | bool:
+def _conjunction(parts: list[Formula], model: _Model) -> DataFrame | bool:
     flat: list[Formula] = []
     for p in parts:
         flat += p[1:] if p[0] == "and" else [p]
-    rows: DataFrame | None = None
-    late, waiting = [], [p for p in flat if p[0] in ("fact", "exists", "or")]
+    # parts whose facts bind all their variables come first; the others only test what these bind, where they can
+    waiting = [p for p in flat if p[0] in ("fact", "exists", "or") and _binds(p) == free_variables(p)]
     late = [p for p in flat if p not in waiting]
+    rows: DataFrame | None = None
     while waiting:
-        at = next((k for k, p in enumerate(waiting) if rows is None or {f"?{c}" for c in rows.columns} & free_variables(p) or not free_variables(p)), None)
-        if at is None:
-            raise NotRangeRestricted("parts of a conjunction share no variable")
-        part = waiting.pop(at)
-        try:
-            got = satisfying(part, facts)
-        except NotRangeRestricted:
-            if rows is None or part[0] != "or":
-                raise
-            # a disjunction that only tests: its parts are conjoined with what is bound so far
-            got = reduce(DataFrame.unionByName, [_tested(rows, f, facts) for f in part[1:]]).distinct()
+        names = set() if rows is None else {f"?{c}" for c in rows.columns}
+        at = next((k for k, p in enumerate(waiting) if rows is None or names & free_variables(p) or not free_variables(p)), 0)
+        got = _satisfying(waiting.pop(at), model)
         if isinstance(got, bool):
             if not got:
-                return False
+                return _nothing(parts, model)
             continue
-        rows = got if rows is None else rows.join(got, [c for c in rows.columns if c in got.columns])
-    for part in late:
+        shared = [] if rows is None else [c for c in rows.columns if c in got.columns]
+        rows = got if rows is None else rows.join(got, shared) if shared else product(rows, got)
+    for part in sorted(late, key=lambda p: len(free_variables(p) - ({f"?{c}" for c in rows.columns} if rows is not None else set()))):
         if rows is None:
-            got = satisfying(part, facts)
+            got = _satisfying(part, model)
             if got is False:
-                return False
+                return _nothing(parts, model)
             rows = None if got is True else got
         else:
-            rows = _tested(rows, part, facts)
+            rows = _tested(rows, part, model)
     return True if rows is None else rows
 
 
-def _tested(rows: DataFrame, part: Formula, facts: DataFrame) -> DataFrame:
-    """Of the bindings, those under which the part holds."""
-    loose = free_variables(part) - {f"?{c}" for c in rows.columns}
-    if loose:
-        raise NotRangeRestricted(f"{sorted(loose)} are bound by no positive fact")
+def _nothing(parts: list[Formula], model: _Model) -> DataFrame | bool:
+    loose = free_variables(("and", *parts))
+    return model.widened(None, loose).limit(0) if loose else False
+
+
+def _tested(rows: DataFrame, part: Formula, model: _Model) -> DataFrame:
+    """Of the bindings, widened by the part's other variables, those under which the part holds."""
+    bound = {f"?{c}" for c in rows.columns}
+    if loose := free_variables(part) - bound:
+        if _binds(part) >= loose and part[0] not in ("not", "forall"):
+            got = _satisfying(part, model)
+            shared = [c for c in rows.columns if c in got.columns]
+            return rows.join(got, shared) if shared else product(rows, got)
+        rows = model.widened(rows, loose)
     op, *rest = part
     term = lambda x: F.col(x[1:]) if x.startswith("?") else F.lit(x)
     if op == "=":
@@ -168,21 +220,28 @@ def _tested(rows: DataFrame, part: Formula, facts: DataFrame) -> DataFrame:
     if op == "not" and rest[0][0] == "=":
         return rows.filter(term(rest[0][1]) != term(rest[0][2]))
     if op == "and":
-        return reduce(lambda r, f: _tested(r, f, facts), rest, rows)
-    if op in ("not", "forall"):
-        got = satisfying(rest[0] if op == "not" else ("exists", rest[0], negated(rest[1])), facts)
-        if isinstance(got, bool):
-            return rows.filter(F.lit(not got))
-        return rows.join(got, [c for c in rows.columns if c in got.columns], "left_anti")
-    got = satisfying(part, facts)
-    return rows.filter(F.lit(got)) if isinstance(got, bool) else rows.join(got, [c for c in rows.columns if c in got.columns], "left_semi")
-
-
-def holds(formula: Formula, facts: DataFrame) -> bool:
+        return reduce(lambda r, f: _tested(r, f, model), rest, rows)
+    if op == "or" and _binds(part) != free_variables(part):
+        return reduce(DataFrame.unionByName, [_tested(rows, f, model).select(rows.columns) for f in rest]).distinct() if rest else rows.limit(0)
+    if op == "forall" or (op == "exists" and _binds(part) != free_variables(part)):
+        # witnesses and counterexamples are looked for among the rows only
+        keys = rows.select([c for c in rows.columns if f"?{c}" in free_variables(part)]).distinct()
+        if not keys.columns:
+            return rows.filter(F.lit(bool(_satisfying(part, model))))
+        found = _tested(keys, negated(rest[1]) if op == "forall" else rest[1], model).select(keys.columns).distinct()
+        return rows.join(found, keys.columns, "left_anti" if op == "forall" else "left_semi")
+    got = _satisfying(rest[0] if op == "not" else part, model)
+    if isinstance(got, bool):
+        return rows.filter(F.lit(got != (op == "not")))
+    return rows.join(got, [c for c in rows.columns if c in got.columns], "left_anti" if op == "not" else "left_semi")
+
+
+def holds(formula: Formula, facts: DataFrame, universe: DataFrame | None = None) -> bool:
     """The truth of a closed formula."""
     if loose := free_variables(formula):
         raise ValueError(f"free variables: {sorted(loose)}")
-    return bool(satisfying(formula, facts))
+    got = satisfying(formula, facts, universe)
+    return got if isinstance(got, bool) else _true(got)
 
 
 def counterexamples(formula: Formula, facts: DataFrame) -> DataFrame | bool:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from quadrille.functions.terms import DOMAIN, LABEL, OWL, RANGE, SUBCLASS, SUBPROPERTY, TYPE
 from quadrille.plans.fixpoint import reachable, transitive_closure
-from quadrille.plans.stages import free, stored, together
+from quadrille.plans.stages import Rounds, free, stored
 
 NOTHING, THING = f"{OWL}Nothing", f"{OWL}Thing"
 
@@ -172,20 +172,19 @@ def forbidden_characteristics(triples: DataFrame) -> DataFrame:
 def levels(edges: DataFrame) -> DataFrame:
     """(node, level): the longest path from a root; nodes on or below a cycle have none."""
     level = 0
-    now = stored(roots(edges).withColumn("level", F.lit(0)), "levels")
-    parts = [now]
+    rounds = Rounds(roots(edges).withColumn("level", F.lit(0)), "levels")
+    now = rounds.last()
     open_ = stored(edges.filter("a <> b").distinct(), "open-edges")
     while True:
         # a node's level is known once all nodes above it have theirs: the last of its links has just gone
         gone = open_.join(now.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("node")).distinct()
         rest = stored(open_.join(now.select(F.col("node").alias("b")), "b", "left_anti"), "open-edges")
         level += 1
-        now = stored(gone.join(rest.select(F.col("a").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)), "levels")
+        now = rounds.add(gone.join(rest.select(F.col("a").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)))
         free(open_)
         if now.isEmpty():
-            free(rest, now)
-            return together(parts)
-        parts.append(now)
+            free(rest)
+            return rounds.all()
         open_ = rest
 
 
@@ -291,14 +290,12 @@ def tree_rows(edges: DataFrame, root: str, most: int | None = None) -> DataFrame
 
     most: levels to stop after, if asked.
     """
-    parts = [stored(edges.sparkSession.createDataFrame([(root, [root], 0)], "node string, path array<string>, depth int"), "tree")]
-    while most is None or len(parts) <= most:
-        down = edges.select(F.col("b").alias("node"), F.col("a").alias("__n")).join(parts[-1], "node").filter(~F.array_contains("path", F.col("__n")))
-        now = stored(down.select(F.col("__n").alias("node"), F.concat("path", F.array("__n")).alias("path"), (F.col("depth") + 1).alias("depth")), "tree")
-        if now.isEmpty():
+    rounds = Rounds(edges.sparkSession.createDataFrame([(root, [root], 0)], "node string, path array<string>, depth int"), "tree")
+    while most is None or rounds.n <= most:
+        down = edges.select(F.col("b").alias("node"), F.col("a").alias("__n")).join(rounds.last(), "node").filter(~F.array_contains("path", F.col("__n")))
+        if rounds.add(down.select(F.col("__n").alias("node"), F.concat("path", F.array("__n")).alias("path"), (F.col("depth") + 1).alias("depth"))).isEmpty():
             break
-        parts.append(now)
-    return together(parts)
+    return rounds.all()
 
 
 def individual_properties(triples: DataFrame, individual: str, properties: DataFrame) -> DataFrame:

@@ -194,31 +194,6 @@ def all_different(lists: DataFrame, kind: str = "AllDisjointClasses") -> DataFra
     return made.withColumn("p", F.when(F.col("p") == LISTED["or"], member).otherwise(F.col("p"))).withColumn("o", F.when((F.col("p") == TYPE), F.lit(f"{OWL}{kind}")).otherwise(F.col("o")))
 
 
-def matching(axioms: DataFrame, pattern: str) -> DataFrame:
-    """Axioms that a pattern of the same text form matches, a column for each of its variables: (SubClassOf ?a (ObjectSomeValuesFrom p ?b)).
-
-    A variable stands for one name or one expression of names only; one that comes twice has to be the same text; ?*rest takes any further parts.
-    """
-    names: list[str] = []
-    regex = ""
-    for token in pattern.replace("(", " ( ").replace(")", " ) ").split():
-        blank = "" if not regex or regex.endswith(r"\(") or token == ")" else r"\s+"
-        if token in "()":
-            part = "\\" + token
-        elif token.startswith("?*"):
-            names.append(token[2:])
-            blank, part = "", r"((?:\s+(?:[^\s()]+|\([^()]*\)))*)"
-        elif token.startswith("?"):
-            part = rf"\{names.index(token[1:]) + 1}" if token[1:] in names else r"([^\s()]+|\([^()]*\))"
-            names += [] if token[1:] in names else [token[1:]]
-        else:
-            part = "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in token)
-        regex += blank + part
-    regex = f"^{regex}$"
-    hit = axioms.filter(F.col("sexpr").rlike(regex))
-    return hit.select("*", *[F.trim(F.regexp_extract("sexpr", regex, i)).alias(n) for i, n in enumerate(names, 1)])
-
-
 # ---- inferred axioms ----
 
 CHARACTERISTICS = [f"{OWL}{k}Property" for k in ("Functional", "InverseFunctional", "Symmetric", "Asymmetric", "Transitive", "Reflexive", "Irreflexive")]

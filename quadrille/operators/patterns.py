@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.terms import BNODE, IRI, LABEL, LITERAL, PREFIXES, TYPE, XSD, Iri, Literal, datatype_of_tag, expanded, lang_of_tag, order_keys
-from quadrille.plans.fixpoint import bounded_paths, reachable, transitive_closure
+from quadrille.plans.fixpoint import bounded_paths, product, reachable, transitive_closure
 
 Triple = tuple["str | Iri", "str | Path", "str | Iri | Literal"]
 #: Begins the name of the column that tells a variable's term from others of the same text.
 TAG = "__t_"
 RESOURCE = "r"
-#: Rows of a product's smaller side at most.
-PRODUCT_ROWS = 10_000
 
 
 class Path:
@@ -277,16 +275,6 @@ def untagged(solutions: DataFrame) -> DataFrame:
     return solutions.drop(*[c for c in solutions.columns if c.startswith(TAG)])
 
 
-def product(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """All combinations, of sides one of which has PRODUCT_ROWS rows at most (it is counted): that one goes to the other's tasks."""
-    small = lambda df: df.limit(PRODUCT_ROWS + 1).count() <= PRODUCT_ROWS
-    if small(right):
-        return left.join(F.broadcast(right), F.lit(True), how)
-    if how == "inner" and small(left):
-        return right.join(F.broadcast(left), F.lit(True)).select(*left.columns, *right.columns)
-    raise ValueError(f"a product needs a side of at most {PRODUCT_ROWS} rows: give a condition instead")
-
-
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner", unbound: Sequence[str] = (), on: Column | None = None, allow_product: bool = False) -> DataFrame:
     """Joins on all shared variables. Those in `unbound` may be NULL on a side, which fits any value.
 

@@ -39,10 +39,33 @@ def stored(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFra
     return out
 
 
-def together(tables: list[DataFrame]) -> DataFrame:
-    """Stored tables of one schema as one table, read in one scan."""
-    first = tables[0]
-    return first.sparkSession.read.schema(first.schema).parquet(*[t._stored_at for t in tables])
+class Rounds:
+    """A stored table that grows by rounds, whose rows lie apart by round (and by the values of a column `by`)."""
+
+    def __init__(self, first: DataFrame, name: str, by: str | None = None):
+        self.spark, self.by, self.n, self.schema = first.sparkSession, by, 0, first.schema
+        self.path = f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        _written.append(self.path)
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Writes the rows of a new round and gives them back."""
+        writer = rows.select(self.schema.names).write
+        (writer.partitionBy(self.by) if self.by else writer).parquet(f"{self.path}/round={self.n}")
+        self.n += 1
+        return self.last()
+
+    def _read(self, *rounds: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("basePath", self.path).parquet(*[f"{self.path}/round={n}" for n in rounds]).select(self.schema.names)
+
+    def last(self) -> DataFrame:
+        return self._read(self.n - 1)
+
+    def all(self) -> DataFrame:
+        """The rows of all rounds, in one scan; to be freed as one table."""
+        out = self._read(*range(self.n))
+        out._stored_at = self.path
+        return out
 
 
 def _delete(spark: SparkSession, path: str) -> None:
