@@ -137,9 +137,9 @@ def order_keys(kind: Column, lex: Column, dt: Column) -> list[Column]:
 REGISTRY: dict[str, Callable[..., Column]] = {
     "bound": lambda x: x.isNotNull(), "str": lambda x: x.cast("string"), "concat": F.concat, "strafter": strafter, "coalesce": F.coalesce,
     "if": lambda c, a, b: F.when(c, a).when(~c, b), "regex": regex, "uri": resolved, "ucase": F.upper, "lcase": F.lower, "strlen": F.length,
-    "abs": F.abs, "ceil": F.ceil, "floor": F.floor, "round": F.round, "contains": lambda a, b: a.contains(b), "strstarts": lambda a, b: a.startswith(b),
+    "abs": F.abs, "ceil": F.ceil, "floor": F.floor, "round": lambda x: F.floor(x + F.lit(0.5)), "contains": lambda a, b: a.contains(b), "strstarts": lambda a, b: a.startswith(b),
     "strends": lambda a, b: a.endswith(b), "lang": lang_of_tag, "datatype": datatype_of_tag, "langmatches": lang_matches, "sameterm": same_term,
-    "strbefore": lambda t, m: F.when(F.instr(t, F.lit(m)) > 0, F.substring_index(t, m, 1)).otherwise(F.lit("")), "substr": F.substring, "replace": F.regexp_replace,
+    "strbefore": lambda t, m: F.when(F.instr(t, F.lit(m)) > 0, F.substring_index(t, m, 1)).otherwise(F.lit("")), "substr": lambda t, at, n=None: F.substring(t, at, F.length(t) if n is None else n), "replace": F.regexp_replace,
     "encode_for_uri": lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), "isiri": is_iri, "isblank": is_blank, "isliteral": is_literal, "isnumeric": is_numeric,
 }
 

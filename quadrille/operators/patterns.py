@@ -388,18 +388,38 @@ def with_labels(solutions: DataFrame, triples: DataFrame, *variables: str, suffi
     return solutions
 
 
-def construct(solutions: DataFrame, *template: tuple[str, str, str]) -> DataFrame:
+def construct(solutions: DataFrame, *template: Triple) -> DataFrame:
     """Triples of a template for each solution, as a set. Incomplete ones are left out; a blank node of the
-    template is a new one for each distinct solution."""
+    template is a new one for each distinct solution.
+
+    From solutions with tags (terms=True) triples keep whole terms, with o_kind, o_dt and o_lang; those with a literal as
+    subject or predicate are left out. Constants may be Literal or Iri.
+    """
+    typed = any(c.startswith(TAG) for c in solutions.columns)
     new = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(solutions.columns)])
 
-    def term(t: str) -> Column:
+    def term(t: str | Literal | Iri, place: str = "") -> tuple[Column, Column]:
         if is_variable(t):
-            return F.col(t[1:]).cast("string")
-        return F.concat(F.lit("urn:blank:"), F.sha1(F.concat(F.lit(t), new))) if is_hidden(t) else F.lit(TYPE if t == "a" else expanded(t))
-
-    made = F.array(*[F.struct(term(s).alias("s"), term(p).alias("p"), term(o).alias("o")) for s, p, o in template])
-    return solutions.select(F.explode(made).alias("t")).select("t.*").dropna().distinct()
+            return F.col(t[1:]).cast("string"), F.col(TAG + t[1:]) if TAG + t[1:] in solutions.columns else F.lit(RESOURCE)
+        if is_hidden(t):
+            return F.concat(F.lit("urn:blank:"), F.sha1(F.concat(F.lit(t), new))), F.lit(RESOURCE)
+        if t == "a" and place == "p":
+            return F.lit(TYPE), F.lit(RESOURCE)
+        text, tags = constant(t)
+        return F.lit(text if typed or not isinstance(t, str) else expanded(t)), F.lit(tags[-1] if place == "o" else RESOURCE)
+
+    def triple(s, p, o) -> Column:
+        (s, s_tag), (p, p_tag), (o, o_tag) = term(s), term(p, "p"), term(o, "o")
+        columns = [s.alias("s"), p.alias("p"), o.alias("o")]
+        if typed:
+            blank = o.startswith("urn:blank:") | o.startswith("_:")
+            kind = F.when(o_tag != RESOURCE, LITERAL).when(blank, BNODE).otherwise(IRI).cast("tinyint")
+            lang, dt = F.nullif(lang_of_tag(o_tag), F.lit("")), F.when(o_tag.startswith('"^'), datatype_of_tag(o_tag))
+            columns += [kind.alias("o_kind"), dt.alias("o_dt"), lang.alias("o_lang"), ((s_tag == RESOURCE) & (p_tag == RESOURCE)).alias("fits")]
+        return F.struct(*columns)
+
+    rows = solutions.select(F.explode(F.array(*[triple(*t) for t in template])).alias("t")).select("t.*").dropna(subset=["s", "p", "o"])
+    return (rows.filter("fits").drop("fits") if typed else rows).distinct()
 
 
 def describe(triples: DataFrame, resource: str) -> DataFrame:

@@ -580,8 +580,7 @@ def o17_referencing(s, d):
 
 @query("SELECT '(SubClassOf _ _)' AS shape, count(*) AS n FROM part WHERE p_type IS NOT NULL UNION ALL SELECT '(EquivalentClasses _ _)', count(*) FROM part WHERE p_size > 25 UNION ALL SELECT '(Declaration _)', count(*) FROM part")
 def a06_shapes(s, d):
-    lower = part_axioms(s, d).withColumn("sexpr", F.regexp_replace("sexpr", r"(?<= )([A-Z]+)\)", "t$1)"))
-    return ax.shapes(lower).select("shape", "n")
+    return ax.shapes(part_axioms(s, d)).select("shape", "n")
 
 
 @query(f"SELECT coalesce('{EX}new/' || CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey END, '{EX}nation/' || n_nationkey) AS s, '{EX}calls' AS p, n_name AS o FROM nation")

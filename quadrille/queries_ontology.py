@@ -12,6 +12,7 @@ from quadrille.operators import entailment as en
 from quadrille.operators import hierarchy as hi
 from quadrille.operators import ontology as on
 from quadrille.operators import patterns as pa
+from quadrille.operators import trees as tr
 from quadrille.queries import CLASS_CLOSURE, CLASSES, EX, class_edges, node, order_facts, order_links, part_axioms, query, table
 from quadrille.sources import graphs as gr
 
@@ -181,13 +182,13 @@ def snk08_graph_tables(s, d):
 
 @query("SELECT 'part' || p_partkey AS a, p_brand AS b FROM part WHERE p_size > 25")
 def x02_matched_shapes(s, d):
-    return on.matching(part_axioms(s, d), "(EquivalentClasses ?a ?b)").select("a", "b")
+    return tr.matching(part_axioms(s, d), "(EquivalentClasses ?a ?b)").select("a", "b")
 
 
 @query("SELECT n_name AS a, 'in' AS p, 'R' || n_regionkey AS b FROM nation")
 def x02_nested_shapes(s, d):
     text = F.format_string("(SubClassOf %s (ObjectSomeValuesFrom in R%d))", "n_name", "n_regionkey")
-    return on.matching(table(s, d, "nation").select(text.alias("sexpr")), "(SubClassOf ?a (ObjectSomeValuesFrom ?p ?b))").select("a", "p", "b")
+    return tr.matching(table(s, d, "nation").select(text.alias("sexpr")), "(SubClassOf ?a (ObjectSomeValuesFrom ?p ?b))").select("a", "p", "b")
 
 
 @query("SELECT axiom_type, count(*) AS n FROM (SELECT 'SubClassOf' AS axiom_type FROM part UNION ALL SELECT 'Declaration' FROM part WHERE p_size < 10 UNION ALL SELECT 'DisjointClasses' FROM part WHERE p_size < 10) GROUP BY axiom_type")

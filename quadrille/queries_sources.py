@@ -104,10 +104,11 @@ def src21_xpath_rows(s, d):
     return fi.xpath_rows(table(s, d, "nation").select("n_nationkey", xml.alias("x")), "x", "/l/n/text()", "name")
 
 
-@query("SELECT attribute, count(*) AS n FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<[A-Za-z][\\w\\-]* (class|id|href)=', 1)) AS attribute FROM pages) GROUP BY attribute")
+@query("""SELECT attribute, count(*) AS n FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(tag, '[\\s]([A-Za-z_:][\\w\\-:.]*)\\s*=', 1)) AS attribute FROM
+(SELECT page_id, unnest(regexp_extract_all(html, '<[A-Za-z][^<>]*>')) AS tag FROM pages)) WHERE attribute IN ('class', 'id', 'href') GROUP BY attribute""")
 def src22_attributes(s, d):
-    first = F.regexp_replace("html", r"(<[A-Za-z][\w\-]* [\w\-]+=(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))[^>]*>", "$1>")
-    return table(s, d, "pages").select(F.explode(fi.attributes_of(first)).alias("attribute")).filter("attribute IN ('class', 'id', 'href')").groupBy("attribute").agg(F.count("*").alias("n"))
+    rows = table(s, d, "pages").select(F.explode(fi.attributes_of("html")).alias("attribute"))
+    return rows.filter("attribute IN ('class', 'id', 'href')").groupBy("attribute").agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_nationkey AS id, n_name AS name FROM nation")

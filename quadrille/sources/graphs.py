@@ -42,23 +42,34 @@ LINE = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^
 
 
 def _plain(term: Column, source: str) -> Column:
-    return F.when(term.startswith("<"), F.substring(term, F.lit(2), F.length(term) - 2)).when(term.startswith("_:"), F.concat(F.lit(f"urn:blank:{source}:"), F.substring(term, F.lit(3), F.length(term))))
+    return F.when(term.startswith("<"), _unescaped(F.substring(term, F.lit(2), F.length(term) - 2))).when(term.startswith("_:"), F.concat(F.lit(f"urn:blank:{source}:"), F.substring(term, F.lit(3), F.length(term))))
 
 
 #: N-Triples escapes, as fixed by the format.
 ESCAPES = [("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('\\"', '"')]
+READ_ONLY = [("\\b", "\b"), ("\\f", "\f"), ("\\'", "'"), ("\\\\", "\\")]
 
 
 def _unescaped(text: Column) -> Column:
-    hold = F.lit("")  # keeps an escaped backslash apart while the others are read
-    text = F.replace(text, F.lit("\\\\"), hold)
-    for mark, char in ESCAPES:
-        text = F.replace(text, F.lit(mark), F.lit(char))
-    return F.replace(text, hold, F.lit("\\"))
+    parts = F.regexp_extract_all(text, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\"), F.lit(0))
+
+    def char(x: Column) -> Column:
+        out = F.when(x.rlike(r"^\\[uU]."), F.decode(F.unhex(F.lpad(F.substring(x, F.lit(3), F.lit(8)), 8, "0")), "UTF-32"))
+        for mark, char in (*ESCAPES, *READ_ONLY):
+            out = out.when(x == mark, F.lit(char))
+        return out.otherwise(x)
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(parts, char), "")).otherwise(text)
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of the lines of N-Triples or N-Quads files that read_ntriples leaves out: neither a triple, nor a comment, nor blank."""
+    return spark.read.text(path).filter(~F.col("value").rlike(LINE) & ~F.col("value").rlike(r"^\s*(?:#.*)?$"))
 
 
 def read_ntriples(spark: SparkSession, path: str, source: str = "file", quads: bool = False) -> DataFrame:
-    """Triples (with quads, and their graph) of N-Triples or N-Quads files; lines that aren't triples are left out.
+    """Triples (with quads, and their graph) of N-Triples or N-Quads files; lines that aren't triples are left out,
+    and bad_lines tells which.
 
     Blank nodes are kept apart by `source`.
     """
