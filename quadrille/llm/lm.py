@@ -1,8 +1,9 @@
-"""N-gram language-model scores from an Elias-Fano trie of quantised probabilities."""
+"""N-gram language-model scores from Elias-Fano tries of quantised probabilities, one for each part of the text."""
 
 from __future__ import annotations
 
 import mmap
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,18 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.llm.common import flat_words, partitions, remainder, table
-from quadrille.plans.stages import free, stored
+from quadrille.plans.stages import stored
 
 HELD_OUT = 10
-#: A word with at least this share of the training tokens is in the trie's vocabulary: so there are at most 65,536.
-WORD_SHARE = 2.0**-16
-#: The least share of a bigram or trigram of the trie: so there are at most 1,048,576 of either.
-GRAM_SHARE = 2.0**-20
-DISCOUNT = 0.75
-BITS = 17
+#: What a context's next words are expected to be before any is seen, in occurrences: the weight of the model with one word of context less.
+PRIOR = {2: 8.0, 3: 4.0}
 END = 0x9E3779B97F4A7C15
-#: Bytes of text that a task works on at a time, and documents whose rarer words one group sums.
-PART_BYTES, PART_DOCS = 8 << 20, 5_000
+#: Bytes of text of a part (a longer text is a part of its own), and n-grams whose counts one group sums, about.
+PART_BYTES, GROUP_GRAMS = 8 << 20, 2_000_000
+#: Steps of a quantised logarithm to base 10.
+STEPS = 2048
 
 
 class EliasFano:
@@ -97,83 +96,71 @@ def mapped(array):
 
 
 class Quantised:
-    """Values as one byte each; a value is never rounded up, so probabilities don't sum to more than 1."""
+    """Logarithms to base 10, from 0 down to -32, in two bytes each on a fixed grid; never rounded up, so probabilities don't sum to more than 1."""
 
     def __init__(self, values):
         import numpy as np
 
-        values = np.asarray(values, float)
-        self.book = np.unique(np.quantile(values, np.linspace(0, 1, 256), method="lower")) if len(values) else np.zeros(1)
-        self.code = (np.searchsorted(self.book, values, "right") - 1).astype(np.uint8)
+        self.code = mapped(np.minimum(np.ceil(-np.asarray(values, float) * STEPS - 1e-9), 65535).astype(np.uint16))
 
     def __getitem__(self, i):
-        return self.book[self.code[i]]
+        return self.code[i] / -STEPS
 
 
 class Trie:
-    """Levels of head words, bigrams and trigrams. A bigram's key is its context's id and its word; a
-    trigram's is its context's place in the level above and its word, so each context's words are a
-    run of a monotone sequence. Levels hold quantised log10 probabilities and back-off weights:
-    a gram's discounted share of its context, plus the context's weight (what the discounts and
-    the grams left out leave) times the probability with one word of context less."""
+    """Levels of words, bigrams and trigrams with their counts in training. A bigram's key is its context's id and its word; a
+    trigram's is its context's place in the level above and its word, so each context's words are a run of a monotone sequence.
 
-    def __init__(self, counts, bigrams, n2, trigrams, n3, tokens: int, tail: int):
+    Levels hold quantised log10 probabilities and back-off weights. A context that came c times gives its word
+    (n + prior * p) / (c + prior), p being the probability with one word of context less: for a word that never came after it
+    this is its weight prior / (c + prior) times p. Probabilities of all words after a context sum to 1 at most.
+    """
+
+    def __init__(self, counts, bigrams, n2, trigrams, n3, tokens: int, words: int):
         import numpy as np
 
-        floor = 1e-9
-        self.words = len(counts)
-        self.uni = np.log10(counts + 0.1)
-        # at least the base's denominator: the rarer words are no more than their tokens
-        most = tokens + 0.1 * (len(counts) + tail + 1)
-        a, b = bigrams >> BITS, bigrams & ((1 << BITS) - 1)
-        own = np.maximum(n2 - DISCOUNT, 0) / np.maximum(counts[a], 1)
-        self.bow1 = Quantised(np.log10(np.maximum(1 - np.bincount(a, own, len(counts)), floor)))
-        self.p2 = Quantised(np.log10(np.maximum(own + 10 ** self.bow1[a] * (counts[b] + 0.1) / most, floor)))
-        context, word = trigrams >> BITS, trigrams & ((1 << BITS) - 1)
-        own = np.maximum(n3 - DISCOUNT, 0) / np.maximum(n2[context], 1)
-        self.bow2 = Quantised(np.log10(np.maximum(1 - np.bincount(context, own, len(bigrams)), floor)))
-        lower = np.searchsorted(bigrams, (b[context] << BITS) | word)
-        self.p3 = Quantised(np.log10(np.maximum(own + 10 ** self.bow2[context] * 10 ** self.p2[lower], floor)))
-        self.level2 = EliasFano(bigrams, max(1, len(counts)) << BITS)
-        self.level3 = EliasFano(trigrams, max(1, len(bigrams)) << BITS)
-
-    def opened(self) -> Trie:
-        if not hasattr(self, "ready"):
-            self.level2.opened()
-            self.level3.opened()
-            self.ready = True
-        return self
+        self.bits = max(1, int(len(counts)).bit_length())
+        mask = (1 << self.bits) - 1
+        uni = (counts + 0.1) / (tokens + 0.1 * (words + 1))
+        self.uni = np.log10(uni)
+        a, b = bigrams >> self.bits, bigrams & mask
+        self.bow1 = Quantised(np.log10(PRIOR[2] / (counts + PRIOR[2])))
+        p2 = (n2 + PRIOR[2] * uni[b]) / (counts[a] + PRIOR[2])
+        self.p2, self.bow2 = Quantised(np.log10(p2)), Quantised(np.log10(PRIOR[3] / (n2 + PRIOR[3])))
+        context, word = trigrams >> self.bits, trigrams & mask
+        lower = np.searchsorted(bigrams, (b[context] << self.bits) | word)  # a trigram that came has bigrams that came
+        self.p3 = Quantised(np.log10((n3 + PRIOR[3] * p2[lower]) / (n2[context] + PRIOR[3])))
+        self.level2 = EliasFano(bigrams, max(1, len(counts)) << self.bits).opened()
+        self.level3 = EliasFano(trigrams, max(1, len(bigrams)) << self.bits).opened()
 
     def logs(self, ids, begins):
-        """Of each token (ids of head words, -1 for others): log10 of what is known of its probability,
-        and whether its unigram probability is still to come (its count is added, its denominator not)."""
+        """log10 of the probability of each token, by its id: ids is the tokens of texts that begin at `begins`."""
         import numpy as np
 
-        n = len(ids)
-        before = np.concatenate([[-1], ids[:-1]])
-        before[begins] = -1
-        two = np.full(n, -1, np.int64)
-        some = np.flatnonzero((before >= 0) & (ids >= 0))
-        keys, back = np.unique((before[some] << BITS) | ids[some], return_inverse=True)
-        two[some] = self.level2.find(keys)[back]
-        above = np.concatenate([[-1], two[:-1]])
-        above[begins] = -1
-        three = np.full(n, -1, np.int64)
-        some = np.flatnonzero((above >= 0) & (two >= 0))
-        keys, back = np.unique((above[some] << BITS) | ids[some], return_inverse=True)
-        three[some] = self.level3.find(keys)[back]
-        out = np.zeros(n)
-        third, second = three >= 0, (three < 0) & (two >= 0)
-        single = (three < 0) & (two < 0)
-        out[third] = self.p3[three[third]]
-        out[second] = self.p2[two[second]]
-        backed = single & (before >= 0)
-        out[backed] += self.bow1[before[backed]]
-        backed = (three < 0) & (above >= 0)
-        out[backed] += self.bow2[above[backed]]
-        plain = single & (ids >= 0)
-        out[plain] += self.uni[ids[plain]]
-        return out, single
+        def placed(level, context):
+            at = np.full(len(ids), -1, np.int64)
+            some = np.flatnonzero(context >= 0)
+            keys, back = np.unique((context[some] << self.bits) | ids[some], return_inverse=True)
+            at[some] = level.find(keys)[back]
+            return at
+
+        def previous(x):
+            out = np.concatenate([[-1], x[:-1]])
+            out[begins] = -1
+            return out
+
+        before = previous(ids)
+        two = placed(self.level2, before)
+        above = previous(two)
+        three = placed(self.level3, above)
+        out = self.uni[ids]
+        back = before >= 0
+        out[back] += self.bow1[before[back]]
+        out[two >= 0] = self.p2[two[two >= 0]]
+        back = (above >= 0) & (three < 0)
+        out[back] += self.bow2[above[back]]
+        out[three >= 0] = self.p3[three[three >= 0]]
+        return out
 
 
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,212 +187,201 @@ def sequences(texts: pa.Array):
     return out, offsets + np.arange(len(offsets))
 
 
-def head_ids(hashes, head):
+def _pressed(numbers) -> bytes:
+    """Non-negative integers below 2^32 as bytes, place by place, compressed."""
     import numpy as np
 
-    at = np.searchsorted(head, hashes)
-    at = np.minimum(at, max(0, len(head) - 1))
-    return np.where(head[at] == hashes, at, -1) if len(head) else np.full(len(hashes), -1)
+    return zlib.compress(np.ascontiguousarray(np.asarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
-def _dealt(keys, counts, buckets: int):
-    """Sorted keys and their counts as packed rows (bucket, keys, counts)."""
+def _unpressed(raw: bytes):
     import numpy as np
 
-    bucket = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")  # once, so that the work doesn't grow with the buckets
-    bucket, keys, counts = bucket[order], keys[order], counts[order].astype(np.uint32)
-    there, first = np.unique(bucket, return_index=True)
-    for k, a, b in zip(there.tolist(), first, [*first[1:], len(keys)], strict=True):
-        yield int(k), keys[a:b].tobytes(), counts[a:b].tobytes()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
 
 
-def _dealt_rows(df: DataFrame, rows, buckets: int) -> DataFrame:
-    """(bucket, keys, counts, n) of the keys that rows makes of each part of df: packed, n the sum of the counts."""
-    import numpy as np
+class Part:
+    """A part of the text: its documents, its distinct words by hash, and its tokens as places among them."""
 
-    def emit(batches):
-        for part in parts(batches):
-            got = list(_dealt(*np.unique(rows(part), return_counts=True), buckets))
-            if got:
-                k, a, b = zip(*got, strict=True)
-                n = [int(np.frombuffer(x, np.uint32).sum(dtype=np.int64)) for x in b]
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64())], names=["bucket", "keys", "counts", "n"])
+    def __init__(self, words, ids, offsets, learned):
+        self.words, self.ids, self.offsets, self.learned = words, ids, offsets, learned
 
-    return df.select("text").mapInArrow(emit, "bucket int, keys binary, counts binary, n long")
+    @classmethod
+    def read(cls, row: dict) -> Part:
+        import numpy as np
+
+        n = _unpressed(row["n"])
+        return cls(np.frombuffer(row["words"], np.uint64), _unpressed(row["ids"]), np.concatenate([[0], np.cumsum(n)]), np.frombuffer(row["learned"], bool))
 
+    def grams(self, order: int):
+        """(distinct n-grams, the last token of each n-gram, which of them it is). An n-gram of tokens lies in one text; each is
+        named by the place of the n-gram without its last word, and its last word."""
+        import numpy as np
 
-def _frequent(dealt: DataFrame, least: float):
-    """Keys and exact counts, over all rows of dealt, of the keys that come at least `least` times; keys ascending."""
+        at, which = np.arange(len(self.ids)), self.ids
+        keys = np.arange(len(self.words))
+        for _ in range(order - 1):
+            first = np.zeros(len(self.ids), bool)
+            first[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
+            place = np.full(len(self.ids), -1, np.int64)
+            place[at] = which
+            now = np.flatnonzero(~first & (np.concatenate([[-1], place[:-1]]) >= 0))
+            keys, which = np.unique((place[now - 1] << 32) | self.ids[now], return_inverse=True)
+            at = now
+        return keys, at, which
+
+    def dealt(self, order: int, buckets: int):
+        """(hashes, buckets, counts in training, order by bucket) of the distinct n-grams; equal n-grams have equal hashes in all parts."""
+        import numpy as np
+
+        _, at, which = self.grams(order)
+        n = int(which.max(initial=-1)) + 1
+        some = np.zeros(n, np.int64)
+        some[which] = at  # where each n-gram ends, once
+        h = np.full(n, order, np.uint64)
+        for back in range(order - 1, -1, -1):
+            h = _stirred(h + self.words[self.ids[some - back]])
+        doc = np.repeat(np.arange(len(self.learned)), np.diff(self.offsets))
+        counts = np.bincount(which, self.learned[doc[at]], n).astype(np.int64)
+        bucket = ((h >> np.uint64(48)) * np.uint64(0x9E3779B97F4A7C15) + (h >> np.uint64(32))) % np.uint64(buckets)
+        return h, bucket.astype(np.int64), counts, np.lexsort((h, bucket))
+
+
+def _stirred(x):
+    """A bijection of 64-bit numbers that spreads their bits."""
     import numpy as np
 
-    def add(group: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(group["keys"].to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint32)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order].astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sums = np.add.reduceat(counts, first)
-        some = sums >= least
-        return pa.table({"key": pa.array(keys[first][some].view(np.int64)), "n": pa.array(sums[some])})
-
-    found = dealt.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(add, "key long, n long").toArrow()
-    keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
-def train(docs: DataFrame, buckets: int):
-    """(hashes of the head words, their counts, the trie, training tokens) of all rows of docs(text).
-
-    Three passes: words, bigrams, trigrams. Counts are exact, of all rows and whatever their layout; a
-    word, bigram or trigram is kept by its share of all tokens, which bounds the trie.
-    """
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+PART = "part long, doc_ids binary, missing binary, learned binary, n binary, words binary, ids binary, tokens long, training long, bucket int, counts binary"
+_EMPTY = {"doc_ids": None, "missing": None, "learned": None, "n": None, "words": None, "ids": None, "tokens": None, "training": None, "bucket": None, "counts": None}
+
+
+def _stored_parts(docs: DataFrame) -> DataFrame:
+    """A row for each part of docs(doc_id, text, held_out), stored, so that a part's number stays."""
     import numpy as np
 
-    words = stored(_dealt_rows(docs, lambda part: sequences(part["text"])[0], buckets), "words")
-    tokens = words.agg(F.sum("n")).first()[0] or 0
-    head, counts = _frequent(words, WORD_SHARE * tokens)
-    free(words)
-    sent = docs.sparkSession.sparkContext.broadcast(head)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for part in parts(batches):
+            hashes, offsets = sequences(part["text"])
+            words, ids, often = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent words have small numbers
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            learned = ~part["held_out"].to_numpy(zero_copy_only=False)
+            missing = part["doc_id"].is_null().to_numpy(zero_copy_only=False)
+            n = np.diff(offsets)
+            yield pa.RecordBatch.from_pylist([{
+                **_EMPTY, "part": number, "doc_ids": part["doc_id"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), "missing": missing.tobytes(), "learned": learned.tobytes(),
+                "n": _pressed(n), "words": words[order].tobytes(), "ids": _pressed(place[ids]), "tokens": len(ids), "training": int(n[learned].sum()),
+            }], schema=_SCHEMA)
+            number += 1
+
+    return stored(docs.mapInArrow(read, PART), "lm-parts")
 
-    def pairs(part):
-        hashes, offsets = sequences(part["text"])
-        ids = head_ids(hashes, sent.value)
-        before = np.concatenate([[-1], ids[:-1]])
-        before[offsets[:-1]] = -1
-        both = (before >= 0) & (ids >= 0)
-        return ((before[both] << BITS) | ids[both]).astype(np.uint64)
 
-    bigrams, n2 = _frequent(_dealt_rows(docs, pairs, buckets), GRAM_SHARE * tokens)
-    bigrams = bigrams.astype(np.int64)
-    known = docs.sparkSession.sparkContext.broadcast(bigrams)
+_SCHEMA = pa.schema([("part", pa.int64()), *[(c, pa.binary()) for c in ("doc_ids", "missing", "learned", "n", "words", "ids")], ("tokens", pa.int64()), ("training", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary())])
+#: Bytes of a hash that are sent: a bucket holds few enough n-grams to tell them apart by these.
+SENT = 6
 
-    def triples(part):
-        hashes, offsets = sequences(part["text"])
-        ids = head_ids(hashes, sent.value)
-        before = np.concatenate([[-1], ids[:-1]])
-        before[offsets[:-1]] = -1
-        two = np.where((before >= 0) & (ids >= 0), head_ids((before << BITS) | ids, known.value), -1)
-        above = np.concatenate([[-1], two[:-1]])
-        above[offsets[:-1]] = -1
-        both = (above >= 0) & (two >= 0)  # a trigram is no more frequent than its bigrams
-        return ((above[both] << BITS) | ids[both]).astype(np.uint64)
 
-    trigrams, n3 = _frequent(_dealt_rows(docs, triples, buckets), GRAM_SHARE * tokens)
-    trie = Trie(counts, bigrams, n2, trigrams.astype(np.int64), n3, tokens, int(tokens - counts.sum()))
-    return head, counts, trie, int(tokens)
+def _tallied(text: DataFrame, order: int, buckets: int) -> DataFrame:
+    """(part, bucket, counts) for each part and bucket: the counts in training, over all parts, of the part's distinct n-grams of the bucket.
 
+    A part sends each of its n-grams once, with its own count; rows hold all that a part has for a bucket, so they are never more
+    than n-grams. A row of part -1 tells how many n-grams of the bucket came in training.
+    """
+    import numpy as np
 
-ROW = "part long, bucket int, head boolean, a binary, b binary, c binary, d binary, e binary, f binary"
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                h, bucket, counts, order_ = Part.read(row).dealt(order, buckets)
+                h, bucket, counts = h[order_], bucket[order_], counts[order_]
+                there, first = np.unique(bucket, return_index=True)
+                raw = np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :SENT])
+                rows = [(row["part"], k, raw[a:b].tobytes(), _pressed(counts[a:b])) for k, a, b in zip(there.tolist(), first, [*first[1:], len(h)], strict=True)]
+                for at in range(0, len(rows), 500):
+                    part, k, keys, n = zip(*rows[at : at + 500], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(k, pa.int32()), pa.array(keys, pa.binary()), pa.array(n, pa.binary())], names=["part", "bucket", "keys", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        raw = [np.frombuffer(k, np.uint8).reshape(-1, SENT) for k in group["keys"].to_pylist()]
+        every = np.zeros((sum(map(len, raw)), 8), np.uint8)
+        every[:, :SENT] = np.concatenate(raw)
+        _, which = np.unique(every.view(np.uint64).ravel(), return_inverse=True)
+        counts = np.bincount(which, np.concatenate([_unpressed(c) for c in group["counts"].to_pylist()]))
+        ends = np.cumsum([len(r) for r in raw])
+        replies = [_pressed(np.minimum(counts[which[e - len(r) : e]], 2**32 - 1)) for e, r in zip(ends.tolist(), raw, strict=True)]
+        own, bucket = [*group["part"].to_pylist(), -1], [group["bucket"][0].as_py()] * (len(raw) + 1)
+        known = [0] * len(raw) + [int((counts > 0).sum())]
+        return pa.table({"part": pa.array(own, pa.int64()), "bucket": pa.array(bucket, pa.int32()), "counts": pa.array([*replies, None], pa.binary()), "known": pa.array(known, pa.int64())})
+
+    asked = text.select("part", "learned", "n", "words", "ids").mapInArrow(ask, "part long, bucket int, keys binary, counts binary")
+    return stored(asked.groupBy("bucket").applyInArrow(add, "part long, bucket int, counts binary, known long"), f"lm-counts-{order}")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs(doc_id, text).
 
     Learns from the rows outside the held-out tenth (a null id counts as an empty one). A null or
-    empty text is its end alone. The model interpolates trigrams, bigrams and the base's own
-    unigram probability; words after a context that the trie lacks have the context's back-off
-    weight times the probability with one word of context less. Probabilities of all words after
-    a context sum to 1 at most. Repeated rows count and are scored as often as they come; further
-    columns are ignored. Without training rows every known count is 0.
-
-    Words outside the trie can be of any number, so their counts never come together: each part of
-    the text sends their hashes and places to buckets of the hash, where a word's count over all
-    training documents is summed, and gets back sums of logarithms for each document.
+    empty text is its end alone. The model mixes the counts of trigrams, bigrams and the base's own
+    unigram probability (see Trie); all n-grams of all training rows count, whatever the input's size. Repeated
+    rows count and are scored as often as they come; further columns are ignored. Without training
+    rows every known count is 0.
+
+    The text is read once, into parts of bounded size. For words, bigrams and trigrams in turn a part sends its
+    distinct n-grams to buckets of their hashes, as many as keep a bucket's n-grams bounded, and gets back their counts over all
+    training rows. From these it builds the trie of the n-grams that its own documents hold, and looks its
+    tokens up. Nothing is sent to all tasks, and the driver gets three sums. N-grams are told apart by 48 bits of a hash within their bucket.
     """
     import numpy as np
 
     docs = docs.select("doc_id", "text", (remainder("doc_id", HELD_OUT) == 0).alias("held_out"))
-    buckets = max(partitions(docs), docs.count() // PART_DOCS + 1)
-    head, counts, trie, tokens = train(docs.filter("NOT held_out"), buckets)
-    sent = docs.sparkSession.sparkContext.broadcast((head, counts, trie))
-
-    def places(batches):
-        head, counts, trie = sent.value
-        trie.opened()
-        number = TaskContext.get().partitionId() << 32
-        for part in parts(batches):
-            hashes, offsets = sequences(part["text"])
-            n, n_docs = np.diff(offsets), part.num_rows
-            ids = head_ids(hashes, head)
-            doc = np.repeat(np.arange(n_docs, dtype=np.int64), n)
-            logs, single = trie.logs(ids, offsets[:-1])
-            known = ids >= 0
-            by_doc = lambda x: np.bincount(doc, x, n_docs)  # noqa: B023, E731
-            learned = ~part["held_out"].to_numpy(zero_copy_only=False)
-            first = [
-                np.array(part["doc_id"].to_pylist(), dtype=object), by_doc(logs), by_doc(single), by_doc(np.where(known, trie.uni[np.maximum(ids, 0)], 0) if len(head) else np.zeros(len(ids))),
-                by_doc(known & (counts[np.maximum(ids, 0)] > 0) if len(head) else known), n,
-            ]
-            missing = np.array([x is None for x in first[0]])
-            first[0] = np.array([0 if x is None else x for x in first[0]], np.int64)
-            rows = [(number, int(number % buckets), True, first[0].tobytes(), np.stack(first[1:5]).tobytes(), n.astype(np.int64).tobytes(), learned.tobytes(), missing.tobytes(), None)]
-            tail = ~known
-            if tail.any():
-                words, word = np.unique(hashes[tail], return_inverse=True)
-                entry, m = np.unique((word.astype(np.int64) << 32) | doc[tail], return_counts=True)
-                word, own = entry >> 32, (entry & 0xFFFFFFFF).astype(np.uint32)
-                bucket = ((words * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)
-                order = np.argsort(bucket[word], kind="stable")
-                word, own, m = word[order], own[order], m[order].astype(np.uint32)
-                there, first_of = np.unique(bucket[word], return_index=True)
-                for k, a, b in zip(there.tolist(), first_of, [*first_of[1:], len(word)], strict=True):
-                    s = slice(a, b)
-                    w, sizes = np.unique(word[s], return_counts=True)
-                    rows.append((number, k, False, words[w].tobytes(), sizes.astype(np.uint32).tobytes(), own[s].astype(np.uint16 if n_docs < 65536 else np.uint32).tobytes(), m[s].astype(np.uint8 if m[s].max() < 256 else np.uint32).tobytes(), np.packbits(learned[own[s]]).tobytes(), None))
-            number += 1
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 6], strict=True)], names=["part", "bucket", "head", "a", "b", "c", "d", "e", "f"])
+    text = _stored_parts(docs)
+    sums = text.agg(F.sum("tokens").alias("tokens"), F.sum("training").alias("training")).first()
+    tokens, buckets = int(sums.training or 0), max(partitions(docs), (sums.tokens or 0) // GROUP_GRAMS + 1)
+    counts = [_tallied(text, order, buckets) for order in (1, 2, 3)]
+    words = int(counts[0].filter("part = -1").agg(F.sum("known")).first()[0] or 0)
 
-    def counted(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        out = [tuple(r[c] for c in ("part", "bucket", "head", "a", "b", "c", "d", "e", "f")) for r in rows if r["head"]]
-        rows = [r for r in rows if not r["head"]]
-        distinct = 0
-        if rows:
-            entries = []
-            for r in rows:
-                sizes = np.frombuffer(r["b"], np.uint32)
-                total = int(sizes.sum())
-                own = np.frombuffer(r["c"], np.uint16 if len(r["c"]) == 2 * total else np.uint32)
-                m = np.frombuffer(r["d"], np.uint8 if len(r["d"]) == total else np.uint32).astype(np.int64)
-                entries.append((np.repeat(np.frombuffer(r["a"], np.uint64), sizes), own.astype(np.int64), m, np.unpackbits(np.frombuffer(r["e"], np.uint8), count=total)))
-            words, back = np.unique(np.concatenate([x[0] for x in entries]), return_inverse=True)
-            c = np.bincount(back, np.concatenate([x[2] * x[3] for x in entries]), len(words))
-            distinct = int((c > 0).sum())
-            log, at = np.log10(c + 0.1), 0
-            for r, (_, own, m, _) in zip(rows, entries, strict=True):
-                own_words = back[at : at + len(own)]
-                at += len(own)
-                some, place = np.unique(own, return_inverse=True)
-                sums, known = np.bincount(place, m * log[own_words]), np.bincount(place, m * (c[own_words] > 0))
-                out.append((r["part"], r["bucket"], False, some.astype(np.uint32).tobytes(), sums.tobytes(), known.astype(np.uint32).tobytes(), None, None, None))
-        out.append((-1, distinct, False, None, None, None, None, None, None))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.bool_(), *[pa.binary()] * 6], strict=True)], names=["part", "bucket", "head", "a", "b", "c", "d", "e", "f"])
-
-    sums = stored(docs.mapInArrow(places, ROW).groupBy("bucket").applyInArrow(counted, ROW), "lm-sums")
-    rarer = sums.filter("part = -1").agg(F.sum("bucket")).first()[0] or 0
-    log_all = float(np.log10(tokens + 0.1 * (int((counts > 0).sum()) + rarer + 1)))
-
-    def summed(group: pa.Table) -> pa.Table:
+    def scored(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        first = next(r for r in rows if r["head"])
-        ids, n = np.frombuffer(first["a"], np.int64), np.frombuffer(first["c"], np.int64)
-        logs, single, uni, known = np.frombuffer(first["b"], float).reshape(4, -1)
-        rest, seen = np.zeros(len(ids)), known.copy()
-        for r in sorted((r for r in rows if not r["head"]), key=lambda r: r["bucket"]):
-            own = np.frombuffer(r["a"], np.uint32)
-            rest[own] += np.frombuffer(r["b"], float)
-            seen[own] += np.frombuffer(r["c"], np.uint32)
+        row = next(r for r in rows if r["bucket"] is None)
+        part = Part.read(row)
+        replies: dict[int, list] = {1: [], 2: [], 3: []}
+        for r in sorted((r for r in rows if r["bucket"] is not None), key=lambda r: r["bucket"]):
+            replies[r["tokens"]].append(_unpressed(r["counts"]))
+        n = {}
+        for order in (1, 2, 3):
+            *_, by_bucket = part.dealt(order, buckets)
+            n[order] = np.zeros(len(by_bucket), np.int64)
+            n[order][by_bucket] = np.concatenate([np.zeros(0, np.int64), *replies[order]])
+        (two, *_), (three, *_) = part.grams(2), part.grams(3)
+        bits = max(1, len(part.words).bit_length())
+        came = np.flatnonzero(n[2] > 0)
+        place = np.cumsum(n[2] > 0) - 1
+        bigrams = ((two[came] >> 32) << bits) | (two[came] & 0xFFFFFFFF)
+        also = np.flatnonzero(n[3] > 0)
+        trigrams = (place[three[also] >> 32] << bits) | (three[also] & 0xFFFFFFFF)
+        trie = Trie(n[1], bigrams, n[2][came], trigrams, n[3][also], tokens, words)
+        doc = np.repeat(np.arange(len(part.learned)), np.diff(part.offsets))
+        by_doc = lambda x: np.bincount(doc, x, len(part.learned))
         return pa.table({
-            "doc_id": pa.array(ids, mask=np.frombuffer(first["e"], bool)), "held_out": pa.array(~np.frombuffer(first["d"], bool)), "n_tokens": pa.array(n),
-            "n_known": pa.array(seen.astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), tokens, np.int64)),
-            "base_score": pa.array(uni + rest - n * log_all), "score": pa.array(logs + rest - single * log_all),
+            "doc_id": pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["missing"], bool)), "held_out": pa.array(~part.learned), "n_tokens": pa.array(np.diff(part.offsets).astype(np.int64)),
+            "n_known": pa.array(by_doc(n[1][part.ids] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(part.learned), tokens, np.int64)),
+            "base_score": pa.array(by_doc(trie.uni[part.ids])), "score": pa.array(by_doc(trie.logs(part.ids, part.offsets[:-1]))),
         })
 
-    return sums.filter("part >= 0").groupBy("part").applyInArrow(
-        summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    given = [c.filter("part >= 0").select("part", "bucket", "counts", F.lit(k).cast("long").alias("tokens")) for k, c in enumerate(counts, 1)]
+    rows = text
+    for g in given:
+        rows = rows.unionByName(g, allowMissingColumns=True)
+    return rows.groupBy("part").applyInArrow(
+        scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
