@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadrille.llm.common import table
+from quadrille.plans.stages import stored
 
 SHARDS = 24
 #: Rows of a shard that one window numbers, about.
@@ -39,19 +40,20 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], text: str = "text",
     one. slot numbers a shard's rows from 0 without gaps. grown_shard is the shard with one more
     of the weight `added`. Repeated rows get slots of their own. Other columns are left out.
 
-    A shard can hold any part of the rows, so its rows are numbered in buckets of a hash of key,
-    size and checksum, as many as the rows need: rows of one id, or without any, are dealt apart. The
-    buckets' counts give where each bucket begins.
+    A shard can hold any part of the rows, so its rows are numbered in buckets of a hash of the stored row's
+    number, as many as the rows need: rows of one id, or without any, are dealt apart, even if they are
+    equal in all. The buckets' counts give where each bucket begins.
     """
-    buckets = df.count() // NUMBERED + 1
     rows = df.select(
         F.col(key).alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         chosen_shard(key, weights).cast("int").alias("shard"),
         chosen_shard(key, [*weights, added]).cast("int").alias("grown_shard"),
-    ).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32", F.lit("bucket")), F.lit(buckets)))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32")
+    )
+    rows = stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "sharded")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("row_id"), F.lit(rows.count() // NUMBERED + 1)))
+    within = Window.partitionBy("shard", "bucket").orderBy("row_id")
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
