@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,15 +250,15 @@ def shared_mass(sets: DataFrame, buckets: int) -> DataFrame:
     """(node, mass): how many of a node's shingles at least one other node of sets(node, set) has.
 
     Shingles are dealt to buckets of their hash as packed arrays; a bucket's tasks count, and give
-    back sums for each node. A shingle that several nodes of a batch have counts for them at once and is
-    sent on once, so one that very many nodes have fills no bucket.
+    back sums for the nodes of each batch, by their places in it: the batch's nodes are sent once, and
+    a row to a bucket holds at least one shingle, so what is sent grows with the shingles. A shingle that several nodes of a batch have
+    counts for them at once and is sent on once, so one that very many nodes have fills no bucket.
     """
     import numpy as np
 
-    names = ["bucket", "nodes", "keys", "owner", "mass"]
-    types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["bucket", "batch", "nodes", "keys", "owner", "mass"], (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
@@ -270,28 +271,41 @@ def shared_mass(sets: DataFrame, buckets: int) -> DataFrame:
                 bucket = (keys >> np.uint64(33)) % np.uint64(buckets)
                 order = np.argsort(bucket, kind="stable")
                 there, begin = np.unique(bucket[order], return_index=True)
-                nodes = part["node"].to_numpy().tobytes()
-                rows = [(int(k), nodes, keys[order[a:b]].tobytes(), owners[order[a:b]].tobytes(), None) for k, a, b in zip(there, begin, [*begin[1:], len(keys)], strict=True)]
-                rows.append((int(part["node"][0].as_py() % buckets), nodes, b"", b"", known.tobytes()))
+                rows = [(int(k), number, None, keys[order[a:b]].tobytes(), owners[order[a:b]].tobytes(), None) for k, a, b in zip(there, begin, [*begin[1:], len(keys)], strict=True)]
+                rows.append((int(number % buckets), number, part["node"].to_numpy().tobytes(), b"", b"", known.tobytes()))
+                number += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def count(group: pa.Table) -> pa.Table:
+        rows = group.select(["batch", "nodes", "keys", "owner", "mass"]).to_pylist()
+        out = [(r["batch"], r["nodes"], None, r["mass"]) for r in rows if r["nodes"] is not None]
+        rows = [r for r in rows if r["nodes"] is None]
+        if rows:
+            keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
+            place = np.concatenate([np.frombuffer(r["owner"], np.uint16) for r in rows])
+            _, back = np.unique(keys, return_inverse=True)
+            seen = np.bincount(back, 1 + (place == SEVERAL))
+            hit, at = (seen[back] > 1) & (place != SEVERAL), 0
+            for r in rows:
+                stop = at + len(r["keys"]) // 8
+                own, mass = np.unique(place[at:stop][hit[at:stop]], return_counts=True)
+                at = stop
+                if len(own):
+                    out.append((r["batch"], None, own.tobytes(), mass.astype(np.uint32).tobytes()))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 3))], names=["batch", "nodes", "owner", "mass"])
+
+    def add(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-        place = np.concatenate([np.frombuffer(r["owner"], np.uint16) for r in rows])
-        owners = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["nodes"], np.int64)[np.minimum(own, len(r["nodes"]) // 8 - 1)] for r in rows if len(own := np.frombuffer(r["owner"], np.uint16))]])
-        _, back = np.unique(keys, return_inverse=True)
-        seen = np.bincount(back, 1 + (place == SEVERAL)) if len(keys) else np.zeros(0)
-        hit = (seen[back] > 1) & (place != SEVERAL) if len(keys) else np.zeros(0, bool)
-        node, mass = np.unique(owners[hit], return_counts=True)
+        first = next(r for r in rows if r["nodes"] is not None)
+        mass = np.frombuffer(first["mass"], np.uint32).astype(np.int64)
         for r in rows:
-            if r["mass"] is not None:
-                node, mass = np.concatenate([node, np.frombuffer(r["nodes"], np.int64)]), np.concatenate([mass, np.frombuffer(r["mass"], np.uint32)])
-        return pa.table({"node": pa.array(node, pa.int64()), "mass": pa.array(mass, pa.int64())})
+            if r["nodes"] is None:
+                mass[np.frombuffer(r["owner"], np.uint16)] += np.frombuffer(r["mass"], np.uint32)
+        return pa.table({"node": pa.array(np.frombuffer(first["nodes"], np.int64)), "mass": pa.array(mass)})
 
     return (
-        sets.mapInArrow(deal, "bucket int, nodes binary, keys binary, owner binary, mass binary").groupBy("bucket").applyInArrow(count, "node long, mass long")
-        .groupBy("node").agg(F.sum("mass").alias("mass")).filter("mass > 0")
+        sets.mapInArrow(deal, "bucket int, batch long, nodes binary, keys binary, owner binary, mass binary").groupBy("bucket").applyInArrow(count, "batch long, nodes binary, owner binary, mass binary")
+        .groupBy("batch").applyInArrow(add, "node long, mass long").groupBy("node").agg(F.sum("mass").alias("mass")).filter("mass > 0")
     )
 
 

@@ -300,3 +300,61 @@ def test_digest_of_codebooks(spark):
     _, books = vector_codes.compress(df)
     numbers = ",".join(str(v) for p in range(16) for e in range(3) for v in [e])
     assert hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest() == hashlib.sha256(numbers.encode()).hexdigest()
+
+
+# long words and equal rows
+
+
+@pytest.mark.parametrize("alphabet", [b"ab", b"abcdefghijklmnopqrstuvwxyz", bytes(range(256))])
+def test_long_words_in_pieces(monkeypatch, alphabet):
+    """Pieces read side by side give what byte by byte gives, whatever the cuts."""
+    import pyarrow as pa
+
+    from quadrille.llm import token_counts
+
+    auto = token_counts.Automaton([b"ab", b"abab", b"ababababa", b"bb", b"the", b"ther", b"erence", b"aaaaaaaaaaaaaaaa", "▁a".encode(), b"qu", b"quick"])
+    rng = random.Random(3)
+    words = [bytes(rng.choice(alphabet) for _ in range(n)) for n in (1, 40, 41, 100, 997, 3000)] + [b"a" * 1500, b"ab" * 900]
+    want = auto.counts(pa.array(words, pa.binary())).tolist()
+    for piece, segment in ((7, 70), (64, 128), (16, 4096), (1, 50)):
+        monkeypatch.setattr(token_counts, "LONG", 30)
+        monkeypatch.setattr(token_counts, "PIECE", piece)
+        monkeypatch.setattr(token_counts, "SEGMENT", segment - segment % piece or piece)
+        assert auto.counts(pa.array(words, pa.binary())).tolist() == want
+
+
+def test_a_word_of_five_megabytes_takes_seconds(spark):
+    import time
+
+    from quadrille.llm import token_counts
+
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(5 << 20))
+    df = spark.createDataFrame([(1, word), (2, "a b")], "doc_id long, text string")
+    token_counts.automaton()
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.token_counts(df).collect()}
+    assert time.perf_counter() - began < 60 and got[1][0] == 1 and got[1][1] > 1 << 20
+
+
+def test_equal_rows_are_dealt_apart(spark, monkeypatch):
+    from quadrille.llm import sharding
+
+    monkeypatch.setattr(sharding, "NUMBERED", 500)
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    rows = sharding.shard(df, "doc_id", [1.0] * 24)
+    assert sorted(r.slot for r in rows.collect()) == list(range(4000)) and rows.select("shard").distinct().count() == 1
+
+
+def test_shared_mass_sends_in_proportion(spark):
+    """The masses equal a plain count, however many buckets."""
+    from quadrille.llm import near_dedup
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 4000, 60)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(300)]
+    times = collections.Counter(int(x) for s in sets for x in s)
+    want = {i: sum(times[int(x)] > 1 for x in s) for i, s in enumerate(sets)}
+    df = spark.createDataFrame([(i, bytearray(np.sort(s).tobytes())) for i, s in enumerate(sets)], "node long, set binary").repartition(3)
+    for buckets in (1, 7, 500):
+        got = {r.node: r.mass for r in near_dedup.shared_mass(df, buckets).collect()}
+        assert got == {i: m for i, m in want.items() if m}
