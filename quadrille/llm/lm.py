@@ -20,7 +20,7 @@ HELD_OUT = 10
 PRIOR = {2: 8.0, 3: 4.0}
 END = 0x9E3779B97F4A7C15
 #: Bytes of text of a part (a longer text is a part of its own), and n-grams whose counts one group sums, about.
-PART_BYTES, GROUP_GRAMS = 8 << 20, 2_000_000
+PART_BYTES, GROUP_GRAMS = 5 << 20, 2_000_000
 #: Steps of a quantised logarithm to base 10.
 STEPS = 2048
 
@@ -106,6 +106,9 @@ class Quantised:
     def __getitem__(self, i):
         return self.code[i] / -STEPS
 
+    def __len__(self):
+        return len(self.code)
+
 
 class Trie:
     """Levels of words, bigrams and trigrams with their counts in training. A bigram's key is its context's id and its word; a
@@ -133,33 +136,28 @@ class Trie:
         self.level2 = EliasFano(bigrams, max(1, len(counts)) << self.bits).opened()
         self.level3 = EliasFano(trigrams, max(1, len(bigrams)) << self.bits).opened()
 
-    def logs(self, ids, begins):
-        """log10 of the probability of each token, by its id: ids is the tokens of texts that begin at `begins`."""
+    def logs(self, part: Part):
+        """log10 of the probability of each token of a part, of whose words the trie's first level is made."""
         import numpy as np
 
-        def placed(level, context):
-            at = np.full(len(ids), -1, np.int64)
-            some = np.flatnonzero(context >= 0)
-            keys, back = np.unique((context[some] << self.bits) | ids[some], return_inverse=True)
-            at[some] = level.find(keys)[back]
-            return at
-
-        def previous(x):
-            out = np.concatenate([[-1], x[:-1]])
-            out[begins] = -1
-            return out
-
-        before = previous(ids)
-        two = placed(self.level2, before)
-        above = previous(two)
-        three = placed(self.level3, above)
+        (_, _, ids), (two, at2, which2), (three, at3, which3) = part.levels()
+        n = len(ids)
+        place2 = self.level2.find(((two >> 32) << self.bits) | (two & 0xFFFFFFFF))
+        context = place2[three >> 32] if len(three) else np.zeros(0, np.int64)
+        place3 = np.full(len(three), -1, np.int64)
+        some = np.flatnonzero(context >= 0)
+        place3[some] = self.level3.find((context[some] << self.bits) | (three[some] & 0xFFFFFFFF))
         out = self.uni[ids]
-        back = before >= 0
-        out[back] += self.bow1[before[back]]
-        out[two >= 0] = self.p2[two[two >= 0]]
-        back = (above >= 0) & (three < 0)
-        out[back] += self.bow2[above[back]]
-        out[three >= 0] = self.p3[three[three >= 0]]
+        # of each bigram, and then of each trigram, what it says in place of what was known
+        p2 = np.where(place2 >= 0, self.p2[place2] if len(self.p2) else 0.0, self.bow1[two >> 32] + self.uni[two & 0xFFFFFFFF])
+        out[at2] = p2[which2]
+        if len(three):
+            weight = np.where(context >= 0, self.bow2[context] if len(self.p2) else 0.0, 0.0)
+            lower = np.zeros(n)
+            lower[at3] = weight[which3]
+            out += lower
+            hit = place3[which3] >= 0
+            out[at3[hit]] = self.p3[place3[which3[hit]]]
         return out
 
 
@@ -213,38 +211,39 @@ class Part:
         n = _unpressed(row["n"])
         return cls(np.frombuffer(row["words"], np.uint64), _unpressed(row["ids"]), np.concatenate([[0], np.cumsum(n)]), np.frombuffer(row["learned"], bool))
 
-    def grams(self, order: int):
-        """(distinct n-grams, the last token of each n-gram, which of them it is). An n-gram of tokens lies in one text; each is
-        named by the place of the n-gram without its last word, and its last word."""
+    def levels(self):
+        """For words, bigrams and trigrams: (distinct n-grams, the last token of each n-gram, which of them it is). An n-gram of tokens lies
+        in one text; each is named by the place of the n-gram without its last word, and its last word."""
         import numpy as np
 
-        at, which = np.arange(len(self.ids)), self.ids
-        keys = np.arange(len(self.words))
-        for _ in range(order - 1):
+        if not hasattr(self, "_levels"):
+            self._levels = [(np.arange(len(self.words)), np.arange(len(self.ids)), self.ids)]
             first = np.zeros(len(self.ids), bool)
             first[self.offsets[:-1][np.diff(self.offsets) > 0]] = True
-            place = np.full(len(self.ids), -1, np.int64)
-            place[at] = which
-            now = np.flatnonzero(~first & (np.concatenate([[-1], place[:-1]]) >= 0))
-            keys, which = np.unique((place[now - 1] << 32) | self.ids[now], return_inverse=True)
-            at = now
-        return keys, at, which
+            place = self.ids
+            for _ in range(2):
+                now = np.flatnonzero(~first & (np.concatenate([[-1], place[:-1]]) >= 0))
+                keys, which = np.unique((place[now - 1] << 32) | self.ids[now], return_inverse=True)
+                place = np.full(len(self.ids), -1, np.int64)
+                place[now] = which
+                self._levels.append((keys, now, which))
+        return self._levels
 
     def dealt(self, order: int, buckets: int):
         """(hashes, buckets, counts in training, order by bucket) of the distinct n-grams; equal n-grams have equal hashes in all parts."""
         import numpy as np
 
-        _, at, which = self.grams(order)
-        n = int(which.max(initial=-1)) + 1
-        some = np.zeros(n, np.int64)
+        keys, at, which = self.levels()[order - 1]
+        some = np.zeros(len(keys), np.int64)
         some[which] = at  # where each n-gram ends, once
-        h = np.full(n, order, np.uint64)
+        h = np.full(len(keys), order, np.uint64)
         for back in range(order - 1, -1, -1):
             h = _stirred(h + self.words[self.ids[some - back]])
-        doc = np.repeat(np.arange(len(self.learned)), np.diff(self.offsets))
-        counts = np.bincount(which, self.learned[doc[at]], n).astype(np.int64)
+        learned = np.repeat(self.learned, np.diff(self.offsets))[at]
+        counts = np.bincount(which[learned], minlength=len(keys))
         bucket = ((h >> np.uint64(48)) * np.uint64(0x9E3779B97F4A7C15) + (h >> np.uint64(32))) % np.uint64(buckets)
-        return h, bucket.astype(np.int64), counts, np.lexsort((h, bucket))
+        bucket = bucket.astype(np.uint16 if buckets < 65536 else np.int64)
+        return h, bucket, counts, np.argsort(bucket, kind="stable")
 
 
 def _stirred(x):
@@ -360,7 +359,7 @@ def score(docs: DataFrame) -> DataFrame:
             *_, by_bucket = part.dealt(order, buckets)
             n[order] = np.zeros(len(by_bucket), np.int64)
             n[order][by_bucket] = np.concatenate([np.zeros(0, np.int64), *replies[order]])
-        (two, *_), (three, *_) = part.grams(2), part.grams(3)
+        _, (two, *_), (three, *_) = part.levels()
         bits = max(1, len(part.words).bit_length())
         came = np.flatnonzero(n[2] > 0)
         place = np.cumsum(n[2] > 0) - 1
@@ -373,7 +372,7 @@ def score(docs: DataFrame) -> DataFrame:
         return pa.table({
             "doc_id": pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=np.frombuffer(row["missing"], bool)), "held_out": pa.array(~part.learned), "n_tokens": pa.array(np.diff(part.offsets).astype(np.int64)),
             "n_known": pa.array(by_doc(n[1][part.ids] > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(part.learned), tokens, np.int64)),
-            "base_score": pa.array(by_doc(trie.uni[part.ids])), "score": pa.array(by_doc(trie.logs(part.ids, part.offsets[:-1]))),
+            "base_score": pa.array(by_doc(trie.uni[part.ids])), "score": pa.array(by_doc(trie.logs(part))),
         })
 
     given = [c.filter("part >= 0").select("part", "bucket", "counts", F.lit(k).cast("long").alias("tokens")) for k, c in enumerate(counts, 1)]

@@ -550,7 +550,7 @@ def test_lm_trie_gives_a_distribution():
     for a in range(12):
         for b in range(12):
             seq = np.concatenate([[a, b, w] for w in range(12)]).astype(np.int64)
-            p = 10 ** trie.logs(seq, np.arange(0, 36, 3))[2::3]
+            p = 10 ** trie.logs(lm.Part(np.arange(12).astype(np.uint64), seq, np.arange(0, 37, 3), np.ones(12, bool)))[2::3]
             assert 0.97 < p.sum() <= 1 + 1e-9  # the last tokens of the sequence have no next one
 
 
