@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quadrille.functions.terms import OWL, RDFS, SUBCLASS, SUBPROPERTY, TYPE
+from quadrille.operators.mapping import triples_of
 from quadrille.operators.trees import shape
 from quadrille.plans.fixpoint import transitive_closure
 from quadrille.plans.stages import stored
@@ -233,26 +234,6 @@ def exemplars(violations: DataFrame) -> DataFrame:
     return violations.groupBy("violation").agg(F.min("iri").alias("iri"), F.count("*").alias("n"))
 
 
-#: The triples of OWL constructs with two named terms, as fixed by the RDF mapping of OWL 2.
-CONSTRUCTS: Mapping[str, str] = {
-    "SubClassOf": SUBCLASS, "EquivalentClasses": f"{OWL}equivalentClass", "DisjointClasses": f"{OWL}disjointWith", "SubObjectPropertyOf": "http://www.w3.org/2000/01/rdf-schema#subPropertyOf",
-    "SubDataPropertyOf": "http://www.w3.org/2000/01/rdf-schema#subPropertyOf", "EquivalentObjectProperties": f"{OWL}equivalentProperty", "InverseObjectProperties": f"{OWL}inverseOf",
-    "ObjectPropertyDomain": "http://www.w3.org/2000/01/rdf-schema#domain", "ObjectPropertyRange": "http://www.w3.org/2000/01/rdf-schema#range", "DataPropertyDomain": "http://www.w3.org/2000/01/rdf-schema#domain",
-    "DataPropertyRange": "http://www.w3.org/2000/01/rdf-schema#range", "SameIndividual": f"{OWL}sameAs", "DifferentIndividuals": f"{OWL}differentFrom", "DisjointObjectProperties": f"{OWL}propertyDisjointWith",
-}
-CHARACTERISTICS: Mapping[str, str] = {f"{k}ObjectProperty": f"{OWL}{k}Property" for k in ("Functional", "InverseFunctional", "Reflexive", "Irreflexive", "Symmetric", "Asymmetric", "Transitive")}
-
-
 def to_triples(axioms: DataFrame) -> DataFrame:
-    """(s, p, o) of the axioms of named terms: links, characteristics, class and property assertions."""
-    a, b, c = (F.get("symbols", F.lit(i)) for i in range(3))
-    link = F.create_map(*[F.lit(x) for kv in CONSTRUCTS.items() for x in kv])
-    flag = F.create_map(*[F.lit(x) for kv in CHARACTERISTICS.items() for x in kv])
-    kind = F.col("axiom_type")
-    triple = (
-        F.when(link[kind].isNotNull(), F.struct(a.alias("s"), link[kind].alias("p"), b.alias("o")))
-        .when(flag[kind].isNotNull(), F.struct(a.alias("s"), F.lit(TYPE).alias("p"), flag[kind].alias("o")))
-        .when(kind == "ClassAssertion", F.struct(b.alias("s"), F.lit(TYPE).alias("p"), a.alias("o")))
-        .when(kind.isin("ObjectPropertyAssertion", "AnnotationAssertion", "DataPropertyAssertion"), F.struct(b.alias("s"), a.alias("p"), c.alias("o")))
-    )
-    return axioms.select(triple.alias("t")).filter("t IS NOT NULL").select("t.*").distinct()
+    """(s, p, o) of axioms, of nested expressions too (see mapping.triples_of). Declarations that name no kind say nothing."""
+    return triples_of(axioms.filter((F.col("axiom_type") != "Declaration") | F.col("sexpr").contains(" (")))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.operators.trees import nodes
 from quadrille.plans.fixpoint import Rule, atom_rows, product, saturate
 from quadrille.plans.stages import stored
 
@@ -44,6 +45,17 @@ def symbols(formula: Formula) -> dict[str, set[str]]:
     return out
 
 
+#: Operators of formulas' text forms.
+OPERATORS = ("and", "or", "not", "implies", "iff", "exists", "forall", "=")
+
+
+def symbols_of(formulas: DataFrame) -> DataFrame:
+    """(name, kind, symbol) of formulas(name, sexpr) in text form, (forall (?x) (implies (p ?x k) (q ?x))): predicates, constants and variables."""
+    rows = nodes(formulas.select("name", "sexpr"))
+    kind = F.when(F.col("head").startswith("?"), "variable").when(F.col("leaf"), "constant").when(~F.col("head").isin(*OPERATORS), "predicate")
+    return rows.select("name", kind.alias("kind"), F.col("head").alias("symbol")).filter("kind IS NOT NULL").distinct()
+
+
 def negated(formula: Formula) -> Formula:
     """The negation, moved inward to the facts."""
     op, *rest = formula

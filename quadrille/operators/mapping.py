@@ -189,26 +189,25 @@ def axioms_of(triples: DataFrame) -> DataFrame:
     return _axiom_rows(triples, members, data, texts)
 
 
-def _axiom_rows(triples: DataFrame, members: DataFrame, data: DataFrame, texts: DataFrame) -> DataFrame:
-    blank = lambda c: F.col(c).startswith(BLANK)
-
-    def said(df: DataFrame, *columns: str) -> DataFrame:
-        for c in columns:
-            df = df.join(texts.select(F.col("id").alias(c), F.col("text").alias("__t")), c, "left")
-            missing = F.raise_error(F.concat(F.lit("no expression at "), F.col(c))).cast("string")
-            df = df.withColumn(c, F.when(blank(c), F.coalesce("__t", missing)).otherwise(F.col(c))).drop("__t")
-        return df
+def _resolved(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows(op, args, chain) with the texts of the expressions at blank nodes; one that has no text is an error. Of a chain the first args become one form."""
+    rows = stored(rows.distinct().withColumn("row", F.monotonically_increasing_id()), "axioms")
+    parts = rows.select("row", "op", "chain", F.posexplode("args").alias("at", "arg")).join(texts.select(F.col("id").alias("arg"), "text"), "arg", "left")
+    missing = F.raise_error(F.concat(F.lit("no expression at "), F.col("arg"))).cast("string")
+    parts = parts.withColumn("arg", F.when(F.col("arg").startswith(BLANK), F.coalesce("text", missing)).otherwise(F.col("arg")))
+    out = parts.groupBy("row", "op", "chain").agg(F.array_sort(F.collect_list(F.struct("at", "arg"))).alias("args")).withColumn("args", F.transform("args", lambda x: x["arg"]))
+    whole = _form("ObjectPropertyChain", F.slice("args", F.lit(1), F.greatest("chain", F.lit(0))))
+    return out.select("op", F.when(F.col("chain") > 0, F.array(whole, F.element_at("args", -1))).otherwise(F.col("args")).alias("args"))
 
-    def items(df: DataFrame, column: str) -> DataFrame:
-        """df with the members of the list at a column, as texts in order."""
-        rows = df.join(members.select(F.col("head").alias(column), "items"), column, "left").select("s", F.posexplode_outer("items").alias("at", "item"))
-        return said(rows.filter("item IS NOT NULL"), "item").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("m")).select("s", F.transform("m", lambda x: x["item"]).alias("m"))
 
+def _axiom_rows(triples: DataFrame, members: DataFrame, data: DataFrame, texts: DataFrame) -> DataFrame:
+    blank = lambda c: F.col(c).startswith(BLANK)
+    items = lambda df, column: df.join(members.select(F.col("head").alias(column), F.col("items").alias("m")), column)
     of = lambda p: triples.filter(F.col("p") == p).select("s", "o")
     data_ids = data.select(F.col("prop").alias("s"), F.lit(True).alias("is_data"))
     nodes = triples.filter(blank("s") & (F.col("p") == f"{OWL}inverseOf")).select("s")
     made: list[DataFrame] = []
-    both = lambda df, op: said(df, "s", "o").select(F.array("s", "o").alias("args"), op.alias("op") if isinstance(op, Column) else F.lit(op).alias("op"))
+    both = lambda df, op: df.select(F.array("s", "o").alias("args"), op.alias("op") if isinstance(op, Column) else F.lit(op).alias("op"))
     by_kind = lambda obj, dat: F.when(F.col("is_data"), dat).otherwise(F.lit(obj))
     ranges = triples.filter((F.col("p") == TYPE) & (F.col("o") == f"{RDFS}Datatype") & ~blank("s")).select("s", F.lit(True).alias("is_data"))
     made.append(both(of(SUBCLASS), "SubClassOf"))
@@ -219,9 +218,8 @@ def _axiom_rows(triples: DataFrame, members: DataFrame, data: DataFrame, texts:
     made.append(both(of(f"{OWL}inverseOf").join(nodes, "s", "left_anti"), "InverseObjectProperties"))
     made += [both(of(f"{OWL}sameAs"), "SameIndividual"), both(of(f"{OWL}differentFrom"), "DifferentIndividuals")]
     for name, p in OWNED.items():
-        made.append(said(items(of(p), "o"), "s").select(F.concat(F.array("s"), "m").alias("args"), F.lit(name).alias("op")))
-    chains = said(items(of(f"{OWL}propertyChainAxiom"), "o"), "s")
-    made.append(chains.select(F.array(_form("ObjectPropertyChain", F.col("m")), "s").alias("args"), F.lit("SubObjectPropertyOf").alias("op")))
+        made.append(items(of(p), "o").select(F.concat(F.array("s"), "m").alias("args"), F.lit(name).alias("op")))
+    chains = items(of(f"{OWL}propertyChainAxiom"), "o").select(F.concat("m", F.array("s")).alias("args"), F.lit("SubObjectPropertyOf").alias("op"), F.size("m").alias("chain"))
     for kind, p in ((f"{OWL}AllDisjointClasses", f"{OWL}members"), (f"{OWL}AllDisjointProperties", f"{OWL}members"), (f"{OWL}AllDifferent", f"{OWL}distinctMembers")):
         rows = items(of(p).join(triples.filter((F.col("p") == TYPE) & (F.col("o") == kind)).select("s"), "s", "left_semi"), "o")
         if kind.endswith("Properties"):
@@ -231,19 +229,19 @@ def _axiom_rows(triples: DataFrame, members: DataFrame, data: DataFrame, texts:
             made.append(rows.select(F.col("m").alias("args"), F.lit("DisjointClasses" if kind.endswith("Classes") else "DifferentIndividuals").alias("op")))
     types = of(TYPE)
     for name, flag in FLAGS.items():
-        rows = said(types.filter(F.col("o") == flag), "s").join(data_ids, "s", "left_semi" if name == "FunctionalDataProperty" else "left_anti")
+        rows = types.filter(F.col("o") == flag).join(data_ids, "s", "left_semi" if name == "FunctionalDataProperty" else "left_anti")
         made.append(rows.select(F.array("s").alias("args"), F.lit(name).alias("op")))
     for name, kind in DECLARED.items():
         made.append(types.filter((F.col("o") == kind) & ~blank("s")).select(F.array(_form(name, F.array("s"))).alias("args"), F.lit("Declaration").alias("op")))
     reserved = F.col("o").startswith(OWL) | F.col("o").startswith(RDFS)
-    made.append(said(types.filter(~reserved & ~blank("s")), "o").select(F.array("o", "s").alias("args"), F.lit("ClassAssertion").alias("op")))
+    made.append(types.filter(~reserved & ~blank("s")).select(F.array("o", "s").alias("args"), F.lit("ClassAssertion").alias("op")))
     negative = of(f"{OWL}assertionProperty").withColumnRenamed("o", "p").join(of(f"{OWL}sourceIndividual").withColumnRenamed("o", "a"), "s")
     for p, name in ((f"{OWL}targetIndividual", "NegativeObjectPropertyAssertion"), (f"{OWL}targetValue", "NegativeDataPropertyAssertion")):
-        made.append(said(negative.join(of(p), "s"), "p").select(F.array("p", "a", "o").alias("args"), F.lit(name).alias("op")))
+        made.append(negative.join(of(p), "s").select(F.array("p", "a", "o").alias("args"), F.lit(name).alias("op")))
     fixed = F.col("p").startswith(OWL) | F.col("p").isin(TYPE, SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, FIRST, REST)
     notes = triples.filter((F.col("p") == TYPE) & (F.col("o") == f"{OWL}AnnotationProperty")).select(F.col("s").alias("p"), F.lit("AnnotationAssertion").alias("note"))
     facts = triples.filter(~fixed & ~blank("s")).join(notes, "p", "left").join(data.select(F.col("prop").alias("p"), F.lit("DataPropertyAssertion").alias("dat")), "p", "left")
     made.append(facts.select(F.array("p", "s", "o").alias("args"), F.coalesce("note", F.when(F.col("p").startswith(RDFS), F.lit("AnnotationAssertion")), "dat", F.lit("ObjectPropertyAssertion")).alias("op")))
     text = _form(F.col("op"), F.col("args"))
-    out = reduce(DataFrame.unionByName, [m.select("op", "args") for m in made])
-    return out.select(F.sha1(text).alias("axiom_id"), F.col("op").alias("axiom_type"), text.alias("sexpr")).distinct()
+    rows = reduce(DataFrame.unionByName, [m.select("op", "args", F.lit(0).alias("chain")) for m in made]).unionByName(chains)
+    return _resolved(rows, texts).select(F.sha1(text).alias("axiom_id"), F.col("op").alias("axiom_type"), text.alias("sexpr")).distinct()

@@ -167,7 +167,8 @@ RDF_FIRST, RDF_REST, RDF_NIL = (f"http://www.w3.org/1999/02/22-rdf-syntax-ns#{n}
 def expression_triples(expressions: DataFrame) -> DataFrame:
     """Triples of class expressions, one level a row: expressions(id, op, prop, args) with ids or names as args.
 
-    some, all and value have a property and one arg; min, max and exactly have the number first; and, or and one
+    some, all and value have a property and one arg, self a property alone; min, max and exactly have the number first and
+    perhaps a class; other operators are an error; and, or and one
     have any number of args, as a list; not has one. Nested expressions refer to each other's id.
     """
     rows = expressions.select("id", "op", "prop", "args")
@@ -177,13 +178,18 @@ def expression_triples(expressions: DataFrame) -> DataFrame:
     out = none
     for op, p in FILLERS.items():
         out = F.when(F.col("op") == op, F.array(row(F.col("id"), TYPE, F.lit(f"{OWL}Restriction")), row(F.col("id"), f"{OWL}onProperty", F.col("prop")), row(F.col("id"), p, F.col("args")[0]))).otherwise(out)
-    for op in ("min", "max", "exactly"):
-        p = f"{OWL}{'qualifiedCardinality' if op == 'exactly' else op + 'QualifiedCardinality'}"
-        out = F.when(F.col("op") == op, F.array(row(F.col("id"), TYPE, F.lit(f"{OWL}Restriction")), row(F.col("id"), f"{OWL}onProperty", F.col("prop")), row(F.col("id"), p, F.col("args")[0]), row(F.col("id"), f"{OWL}onClass", F.get("args", F.lit(1))))).otherwise(out)
+    for op, (plain, qualified) in {"min": ("minCardinality", "minQualifiedCardinality"), "max": ("maxCardinality", "maxQualifiedCardinality"), "exactly": ("cardinality", "qualifiedCardinality")}.items():
+        on = F.array(row(F.col("id"), TYPE, F.lit(f"{OWL}Restriction")), row(F.col("id"), f"{OWL}onProperty", F.col("prop")))
+        number = F.get("args", F.lit(0))
+        filled = F.concat(on, F.array(row(F.col("id"), f"{OWL}{qualified}", number), row(F.col("id"), f"{OWL}onClass", F.get("args", F.lit(1)))))
+        out = F.when((F.col("op") == op) & (F.size("args") > 1), filled).when(F.col("op") == op, F.concat(on, F.array(row(F.col("id"), f"{OWL}{plain}", number)))).otherwise(out)
+    out = F.when(F.col("op") == "self", F.array(row(F.col("id"), TYPE, F.lit(f"{OWL}Restriction")), row(F.col("id"), f"{OWL}onProperty", F.col("prop")), row(F.col("id"), f"{OWL}hasSelf", F.lit("true")))).otherwise(out)
     items = F.flatten(F.transform("args", lambda a, i: F.array(row(cell(i), RDF_FIRST, a), row(cell(i), RDF_REST, F.when(i + 1 < F.size("args"), cell(i + 1)).otherwise(F.lit(RDF_NIL))))))
     for op, p in LISTED.items():
         out = F.when(F.col("op") == op, F.concat(F.array(row(F.col("id"), TYPE, F.lit(f"{OWL}Class")), row(F.col("id"), p, F.when(F.size("args") > 0, cell(F.lit(0))).otherwise(F.lit(RDF_NIL)))), items)).otherwise(out)
     out = F.when(F.col("op") == "not", F.array(row(F.col("id"), TYPE, F.lit(f"{OWL}Class")), row(F.col("id"), f"{OWL}complementOf", F.col("args")[0]))).otherwise(out)
+    known = [*FILLERS, *LISTED, "min", "max", "exactly", "self", "not"]
+    out = F.when(F.col("op").isin(known), out).otherwise(F.raise_error(F.concat(F.lit("no triples for "), F.col("op"))).cast("array<struct<s:string,p:string,o:string>>"))
     return rows.select(F.explode(out).alias("t")).select("t.*").distinct()
 
 
@@ -197,10 +203,10 @@ def all_different(lists: DataFrame, kind: str = "AllDisjointClasses") -> DataFra
 # ---- inferred axioms ----
 
 CHARACTERISTICS = [f"{OWL}{k}Property" for k in ("Functional", "InverseFunctional", "Symmetric", "Asymmetric", "Transitive", "Reflexive", "Irreflexive")]
-#: The twelve types of inferred axioms.
+#: Types of inferred axioms, named by their form; a characteristic is any of CHARACTERISTICS.
 INFERRED_TYPES = (
-    "class-assertions", "property-assertions", "disjoint-classes", "equivalent-classes", "subclasses", "equivalent-data-properties", "equivalent-object-properties",
-    "inverse-properties", "sub-data-properties", "sub-object-properties", "data-property-characteristics", "object-property-characteristics",
+    "SubClassOf", "EquivalentClasses", "DisjointClasses", *(form.format(k) for k in ("Object", "Data") for form in ("Sub{}PropertyOf", "Equivalent{}Properties", "{}PropertyCharacteristic")),
+    "InverseObjectProperties", "ClassAssertion", "PropertyAssertion",
 )
 
 
@@ -223,22 +229,22 @@ def inferred(triples: DataFrame, types: Sequence[str] = INFERRED_TYPES, bundle:
     subclass, subproperty = link(SUBCLASS), link(SUBPROPERTY)
     both = lambda df: df.join(turned(df), ["s", "o"], "left_semi")
     made: dict[str, DataFrame] = {}
-    if "subclasses" in types:
-        made["subclasses"] = named(subclass, SUBCLASS)
-    if "equivalent-classes" in types:
-        made["equivalent-classes"] = named(both(subclass), f"{OWL}equivalentClass")
-    if "disjoint-classes" in types:
+    if "SubClassOf" in types:
+        made["SubClassOf"] = named(subclass, SUBCLASS)
+    if "EquivalentClasses" in types:
+        made["EquivalentClasses"] = named(both(subclass), f"{OWL}equivalentClass")
+    if "DisjointClasses" in types:
         apart = base.filter(F.col("p") == f"{OWL}disjointWith").select("s", "o")
         apart = apart.unionByName(turned(apart)).distinct()
         reach = subclass.unionByName(apart.select("s", F.col("s").alias("o"))).distinct()
         low = apart.join(reach.select(F.col("s").alias("__d"), F.col("o").alias("s")), "s").select(F.col("__d").alias("s"), "o")
-        made["disjoint-classes"] = named(low.join(reach.select(F.col("s").alias("__d"), "o"), "o").select("s", F.col("__d").alias("o")).filter("s <> o"), f"{OWL}disjointWith")
-    for k, name in (("ObjectProperty", "object"), ("DatatypeProperty", "data")):
-        if f"sub-{name}-properties" in types:
-            made[f"sub-{name}-properties"] = named(of(subproperty, k), SUBPROPERTY)
-        if f"equivalent-{name}-properties" in types:
-            made[f"equivalent-{name}-properties"] = named(of(both(subproperty), k), f"{OWL}equivalentProperty")
-        if f"{name}-property-characteristics" in types:
+        made["DisjointClasses"] = named(low.join(reach.select(F.col("s").alias("__d"), "o"), "o").select("s", F.col("__d").alias("o")).filter("s <> o"), f"{OWL}disjointWith")
+    for k, name in (("ObjectProperty", "Object"), ("DatatypeProperty", "Data")):
+        if f"Sub{name}PropertyOf" in types:
+            made[f"Sub{name}PropertyOf"] = named(of(subproperty, k), SUBPROPERTY)
+        if f"Equivalent{name}Properties" in types:
+            made[f"Equivalent{name}Properties"] = named(of(both(subproperty), k), f"{OWL}equivalentProperty")
+        if f"{name}PropertyCharacteristic" in types:
             flags = base.filter((F.col("p") == TYPE) & F.col("o").isin(CHARACTERISTICS)).select("s", "o")
             passed = [f"{OWL}FunctionalProperty", f"{OWL}InverseFunctionalProperty"]
             down = subproperty.join(flags.filter(F.col("o").isin(passed)).select(F.col("s").alias("__q"), F.col("o").alias("__k")), F.col("o") == F.col("__q")).select("s", F.col("__k").alias("o"))
@@ -246,14 +252,14 @@ def inferred(triples: DataFrame, types: Sequence[str] = INFERRED_TYPES, bundle:
             same = both(subproperty).unionByName(inverse).unionByName(turned(inverse)).distinct().withColumnRenamed("o", "__q")
             shared = [f"{OWL}{x}Property" for x in ("Symmetric", "Transitive", "Asymmetric", "Reflexive", "Irreflexive")]
             along = same.join(flags.filter(F.col("o").isin(shared)).withColumnRenamed("s", "__q"), "__q").select("s", "o")
-            made[f"{name}-property-characteristics"] = named(of(down.unionByName(along), k), TYPE)
-    if "inverse-properties" in types:
-        made["inverse-properties"] = named(turned(base.filter(F.col("p") == f"{OWL}inverseOf")), f"{OWL}inverseOf")
-    if "class-assertions" in types:
-        made["class-assertions"] = full.filter((F.col("p") == TYPE) & ~F.col("o").startswith(OWL)).select("s", "p", "o")
-    if "property-assertions" in types:
+            made[f"{name}PropertyCharacteristic"] = named(of(down.unionByName(along), k), TYPE)
+    if "InverseObjectProperties" in types:
+        made["InverseObjectProperties"] = named(turned(base.filter(F.col("p") == f"{OWL}inverseOf")), f"{OWL}inverseOf")
+    if "ClassAssertion" in types:
+        made["ClassAssertion"] = full.filter((F.col("p") == TYPE) & ~F.col("o").startswith(OWL)).select("s", "p", "o")
+    if "PropertyAssertion" in types:
         fixed = [TYPE, SUBCLASS, SUBPROPERTY, DOMAIN, RANGE]
-        made["property-assertions"] = full.filter(~F.col("p").isin(fixed) & ~F.col("p").startswith(OWL) & ~F.col("p").startswith(RDFS)).select("s", "p", "o")
+        made["PropertyAssertion"] = full.filter(~F.col("p").isin(fixed) & ~F.col("p").startswith(OWL) & ~F.col("p").startswith(RDFS)).select("s", "p", "o")
     rows = [df.distinct().select(F.lit(t).alias("type"), "s", "p", "o") for t, df in made.items()]
     return reduce(DataFrame.unionByName, rows).join(base, ["s", "p", "o"], "left_anti").select("type", "s", "p", "o")
 
@@ -273,7 +279,7 @@ class Release:
         return self.report.filter("check IN ('inconsistent', 'unsatisfiable') AND n > 0").isEmpty()
 
 
-def release(graphs: Mapping[str, DataFrame], types: Sequence[str] = ("subclasses",), bundle: str = "rdfs", path: str | None = None) -> Release:
+def release(graphs: Mapping[str, DataFrame], types: Sequence[str] = ("SubClassOf",), bundle: str = "rdfs", path: str | None = None) -> Release:
     """Merges the graphs, infers axioms and checks the outcome; written under `path`, if given, as merged, inferred and report.
 
     report(check, n): inconsistent individuals, unsatisfiable classes and each kind of profile violation.

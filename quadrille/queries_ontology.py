@@ -102,13 +102,13 @@ def o13_applicable(s, d):
     return hi.applicable(rows(("made", "Brand"), ("kept", "Type"), ("free", "Top")), rows(("made", "Type"), ("kept", "Brand"), ("free", "Top")), hi.subsumptions(class_edges(s, d)), "Group1", "PROMO")
 
 
-@query(f"{CLASS_CLOSURE} SELECT 'subclasses' AS type, a AS s, '{SUBCLASS}' AS p, b AS o FROM t EXCEPT SELECT 'subclasses', a, '{SUBCLASS}', b FROM c")
+@query(f"{CLASS_CLOSURE} SELECT 'SubClassOf' AS type, a AS s, '{SUBCLASS}' AS p, b AS o FROM t EXCEPT SELECT 'SubClassOf', a, '{SUBCLASS}', b FROM c")
 def o19_inferred_subclasses(s, d):
-    return on.inferred(class_graph(s, d), ["subclasses"], "rdfs")
+    return on.inferred(class_graph(s, d), ["SubClassOf"], "rdfs")
 
 
-@query(f"""SELECT 'class-assertions' AS type, count(*) AS n FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders UNION ALL SELECT DISTINCT o_custkey FROM orders UNION ALL SELECT DISTINCT o_custkey FROM orders)
-UNION ALL SELECT 'property-assertions', count(*) * 3 FROM orders UNION ALL SELECT 'inverse-properties', 1 UNION ALL SELECT 'object-property-characteristics', 1 UNION ALL SELECT 'sub-object-properties', 1""")
+@query(f"""SELECT 'ClassAssertion' AS type, count(*) AS n FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders UNION ALL SELECT DISTINCT o_custkey FROM orders UNION ALL SELECT DISTINCT o_custkey FROM orders)
+UNION ALL SELECT 'PropertyAssertion', count(*) * 3 FROM orders UNION ALL SELECT 'InverseObjectProperties', 1 UNION ALL SELECT 'ObjectPropertyCharacteristic', 1 UNION ALL SELECT 'SubObjectPropertyOf', 1""")
 def o19_inferred_by_type(s, d):
     full = lambda x: f"{EX}{x}"
     more = gr.abox(s, [
@@ -116,7 +116,7 @@ def o19_inferred_by_type(s, d):
         (full("involves"), TYPE, f"{OWL}ObjectProperty"), (full("orderedBy"), SUBPROPERTY, full("middle")), (full("middle"), SUBPROPERTY, full("related")), (full("middle"), TYPE, f"{OWL}AnnotationProperty"),
     ])
     g = order_links(s, d).unionByName(more)
-    out = on.inferred(g, ["class-assertions", "inverse-properties", "object-property-characteristics", "sub-object-properties", "property-assertions"])
+    out = on.inferred(g, ["ClassAssertion", "InverseObjectProperties", "ObjectPropertyCharacteristic", "SubObjectPropertyOf", "PropertyAssertion"])
     # links of orders: involves, middle, related and the inverse one, of which the stated graph has none
     return out.filter(f"p <> '{EX}related'").groupBy("type").agg(F.count("*").alias("n"))
 
@@ -283,10 +283,12 @@ def o33_release_inferred(s, d):
     return on.release({"classes": class_graph(s, d)}).inferred.agg(F.count("*").alias("n"))
 
 
-@query("SELECT name, n FROM (VALUES ('predicates', 2), ('constants', 1), ('variables', 2)) v(name, n)")
+@query("""SELECT name, kind, symbol FROM (SELECT 'n' || n_nationkey AS name, k AS kind, v AS symbol FROM nation, (VALUES ('predicate', 'in'), ('predicate', 'customer'), ('variable', '?x'), ('variable', '?y')) t(k, v)
+UNION ALL SELECT 'n' || n_nationkey, 'constant', 'nation' || n_nationkey FROM nation UNION ALL SELECT 'n' || n_nationkey, 'constant', n_name FROM nation)""")
 def l03_formula_symbols(s, d):
-    found = co.symbols(("forall", ["?o", "?c"], ("implies", ("and", ("fact", "by", "?o", "?c"), ("fact", "in", "?c", "3")), ("not", ("=", "?o", "?c")))))
-    return s.createDataFrame([(k, len(v)) for k, v in found.items()], "name string, n int")
+    text = F.format_string('(forall (?x) (implies (in ?x nation%d) (exists (?y) (and (customer ?y) (not (= ?x %s))))))', "n_nationkey", "n_name")
+    n = table(s, d, "nation")
+    return co.symbols_of(n.select(F.format_string("n%d", "n_nationkey").alias("name"), text.alias("sexpr")))
 
 
 @query("SELECT c_custkey::VARCHAR AS c FROM customer WHERE c_custkey % 10 <> 0 AND c_nationkey <> 3 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quadrille.functions.terms import XSD, Iri, Literal
+from quadrille.functions.terms import OWL, SUBCLASS, XSD, Iri, Literal
 from quadrille.operators import completion as cm
 from quadrille.operators import constraints as co
+from quadrille.operators import mapping as mp
 from quadrille.operators import modules as md
 from quadrille.operators import patterns as pa
 from quadrille.operators import trees as tr
@@ -203,6 +204,28 @@ def x02_tests_in_patterns(s, d):
     return rows.filter("node = 0").groupBy("name").agg(depth.cast("int").alias("depth"))
 
 
+@query("SELECT 'Nation' || n_nationkey AS a, 'in' AS p, 'near' AS q, 'R' || n_regionkey || ' S' || n_nationkey || ' T' AS members FROM nation")
+def x10_nested_triples(s, d):
+    """The parts of nested expressions, read from the triples that they become: restrictions, and lists in their order."""
+    t = mp.triples_of(nested_axioms(s, d))
+    of = lambda p, a, b: t.filter(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b))
+    lists = mp.list_members(t)
+    outer = of(SUBCLASS, "a", "r").join(of(f"{OWL}onProperty", "r", "p"), "r").join(of(f"{OWL}someValuesFrom", "r", "f"), "r").join(of(f"{OWL}intersectionOf", "f", "head"), "f").join(lists, "head")
+    inner = of(f"{OWL}onProperty", "r2", "q").join(of(f"{OWL}allValuesFrom", "r2", "u"), "r2").join(of(f"{OWL}unionOf", "u", "head2"), "u").join(lists.select(F.col("head").alias("head2"), F.array_join("items", " ").alias("members")), "head2")
+    return outer.select("a", "p", F.get("items", F.lit(1)).alias("r2")).join(inner, "r2").select("a", "p", "q", "members")
+
+
+@query("SELECT sexpr FROM (SELECT '(SubClassOf Nation' || n_nationkey || ' (ObjectSomeValuesFrom in (ObjectIntersectionOf Region (ObjectAllValuesFrom near (ObjectUnionOf R' || n_regionkey || ' S' || n_nationkey || ' T)))))' AS sexpr FROM nation UNION ALL SELECT '(SubClassOf (ObjectMinCardinality ' || n_regionkey || ' p) (ObjectMaxCardinality ' || n_nationkey || ' p K' || n_nationkey || '))' FROM nation UNION ALL SELECT '(DifferentIndividuals n' || n_nationkey || ' a b)' FROM nation UNION ALL SELECT '(HasKey K' || n_nationkey || ' p q)' FROM nation)")
+def x12_triples_back(s, d):
+    """Axioms to triples and back: none is lost, none is another."""
+    n = table(s, d, "nation")
+    more = [F.format_string("(SubClassOf (ObjectMinCardinality %d p) (ObjectMaxCardinality %d p K%d))", "n_regionkey", "n_nationkey", "n_nationkey"), F.format_string("(DifferentIndividuals n%d a b)", "n_nationkey"), F.format_string("(HasKey K%d p q)", "n_nationkey")]
+    axioms = nested_axioms(s, d)
+    for text in more:
+        axioms = axioms.unionByName(forms(n, text))
+    return mp.axioms_of(mp.triples_of(axioms)).select("sexpr")
+
+
 # ---- updates of whole terms ----
 
 

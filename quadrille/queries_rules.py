@@ -124,16 +124,21 @@ def q16_ask(s, d):
     return s.createDataFrame([("yes", pa.ask(pa.bgp(g, ("?c", "ex:segment", "BUILDING")))), ("no", pa.ask(pa.bgp(g, ("?c", "ex:segment", "NO SUCH"))))], "test string, found boolean")
 
 
-@query(f"SELECT '{EX}noted' AS node UNION ALL SELECT '{EX}tagged'")
+@query("SELECT DISTINCT event_type AS node FROM events UNION SELECT 'event' UNION SELECT DISTINCT event_type || '/' || user_id % 10 FROM events")
 def o05_annotation_properties_below(s, d):
-    rows = [(f"{EX}noted", SUBPROPERTY, f"{EX}said"), (f"{EX}tagged", SUBPROPERTY, f"{EX}noted"), (f"{EX}said", TYPE, f"{OWL}AnnotationProperty"), (f"{EX}noted", TYPE, f"{OWL}AnnotationProperty")]
-    return hi.below(hi.edges_of(s.createDataFrame(rows, "s string, p string, o string"), SUBPROPERTY), f"{EX}said")
+    """Kinds of events, and those of groups of users, as annotation properties below a note."""
+    e = table(s, d, "events")
+    own = F.concat("event_type", F.lit("/"), (F.col("user_id") % 10).cast("string"))
+    links = e.select(F.explode(F.array(F.struct(own.alias("a"), F.col("event_type").alias("b")), F.struct(F.col("event_type").alias("a"), F.lit("event").alias("b")))).alias("l")).select("l.*").distinct()
+    return hi.below(links.unionByName(s.createDataFrame([("event", "note")], "a string, b string")), "note")
 
 
-@query("SELECT 1::INT AS step, 'p1' AS a, 'p2' AS b UNION ALL SELECT 2, 'p2', 'p3'")
+@query(f"""{CLASS_CLOSURE}, w AS (SELECT a, b, [a, b] AS path FROM c WHERE a = 'Brand#3' UNION ALL SELECT w.a, c.b, list_append(path, c.b) FROM w JOIN c ON c.a = w.b WHERE NOT list_contains(path, c.b)),
+f AS (SELECT path FROM w WHERE b = 'Top' ORDER BY len(path), path LIMIT 1) SELECT (i - 1)::INT AS step, path[i - 1] AS a, path[i] AS b FROM (SELECT path, unnest(range(2, len(path) + 1)) AS i FROM f)""")
 def o20_property_explanation(s, d):
-    rows = [("p1", SUBPROPERTY, "p2"), ("p2", SUBPROPERTY, "p3"), ("p1", SUBPROPERTY, "q"), ("q", SUBPROPERTY, "r")]
-    return en.why_subclass(s.createDataFrame(rows, "s string, p string, o string"), "p1", "p3", SUBPROPERTY)
+    """One shortest chain of property links."""
+    g = class_edges(s, d).select(F.col("a").alias("s"), F.lit(SUBPROPERTY).alias("p"), F.col("b").alias("o"))
+    return en.why_subclass(g, "Brand#3", "Top", SUBPROPERTY)
 
 
 @query("SELECT p_partkey, regexp_replace(p_name, '(^| )([a-z])', '\\1<\\2>', 'g') AS text FROM part WHERE regexp_matches(p_name, '^[a-z]+( [a-z]+)*$')")

@@ -57,16 +57,29 @@ def foreign_keys(s):
     return s.createDataFrame(rows, "table_name string, column_name string, ref_table string, ref_column string")
 
 
-@query(f"SELECT 'in' AS way, table_name FROM {KEYS} WHERE ref_table = 'nation' UNION ALL SELECT 'out', ref_table FROM {KEYS} WHERE table_name = 'orders'")
+def _fits(t, c, rt, rc):
+    return f"NOT EXISTS (SELECT 1 FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {rc} FROM {rt} WHERE {rc} IS NOT NULL)) AND (SELECT count({rc}) = count(DISTINCT {rc}) FROM {rt})"
+
+
+#: Columns that may refer to a key, right and wrong ones.
+MAYBE = [
+    ("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+    ("nation", "n_nationkey", "region", "r_regionkey"), ("orders", "o_custkey", "supplier", "s_nationkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+]
+
+
+@query(" UNION ALL ".join(f"SELECT 'in' AS way, '{t}' AS table_name WHERE {_fits(t, c, rt, rc)}" for t, c, rt, rc in MAYBE if rt == "nation") + " UNION ALL " + " UNION ALL ".join(f"SELECT 'out', '{rt}' WHERE {_fits(t, c, rt, rc)}" for t, c, rt, rc in MAYBE if t == "orders"))
 def src16_references(s, d):
-    keys = foreign_keys(s)
+    """What refers to nations and what orders refer to, by keys that the tables' rows allow."""
+    keys = db.inclusions({t: table(s, d, t) for t in ("region", "nation", "customer", "supplier", "orders", "lineitem")}, MAYBE)
     return db.references(keys, "nation", incoming=True).select(F.lit("in").alias("way"), "table_name").unionByName(db.references(keys, "orders").select(F.lit("out").alias("way"), F.col("ref_table").alias("table_name")))
 
 
-@query("SELECT table_name FROM (VALUES ('region'), ('customer')) v(table_name)")
+@query("SELECT 'nation' AS table_name WHERE (SELECT count(*) FROM nation) <> greatest((SELECT count(DISTINCT n_nationkey) FROM nation), (SELECT count(DISTINCT n_name) FROM nation), (SELECT count(DISTINCT n_regionkey) FROM nation)) UNION ALL SELECT 'labels' WHERE (SELECT count(*) FROM labels) <> greatest((SELECT count(DISTINCT doc_id) FROM labels), (SELECT count(DISTINCT quality) FROM labels), (SELECT count(DISTINCT toxic) FROM labels)) UNION ALL SELECT 'lineitem' WHERE (SELECT count(*) FROM lineitem) <> greatest((SELECT count(DISTINCT l_orderkey) FROM lineitem), (SELECT count(DISTINCT l_partkey) FROM lineitem))")
 def src17_tables_without_key(s, d):
-    catalog = db.columns_catalog({t: table(s, d, t) for t in ("region", "nation", "customer")})
-    return db.without_unique_key(catalog, s.createDataFrame([("nation",)], "table_name string"))
+    """Tables none of whose columns is unique, by their rows."""
+    tables = {"nation": table(s, d, "nation"), "labels": table(s, d, "labels"), "lineitem": table(s, d, "lineitem").select("l_orderkey", "l_partkey")}
+    return db.without_unique_key(db.columns_catalog(tables), db.unique_keys(tables))
 
 
 @query("SELECT 20::BIGINT AS n, 20::BIGINT AS known, true AS same")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import strings as st
 from quadrille.functions import terms as te
 from quadrille.functions.builtins import builtin
-from quadrille.functions.terms import DOMAIN, LABEL, RDF, SUBPROPERTY, TYPE, XSD, Iri, Literal, call, number
+from quadrille.functions.terms import DOMAIN, LABEL, RDF, SUBCLASS, SUBPROPERTY, TYPE, XSD, Iri, Literal, call, number
 from quadrille.operators import hierarchy as hi
 from quadrille.operators import patterns as pa
 from quadrille.operators import update as up
@@ -328,7 +328,9 @@ def e06_own_aggregate(s, d):
     return table(s, d, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.round(F.sum(price), 2).alias("total"), F.round(st.geometric_mean(price), 4).alias("middle"))
 
 
-@query(f"SELECT '{EX}involves' AS p, '{EX}Deal' AS c UNION ALL SELECT '{EX}orderedBy', '{EX}Deal'")
+@query(f"SELECT DISTINCT '{EX}did/' || event_type AS p, c FROM events, (VALUES ('{EX}User'), ('{EX}Agent')) v(c) UNION SELECT '{EX}did', c FROM (VALUES ('{EX}User'), ('{EX}Agent')) v(c)")
 def o13_declared_domains(s, d):
-    g = gr.abox(s, [(f"{EX}orderedBy", SUBPROPERTY, f"{EX}involves"), (f"{EX}involves", DOMAIN, f"{EX}Deal"), (f"{EX}Deal", TYPE, "http://www.w3.org/2002/07/owl#Class")])
-    return hi.domains_and_ranges(g, DOMAIN)
+    """Domains that the properties of all kinds of events have from the one above them, and the classes above these."""
+    kinds = table(s, d, "events").select(F.concat(F.lit(f"{EX}did/"), "event_type").alias("s")).distinct().select("s", F.lit(SUBPROPERTY).alias("p"), F.lit(f"{EX}did").alias("o"))
+    g = gr.abox(s, [(f"{EX}did", DOMAIN, f"{EX}User"), (f"{EX}User", SUBCLASS, f"{EX}Agent")])
+    return hi.domains_and_ranges(kinds.unionByName(g.select("s", "p", "o")), DOMAIN)
