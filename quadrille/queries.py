@@ -18,6 +18,7 @@ from quadrille.operators import hierarchy as hi
 from quadrille.operators import models as mo
 from quadrille.operators import patterns as pa
 from quadrille.operators import update as up
+from quadrille.operators.modules import locality_module
 from quadrille.plans.fixpoint import Rule, saturate, transitive_closure
 from quadrille.sources import databases as db
 from quadrille.sources import files as fi
@@ -604,7 +605,7 @@ def x10_axioms_to_triples(s, d):
 @query(f"{CLASS_CLOSURE} SELECT '(SubClassOf ' || a || ' ' || b || ')' AS sexpr FROM c WHERE a = 'Group3' OR a IN (SELECT b FROM t WHERE a = 'Group3')")
 def o21_module(s, d):
     rows = ax.axiom_rows(class_edges(s, d), "SubClassOf", F.col("a"), F.col("b"))
-    return ax.module(rows, s.createDataFrame([("Group3",)], "iri string")).select("sexpr")
+    return locality_module(rows, s.createDataFrame([("Group3",)], "iri string")).select("sexpr")
 
 
 @query(f"WITH {CLASSES} SELECT 'undeclared class' AS violation, node AS iri FROM (SELECT a AS node FROM c UNION SELECT b FROM c) WHERE node NOT IN (SELECT p_type FROM part)")
