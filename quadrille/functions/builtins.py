@@ -21,6 +21,13 @@ def _day_time(days: Column, hours: Column, minutes: Column, seconds: Column) ->
     return F.make_dt_interval(days, hours, minutes, seconds)
 
 
+def _in_a_day(time: Column) -> Column:
+    """A time of the day, kept as what has passed since midnight, after whole days are taken away."""
+    part = lambda name: F.extract(F.lit(name), time)
+    seconds = part("DAY") * 86400 + part("HOUR") * 3600 + part("MINUTE") * 60 + part("SECOND")
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pmod(seconds.cast("decimal(18, 6)"), F.lit(86400).cast("decimal(18, 6)")))
+
+
 #: Built-ins by name. A zero divisor and a text that isn't a date give NULL: the atom then fails.
 BUILTINS: dict[str, Callable[..., Column]] = {
     "equal": lambda a, b: a == b, "notEqual": lambda a, b: a != b, "lessThan": lambda a, b: a < b, "lessThanOrEqual": lambda a, b: a <= b,
@@ -47,6 +54,8 @@ BUILTINS: dict[str, Callable[..., Column]] = {
     "subtractDayTimeDurationFromDateTime": lambda t, i: t - i, "subtractYearMonthDurationFromDate": lambda d, m: F.add_months(d, -m),
     "subtractDayTimeDurationFromDate": lambda d, n: F.date_sub(d, n), "subtractDateTimesYieldingDayTimeDuration": lambda a, b: a - b,
     "subtractDateTimesYieldingYearMonthDuration": lambda a, b: F.months_between(a, b).cast("int"),
+    "time": lambda h, m, s: _day_time(F.lit(0), h, m, s), "subtractTimes": lambda a, b: a - b, "addDayTimeDurationToTime": lambda t, i: _in_a_day(t + i),
+    "subtractDayTimeDurationFromTime": lambda t, i: _in_a_day(t - i), "multiplyYearMonthDuration": lambda a, n: a * n,
     "resolveURI": resolved, "anyURI": F.concat, "listConcat": F.concat, "listIntersection": F.array_intersect, "listSubtraction": F.array_except,
     "member": lambda x, xs: F.array_contains(xs, x), "length": F.size, "first": lambda xs: F.get(xs, F.lit(0)),
     "rest": lambda xs: F.slice(xs, F.lit(2), F.greatest(F.size(xs), F.lit(1))), "sublist": lambda xs, ys: F.size(F.array_except(ys, xs)) == 0, "empty": lambda xs: F.size(xs) == 0,

@@ -25,7 +25,7 @@ def _sets(closure: DataFrame, key: str, name: str) -> DataFrame:
 
 def rdfs(triples: DataFrame) -> DataFrame:
     """(s, p, o): subproperties, subclasses, domains and ranges followed to the end; a literal has no type."""
-    return _rdfs(_things(triples)).select("s", "p", "o").distinct()
+    return _rdfs(_things(triples))[0].select("s", "p", "o").distinct()
 
 
 def _things(triples: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def _things(triples: DataFrame) -> DataFrame:
     return triples.select("s", "p", "o", thing.alias("thing")).distinct()
 
 
-def _rdfs(base: DataFrame) -> DataFrame:
-    """(s, p, o, thing): subproperties, subclasses, domains and ranges followed to the end.
+def _rdfs(base: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(s, p, o, thing), and the stored tables that it reads: subproperties, subclasses, domains and ranges followed to the end.
 
     The schema's closures come first, and give for each property the properties above it and its
     domains and ranges. Then each triple meets the schema once, and all that follows from it comes of
@@ -65,7 +65,7 @@ def _rdfs(base: DataFrame) -> DataFrame:
     closed = [classes.select(F.col("a").alias("s"), F.lit(SUBCLASS).alias("p"), F.col("b").alias("o")), properties.select(F.col("a").alias("s"), F.lit(SUBPROPERTY).alias("p"), F.col("b").alias("o"))]
     for rows in closed:
         out = out.unionByName(rows.withColumn("thing", F.lit(True)))
-    return out.distinct()
+    return out.distinct(), [schema, properties, classes]
 
 
 def _flagged(base: DataFrame, kind: str) -> DataFrame:
@@ -82,7 +82,9 @@ def _seed(triples: DataFrame) -> DataFrame:
 
 def _plus(now: DataFrame) -> DataFrame:
     """One round of RDFS and of inverse, symmetric and transitive properties over (s, p, o, thing)."""
-    full = stored(_rdfs(now), "entailed")
+    made, before = _rdfs(now)
+    full = stored(made, "entailed")
+    free(*before)
     things = full.filter("thing")
     turn = F.explode(F.array(F.struct("s", "o"), F.struct(F.col("o").alias("s"), F.col("s").alias("o")))).alias("t")
     inverse = full.filter(F.col("p") == f"{OWL}inverseOf").select(turn).select(F.col("t.s").alias("p"), F.col("t.o").alias("q")).distinct()
@@ -90,28 +92,28 @@ def _plus(now: DataFrame) -> DataFrame:
     mirrored = things.join(_flagged(full, "SymmetricProperty"), "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
     new = turned.unionByName(mirrored).withColumn("thing", F.lit(True))
     chains = things.unionByName(new).join(_flagged(full, "TransitiveProperty"), "p").select("p", F.col("s").alias("a"), F.col("o").alias("b"))
-    closed = transitive_closure(chains, by=["p"]).select(F.col("a").alias("s"), "p", F.col("b").alias("o"), F.lit(True).alias("thing"))
+    chained = transitive_closure(chains, by=["p"])
+    closed = chained.select(F.col("a").alias("s"), "p", F.col("b").alias("o"), F.lit(True).alias("thing"))
     after = stored(full.unionByName(new).unionByName(closed).distinct(), "entailed")
-    free(full)
+    free(full, chained)
     return after
 
 
-def _fixpoint(now: DataFrame, step, rounds: int) -> DataFrame:
-    """(s, p, o) when a step adds nothing; an error after so many rounds."""
+def _fixpoint(now: DataFrame, step) -> DataFrame:
+    """(s, p, o) when a step adds nothing. It ends: steps make no new names, so triples are finitely many."""
     now = stored(now, "entailed")
-    for _ in range(rounds):
+    while True:
         after = step(now)
         ended = after.join(now, ["s", "p", "o"], "left_anti").isEmpty()
         free(now)
         now = after
         if ended:
             return now.select("s", "p", "o").distinct()
-    raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 
-def rdfs_plus(triples: DataFrame, rounds: int = 20) -> DataFrame:
+def rdfs_plus(triples: DataFrame) -> DataFrame:
     """RDFS with inverse, symmetric and transitive properties and equivalent classes and properties."""
-    return _fixpoint(_seed(triples), _plus, rounds)
+    return _fixpoint(_seed(triples), _plus)
 
 
 SAME = f"{OWL}sameAs"
@@ -155,10 +157,10 @@ def _horst(now: DataFrame) -> DataFrame:
     return after
 
 
-def horst(triples: DataFrame, rounds: int = 20) -> DataFrame:
+def horst(triples: DataFrame) -> DataFrame:
     """RDFS-plus with equal individuals, which share all their triples, and the restrictions some, all and value followed from triples
     to types and, for all and value, back."""
-    return _fixpoint(_seed(triples), _horst, rounds)
+    return _fixpoint(_seed(triples), _horst)
 
 
 def entailed(triples: DataFrame, bundle: str = "rdfs") -> DataFrame:

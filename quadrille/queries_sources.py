@@ -196,3 +196,11 @@ def stream_ingested_quads(s, d):
 @query("SELECT DISTINCT regexp_extract(url, '([^/#]*)$', 1) AS tail FROM pages")
 def f10_url_tails(s, d):
     return table(s, d, "pages").select(tail(F.col("url")).alias("tail")).distinct()
+
+
+@query("SELECT event_type AS kind, CASE WHEN event_type = 'click' THEN value END AS amount, CASE WHEN event_type = 'view' THEN length(props)::INT END AS size, CASE WHEN event_type NOT IN ('click', 'view') THEN 'no parser for ' || event_type END AS error FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT NULL, NULL, NULL, 'no parser for ' || event_type FROM events WHERE event_type NOT IN ('click', 'view')")
+def e04_parsers_by_kind(s, d):
+    """Rows are read by the parser that is given for their kind, over a named connection; others are told."""
+    sources = db.Connections(local=lambda spark, name: table(spark, d, name)).named("none", lambda spark, name: table(spark, d, name).limit(0))
+    parsers = {"click": lambda df: df.select(F.col("event_type").alias("kind"), F.col("value").alias("amount")), "view": lambda df: df.select(F.col("event_type").alias("kind"), F.length("props").alias("size"))}
+    return fi.parsed_rows(sources.read(s, "local", "events"), "event_type", parsers).select("kind", "amount", "size", "error")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,3 +133,21 @@ def archive_entries(spark: SparkSession, path: str, name_matches: str = ".*", te
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     out = files.mapInArrow(read, "archive string, entry string, text string")
     return out if text_matches is None else out.filter(F.col("text").rlike(text_matches))
+
+
+def parsed_rows(rows: DataFrame, by: str, parsers: Mapping[str, Callable[[DataFrame], DataFrame]], default: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows read by the parser that is given for their kind, the value of the column `by`: a function of the rows of that kind to a
+    table. The tables are put together by name. Rows of a kind without a parser go to the default, or else, with a null kind too, become rows
+    of the column `error` alone, so that none is lost.
+    """
+    known = F.coalesce(F.col(by).isin(*parsers), F.lit(False)) if parsers else F.lit(False)
+    made = [parse(rows.filter(F.col(by) == kind)) for kind, parse in parsers.items()]
+    rest = rows.filter(~known)
+    if default:
+        made.append(default(rest))
+    else:
+        made.append(rest.select(F.concat(F.lit("no parser for "), F.coalesce(F.col(by).cast("string"), F.lit("a row without a kind"))).alias("error")))
+    out = made[0]
+    for df in made[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out

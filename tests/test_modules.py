@@ -88,3 +88,41 @@ def test_functions(spark):
 
     (row,) = spark.range(1).select(call("round", F.lit(-2.5)).alias("r"), call("substr", F.lit("hello"), 3).alias("s"), call("substr", F.lit("hello"), 2, 3).alias("t")).collect()
     assert (row.r, row.s, row.t) == (-2, "llo", "ell")
+
+
+def test_times_of_the_day(spark):
+    from pyspark.sql import functions as F
+
+    from quadrille.functions.builtins import builtin
+
+    late, early, hour = builtin("time", F.lit(23), F.lit(30), F.lit(1.5)), builtin("time", F.lit(0), F.lit(10), F.lit(0)), F.expr("INTERVAL '1' HOUR")
+    made = [builtin("subtractTimes", late, early), builtin("addDayTimeDurationToTime", late, hour), builtin("subtractDayTimeDurationFromTime", early, hour)]
+    (row,) = spark.range(1).select(*[c.alias(f"c{i}") for i, c in enumerate(made)]).collect()
+    assert [x.total_seconds() for x in row] == [23 * 3600 + 20 * 60 + 1.5, 30 * 60 + 1.5, 23 * 3600 + 10 * 60]
+    assert spark.range(1).select((builtin("multiplyYearMonthDuration", F.expr("INTERVAL '1' YEAR"), F.lit(3)) == F.expr("INTERVAL '3' YEAR")).alias("x")).first().x
+
+
+def test_entailment_leaves_only_its_result(spark):
+    """Closures, schemas and rounds that others replace are deleted."""
+    from quadrille.functions.terms import SUBCLASS, TYPE
+    from quadrille.operators.entailment import rdfs_plus
+    from quadrille.plans import stages
+
+    before = len(stages._written)
+    out = rdfs_plus(spark.createDataFrame([("a", SUBCLASS, "b"), ("b", SUBCLASS, "c"), ("x", TYPE, "a")], "s string, p string, o string"))
+    assert out.count() == 6 and len(stages._written) == before + 1
+
+
+def test_parsers_by_kind(spark):
+    from pyspark.sql import functions as F
+
+    from quadrille.sources.databases import Connections
+    from quadrille.sources.files import parsed_rows
+
+    rows = spark.createDataFrame([("n", "1"), ("t", "x"), ("z", "?"), (None, "!")], "kind string, text string")
+    out = parsed_rows(rows, "kind", {"n": lambda df: df.select(F.col("text").cast("int").alias("n")), "t": lambda df: df.select("text")}).collect()
+    assert sorted((r.n or 0, r.text or "", r.error or "") for r in out) == [(0, "", "no parser for a row without a kind"), (0, "", "no parser for z"), (0, "x", ""), (1, "", "")]
+    both = Connections(a=lambda s, q: rows.filter(q))
+    assert both.read(spark, "a", "kind = 'n'").count() == 1 and both.named("b", lambda s, q: rows).read(spark, "b", "").count() == 4
+    with pytest.raises(ValueError):
+        both.read(spark, "b", "")
