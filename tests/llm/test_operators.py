@@ -185,12 +185,34 @@ def test_extraction_takes_linear_time(unit):
 
 
 def test_decoding_never_contradicts():
-    nodes = [html_extract.Node("#page", -1, 0, 0, 0)] + [html_extract.Node("div", (i - 1) // 2, 1, 0, 0, own=10) for i in range(1, 15)]
+    """Each node follows its decided ancestor, and no other choice of whole, left out and divided subtrees gains more."""
+    nodes = [html_extract.Node("#page", -1, 0, 0, 0)] + [html_extract.Node("div", (i - 1) // 2, 1, 0, 0, own=10 * (i % 3)) for i in range(1, 15)]
+    children = {k: [i for i, x in enumerate(nodes) if x.parent == k] for k in range(15)}
     rng = np.random.default_rng(0)
-    for _ in range(50):
+
+    def under(k):
+        return [k, *(d for c in children[k] for d in under(c))]
+
+    def plain(k, gain):
+        """(what the subtree gains at best, which of its nodes are kept, which are decided by a node above them)."""
+        every = under(k)
+        total = sum(gain[i] for i in every)
+        parts = [plain(c, gain) for c in children[k]]
+        divided = (abs(gain[k]) if nodes[k].own else 0.0) + sum(p[0] for p in parts) - html_extract.CHANGE
+        if divided > abs(total):
+            return divided, {k: gain[k] > 0} | {i: v for p in parts for i, v in p[1].items()}, set().union(*(p[2] for p in parts)) if parts else set()
+        return abs(total), dict.fromkeys(every, total > 0), {(k, i) for i in every}
+
+    seen = 0
+    for _ in range(200):
         odds = rng.normal(size=15) * 3
+        gain = [float(o) * (1 + (x.own > 0) + x.own**0.5 / 4) for o, x in zip(odds, nodes, strict=True)]
         out = html_extract.decoded(nodes, odds)
-        assert len(out) == 15
+        _, want, follows = plain(0, gain)
+        assert out == [want[k] for k in range(15)]
+        assert all(out[i] == out[k] for k, i in follows)
+        seen += len({k for k, _ in follows}) > 1
+    assert seen > 50
 
 
 def test_quality(spark, sf):
