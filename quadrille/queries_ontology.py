@@ -96,7 +96,8 @@ def o10_inconsistent(s, d):
     return hi.inconsistent_individuals(types, hi.subsumptions(class_edges(s, d)), s.createDataFrame([("Group2", "Type")], "a string, b string"))
 
 
-@query("SELECT 'made' AS p UNION ALL SELECT 'free'")
+@query(f"""{CLASS_CLOSURE}, d AS (SELECT p, c FROM (VALUES ('made', 'Brand'), ('kept', 'Type'), ('free', 'Top')) v(p, c)), r AS (SELECT p, c FROM (VALUES ('made', 'Type'), ('kept', 'Brand'), ('free', 'Top')) v(p, c))
+SELECT d.p FROM d JOIN r ON d.p = r.p WHERE (d.c = 'Group1' OR d.c IN (SELECT b FROM t WHERE a = 'Group1')) AND (r.c = 'PROMO' OR r.c IN (SELECT b FROM t WHERE a = 'PROMO'))""")
 def o13_applicable(s, d):
     rows = lambda *x: s.createDataFrame(list(x), "p string, c string")
     return hi.applicable(rows(("made", "Brand"), ("kept", "Type"), ("free", "Top")), rows(("made", "Type"), ("kept", "Brand"), ("free", "Top")), hi.subsumptions(class_edges(s, d)), "Group1", "PROMO")
@@ -121,7 +122,8 @@ def o19_inferred_by_type(s, d):
     return out.filter(f"p <> '{EX}related'").groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 1::INT AS step, 'Group3' AS a, 'Brand' AS b UNION ALL SELECT 2, 'Brand', 'Top'")
+@query(f"""{CLASS_CLOSURE}, w AS (SELECT a, b, [a, b] AS path FROM c WHERE a = 'Group3' UNION ALL SELECT w.a, c.b, list_append(path, c.b) FROM w JOIN c ON c.a = w.b WHERE NOT list_contains(path, c.b)),
+f AS (SELECT path FROM w WHERE b = 'Top' ORDER BY len(path), path LIMIT 1) SELECT (i - 1)::INT AS step, path[i - 1] AS a, path[i] AS b FROM (SELECT path, unnest(range(2, len(path) + 1)) AS i FROM f)""")
 def o20_explanation(s, d):
     return en.why_subclass(class_graph(s, d), "Group3", "Top")
 
