@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.terms import DOMAIN, IRI, LITERAL, OWL, RANGE, SUBCLASS, SUBPROPERTY, TYPE
 from quadrille.operators.hierarchy import edges_of
+from quadrille.plans.components import representatives
 from quadrille.plans.fixpoint import transitive_closure
 from quadrille.plans.stages import free, stored
 
@@ -119,19 +120,53 @@ def rdfs_plus(triples: DataFrame) -> DataFrame:
 SAME = f"{OWL}sameAs"
 
 
-def same_individuals(triples: DataFrame) -> DataFrame:
-    """(a, b) of different individuals that are the same: stated, or by functional and inverse functional properties."""
+def _equal_links(triples: DataFrame) -> DataFrame:
+    """(a, b): individuals that are stated equal, or are by functional and inverse functional properties: of the values of one key each with the smallest."""
     flag = lambda k: triples.filter((F.col("p") == TYPE) & (F.col("o") == f"{OWL}{k}")).select(F.col("s").alias("p")).distinct()
     things = triples.filter(F.coalesce(F.col("o_kind"), F.lit(IRI)) != LITERAL) if "o_kind" in triples.columns else triples
-    values = lambda k, key, value: things.join(flag(k), "p").select("p", F.col(key).alias("k"), F.col(value).alias("a")).distinct()
-    # of the values of one key the smallest stands for all: the closure does the rest
-    pairs = [edges_of(triples, SAME)]
+    links = edges_of(triples, SAME)
     for kind, key, value in (("FunctionalProperty", "s", "o"), ("InverseFunctionalProperty", "o", "s")):
-        rows = values(kind, key, value)
-        pairs.append(rows.join(rows.groupBy("p", "k").agg(F.min("a").alias("b")), ["p", "k"]).select("a", "b"))
-    links = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).filter("a <> b")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    return transitive_closure(both).filter("a <> b")
+        rows = things.join(flag(kind), "p").select("p", F.col(key).alias("k"), F.col(value).alias("a")).distinct()
+        links = links.unionByName(rows.join(rows.groupBy("p", "k").agg(F.min("a").alias("b")), ["p", "k"]).select("a", "b"))
+    return links.filter("a <> b")
+
+
+def equal_individuals(triples: DataFrame) -> DataFrame:
+    """(node, root) of the individuals that are equal to others: root is the smallest name of its class. A row for each, however large the class."""
+    return representatives(_equal_links(triples))
+
+
+def same_individuals(triples: DataFrame) -> DataFrame:
+    """(a, b) of different individuals that are the same: all pairs of each class, which grow with the square of its size.
+    equal_individuals tells the same by one row for each individual."""
+    known = equal_individuals(triples)
+    return known.select(F.col("node").alias("a"), "root").join(known.select(F.col("node").alias("b"), "root"), "root").filter("a <> b").select("a", "b")
+
+
+def canonical(triples: DataFrame, equals: DataFrame | None = None) -> DataFrame:
+    """The triples with one name for equal individuals, the class's smallest: what holds of one holds of all, said once.
+
+    Names that become equal make further ones equal by functional properties, so rounds go on until none does. sameAs is left out.
+    """
+    known = None if equals is None else stored(equals, "equals")
+    base = triples
+    while True:
+        more = equal_individuals(base) if known is None or equals is None else known
+        found = not more.isEmpty()
+        for c in ("s", "o"):
+            thing = F.lit(True) if c == "s" or "o_kind" not in base.columns else F.coalesce(F.col("o_kind"), F.lit(IRI)) != LITERAL
+            roots = more.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+            base = base.join(roots, thing & (F.col(c) == F.col("__n")), "left").withColumn(c, F.coalesce("__r", c)).drop("__n", "__r")
+        base = stored(base.filter(F.col("p") != SAME).distinct(), "canonical")
+        free(more)
+        if not found or equals is not None:
+            return base
+
+
+def is_canonical(terms: DataFrame, equals: DataFrame, column: str = "iri") -> DataFrame:
+    """terms with a column canonical: whether a name stands for itself among equals(node, root)."""
+    known = equals.filter("node <> root").select(F.col("node").alias(column), F.lit(False).alias("__c"))
+    return terms.join(known, column, "left").withColumn("canonical", F.coalesce("__c", F.lit(True))).drop("__c")
 
 
 def _horst(now: DataFrame) -> DataFrame:

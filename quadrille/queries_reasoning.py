@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quadrille.functions.terms import OWL, SUBCLASS, XSD, Iri, Literal
+from quadrille.functions.terms import OWL, SUBCLASS, TYPE, XSD, Iri, Literal
 from quadrille.operators import completion as cm
 from quadrille.operators import constraints as co
+from quadrille.operators import entailment as en
 from quadrille.operators import mapping as mp
 from quadrille.operators import modules as md
 from quadrille.operators import patterns as pa
@@ -311,3 +312,26 @@ def q15_constants_of_templates(s, d):
     made = pa.construct(rows, ("?n", "a", Iri("ex:Third")), ("?n", "ex:mark", Literal("3", "xsd:integer")))
     return pa.bgp(made, ("?x", "a", "ex:Third"), ("?x", "ex:mark", Literal("3", "xsd:integer")))
 
+
+# ---- one name for equals ----
+
+CLUSTERS = f"k AS (SELECT '{EX}supplier/' || s_suppkey AS x, s_nationkey AS n, s_name FROM supplier), r AS (SELECT n, min(x) AS root FROM k GROUP BY n)"
+
+
+def equal_suppliers(s, d):
+    """Suppliers' names, and that all suppliers of a nation are one: by an inverse functional property."""
+    u = table(s, d, "supplier")
+    names = u.select(node("supplier", "s_suppkey").alias("s"), F.lit(f"{EX}name").alias("p"), F.col("s_name").alias("o"))
+    seats = u.select(node("supplier", "s_suppkey").alias("s"), F.lit(f"{EX}seat").alias("p"), node("nation", "s_nationkey").alias("o"))
+    return names.unionByName(seats).unionByName(gr.abox(s, [(f"{EX}seat", TYPE, f"{OWL}InverseFunctionalProperty")]).select("s", "p", "o"))
+
+
+@query(f"WITH {CLUSTERS} SELECT root AS s, '{EX}name' AS p, s_name AS o FROM k JOIN r ON r.n = k.n UNION SELECT root, '{EX}seat', '{EX}nation/' || n FROM r")
+def o30_one_name_for_equals(s, d):
+    return en.canonical(equal_suppliers(s, d)).filter(F.col("p").isin(f"{EX}name", f"{EX}seat")).select("s", "p", "o")
+
+
+@query(f"WITH {CLUSTERS} SELECT x AS iri, x = root AS canonical FROM k JOIN r ON r.n = k.n")
+def q24_canonical_terms(s, d):
+    terms = table(s, d, "supplier").select(node("supplier", "s_suppkey").alias("iri"))
+    return en.is_canonical(terms, en.equal_individuals(equal_suppliers(s, d))).select("iri", "canonical")

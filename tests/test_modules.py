@@ -126,3 +126,19 @@ def test_parsers_by_kind(spark):
     assert both.read(spark, "a", "kind = 'n'").count() == 1 and both.named("b", lambda s, q: rows).read(spark, "b", "").count() == 4
     with pytest.raises(ValueError):
         both.read(spark, "b", "")
+
+
+def test_one_name_for_equals(spark):
+    from quadrille.functions.terms import OWL, TYPE
+    from quadrille.operators.entailment import canonical, equal_individuals, same_individuals
+    from quadrille.plans.components import representatives
+
+    chain = spark.createDataFrame([(f"n{(7 * i) % 61:02}", f"n{(7 * i + 7) % 61:02}") for i in range(60)] + [("x", "y"), ("z", "z")], "a string, b string")
+    got = {r.node: r.root for r in representatives(chain).collect()}
+    assert got == {**{f"n{i:02}": "n00" for i in range(61)}, "x": "x", "y": "x"} and representatives(chain.limit(0)).count() == 0
+    rows = [("a", f"{OWL}sameAs", "b"), ("f", TYPE, f"{OWL}FunctionalProperty"), ("b", "f", "u"), ("a", "f", "w"), ("u", "f", "p1"), ("w", "f", "p2"), ("p2", "q", "end"), ("c", "f", "d")]
+    g = spark.createDataFrame(rows, "s string, p string, o string")
+    assert {(r.node, r.root) for r in equal_individuals(g).collect()} == {("a", "a"), ("b", "a")}
+    assert sorted(map(tuple, same_individuals(g).collect())) == [("a", "b"), ("b", "a")]
+    # a and b being one, u and w are, and then p1 and p2
+    assert {tuple(r) for r in canonical(g).select("s", "p", "o").collect()} == {("f", TYPE, f"{OWL}FunctionalProperty"), ("a", "f", "u"), ("u", "f", "p1"), ("p1", "q", "end"), ("c", "f", "d")}
