@@ -14,6 +14,8 @@ from quadrille.plans.fixpoint import Rule, proofs, saturate, transitive_closure
 from quadrille.plans.stages import free, stored
 
 THING, NOTHING = f"{OWL}Thing", f"{OWL}Nothing"
+#: Tells the steps of a whole from names, which have no space.
+STEP = " #"
 #: sub(x, c): x is below c. link(p, x, y): each x is linked by p to some y. The other predicates are the axioms in normal form.
 RULES = [
     Rule(("sub", "?x", "?d"), (("sub", "?x", "?c"), ("told", "?c", "?d"))),
@@ -60,8 +62,8 @@ def _ring(pred: str) -> Column:
 
 def _stepwise(pred: str, args: Column, text: Column) -> Column:
     """A whole of n parts by n - 1 wholes of two, named by how far they have come."""
-    name = lambda i: F.when(i == F.size(args) - 1, text).otherwise(F.concat(text, F.lit("#"), i.cast("string")))
-    before = lambda i: F.when(i == 1, F.get(args, F.lit(0))).otherwise(F.concat(text, F.lit("#"), (i - 1).cast("string")))
+    name = lambda i: F.when(i == F.size(args) - 1, text).otherwise(F.concat(text, F.lit(STEP), i.cast("string")))
+    before = lambda i: F.when(i == 1, F.get(args, F.lit(0))).otherwise(F.concat(text, F.lit(STEP), (i - 1).cast("string")))
     return F.transform(F.sequence(F.lit(1), F.size(args) - 1), lambda i: _fact(pred, before(i), F.get(args, i), name(i)))
 
 
@@ -154,7 +156,7 @@ def subsumptions(axioms: DataFrame, facts: DataFrame | None = None) -> DataFrame
     rows = _pairs(facts).filter(~F.col("a").startswith("(") & ~F.col("b").startswith("(") & (F.col("a") != F.col("b")) & (F.col("b") != THING) & (F.col("a") != NOTHING))
     rows = stored(rows.join(ones, "a", "left_anti"), "subsumptions")
     none = rows.filter(F.col("b") == NOTHING)
-    return rows.join(none.select("a"), "a", "left_anti").filter(~F.col("b").contains("#") | ~F.col("b").startswith("(")).unionByName(none)
+    return rows.join(none.select("a"), "a", "left_anti").unionByName(none)
 
 
 def unsatisfiable(axioms: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -188,7 +190,7 @@ def inferred(axioms: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     disjoint = up.select(a, b.alias("u")).join(apart, "u").join(up.select(a.alias("b"), b.alias("v")), "v").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
     types = _pairs(facts).join(ones, a == F.col("x"), "left_semi").filter(~b.startswith("(") & (b != THING)).join(ones.withColumnRenamed("x", "b"), "b", "left_anti")
     links = facts.filter("pred = 'link'").select(*[F.get("args", F.lit(i)).alias(n) for i, n in enumerate("abc")]).distinct()
-    links = links.filter(~a.startswith("(") & ~a.contains("#")).join(ones.select(F.col("x").alias("b")), "b", "left_semi").join(ones.select(F.col("x").alias("c")), "c", "left_semi")
+    links = links.filter(~a.startswith("(") & ~a.contains(STEP)).join(ones.select(F.col("x").alias("b")), "b", "left_semi").join(ones.select(F.col("x").alias("c")), "c", "left_semi")
     made = [
         row(below.filter(b != NOTHING), "SubClassOf", "a", "b", none), row(both, "EquivalentClasses", "a", "b", none), row(disjoint, "DisjointClasses", "a", "b", none),
         row(types, "ClassAssertion", b.alias("a"), a.alias("b"), none), row(links, "ObjectPropertyAssertion", "a", "b", "c"),
@@ -202,7 +204,7 @@ def class_links(axioms: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     links = facts.filter("pred = 'link'").select(*[F.get("args", F.lit(i)).alias(n) for i, n in enumerate(("p", "a", "y"))])
     up = _pairs(facts).select(F.col("a").alias("y"), "b")
     named = lambda c: ~F.col(c).startswith("(") & (F.col(c) != THING)
-    return links.filter(named("a")).join(up, "y").filter(named("b")).select("p", "a", "b").distinct()
+    return links.filter(named("a") & ~F.col("p").contains(STEP)).join(up, "y").filter(named("b")).select("p", "a", "b").distinct()
 
 
 def explanations(axioms: DataFrame, sub: str, sup: str = NOTHING, most: int = 16) -> DataFrame:

@@ -11,7 +11,6 @@ from quadrille.operators import constraints as co
 from quadrille.operators import entailment as en
 from quadrille.operators import hierarchy as hi
 from quadrille.operators import ontology as on
-from quadrille.operators import patterns as pa
 from quadrille.operators import trees as tr
 from quadrille.queries import CLASS_CLOSURE, CLASSES, EX, class_edges, node, order_facts, order_links, part_axioms, query, table
 from quadrille.sources import graphs as gr

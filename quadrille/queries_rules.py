@@ -17,7 +17,6 @@ from quadrille.operators import entailment as en
 from quadrille.operators import hierarchy as hi
 from quadrille.operators import models as mo
 from quadrille.operators import patterns as pa
-from quadrille.operators import update as up
 from quadrille.plans.fixpoint import Rule, saturate
 from quadrille.queries import AXIOMS, CLASS_CLOSURE, EX, class_edges, nation_graph, node, order_facts, part_axioms, places, query, table
 from quadrille.sources import databases as db

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quadrille.functions import strings as st
 from quadrille.functions import terms as te
 from quadrille.functions.builtins import builtin
-from quadrille.functions.terms import DOMAIN, LABEL, RDF, SUBCLASS, SUBPROPERTY, TYPE, XSD, Iri, Literal, call, number
+from quadrille.functions.terms import DOMAIN, LABEL, RDF, SUBCLASS, SUBPROPERTY, XSD, Iri, Literal, call, number
 from quadrille.operators import hierarchy as hi
 from quadrille.operators import patterns as pa
 from quadrille.operators import update as up

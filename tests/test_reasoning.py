@@ -111,6 +111,13 @@ def test_individuals(spark):
     assert "j" in {r.node for r in cm.inconsistent(broken).collect()}
 
 
+def test_names_with_marks(spark):
+    """Names may hold a number sign; the steps of a long chain aren't told as properties."""
+    df = onto(spark, "(SubObjectPropertyOf (ObjectPropertyChain http://x#p http://x#q http://x#r) http://x#s)", *[f"(ObjectPropertyAssertion http://x#{p} i{k} i{k + 1})" for k, p in enumerate("pqr")])
+    got = {tuple(r) for r in cm.inferred(df).filter("axiom_type = 'ObjectPropertyAssertion'").select("a", "b", "c").collect()}
+    assert got == {("http://x#p", "i0", "i1"), ("http://x#q", "i1", "i2"), ("http://x#r", "i2", "i3"), ("http://x#s", "i0", "i3")}
+
+
 def sets_of(df):
     out = {}
     for r in df.collect():
