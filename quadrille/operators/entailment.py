@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadrille.functions.terms import DOMAIN, IRI, LITERAL, OWL, RANGE, SUBCLASS, SUBPROPERTY, TYPE
+from quadrille.operators import rulesets as rs
 from quadrille.operators.hierarchy import edges_of
 from quadrille.plans.components import representatives
 from quadrille.plans.fixpoint import transitive_closure
 from quadrille.plans.stages import free, stored
 
 #: Bundles by name; `none` is the stated graph.
-BUNDLES = ("none", "rdfs", "rdfs-plus", "horst")
+BUNDLES = ("none", "rdfs", "rdfs-plus", *rs.RULESETS)
 
 
 def _plain(triples: DataFrame) -> DataFrame:
@@ -26,7 +29,7 @@ def _sets(closure: DataFrame, key: str, name: str) -> DataFrame:
 
 def rdfs(triples: DataFrame) -> DataFrame:
     """(s, p, o): subproperties, subclasses, domains and ranges followed to the end; a literal has no type."""
-    return _rdfs(_things(triples))[0].select("s", "p", "o").distinct()
+    return _rdfs(_things(triples), set(rs.TRIGGERS))[0].select("s", "p", "o").distinct()
 
 
 def _things(triples: DataFrame) -> DataFrame:
@@ -35,15 +38,18 @@ def _things(triples: DataFrame) -> DataFrame:
     return triples.select("s", "p", "o", thing.alias("thing")).distinct()
 
 
-def _rdfs(base: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def _rdfs(base: DataFrame, present: set[str]) -> tuple[DataFrame, list[DataFrame]]:
     """(s, p, o, thing), and the stored tables that it reads: subproperties, subclasses, domains and ranges followed to the end.
 
     The schema's closures come first, and give for each property the properties above it and its
     domains and ranges. Then each triple meets the schema once, and all that follows from it comes of
     one row: its properties, the types of its ends and the classes above them. A literal has no type.
+    present: the names of rulesets.TRIGGERS that the graph uses.
     """
+    if not present & {SUBCLASS, SUBPROPERTY, DOMAIN, RANGE}:
+        return base, []
     schema = stored(base.filter(F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)), "schema")
-    properties, classes = transitive_closure(edges_of(schema, SUBPROPERTY)), transitive_closure(edges_of(schema))
+    properties, classes = (transitive_closure(edges_of(schema, p)) if p in present else edges_of(schema, p) for p in (SUBPROPERTY, SUBCLASS))
     above = properties.unionByName(schema.filter(F.col("p").isin(DOMAIN, RANGE)).select(F.col("s").alias("a"), F.col("s").alias("b"))).distinct()
     ends = {}
     for which, name in ((DOMAIN, "__domains"), (RANGE, "__ranges")):
@@ -81,21 +87,28 @@ def _seed(triples: DataFrame) -> DataFrame:
     return base.unionByName(both("equivalentClass", SUBCLASS)).unionByName(both("equivalentProperty", SUBPROPERTY)).distinct()
 
 
-def _plus(now: DataFrame) -> DataFrame:
-    """One round of RDFS and of inverse, symmetric and transitive properties over (s, p, o, thing)."""
-    made, before = _rdfs(now)
+def _plus(now: DataFrame, present: set[str], transitive: bool = True) -> DataFrame:
+    """One round of RDFS and of inverse, symmetric and, unless told otherwise, transitive properties over (s, p, o, thing)."""
+    made, before = _rdfs(now, present)
     full = stored(made, "entailed")
     free(*before)
     things = full.filter("thing")
     turn = F.explode(F.array(F.struct("s", "o"), F.struct(F.col("o").alias("s"), F.col("s").alias("o")))).alias("t")
-    inverse = full.filter(F.col("p") == f"{OWL}inverseOf").select(turn).select(F.col("t.s").alias("p"), F.col("t.o").alias("q")).distinct()
-    turned = things.join(inverse, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o"))
-    mirrored = things.join(_flagged(full, "SymmetricProperty"), "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
-    new = turned.unionByName(mirrored).withColumn("thing", F.lit(True))
-    chains = things.unionByName(new).join(_flagged(full, "TransitiveProperty"), "p").select("p", F.col("s").alias("a"), F.col("o").alias("b"))
-    chained = transitive_closure(chains, by=["p"])
-    closed = chained.select(F.col("a").alias("s"), "p", F.col("b").alias("o"), F.lit(True).alias("thing"))
-    after = stored(full.unionByName(new).unionByName(closed).distinct(), "entailed")
+    new = []
+    if f"{OWL}inverseOf" in present:
+        inverse = full.filter(F.col("p") == f"{OWL}inverseOf").select(turn).select(F.col("t.s").alias("p"), F.col("t.o").alias("q")).distinct()
+        new.append(things.join(inverse, "p").select(F.col("o").alias("s"), F.col("q").alias("p"), F.col("s").alias("o")))
+    if f"{OWL}SymmetricProperty" in present:
+        new.append(things.join(_flagged(full, "SymmetricProperty"), "p").select(F.col("o").alias("s"), "p", F.col("s").alias("o")))
+    new = [rows.withColumn("thing", F.lit(True)) for rows in new]
+    chained = None
+    if transitive and f"{OWL}TransitiveProperty" in present:
+        links = reduce(DataFrame.unionByName, [things, *new])
+        chained = transitive_closure(links.join(_flagged(full, "TransitiveProperty"), "p").select("p", F.col("s").alias("a"), F.col("o").alias("b")), by=["p"])
+        new.append(chained.select(F.col("a").alias("s"), "p", F.col("b").alias("o"), F.lit(True).alias("thing")))
+    if not new:
+        return full
+    after = stored(reduce(DataFrame.unionByName, [full, *new]).distinct(), "entailed")
     free(full, chained)
     return after
 
@@ -104,7 +117,7 @@ def _fixpoint(now: DataFrame, step) -> DataFrame:
     """(s, p, o) when a step adds nothing. It ends: steps make no new names, so triples are finitely many."""
     now = stored(now, "entailed")
     while True:
-        after = step(now)
+        after = step(now, rs.present(now))
         ended = after.join(now, ["s", "p", "o"], "left_anti").isEmpty()
         free(now)
         now = after
@@ -117,7 +130,7 @@ def rdfs_plus(triples: DataFrame) -> DataFrame:
     return _fixpoint(_seed(triples), _plus)
 
 
-SAME = f"{OWL}sameAs"
+SAME = rs.SAME
 
 
 def _equal_links(triples: DataFrame) -> DataFrame:
@@ -169,42 +182,84 @@ def is_canonical(terms: DataFrame, equals: DataFrame, column: str = "iri") -> Da
     return terms.join(known, column, "left").withColumn("canonical", F.coalesce("__c", F.lit(True))).drop("__c")
 
 
-def _horst(now: DataFrame) -> DataFrame:
-    """One round of RDFS-plus, equal individuals and restrictions."""
-    full = _plus(now)
-    same = stored(same_individuals(full.withColumn("o_kind", F.when(F.col("thing"), F.lit(IRI)).otherwise(F.lit(LITERAL)))), "same")
-    yes = F.lit(True).alias("thing")
-    subjects = full.unionByName(full.join(same.select(F.col("a").alias("s"), F.col("b").alias("__s")), "s").select(F.col("__s").alias("s"), "p", "o", "thing")).distinct()
-    objects = subjects.filter("thing").join(same.select(F.col("a").alias("o"), F.col("b").alias("__o")), "o").select("s", "p", F.col("__o").alias("o"), "thing")
-    made = subjects.unionByName(objects).unionByName(same.select(F.col("a").alias("s"), F.lit(SAME).alias("p"), F.col("b").alias("o"), yes))
-    on = full.filter(F.col("p") == f"{OWL}onProperty").select(F.col("s").alias("v"), F.col("o").alias("p"))
-    filler = lambda k: full.filter(F.col("p") == f"{OWL}{k}").select(F.col("s").alias("v"), F.col("o").alias("w")).join(on, "v")
-    types = full.filter(F.col("p") == TYPE).select(F.col("s").alias("x"), F.col("o").alias("c"))
-    typed = lambda df, x, c: df.select(F.col(x).alias("s"), F.lit(TYPE).alias("p"), F.col(c).alias("o"), yes)
-    value, some, every = filler("hasValue"), filler("someValuesFrom"), filler("allValuesFrom")
-    made = made.unionByName(typed(full.join(value.withColumnRenamed("w", "o"), ["p", "o"]), "s", "v"))
-    made = made.unionByName(types.join(value, types["c"] == value["v"]).select(F.col("x").alias("s"), "p", F.col("w").alias("o"), yes))
-    made = made.unionByName(typed(full.join(some, "p").join(types, (F.col("o") == F.col("x")) & (F.col("w") == F.col("c"))), "s", "v"))
-    owners = types.join(every, types["c"] == every["v"]).select(F.col("x").alias("s"), "p", "w")
-    made = made.unionByName(typed(full.filter("thing").join(owners, ["s", "p"]), "o", "w"))
-    after = stored(made.distinct(), "entailed")
-    free(full, same)
-    return after
+class Closed:
+    """A graph with all that a bundle's rules add to it.
+
+    graph: (s, p, o, thing) with one name for equal individuals, the class's smallest; equals: (node, root), a row for each name that has
+    equals. Rules run on one name, so a class of k names costs k rows, no pairs, and what is found of one is found of all.
+    """
+
+    def __init__(self, triples: DataFrame, bundle: str):
+        transitive, rules, links = rs.RULESETS[bundle]
+        now = _seed(triples)
+        self.lists = rs.Lists(_things(triples)) if bundle in rs.WITH_LISTS else None
+        if self.lists:
+            now = now.unionByName(rs.list_seeds(self.lists)).distinct()
+        now, self.equals = stored(now, "entailed"), triples.sparkSession.createDataFrame([], "node string, root string")
+        while True:
+            present = rs.present(now)
+            full = _plus(now, present, transitive)
+            pairs = [rule(full, self.lists).select("a", "b") for rule in links if rule.needs & present]
+            more = representatives(reduce(DataFrame.unionByName, pairs)) if pairs else None
+            found = more is not None and not more.isEmpty()
+            made = reduce(DataFrame.unionByName, [full, *[rule(full, self.lists) for rule in rules if rule.needs & present]]).filter(F.col("p") != SAME)
+            if found:
+                made = _renamed(made, more)
+                self.equals = stored(_over(self.equals, more), "equals")
+            after = stored(made.distinct(), "entailed")
+            ended = not found and after.join(now, ["s", "p", "o", "thing"], "left_anti").isEmpty()
+            free(full, now, more)
+            now = after
+            if ended:
+                break
+        self.graph = now
+
+    def contradictions(self) -> DataFrame:
+        """(rule, s, p, o): see rulesets.contradictions."""
+        if self.lists is None:
+            raise ValueError("contradictions are told by the bundles that read lists")
+        return rs.contradictions(self.graph, self.equals, self.lists)
+
+    def triples(self) -> DataFrame:
+        """(s, p, o) by all names."""
+        return rs.expanded(self.graph, self.equals)
+
+
+def _renamed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Triples (s, p, o, thing) by the roots of roots(node, root)."""
+    names = roots.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    for c in ("s", "o"):
+        on = (F.col(c) == F.col("__n")) & (F.lit(True) if c == "s" else F.col("thing"))
+        rows = rows.join(names, on, "left").withColumn(c, F.coalesce("__r", c)).drop("__n", "__r")
+    return rows
+
+
+def _over(equals: DataFrame, more: DataFrame) -> DataFrame:
+    """equals(node, root) whose roots became equal to others, and the names that more(node, root) adds."""
+    up = more.select(F.col("node").alias("root"), F.col("root").alias("__r"))
+    return equals.join(up, "root", "left").select("node", F.coalesce("__r", "root").alias("root")).unionByName(more.join(equals, "node", "left_anti").select("node", "root"))
 
 
 def horst(triples: DataFrame) -> DataFrame:
     """RDFS-plus with equal individuals, which share all their triples, and the restrictions some, all and value followed from triples
     to types and, for all and value, back."""
-    return _fixpoint(_seed(triples), _horst)
+    return Closed(triples, "horst").triples()
 
 
 def entailed(triples: DataFrame, bundle: str = "rdfs") -> DataFrame:
-    """The graph that a query runs on: stated (none) or with a bundle's entailments; others raise an error."""
+    """The graph that a query runs on: stated (none) or with a bundle's entailments; others raise an error.
+
+    horst: restrictions and equal individuals. owl2-ql: no transitive properties, restrictions to some value of any kind. owl2-rl: also lists
+    (intersections, unions, enumerations, property chains, keys), maximum cardinalities, schema rules. owl-max: lists of classes,
+    cardinalities, characteristics that follow. No rule makes new individuals. Closed gives the same by one name for equals, and contradictions.
+    """
     if bundle not in BUNDLES:
         raise ValueError(f"{bundle} isn't among {BUNDLES}: no answer rather than a wrong one")
     if bundle == "none":
         return _plain(triples).distinct()
-    return {"rdfs": rdfs, "rdfs-plus": rdfs_plus, "horst": horst}[bundle](triples)
+    if bundle in rs.RULESETS:
+        return Closed(triples, bundle).triples()
+    return {"rdfs": rdfs, "rdfs-plus": rdfs_plus}[bundle](triples)
 
 
 #: Inferred axioms by type: the predicate, and whether both ends are classes.
