@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from quadrille import queries_ontology, queries_reasoning, queries_rules, queries_sources, queries_terms  # noqa: F401
+from quadrille import queries_bundles, queries_ontology, queries_reasoning, queries_rules, queries_sources, queries_terms  # noqa: F401
 from quadrille.queries import QUERIES, SQL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
