@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quadrille.functions.terms import OWL, RDF, SUBCLASS, TYPE
 from quadrille.operators import entailment as en
+from quadrille.operators import profiles as pr
+from quadrille.plans.stages import scratch_dir
 from quadrille.queries import EX, node, query, table
+from quadrille.queries_reasoning import fixed, forms
+from quadrille.sources import pages as pg
 
 
 def _schema(s, *rows):
@@ -113,3 +119,78 @@ def o30_max_characteristics(s, d):
     schema = _schema(s, *_restriction("urn:blank:m", "maxCardinality", "1", f"{EX}hasCode"), (f"{OWL}Thing", SUBCLASS, "urn:blank:m"), *_restriction("urn:blank:n", "minCardinality", "1", f"{EX}hasCode"), ("urn:blank:n", SUBCLASS, f"{EX}Coded"))
     out = en.entailed(at("code").unionByName(at("number")).unionByName(schema), "owl-max")
     return out.filter((F.col("p") == f"{OWL}sameAs") | ((F.col("p") == TYPE) & (F.col("o") == f"{EX}Coded"))).select("s", "p", "o")
+
+
+# ---- profiles ----
+
+
+def _region_axioms(s, d):
+    """For each nation an axiom to a union, one to an inverse, one to a nested restriction, and one that has all of its suppliers in it; for each region an enumeration."""
+    n, r = table(s, d, "nation"), table(s, d, "region")
+    made = [
+        F.format_string("(SubClassOf nation%d (ObjectSomeValuesFrom in (ObjectUnionOf region%d other)))", "n_nationkey", "n_regionkey"), F.format_string("(SubClassOf nation%d (ObjectSomeValuesFrom (ObjectInverseOf has) region%d))", "n_nationkey", "n_regionkey"),
+        F.format_string("(SubClassOf (ObjectSomeValuesFrom in region%d) nation%d)", "n_regionkey", "n_nationkey"), F.format_string("(SubClassOf nation%d (ObjectAllValuesFrom has (ObjectIntersectionOf supplier region%d)))", "n_nationkey", "n_regionkey"),
+    ]
+    out = fixed(s, *[f"(Declaration (ObjectProperty {p}))" for p in ("in", "has")], "(Declaration (Class other))", "(Declaration (Class supplier))")
+    for text in made:
+        out = out.unionByName(forms(n, text))
+    classes = forms(n, F.format_string("(Declaration (Class nation%d))", "n_nationkey")).unionByName(forms(r, F.format_string("(Declaration (Class region%d))", "r_regionkey")))
+    return out.unionByName(classes).unionByName(forms(r, F.format_string("(EquivalentClasses region%d (ObjectOneOf a%d b%d))", "r_regionkey", "r_regionkey", "r_regionkey")))
+
+
+UNION, INVERSE = "'(ObjectUnionOf region' || n_regionkey || ' other)'", "'(ObjectInverseOf has)'"
+ALL = "'(ObjectAllValuesFrom has (ObjectIntersectionOf supplier region' || n_regionkey || '))'"
+ONE_OF = "'(ObjectOneOf a' || r_regionkey || ' b' || r_regionkey || ')'"
+
+
+def _kinds(s, d, profile):
+    return pr.violations(_region_axioms(s, d), profile).groupBy("violation", "text").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT 'illegal class expression' AS violation, {UNION} AS text, count(*) AS n FROM nation GROUP BY n_regionkey UNION ALL SELECT 'inverse property', {INVERSE}, count(*) FROM nation
+UNION ALL SELECT 'illegal class expression', {ALL}, count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT 'several individuals', {ONE_OF}, 1 FROM region""")
+def o22_profile_el(s, d):
+    return _kinds(s, d, "el")
+
+
+@query(f"""SELECT 'not an atomic class' AS violation, {UNION} AS text, count(*) AS n FROM nation GROUP BY n_regionkey UNION ALL SELECT 'not a superclass expression', {ALL}, count(*) FROM nation GROUP BY n_regionkey
+UNION ALL SELECT 'not a subclass expression', 'region' || n_regionkey, count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT 'not a subclass expression', {ONE_OF}, 1 FROM region""")
+def o22_profile_ql(s, d):
+    return _kinds(s, d, "ql")
+
+
+@query(f"""SELECT 'not a superclass expression' AS violation, '(ObjectSomeValuesFrom in ' || {UNION} || ')' AS text, count(*) AS n FROM nation GROUP BY n_regionkey
+UNION ALL SELECT 'not a superclass expression', '(ObjectSomeValuesFrom ' || {INVERSE} || ' region' || n_regionkey || ')', count(*) FROM nation GROUP BY n_regionkey UNION ALL SELECT 'not an equivalent class expression', {ONE_OF}, 1 FROM region""")
+def o22_profile_rl(s, d):
+    return _kinds(s, d, "rl")
+
+
+@query("""WITH s AS (SELECT DISTINCT p_type AS t, p_brand AS b FROM part WHERE p_type IS NOT NULL AND p_brand IS NOT NULL)
+SELECT DISTINCT 'not simple in a cardinality' AS violation, 'has' || b AS text FROM s WHERE t = 'PROMO' UNION ALL SELECT 'cycle through a chain', 'of' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0""")
+def o22_property_order(s, d):
+    """Properties above a transitive one in a cardinality; every second nation's chain is made of a property that is itself made of the chain's."""
+    n = table(s, d, "nation")
+    kinds = table(s, d, "part").select("p_type", "p_brand").distinct().filter("p_type IS NOT NULL AND p_brand IS NOT NULL")
+    up = forms(kinds, F.format_string("(SubObjectPropertyOf of%s has%s)", "p_type", "p_brand"))
+    count = forms(kinds, F.format_string("(SubClassOf %s (ObjectMaxCardinality 2 has%s))", "p_brand", "p_brand"))
+    chain = forms(n, F.format_string("(SubObjectPropertyOf (ObjectPropertyChain on%d at%d) of%d)", "n_nationkey", "n_nationkey", "n_nationkey"))
+    back = forms(n.filter("n_nationkey % 2 = 0"), F.format_string("(SubObjectPropertyOf of%d on%d)", "n_nationkey", "n_nationkey"))
+    out = pr.violations(up.unionByName(count).unionByName(chain).unionByName(back).unionByName(fixed(s, "(TransitiveObjectProperty ofPROMO)")))
+    return out.filter(~F.col("violation").startswith("undeclared")).select("violation", "text")
+
+
+# ---- pages ----
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' AND o_custkey > 10")
+def src10_numbered_pages(s, d):
+    """Orders as a service's pages of about 500 rows, read by planned partitions, with filters that reach the reader."""
+    o = table(s, d, "orders")
+    n = o.count() // 500 + 1
+    row = F.struct(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"), "o_orderstatus")
+    pages = o.select((F.pmod(F.xxhash64("o_orderkey"), F.lit(n)) + 1).alias("page"), row.alias("r")).groupBy("page").agg(F.collect_list("r").alias("result"))
+    pages = s.range(1, n + 1).withColumnRenamed("id", "page").join(pages, "page", "left")  # a page of no rows is a page too
+    at = f"{scratch_dir(s)}/pages-{uuid.uuid4().hex}"
+    pages.select("page", F.to_json(F.struct(F.lit(n).alias("pageCount"), "result")).alias("value")).write.partitionBy("page").text(at)
+    out = pg.numbered_pages(s, f"{at}/page=%d", "page int, o_orderkey long, o_custkey long, o_orderstatus string")
+    return out.filter("o_orderstatus = 'F' AND o_custkey > 10").drop("page")
