@@ -32,9 +32,10 @@ def trailing_code(url: Column) -> Column:
 
 
 def mapped_codes(atoms: DataFrame, source: str, target: str) -> DataFrame:
-    """(code, mapped): codes of two sources that share a concept, of atoms(concept, source, code)."""
-    own = atoms.filter(F.col("source") == source).select("concept", F.col("code").alias("code"))
-    other = atoms.filter(F.col("source") == target).select("concept", F.col("code").alias("mapped"))
+    """(code, mapped): codes of two sources that share a concept, of atoms(concept, source, code). A code that is told of a concept many
+    times is paired once: only distinct ones of a concept meet."""
+    own = atoms.filter(F.col("source") == source).select("concept", F.col("code").alias("code")).distinct()
+    other = atoms.filter(F.col("source") == target).select("concept", F.col("code").alias("mapped")).distinct()
     return own.join(other, "concept").select("code", "mapped").distinct()
 
 
