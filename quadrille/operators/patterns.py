@@ -318,6 +318,35 @@ def bgp(triples: DataFrame, *patterns: Triple, graph: str | None = None, keep_hi
     return out if terms else untagged(out)
 
 
+def bgp_counts(triples: DataFrame, *patterns: Triple, by: Sequence[str] = (), graph: str | None = None, allow_product: bool = False) -> DataFrame:
+    """(by..., n): how many solutions of a basic graph pattern each binding of the variables `by` has; n is all of them without `by`.
+
+    Solutions are never made: each pattern is counted by those of its variables that others share or `by` names before it meets them, so
+    k triples of one value are one row. Counts multiply where patterns meet.
+    """
+    every = [triple_rows(triples, t, graph) for t in patterns]
+    left = [r for r in every if r.columns]
+    if not left or (missing := set(by) - {c for r in left for c in r.columns}):
+        raise ValueError(f"not bound by the patterns: {sorted(missing) if left else list(patterns)}")
+
+    def counted(rows: DataFrame, n: Column, others: Sequence[DataFrame]) -> DataFrame:
+        wanted = {*by, *(c for r in others for c in r.columns)}
+        return rows.groupBy(*[c for c in rows.columns if c in wanted]).agg(F.sum(n).alias("__n")).filter("__n IS NOT NULL")
+
+    first = left.pop(0)
+    out = counted(first, F.lit(1), left)
+    while left:
+        at = next((i for i, r in enumerate(left) if set(out.columns) & set(r.columns)), 0)
+        rows = left.pop(at)
+        more = counted(rows, F.lit(1), [out, *left]).withColumnRenamed("__n", "__m")
+        met = natural_join(out, more, allow_product=allow_product)
+        out = counted(met, F.col("__n") * F.col("__m"), left)
+    for rows in every:
+        out = out if rows.columns else out.filter(F.lit(not rows.isEmpty()))
+    out = out.groupBy(*by).agg(F.sum("__n").alias("n"))
+    return out if by else out.select(F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def about(subject: str, *pairs: tuple[str | Path, str]) -> list[Triple]:
     """Patterns with one subject."""
     return [(subject, p, o) for p, o in pairs]

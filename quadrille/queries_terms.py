@@ -66,7 +66,7 @@ def q17_datatype_constants(s, d):
 @query("SELECT p_size AS size, count(*) FILTER (p_partkey % 2 = 0) * count(*) FILTER (p_partkey % 2 = 0) + count(*) FILTER (p_partkey % 2 = 1) * count(*) FILTER (p_partkey % 2 = 1) AS n FROM part GROUP BY p_size")
 def q17_join_by_datatype(s, d):
     g = sizes(s, d)
-    return pa.bgp(g, ("?a", "ex:size", "?x"), ("?b", "ex:size", "?x")).groupBy(F.col("x").cast("int").alias("size")).agg(F.count("*").alias("n"))
+    return pa.bgp_counts(g, ("?a", "ex:size", "?x"), ("?b", "ex:size", "?x"), by=["x"]).groupBy(F.col("x").cast("int").alias("size")).agg(F.sum("n").alias("n"))
 
 
 @query(f"SELECT '{EX}customer/' || c_custkey AS x, '{EX}nation/' || c_nationkey AS n FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT '{EX}customer/' || c_custkey, NULL FROM customer WHERE c_nationkey = 3 AND c_custkey % 2 = 0")

@@ -3,6 +3,7 @@
 import pytest
 
 from quadrille import queries_ontology, queries_reasoning, queries_rules, queries_terms  # noqa: F401  (they register their queries)
+from quadrille.operators import patterns as pa
 from quadrille.queries import QUERIES
 
 
@@ -17,3 +18,20 @@ def alike(spark, tmp_path_factory):
 
 def test_codes_of_a_crowded_concept(spark, alike):
     assert [tuple(r) for r in QUERIES["src28_mapped_codes"](spark, alike).collect()] == [("3", "PROMO")]
+
+
+def test_solutions_of_a_crowded_value_are_counted(spark, alike):
+    assert [tuple(r) for r in QUERIES["q17_join_by_datatype"](spark, alike).collect()] == [(30, 2 * 100_000**2)]
+
+
+@pytest.mark.parametrize("by", [(), ("x",), ("x", "z"), ("a",)])
+def test_counts_are_those_of_the_solutions(spark, by):
+    rows = [("a", "p", "1"), ("b", "p", "1"), ("b", "p", "2"), ("c", "q", "1"), ("c", "q", "2"), ("d", "q", "2"), ("d", "q", "3"), ("c", "r", "z"), ("c", "r", "w"), ("d", "r", "z")]
+    g = spark.createDataFrame(rows, "s string, p string, o string")
+    patterns = [("?a", "p", "?x"), ("?z", "r", "?w"), ("?z", "q", "?x"), ("d", "r", "z")]
+    want = pa.bgp(g, *patterns).groupBy(*by).count()
+    assert sorted(map(tuple, pa.bgp_counts(g, *patterns, by=by).collect())) == sorted(map(tuple, want.collect()))
+    none = pa.bgp_counts(g, ("?a", "p", "?x"), ("?a", "absent", "?x"), by=by[:1])
+    assert [tuple(r) for r in none.collect()] == ([] if by else [(0,)])
+    with pytest.raises(ValueError, match="not bound"):
+        pa.bgp_counts(g, ("?a", "p", "?x"), by=["y"])
