@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.terms import OWL
 from quadrille.operators.trees import nodes
+from quadrille.plans.components import representatives
 from quadrille.plans.fixpoint import Rule, proofs, saturate, transitive_closure
 from quadrille.plans.stages import free, stored
 
@@ -56,8 +57,9 @@ def _pairwise(args: Column, bottom: str) -> Column:
 
 
 def _ring(pred: str) -> Column:
-    """Equal parts as links from each to the next and from the last to the first."""
-    return F.transform("args", lambda a, i: _fact(pred, a, F.get("args", (i + 1) % F.size("args"))))
+    """Equal parts as links from each to the next, from the last to the first, and back."""
+    after = lambda i: F.get("args", (i + 1) % F.size("args"))
+    return F.concat(F.transform("args", lambda a, i: _fact(pred, a, after(i))), F.transform("args", lambda a, i: _fact(pred, after(i), a)))
 
 
 def _stepwise(pred: str, args: Column, text: Column) -> Column:
@@ -134,10 +136,71 @@ def normal_form(axioms: DataFrame) -> DataFrame:
     return out
 
 
-def completed(axioms: DataFrame) -> DataFrame:
-    """(pred, args): all that follows, sub and link among it. What is told is closed first, by doubling, so that rounds
-    grow with the nesting of expressions and not with the depth of the hierarchy."""
-    facts = normal_form(axioms)
+#: Where facts of the normal form name classes; sub is renamed by its first argument.
+CLASS_ARGS = {"told": (0, 1), "both": (0, 1, 2), "some": (0, 2), "link": (1, 2), "never": (1, 2), "domain": (1,), "range": (1,)}
+
+
+def _equal_classes(facts: DataFrame) -> DataFrame:
+    """(a, b): classes and expressions that are equal: told below each other, or the same restriction or conjunction of the same parts, each
+    with the smallest. Individuals, Thing and Nothing keep their names."""
+    arg = lambda pred, *cols: facts.filter(F.col("pred") == pred).select(*[F.get("args", F.lit(i)).alias(c) for i, c in enumerate(cols)])
+    told = arg("told", "a", "b").distinct()
+    links = told.join(told.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").filter("a < b")
+    some = arg("some", "a", "p", "c")
+    whole = arg("both", "x", "y", "a").filter(F.col("a") != NOTHING).select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("c"), "a")
+    for rows in (some, whole):
+        first = rows.groupBy("p", "c").agg(F.min("a").alias("b"), F.max("a").alias("__last")).filter("b <> __last").drop("__last")
+        links = links.unionByName(rows.join(first, ["p", "c"]).filter("a <> b").select("a", "b"))
+    kept = arg("individual", "a").distinct()
+    links = links.filter(~F.col("a").isin(THING, NOTHING) & ~F.col("b").isin(THING, NOTHING))
+    return links.join(kept, "a", "left_anti").join(kept.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b").distinct()
+
+
+def _by_roots(facts: DataFrame, roots: DataFrame) -> DataFrame:
+    """The facts with classes named by roots(node, root)."""
+    names = roots.filter("node <> root").select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+
+    def named(rows: DataFrame, *places: int) -> DataFrame:
+        for i in places:
+            here = F.get("args", F.lit(i))
+            new = F.transform("args", lambda x, k: F.when(k == i, F.coalesce(F.col("__r"), x)).otherwise(x))  # noqa: B023
+            rows = rows.join(names, here == F.col("__n"), "left").select("pred", new.alias("args"))
+        return rows
+
+    own = facts.filter("pred = 'sub'").select("pred", "args", (_arg(0) == _arg(1)).alias("__same")).join(names, _arg(0) == F.col("__n"), "left")
+    first = F.coalesce(F.col("__r"), _arg(0))
+    parts = [facts.filter(~F.col("pred").isin("sub", *CLASS_ARGS)), own.select("pred", F.array(first, F.when(F.col("__same"), first).otherwise(_arg(1))).alias("args"))]
+    for places in sorted(set(CLASS_ARGS.values())):
+        parts.append(named(facts.filter(F.col("pred").isin([p for p, at in CLASS_ARGS.items() if at == places])), *places))
+    return reduce(DataFrame.unionByName, parts).filter((F.col("pred") != "told") | (_arg(0) != _arg(1))).distinct()
+
+
+def by_one_name(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, names): the normal form facts(pred, args) with one name for equal classes, and names(node, root) of those that have another.
+
+    Names that become equal make expressions of them equal, so rounds go on until none does: as many as expressions are nested.
+    A class of k equal names then costs k rows, no pairs.
+    """
+    facts, names = stored(facts.select("pred", "args"), "facts"), None
+    while True:
+        links = stored(_equal_classes(facts), "equal")
+        if links.isEmpty():
+            free(links)
+            return facts, facts.sparkSession.createDataFrame([], "node string, root string") if names is None else names
+        roots = representatives(links)
+        before = (facts, names, links)
+        facts = stored(_by_roots(facts, roots), "facts")
+        if names is None:
+            names = roots
+        else:
+            up = names.join(roots.select(F.col("node").alias("root"), F.col("root").alias("__r")), "root", "left").select("node", F.coalesce("__r", "root").alias("root"))
+            names = stored(up.unionByName(roots.join(names, "node", "left_anti")), "names")
+            free(roots)
+        free(*before)
+
+
+def _closed(facts: DataFrame) -> DataFrame:
+    """(pred, args): all that follows from a normal form."""
     told = facts.filter("pred = 'told'").select(F.get("args", F.lit(0)).alias("a"), F.get("args", F.lit(1)).alias("b"))
     closed = transitive_closure(told).select(F.lit("told").alias("pred"), F.array("a", "b").alias("args"))
     role = facts.filter("pred = 'role'").select(F.get("args", F.lit(0)).alias("a"), F.get("args", F.lit(1)).alias("b"))
@@ -145,6 +208,13 @@ def completed(axioms: DataFrame) -> DataFrame:
     return saturate(facts.filter("pred NOT IN ('told', 'role')").select("pred", "args").unionByName(closed).unionByName(above), RULES)
 
 
+def completed(axioms: DataFrame) -> DataFrame:
+    """(pred, args): all that follows, sub and link among it. What is told is closed first, by doubling, so that rounds
+    grow with the nesting of expressions and not with the depth of the hierarchy. By all names: pairs of equal classes grow with the square of
+    their number."""
+    return _closed(normal_form(axioms))
+
+
 def _pairs(facts: DataFrame) -> DataFrame:
     return facts.filter("pred = 'sub'").select(F.get("args", F.lit(0)).alias("a"), F.get("args", F.lit(1)).alias("b")).distinct()
 
@@ -159,16 +229,32 @@ def subsumptions(axioms: DataFrame, facts: DataFrame | None = None) -> DataFrame
     return rows.join(none.select("a"), "a", "left_anti").unionByName(none)
 
 
+def _empty(axioms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a) of all names, expressions and individuals that are below Nothing, and (a) of the individuals, by one name for equal classes while rules run."""
+    normal = normal_form(axioms)
+    facts, names = by_one_name(normal)
+    full = _closed(facts)
+    rows = _pairs(full).filter(F.col("b") == NOTHING).select("a")
+    rows = stored(rows.unionByName(names.join(rows.withColumnRenamed("a", "root"), "root", "left_semi").select(F.col("node").alias("a"))).distinct(), "empty")
+    ones = stored(full.filter("pred = 'individual'").select(F.get("args", F.lit(0)).alias("a")).distinct(), "individuals")
+    free(normal, facts, names, full)
+    return rows, ones
+
+
 def unsatisfiable(axioms: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(node): the named classes that can have no instances."""
-    return subsumptions(axioms, facts).filter(F.col("b") == NOTHING).select(F.col("a").alias("node"))
+    if facts is not None:
+        return subsumptions(axioms, facts).filter(F.col("b") == NOTHING).select(F.col("a").alias("node"))
+    rows, ones = _empty(axioms)
+    return rows.filter(~F.col("a").startswith("(") & (F.col("a") != NOTHING)).join(ones, "a", "left_anti").select(F.col("a").alias("node"))
 
 
 def inconsistent(axioms: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(node): individuals, or Thing, that would be in Nothing: if there is a row, no model is left."""
-    facts = completed(axioms) if facts is None else facts
-    ones = facts.filter("pred = 'individual'").select(F.get("args", F.lit(0)).alias("a")).distinct()
-    rows = _pairs(facts).filter(F.col("b") == NOTHING)
+    if facts is None:
+        rows, ones = _empty(axioms)
+    else:
+        rows, ones = _pairs(facts).filter(F.col("b") == NOTHING).select("a"), facts.filter("pred = 'individual'").select(F.get("args", F.lit(0)).alias("a")).distinct()
     thing = rows.filter(F.col("a") == THING)
     return rows.join(ones, "a", "left_semi").unionByName(thing).select(F.col("a").alias("node")).distinct()
 

@@ -81,6 +81,28 @@ def test_unsatisfiable_conjunction(spark):
     assert pairs(cm.inconsistent(df.unionByName(onto(spark, "(ClassAssertion d i)").withColumn("axiom_id", F.lit("z"))))) == [("i",)]
 
 
+def test_equal_classes_have_one_name(spark):
+    """A class of many equal names, and restrictions to them, cost a row each: no pairs of names are made."""
+    made = [f"(EquivalentClasses c{i:03} (ObjectIntersectionOf a b))" for i in range(200)] + [f"(SubClassOf d{i:03} (ObjectSomeValuesFrom p c{i:03}))" for i in range(200)]
+    nested = [f"(EquivalentClasses e{i} (ObjectIntersectionOf c00{i} k (ObjectSomeValuesFrom p c00{i})) f{i})" for i in range(5)]
+    df = onto(spark, "(DisjointClasses a b)", "(SubClassOf a k)", "(ClassAssertion k i)", *made, *nested)
+    facts, names = cm.by_one_name(cm.normal_form(df))
+    assert facts.filter("pred IN ('told', 'both', 'some')").count() < 250
+    assert names.filter("node RLIKE '^[a-z]'").groupBy("root").count().agg(F.sum("count")).first()[0] == 210
+    assert cm._closed(facts).count() < 2500
+    assert {r.node for r in cm.unsatisfiable(df).collect()} == {*[f"c{i:03}" for i in range(200)], *[f"d{i:03}" for i in range(200)], *[f"e{i}" for i in range(5)], *[f"f{i}" for i in range(5)]}
+
+
+def test_one_name_finds_what_all_names_do(spark):
+    df = onto(
+        spark, "(EquivalentClasses a b c)", "(DisjointClasses c d)", "(SubClassOf x (ObjectIntersectionOf b d))", "(EquivalentClasses y (ObjectSomeValuesFrom p x))", "(SubClassOf z (ObjectSomeValuesFrom p y))",
+        "(EquivalentClasses e http://www.w3.org/2002/07/owl#Nothing)", "(ClassAssertion e i)", "(SameIndividual i j)", "(EquivalentClasses f p)", "(ObjectPropertyDomain p f)",
+        "(EquivalentClasses g (ObjectIntersectionOf k l m))", "(EquivalentClasses k k2)", "(EquivalentClasses h (ObjectIntersectionOf k2 l m))", "(DisjointClasses g h)", "(SubClassOf s h)",
+    )
+    full = cm.completed(df)
+    assert pairs(cm.unsatisfiable(df)) == pairs(cm.unsatisfiable(df, full)) != [] and pairs(cm.inconsistent(df)) == pairs(cm.inconsistent(df, full)) != []
+
+
 def test_union_and_complement(spark):
     assert pairs(cm.subsumptions(onto(spark, "(EquivalentClasses c (ObjectUnionOf a b))"))) == [("a", "c"), ("b", "c")]
     assert pairs(cm.unsatisfiable(onto(spark, "(SubClassOf a b)", "(EquivalentClasses b (ObjectComplementOf a))"))) == [("a",)]
