@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.terms import DOMAIN, IRI, LITERAL, OWL, RANGE, SUBCLASS, SUBPROPERTY, TYPE
+from quadrille.functions.terms import DOMAIN, IRI, LITERAL, OWL, RANGE, RDF, RDFS, SUBCLASS, SUBPROPERTY, TYPE
 from quadrille.operators import rulesets as rs
 from quadrille.operators.hierarchy import edges_of
 from quadrille.plans.components import representatives
 from quadrille.plans.fixpoint import transitive_closure
-from quadrille.plans.stages import free, stored
+from quadrille.plans.stages import Rounds, free, stored
 
 #: Bundles by name; `none` is the stated graph.
 BUNDLES = ("none", "rdfs", "rdfs-plus", *rs.RULESETS)
@@ -87,6 +87,43 @@ def _seed(triples: DataFrame) -> DataFrame:
     return base.unionByName(both("equivalentClass", SUBCLASS)).unionByName(both("equivalentProperty", SUBPROPERTY)).distinct()
 
 
+def _fixed_schema(base: DataFrame, present: set[str]) -> bool:
+    """Whether rounds can add nothing to the schema: nothing is said of the vocabulary's own names, and no property is transitive."""
+    if f"{OWL}TransitiveProperty" in present:
+        return False
+    own = lambda c: F.col(c).startswith(OWL) | F.col(c).startswith(RDFS) | F.col(c).startswith(RDF)
+    schema = F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE, f"{OWL}inverseOf")
+    return base.filter((own("s") & (schema | (F.col("p") == TYPE))) | (schema & own("o"))).isEmpty()
+
+
+def _plus_by_news(base: DataFrame, present: set[str]) -> DataFrame:
+    """(s, p, o) of RDFS and of inverse and symmetric properties over a stored (s, p, o, thing) with a fixed schema: after the first
+    round only triples that are new meet the schema, and only they are turned."""
+    key = ["s", "p", "o", "thing"]
+    used = base.filter(F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE))
+    flags = stored(base.filter((F.col("p") == f"{OWL}inverseOf") | ((F.col("p") == TYPE) & (F.col("o") == f"{OWL}SymmetricProperty"))).select("s", "p", "o"), "flags")
+    inverse = flags.filter(F.col("p") == f"{OWL}inverseOf")
+    turns = inverse.select(F.col("s").alias("p"), F.col("o").alias("__q")).unionByName(inverse.select(F.col("o").alias("p"), F.col("s").alias("__q")))
+    turns = stored(turns.unionByName(flags.filter(F.col("p") == TYPE).select(F.col("s").alias("p"), F.col("s").alias("__q"))).distinct(), "turns")
+    free(flags)
+
+    def turned(rows: DataFrame) -> DataFrame:
+        return rows.filter("thing").join(turns, "p").select(F.col("o").alias("s"), F.col("__q").alias("p"), F.col("s").alias("o"), "thing")
+
+    made, before = _rdfs(base, present)
+    known = Rounds(made, "entailed")
+    free(*before)
+    fresh = known.add(turned(known.all()).distinct().join(known.all(), key, "left_anti"))
+    while not fresh.isEmpty():
+        made, before = _rdfs(fresh.unionByName(used), present)
+        step = stored(made, "step")
+        free(*before)
+        fresh = known.add(step.unionByName(turned(step)).distinct().join(known.all(), key, "left_anti"))
+        free(step)
+    free(turns)
+    return known.all()
+
+
 def _plus(now: DataFrame, present: set[str], transitive: bool = True) -> DataFrame:
     """One round of RDFS and of inverse, symmetric and, unless told otherwise, transitive properties over (s, p, o, thing)."""
     made, before = _rdfs(now, present)
@@ -127,7 +164,14 @@ def _fixpoint(now: DataFrame, step) -> DataFrame:
 
 def rdfs_plus(triples: DataFrame) -> DataFrame:
     """RDFS with inverse, symmetric and transitive properties and equivalent classes and properties."""
-    return _fixpoint(_seed(triples), _plus)
+    base = stored(_seed(triples), "seed")
+    present = rs.present(base)
+    if not _fixed_schema(base, present):
+        return _fixpoint(base, _plus)
+    full = _plus_by_news(base, present)
+    free(base)
+    # a triple comes twice only where its object is told as a literal and as a thing
+    return full.select("s", "p", "o").distinct() if "o_kind" in triples.columns else full.select("s", "p", "o")
 
 
 SAME = rs.SAME

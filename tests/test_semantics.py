@@ -205,3 +205,16 @@ def test_terms_across_solutions(spark):
     assert sorted(r.t for r in patterns.optional(b, a).filter("s IS NULL").collect()) == ["y", "z"]
     assert sorted(r.s for r in patterns.bgp(g, ("?s", "q", Literal("1"))).collect()) == ["y"]
     assert sorted(r.s for r in patterns.bgp(g, ("?s", patterns.iri("p") | "q", Literal("1", "xsd:integer"))).collect()) == ["w", "x"]
+
+
+def test_rounds_meet_only_news(spark):
+    """Inverse, symmetric and subproperties in turn: what rounds over the new triples alone find is what rounds over all do."""
+    iri = lambda x: f"{OWL}{x}"
+    rows = [("p", SUBPROPERTY, "q"), ("q", iri("inverseOf"), "r"), ("r", SUBPROPERTY, "t"), ("t", TYPE, iri("SymmetricProperty")), ("t", DOMAIN, "c"), ("c", SUBCLASS, "d"), ("x", "p", "y"), ("z", "r", "x")]
+    g = abox(spark, rows)
+    base = entailment._seed(g)
+    present = entailment.rs.present(base)
+    assert entailment._fixed_schema(base, present) and not entailment._fixed_schema(base, {*present, iri("TransitiveProperty")})
+    assert not entailment._fixed_schema(entailment._seed(abox(spark, [("p", SUBPROPERTY, SUBCLASS)])), present)
+    assert pairs(entailment.rdfs_plus(g)) == pairs(entailment._fixpoint(base, entailment._plus))
+    assert ("y", "r", "x") in pairs(entailment.rdfs_plus(g)) and ("x", TYPE, "d") in pairs(entailment.rdfs_plus(g))
