@@ -85,12 +85,17 @@ def _says_nothing(tree: list[dict], known: set[str], empty: bool) -> bool:
     return tree[0]["head"] not in ("SameIndividual", "DifferentIndividuals") and _axiom(tree[0]["head"], [sides[k] for k in tree[0]["kids"]])
 
 
+def _speaking(trees: pa.Array, known: pa.Array, empty: bool) -> pa.Array:
+    """Whether each axiom says something. Trees become Python values one at a time, as their nodes take many times more memory then."""
+    return pa.array([not _says_nothing(t.as_py(), set(k.as_py() or ()), empty) for t, k in zip(trees, known, strict=True)], pa.bool_())
+
+
 def _grown(axioms: DataFrame, seeds: DataFrame, empty: bool) -> DataFrame:
     """(axiom_id) of the axioms that say something once the names of the module are known, from the seeds on."""
 
     @F.arrow_udf("boolean")
     def speaks(trees: pa.Array, known: pa.Array) -> pa.Array:
-        return pa.array([not _says_nothing(t, set(k or ()), empty) for t, k in zip(trees.to_pylist(), known.to_pylist(), strict=True)])
+        return _speaking(trees, known, empty)
 
     names = stored(axioms.select("axiom_id", F.explode("tree").alias("n")).filter("n.leaf").select("axiom_id", F.col("n.text").alias("name")).distinct(), "names")
     known = Rounds(seeds.select(F.col("iri").alias("name")).distinct(), "signature")

@@ -59,6 +59,16 @@ def _nodes(text: str | None) -> list[dict] | None:
     return out
 
 
+#: Texts whose nodes are Python values at once.
+STEP = 200
+
+
+def _trees(texts: pa.Array) -> pa.Array:
+    """The nodes of each text, made a few texts at a time: a node takes many times more memory as a Python value than in Arrow."""
+    made = [pa.array([_nodes(t) for t in texts.slice(i, STEP).to_pylist()], _NODE) for i in range(0, len(texts), STEP)]
+    return pa.concat_arrays(made) if made else pa.array([], _NODE)
+
+
 def with_trees(axioms: DataFrame) -> DataFrame:
     """axioms with a column tree of their text form sexpr: an array of nodes, each with its parent, its place among the parts
     (from 1), its head (a leaf's name), the places of its parts in the array, and its text with single spaces.
@@ -68,7 +78,7 @@ def with_trees(axioms: DataFrame) -> DataFrame:
 
     @F.arrow_udf(f"array<{NODE}>")
     def tree(texts: pa.Array) -> pa.Array:
-        return pa.array([_nodes(t) for t in texts.to_pylist()], _NODE)
+        return _trees(texts)
 
     return axioms.withColumn("tree", tree("sexpr"))
 

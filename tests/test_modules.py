@@ -142,3 +142,24 @@ def test_one_name_for_equals(spark):
     assert sorted(map(tuple, same_individuals(g).collect())) == [("a", "b"), ("b", "a")]
     # a and b being one, u and w are, and then p1 and p2
     assert {tuple(r) for r in canonical(g).select("s", "p", "o").collect()} == {("f", TYPE, f"{OWL}FunctionalProperty"), ("a", "f", "u"), ("u", "f", "p1"), ("p1", "q", "end"), ("c", "f", "d")}
+
+
+def test_trees_of_a_batch_take_little_memory():
+    """A batch of axioms is never whole in Python values."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quadrille.operators.modules import _speaking
+    from quadrille.operators.trees import _trees
+
+    texts = pa.array([f"(SubClassOf supplier{i} (ObjectIntersectionOf Supplier (ObjectSomeValuesFrom basedIn nation{i % 25})))" for i in range(5000)] + [None, "(broken"])
+    known = pa.array([["Supplier"] if i % 2 else None for i in range(len(texts) - 2)], pa.list_(pa.string()))
+    tracemalloc.start()
+    trees = _trees(texts)
+    said = _speaking(trees.slice(0, 5000), known, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak MB", peak / 1e6)
+    assert peak < 5e6 and len(trees) == 5002 and trees.null_count == 2 and said.to_pylist() == [False] * 5000
+    assert len(_trees(texts.slice(0, 0))) == 0
