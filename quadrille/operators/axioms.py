@@ -90,8 +90,9 @@ def equivalents_to_subclasses(axioms: DataFrame) -> DataFrame:
 
 
 def simplified_equivalents(parts: DataFrame) -> DataFrame:
-    """For A = (B and C and ...) as parts(a, b), one SubClassOf for each part."""
-    return axiom_rows(parts, "SubClassOf", F.col("a"), F.col("b")).distinct()
+    """For A = (B and C and ...) as parts(a, b), one SubClassOf for each part. Parts, not the wider axioms, are made distinct: a row of
+    an axiom tells its two parts."""
+    return axiom_rows(parts.select("a", "b").distinct(), "SubClassOf", F.col("a"), F.col("b"))
 
 
 def without_cardinality(axioms: DataFrame) -> DataFrame:
