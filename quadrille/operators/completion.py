@@ -300,7 +300,7 @@ def explanations(axioms: DataFrame, sub: str, sup: str = NOTHING, most: int = 16
     Only axioms that sub and sup reach by shared symbols take part. `most` bounds the sets kept for each fact; whole
     tells whether there may be no more. The completion rules decide what follows.
     """
-    near = connected(axioms, [sub, sup])
+    near = stored(connected(axioms, [sub, sup]).select("axiom_id", "sexpr"), "near")  # rounds read it, not what axioms come of
     facts = normal_form(near)
     seed = axioms.sparkSession.createDataFrame([("sub", [sub, sub]), ("sub", [sub, THING])], "pred string, args array<string>").withColumn("why", F.array().cast("array<string>"))
     rows = proofs(facts.unionByName(seed), RULES, most)

@@ -5,7 +5,7 @@ import pytest
 from quadrille import queries_ontology, queries_reasoning, queries_rules, queries_terms  # noqa: F401  (they register their queries)
 from quadrille.operators import axioms as ax
 from quadrille.operators import patterns as pa
-from quadrille.queries import QUERIES
+from quadrille.queries import QUERIES, class_edges
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +43,10 @@ def test_parts_not_axioms_are_made_distinct(spark):
     df = ax.simplified_equivalents(spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("a", None)], "a string, b string"))
     assert sorted(r.sexpr for r in df.collect()) == ["(SubClassOf a b)", "(SubClassOf a c)", "(SubClassOf a)"]
     assert "sha1" not in df.select("sexpr")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_links_are_made_of_distinct_parts(spark, alike):
+    """Names and ids of axioms come of few rows, however often a plan reads the edges."""
+    plan = class_edges(spark, alike)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [p_brand" in plan[plan.index("Generate explode"):]
+    assert {tuple(r) for r in class_edges(spark, alike).collect()} == {("Brand#3", "Group3"), ("Group3", "Brand"), ("Brand#3", "Brand"), ("PROMO", "Type"), ("Brand", "Top"), ("Type", "Top")}
