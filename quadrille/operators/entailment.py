@@ -11,7 +11,7 @@ from quadrille.functions.terms import DOMAIN, IRI, LITERAL, OWL, RANGE, RDF, RDF
 from quadrille.operators import rulesets as rs
 from quadrille.operators.hierarchy import edges_of
 from quadrille.plans.components import representatives
-from quadrille.plans.fixpoint import transitive_closure
+from quadrille.plans.fixpoint import SMALL, transitive_closure
 from quadrille.plans.stages import Rounds, free, stored
 
 #: Bundles by name; `none` is the stated graph.
@@ -29,25 +29,51 @@ def _sets(closure: DataFrame, key: str, name: str) -> DataFrame:
 
 def rdfs(triples: DataFrame) -> DataFrame:
     """(s, p, o): subproperties, subclasses, domains and ranges followed to the end; a literal has no type."""
-    return _rdfs(_things(triples), set(rs.TRIGGERS))[0].select("s", "p", "o").distinct()
+    return _derived(_spread(_told(triples)).distinct(), set(rs.TRIGGERS))[0].select("s", "p", "o").distinct()
 
 
-def _things(triples: DataFrame) -> DataFrame:
+def _told(triples: DataFrame) -> DataFrame:
     """(s, p, o, thing): whether the object is none but a literal."""
     thing = (F.coalesce(F.col("o_kind"), F.lit(IRI)) != LITERAL) if "o_kind" in triples.columns else F.lit(True)
-    return triples.select("s", "p", "o", thing.alias("thing")).distinct()
+    return triples.select("s", "p", "o", thing.alias("thing"))
+
+
+def _things(triples: DataFrame) -> DataFrame:
+    return _told(triples).distinct()
+
+
+#: Triples that one task meets the schema with: several follow from each, and a task holds them until they are distinct.
+TASK_TRIPLES = 200_000
+
+
+def _spread(triples: DataFrame) -> DataFrame:
+    """The triples, counted, in as many parts as keep a task's share of one size, however many they are."""
+    parts = triples.count() // TASK_TRIPLES + 1
+    return triples.repartition(parts, "s", "p", "o") if parts > 1 else triples
 
 
 def _rdfs(base: DataFrame, present: set[str]) -> tuple[DataFrame, list[DataFrame]]:
-    """(s, p, o, thing), and the stored tables that it reads: subproperties, subclasses, domains and ranges followed to the end.
+    """(s, p, o, thing) of a stored base, and the stored tables that it reads: subproperties, subclasses, domains and ranges followed to the end."""
+    if not present & {SUBCLASS, SUBPROPERTY, DOMAIN, RANGE}:
+        return base, []
+    out, before = _derived(_spread(base), present)
+    return out.distinct(), before
+
+
+def _sent(rules: DataFrame, *sets: str) -> DataFrame:
+    """The schema's sets by key, sent to all tasks where they are counted to be small: triples then stay where they are."""
+    n = rules.agg(*[F.sum(F.greatest(F.size(c), F.lit(1))) for c in sets]).first()
+    return F.broadcast(rules) if sum(x or 0 for x in n) <= SMALL else rules
+
+
+def _derived(base: DataFrame, present: set[str]) -> tuple[DataFrame, list[DataFrame]]:
+    """What _rdfs gives, a triple as often as it follows.
 
     The schema's closures come first, and give for each property the properties above it and its
     domains and ranges. Then each triple meets the schema once, and all that follows from it comes of
     one row: its properties, the types of its ends and the classes above them. A literal has no type.
     present: the names of rulesets.TRIGGERS that the graph uses.
     """
-    if not present & {SUBCLASS, SUBPROPERTY, DOMAIN, RANGE}:
-        return base, []
     schema = stored(base.filter(F.col("p").isin(SUBCLASS, SUBPROPERTY, DOMAIN, RANGE)), "schema")
     properties, classes = (transitive_closure(edges_of(schema, p)) if p in present else edges_of(schema, p) for p in (SUBPROPERTY, SUBCLASS))
     above = properties.unionByName(schema.filter(F.col("p").isin(DOMAIN, RANGE)).select(F.col("s").alias("a"), F.col("s").alias("b"))).distinct()
@@ -65,14 +91,14 @@ def _rdfs(base: DataFrame, present: set[str]) -> tuple[DataFrame, list[DataFrame
         F.transform(F.coalesce("__domains", none), lambda c: row(s, F.lit(TYPE), c, yes)),
         F.transform(F.when(F.col("thing"), F.coalesce("__ranges", none)).otherwise(none), lambda c: row(o, F.lit(TYPE), c, yes)),
     )
-    out = base.join(rules, "p", "left").select(F.explode(made).alias("t")).select("t.*")
+    out = base.join(_sent(rules, "__above", "__domains", "__ranges"), "p", "left").select(F.explode(made).alias("t")).select("t.*")
     up = _sets(classes, "__c", "__up")
-    out = out.withColumn("__c", F.when(F.col("p") == TYPE, F.col("o"))).join(up, "__c", "left")
+    out = out.withColumn("__c", F.when(F.col("p") == TYPE, F.col("o"))).join(_sent(up, "__up"), "__c", "left")
     out = out.select("s", "p", F.explode(F.concat(F.array("o"), F.coalesce("__up", none))).alias("o"), "thing")
     closed = [classes.select(F.col("a").alias("s"), F.lit(SUBCLASS).alias("p"), F.col("b").alias("o")), properties.select(F.col("a").alias("s"), F.lit(SUBPROPERTY).alias("p"), F.col("b").alias("o"))]
     for rows in closed:
         out = out.unionByName(rows.withColumn("thing", F.lit(True)))
-    return out.distinct(), [schema, properties, classes]
+    return out, [schema, properties, classes]
 
 
 def _flagged(base: DataFrame, kind: str) -> DataFrame:

@@ -3,7 +3,9 @@
 import pytest
 
 from quadrille import queries_ontology, queries_reasoning, queries_rules, queries_terms  # noqa: F401  (they register their queries)
+from quadrille.functions.terms import DOMAIN, RANGE, SUBCLASS, SUBPROPERTY, TYPE
 from quadrille.operators import axioms as ax
+from quadrille.operators import entailment as en
 from quadrille.operators import patterns as pa
 from quadrille.queries import QUERIES, class_edges
 
@@ -50,3 +52,15 @@ def test_links_are_made_of_distinct_parts(spark, alike):
     plan = class_edges(spark, alike)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [p_brand" in plan[plan.index("Generate explode"):]
     assert {tuple(r) for r in class_edges(spark, alike).collect()} == {("Brand#3", "Group3"), ("Group3", "Brand"), ("Brand#3", "Brand"), ("PROMO", "Type"), ("Brand", "Top"), ("Type", "Top")}
+
+
+def test_triples_meet_the_schema_in_parts_of_one_size(spark, monkeypatch):
+    """A property that most triples share doesn't gather them: the schema goes to the triples, which lie in parts by their number."""
+    monkeypatch.setattr(en, "TASK_TRIPLES", 50, raising=False)
+    links = [(f"x{i}", "p", f"y{i % 7}") for i in range(120)]
+    schema = [("p", SUBPROPERTY, "q"), ("q", DOMAIN, "a"), ("q", RANGE, "b"), ("a", SUBCLASS, "c")]
+    got = en.rdfs(spark.createDataFrame(links + schema, "s string, p string, o string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 2 and "RepartitionByExpression [s#" in plan
+    want = {*links, *schema, *((s, "q", o) for s, _, o in links), *((s, TYPE, c) for s, _, _ in links for c in "ac"), *((o, TYPE, "b") for _, _, o in links)}
+    assert sorted(map(tuple, got.collect())) == sorted(want)
