@@ -119,6 +119,39 @@ def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return product(left, right)
 
 
+#: A join of two atoms that could make more pairs has its keys counted; keys that make more than BLOCK x BLOCK are paired block by block.
+PAIRS, BLOCK = 20_000_000, 1_000
+#: Pairs that a task of such a join makes, about.
+TASK_PAIRS = 4_000_000
+
+
+def crowded_keys(left: DataFrame, right: DataFrame) -> DataFrame | None:
+    """The shared columns' values that many rows of both sides have, with __l and __r, their numbers; None if there are none."""
+    shared = [c for c in left.columns if c in right.columns]
+    count = lambda df, n: df.groupBy(*shared).agg(F.count("*").alias(n))
+    keys = stored(count(left, "__l").join(count(right, "__r"), shared).filter(F.col("__l") * F.col("__r") > BLOCK**2), "crowded")
+    if keys.isEmpty():
+        free(keys)
+        return None
+    return keys
+
+
+def joined_in_blocks(left: DataFrame, right: DataFrame, keys: DataFrame) -> DataFrame:
+    """left.join(right) by their shared columns. A row of a crowded key falls into a block of its side and meets the other's blocks one by one,
+    so that no task gets all the pairs of a key, and the number of tasks follows that of the pairs."""
+    shared = [c for c in left.columns if c in right.columns]
+    parts = keys.agg(F.sum(F.col("__l").cast("double") * F.col("__r"))).first()[0] // TASK_PAIRS + 1
+
+    def dealt(df: DataFrame, own: str, own_block: str, other: str, other_block: str) -> DataFrame:
+        blocks = lambda n: F.coalesce(F.ceil(F.col(n) / BLOCK), F.lit(1))
+        rows = df.join(keys, shared, "left").withColumn(own_block, F.pmod(F.xxhash64(*df.columns), blocks(own)))
+        rows = rows.withColumn(other_block, F.explode(F.sequence(F.lit(0).cast("long"), blocks(other).cast("long") - 1)))
+        return rows.select(*df.columns, "__i", "__j").repartition(int(parts), *shared, "__i", "__j")
+
+    rows = dealt(left, "__l", "__i", "__r", "__j").join(dealt(right, "__r", "__j", "__l", "__i"), [*shared, "__i", "__j"])
+    return rows.drop("__i", "__j")
+
+
 def conjunction(sources: Sequence[tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
     """Bindings of a conjunction of atoms, each over its own facts, joined in an order in which neighbours share variables."""
     (facts, atom), *rest = sources
@@ -136,12 +169,25 @@ def _head(rule: Rule, rows: DataFrame) -> DataFrame:
     return rows.select(F.lit(rule.head[0]).alias("pred"), F.array(*args).alias("args"))
 
 
+def _settled(rule: Rule, rows: Sequence[DataFrame]) -> bool:
+    """Whether different bindings of the body, whose atoms have these rows, are sure to give different heads: what the head leaves out
+    follows, in an atom, from what it keeps."""
+    kept = {x[1:] for x in rule.head[1:] if x.startswith("?")}
+    lost = {c for df in rows for c in df.columns} - kept
+    for df in rows if lost else ():
+        if lost <= set(df.columns) and (own := [c for c in df.columns if c in kept]):
+            if df.groupBy(*own).agg(F.count("*").alias("__n")).filter("__n > 1").isEmpty():
+                return True
+    return not lost
+
+
 def saturate(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The least set of facts(pred, args) that holds the given ones and all that the rules derive.
 
     Each round one atom of a body is matched against the last round's new facts and the others
     against all facts. Rules with `unless` need predicates that no rule of the same call derives;
-    call again with the outcome for the next stratum.
+    call again with the outcome for the next stratum. Pairs of crowded keys that no rule reads aren't written:
+    they are made when the outcome is read.
     """
     derived = {r.head[0] for r in rules}
     for r in rules:
@@ -152,7 +198,16 @@ def saturate(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
     def bindings(rule: Rule, new: int | None, known: DataFrame, last: DataFrame) -> DataFrame:
         order = sorted(enumerate(rule.body), key=lambda x: x[0] != new)
-        rows = conjunction([(last if k == new else known, a) for k, a in order])
+        sides = [atom_rows(last if k == new else known, a) for k, a in order]
+        keys = None
+        if len(sides) == 2 and set(sides[0].columns) & set(sides[1].columns) and there[rule.body[0][0]] * there[rule.body[1][0]] > PAIRS:
+            keys = crowded_keys(*sides)
+        if keys is not None:
+            rows = joined_in_blocks(*sides, keys)
+            crowded.append(rule)
+            settled.extend([rule] if _settled(rule, sides) else [])
+        else:
+            rows = conjunction([(last if k == new else known, a) for k, a in order])
         for test in rule.tests:
             rows = rows.filter(test({c: F.col(c) for c in rows.columns}))
         for a in rule.unless:
@@ -160,15 +215,26 @@ def saturate(facts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         return _head(rule, rows)
 
     # in the first round all facts are new; later a rule starts only where an atom of its body has new facts, and if the others have any
-    there = {r.pred for r in rounds.all().select("pred").distinct().collect() if r.pred in {a[0] for rule in rules for a in rule.body}}
-    able = lambda r: {a[0] for a in r.body} <= there
+    read = {a[0] for rule in rules for a in rule.body}
+    counts = lambda df: {r.pred: r.n for r in df.groupBy("pred").agg(F.count("*").alias("n")).collect()}
+    given = counts(rounds.all())
+    there, known_heads = {pred: n for pred, n in given.items() if pred in read}, derived & set(given)
+    able = lambda r: {a[0] for a in r.body} <= set(there)
     starts: list[tuple[Rule, int | None]] = [(r, None) for r in rules if able(r)]
     while starts:
         known, last, heads = rounds.all(), rounds.last(), sorted({r.head[0] for r, _ in starts})
-        made = reduce(DataFrame.unionByName, [bindings(r, i, known, last) for r, i in starts]).distinct()
-        new = rounds.add(made.join(known.filter(F.col("pred").isin(heads)), ["pred", "args"], "left_anti"))
-        fresh = {r.pred for r in new.select("pred").distinct().collect()}  # of the rules' heads
-        there |= fresh
+        crowded, settled = [], []
+        made = reduce(DataFrame.unionByName, [bindings(r, i, known, last) for r, i in starts])
+        if len(starts) > 1 or not settled:
+            made = made.distinct()
+        if known_heads & set(heads):
+            made = made.join(known.filter(F.col("pred").isin(heads)), ["pred", "args"], "left_anti")
+        if crowded and not read & set(heads):
+            return known.unionByName(made)
+        new = rounds.add(made)
+        fresh = counts(new)  # of the rules' heads
+        known_heads |= set(fresh)
+        there |= {pred: there.get(pred, 0) + n for pred, n in fresh.items()}
         starts = [(r, i) for r in rules if able(r) for i, a in enumerate(r.body) if a[0] in fresh]
     return rounds.all()
 

@@ -7,6 +7,7 @@ from quadrille.functions.terms import DOMAIN, RANGE, SUBCLASS, SUBPROPERTY, TYPE
 from quadrille.operators import axioms as ax
 from quadrille.operators import entailment as en
 from quadrille.operators import patterns as pa
+from quadrille.plans import fixpoint as fp
 from quadrille.queries import QUERIES, class_edges
 
 
@@ -64,3 +65,20 @@ def test_triples_meet_the_schema_in_parts_of_one_size(spark, monkeypatch):
     assert plan.count("strategy=broadcast") == 2 and "RepartitionByExpression [s#" in plan
     want = {*links, *schema, *((s, "q", o) for s, _, o in links), *((s, TYPE, c) for s, _, _ in links for c in "ac"), *((o, TYPE, "b") for _, _, o in links)}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_pairs_of_a_crowded_key_are_made_in_blocks(spark, monkeypatch, twice):
+    """No task makes all the pairs of a key that all rows share; with a second key in common, a pair is there once."""
+    for name, n in (("PAIRS", 1_000), ("BLOCK", 10), ("TASK_PAIRS", 1_000)):
+        monkeypatch.setattr(fp, name, n, raising=False)
+    rows = [("in", [f"s{i}", "n0"]) for i in range(90)] + [("in", ["t", "n1"])] + ([("in", [f"s{i}", "n1"]) for i in range(5)] if twice else [])
+    rule = fp.Rule(("near", "?a", "?b"), (("in", "?a", "?n"), ("in", "?b", "?n")), tests=(lambda v: v["a"] != v["b"],))
+    got = fp.saturate(spark.createDataFrame(rows, "pred string, args array<string>"), [rule]).filter("pred = 'near'")
+    want = {(a, b) for _, (a, n) in rows for _, (b, m) in rows if n == m and a != b}
+    assert sorted(tuple(r["args"]) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "__i" in plan and "__j" in plan and ("Aggregate" in plan) == twice
+    if not twice:
+        parts = [len(p) for p in got.rdd.glom().collect()]
+        assert max(parts) < sum(parts) / 2
